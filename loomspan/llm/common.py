@@ -40,7 +40,7 @@ def whole(text: str = "text") -> Column:
 def scaled(df: DataFrame, mb: int = 32, least: int = 8) -> int:
     """A number of partitions that follows the size of the scanned files: one for each mb of them."""
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except ValueError:
         size = 0
     return max(least, min(200_000, size // (mb << 20)))

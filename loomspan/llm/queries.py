@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, pii, quality, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_pii": pii.op2_pii,
+    "op4_quality": quality.op4_quality,
+    "op6_tokens": tokens.op6_tokens,
     "op8_sharding": sharding.op8_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
