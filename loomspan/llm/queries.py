@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pii, quality, secrets, sharding, tokens
+from . import language, mixing, pii, quality, secrets, sharding, suffixes, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_tokens": tokens.op6_tokens,
     "op7_language": language.op7_language,
     "op8_sharding": sharding.op8_sharding,
+    "op10_repeats": suffixes.op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {}
