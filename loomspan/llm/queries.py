@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pii, quality, secrets, sharding, suffixes, tokens
+from . import language, mixing, neardup, pii, quality, secrets, sharding, suffixes, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
     "op3_secrets": secrets.op3_secrets,
     "op4_quality": quality.op4_quality,
+    "op5_neardup": neardup.op5_neardup,
     "op6_tokens": tokens.op6_tokens,
     "op7_language": language.op7_language,
     "op8_sharding": sharding.op8_sharding,
