@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder in spark.checkpoint.dir and read from there, so that lost executors cost no recomputation.
-
-    Where no folder is set, as in tests, a temporary one of this machine is taken; a local master alone may do that.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is set, as in tests, a temporary one of this machine is taken; a local master alone may do that."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspan-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def whole(text: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -75,6 +75,10 @@ def schedule(sources: DataFrame, cap: int = CAP) -> DataFrame:
     return ranked.where(F.col("rank") < cap * F.col("n_blocks")).select("slot", "source_rank", "rank", F.pmod("rank", "n_blocks").alias("block"))
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text", "source")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """What the mix takes of every row of docs (doc_id, source, text): size, source_size, target (both of its source) and taken, in words.
 
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     is a source; repeated rows stand beside each other; an empty table gives no rows. Other columns are ignored. Reruns agree.
     """
     h = F.xxhash64(F.lit(seed), "doc_id", "source")
-    rows = docs.select("doc_id", "source", F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size")).withColumn("h", h)
+    rows = docs.select("doc_id", "source", row_key().alias("row_key"), F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size")).withColumn("h", h)
     rows = cut(rows)
     sources = cut(blocks(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), block_words))
     named = sources.select(F.col("source").alias("name"), "source_rank", "source_size", "target", "n_blocks", "least", "longer")
@@ -101,10 +105,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     overlap = F.least(F.col("start") + F.col("size"), begin(F.col("block") + 1)) - F.greatest(F.col("start"), begin(F.col("block")))
     taken = schedule(sources, cap).groupBy("source_rank", "block").agg(F.count("*").alias("times"))
     pieces = pieces.withColumn("words", overlap).join(taken, ["source_rank", "block"], "left")
-    got = pieces.groupBy("doc_id", "source", "source_rank", "start", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken", "source"]
+    got = pieces.groupBy("doc_id", "row_key", "source", "source_rank", "start", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", "source", "row_key"]
     return got.select(columns).unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
+def repeat_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them: their taken words over their size, rounded. Rows that are alike share their copies evenly."""
+    taken = mix(docs, **how).where("size > 0").groupBy("row_key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = taken.select(F.col("row_key").alias("_row_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.join(copies, row_key() == F.col("_row_key"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

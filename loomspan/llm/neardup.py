@@ -243,5 +243,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "md5", "copy_of", "group_id", "kept").unionByName(rest)
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns; rows with a null id stay."""
+    first = near_duplicates(docs).where("kept and doc_id is not null").groupBy("group_id").agg(F.min("md5").alias("_md5")).withColumnRenamed("group_id", "_id")
+    rows = docs.where("doc_id is not null").withColumn("_digest", F.md5(whole()))
+    rows = rows.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_md5")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest").unionByName(docs.where("doc_id is null"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("md5")

@@ -52,15 +52,19 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(found)
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text", "lang", "source")
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text, and row_key, a hash of all that is read."""
     text, shown = whole(), F.trim(whole(), F.lit(BLANKS))
     words = F.when(shown == "", F.array().cast("array<string>")).otherwise(F.split(shown, GAP))
     size = lambda c: F.char_length(c).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
-    df = docs.select("doc_id", "lang", "source", text.alias("text"), words.alias("words"))
+    df = docs.select("doc_id", "lang", "source", row_key().alias("row_key"), text.alias("text"), words.alias("words"))
     df = df.select(
-        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), size(F.translate("text", BLANKS, "")).alias("word_chars"),
+        "doc_id", "row_key", "lang", "source", F.size("words").cast("long").alias("n_words"), size(F.translate("text", BLANKS, "")).alias("word_chars"),
         (size("text") - size(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(F.col("words"), _repeat_words).alias("n_repeat_words"),
@@ -161,8 +165,14 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     least = named.groupBy(*GROUP).agg(F.count("*").alias("rows_of_group"))
     judged = _with(_with(named.drop("rows"), found), least).withColumn("distance", F.when(F.col("rows_of_group") >= FEW, _distance() / F.col("scale")).otherwise(0.0))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return judged.select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance").unionByName(failed)
+    failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "row_key")
+    return judged.select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance", "row_key").unionByName(failed)
+
+
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns."""
+    good = judge(docs, cutoff).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    return docs.join(good, row_key() == F.col("_row_key"), "left_semi")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, pii, quality, secrets, sharding, suffixes, tokens
+from . import decontaminate, language, mixing, neardup, pii, quality, secrets, sharding, suffixes, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_tokens": tokens.op6_tokens,
     "op7_language": language.op7_language,
     "op8_sharding": sharding.op8_sharding,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_repeats": suffixes.op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {}
