@@ -295,14 +295,14 @@ def pair_enumeration(spark, sf_dir):
 
 
 ZS_SQL = f"""{LEGAL_SQL}, sym(t) AS (VALUES {", ".join(f"('{s}')" for s in sorted(BUSINESS.symmetric()))}),
-    e AS (SELECT s_nationkey AS chunk_id, s_suppkey AS n, CASE WHEN s_suppkey % 3 = 0 THEN 'Person' WHEN s_suppkey % 3 = 1 THEN 'Org' ELSE 'Place' END AS type FROM supplier),
+    e AS (SELECT CAST(s_suppkey // 8 AS BIGINT) AS chunk_id, s_suppkey AS n, CASE WHEN s_suppkey % 3 = 0 THEN 'Person' WHEN s_suppkey % 3 = 1 THEN 'Org' ELSE 'Place' END AS type FROM supplier),
     cand AS (SELECT a.chunk_id, l.rel_type AS type, a.n AS src, b.n AS tgt FROM e a JOIN e b ON a.chunk_id = b.chunk_id AND a.n <> b.n JOIN legal l ON l.src_type = a.type AND l.tgt_type = b.type
       WHERE NOT (l.rel_type IN (SELECT t FROM sym) AND a.n > b.n))"""
 
 
 def _zs_entities(spark, sf_dir):
     k = F.col("s_suppkey") % 3
-    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("chunk_id"), F.col("s_suppkey").alias("n"), F.when(k == 0, "Person").when(k == 1, "Org").otherwise("Place").alias("type"))
+    return table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 8).alias("chunk_id"), F.col("s_suppkey").alias("n"), F.when(k == 0, "Person").when(k == 1, "Org").otherwise("Place").alias("type"))
 
 
 def _zs(spark, sf_dir):
@@ -328,7 +328,7 @@ def zeroshot_density(spark, sf_dir):
 
 @query(
     "calibrated_thresholds",
-    """WITH l AS (SELECT l_shipmode AS type, l_discount * 10 AS p, l_returnflag = 'R' AS gold FROM lineitem), g AS (SELECT round(0.2 + 0.05 * i, 2) AS t FROM range(15) r(i)),
+    """WITH l AS (SELECT l_linestatus AS type, l_discount * 10 AS p, l_returnflag = 'R' AS gold FROM lineitem), g AS (SELECT round(0.2 + 0.05 * i, 2) AS t FROM range(15) r(i)),
     b AS (SELECT type, p, gold FROM l UNION ALL SELECT '*', p, gold FROM l),
     c AS (SELECT type, t, count(*) FILTER (WHERE gold AND p > t) AS tp, count(*) FILTER (WHERE p > t) AS n, count(*) FILTER (WHERE gold) AS pos FROM b, g GROUP BY ALL),
     r AS (SELECT type, t, pos, row_number() OVER (PARTITION BY type ORDER BY 2.0 * tp / greatest(n + pos, 1) DESC, t) AS rn FROM c), best AS (SELECT * FROM r WHERE rn = 1)
@@ -336,7 +336,7 @@ def zeroshot_density(spark, sf_dir):
 )
 def calibrated_thresholds(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return union.calibrated(l.select(F.col("l_shipmode").alias("type"), (F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").alias("gold")))
+    return union.calibrated(l.select(F.col("l_linestatus").alias("type"), (F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").alias("gold")))
 
 
 # --- resolution ---
@@ -453,7 +453,7 @@ def span_alignment(spark, sf_dir):
 
 # --- judging ---
 
-POOL_SQL = f"""c AS (SELECT CAST(p_size AS BIGINT) AS doc_id, p_brand AS src, p_mfgr AS type, p_name AS tgt FROM part),
+POOL_SQL = f"""c AS (SELECT CAST(p_size AS BIGINT) AS doc_id, p_brand AS src, p_type AS type, p_name AS tgt FROM part),
     f AS (SELECT DISTINCT *, {H.format("'a|' || doc_id || '|' || src || '|' || type || '|' || tgt")} % 10 < 6 AS in_a, {H.format("'b|' || doc_id || '|' || src || '|' || type || '|' || tgt")} % 10 < 5 AS in_b,
       {H.format("'t|' || doc_id || '|' || src || '|' || type || '|' || tgt")} % 10 < 7 AS is_true FROM c), k AS (SELECT * FROM f WHERE in_a OR in_b),
     pd AS (SELECT doc_id, type, unnest(['a', 'b']) AS source, unnest([in_a, in_b]) AS has, is_true FROM k),
@@ -462,7 +462,7 @@ SCORE_SQL = """"right"::DOUBLE / greatest(wrote, 1) AS p, "right"::DOUBLE / grea
 
 
 def _facts(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("src"), F.col("p_mfgr").alias("type"), F.col("p_name").alias("tgt")).distinct()
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("src"), F.col("p_type").alias("type"), F.col("p_name").alias("tgt")).distinct()
     draw = lambda salt, k: F.pmod(judging.hashed(F.lit(salt), *(F.col(c) for c in judging.CLAIM)), F.lit(10)) < k
     sources = F.filter(F.array(F.when(draw("a", 6), F.lit("a")), F.when(draw("b", 5), F.lit("b"))), lambda x: x.isNotNull())
     pool = p.withColumn("source", F.explode(sources))
@@ -487,12 +487,12 @@ def scores_without_type(spark, sf_dir):
 BOOT_SQL = f"""{POOL_SQL.format(by="doc_id, source,")}, d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS slot FROM (SELECT DISTINCT doc_id FROM n)), m AS (SELECT count(*) AS m FROM d),
     draws AS (SELECT r.i AS replicate, {H.format("'{salt}|' || r.i || '|' || k.i")} % (SELECT m FROM m) AS slot FROM range({{rounds}}) r(i), range((SELECT m FROM m)) k(i)),
     s AS (SELECT replicate, source, sum(wrote) AS wrote, sum("right") AS "right", sum(true_facts) AS true_facts FROM draws JOIN d USING (slot) JOIN n USING (doc_id) GROUP BY ALL),
-    f AS (SELECT replicate, source, 2 * p * r / greatest(p + r, 1e-9) AS f1 FROM (SELECT *, {SCORE_SQL} FROM s))"""
+    rf AS (SELECT replicate, source, 2 * p * r / greatest(p + r, 1e-9) AS f1 FROM (SELECT *, {SCORE_SQL} FROM s))"""
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH {BOOT_SQL.replace("{salt}", "boot").replace("{rounds}", "200").replace("{{rounds}}", "200")}, o AS (SELECT source, f1, row_number() OVER (PARTITION BY source ORDER BY f1) - 1 AS rn FROM f)
+    f"""WITH {BOOT_SQL.replace("{salt}", "boot").replace("{rounds}", "200").replace("{{rounds}}", "200")}, o AS (SELECT source, f1, row_number() OVER (PARTITION BY source ORDER BY f1) - 1 AS rn FROM rf)
     SELECT source, round(max(f1) FILTER (WHERE rn = 5), 6) AS low, round(max(f1) FILTER (WHERE rn = 194), 6) AS high FROM o GROUP BY source""",
 )
 def bootstrap_ci(spark, sf_dir):
@@ -502,7 +502,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query(
     "paired_bootstrap",
-    f"""WITH {BOOT_SQL.replace("{salt}", "pair").replace("{rounds}", "200").replace("{{rounds}}", "200")}, w AS (SELECT replicate, max(f1) FILTER (WHERE source = 'a') - max(f1) FILTER (WHERE source = 'b') AS d FROM f GROUP BY replicate),
+    f"""WITH {BOOT_SQL.replace("{salt}", "pair").replace("{rounds}", "200").replace("{{rounds}}", "200")}, w AS (SELECT replicate, max(f1) FILTER (WHERE source = 'a') - max(f1) FILTER (WHERE source = 'b') AS d FROM rf GROUP BY replicate),
     o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS rn FROM w), t AS (SELECT source, sum(wrote) AS wrote, sum("right") AS "right", sum(true_facts) AS true_facts FROM n GROUP BY source),
     tf AS (SELECT source, round(2 * p * r / greatest(p + r, 1e-9), 6) AS f1 FROM (SELECT *, {SCORE_SQL} FROM t))
     SELECT round((SELECT f1 FROM tf WHERE source = 'a') - (SELECT f1 FROM tf WHERE source = 'b'), 6) AS difference, round(max(d) FILTER (WHERE rn = 5), 6) AS low, round(max(d) FILTER (WHERE rn = 194), 6) AS high FROM o""",
@@ -513,12 +513,12 @@ def paired_bootstrap(spark, sf_dir):
 
 @query(
     "alias_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS doc_id, p_brand AS a, p_container AS b FROM part WHERE p_partkey % 4 = 0), u AS (SELECT * FROM e UNION SELECT doc_id, b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS doc_id, p_brand AS a, p_name AS b FROM part WHERE p_partkey % 4 = 0), u AS (SELECT * FROM e UNION SELECT doc_id, b, a FROM e),
     r AS (SELECT doc_id, a AS name, a AS x FROM u UNION SELECT r.doc_id, r.name, u.b FROM r JOIN u ON r.doc_id = u.doc_id AND r.x = u.a)
     SELECT doc_id, name, min(x) AS canonical FROM r GROUP BY doc_id, name""",
 )
 def alias_components(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("a"), F.col("p_container").alias("b"))
+    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("a"), F.col("p_name").alias("b"))
     return judging.alias_groups(p)
 
 
