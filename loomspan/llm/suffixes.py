@@ -5,9 +5,11 @@ position, at the offset). Names are 64-bit fingerprints of those pairs, so that
 positions would be more than ten times the text, so the first sort takes the positions that are least in some window: every
 50-byte string holds one, and equal strings hold it at the same place.
 
-- Spark sorts the names at length 24 with those at 84 bytes around; neighbours show which 24-byte prefixes are in one document
+- Spark sorts the names at length 20 with those of the 80 bytes around; neighbours show which 20-byte prefixes are in one document
   only, and those go. Most others are settled by the longer rank: all but its first document lose the 50-byte strings in it.
-- Only positions whose longer rank is new, while the shorter one isn't, go on: they are ranked at length 50, the threshold.
+- Positions whose longer rank is new, while the shorter one isn't, are ranked at length 35, here and 15 bytes ahead: every
+  50-byte string around a position holds one of the two. Those that are in one document only go.
+- What is left is ranked at length 50, the threshold.
 
 Equal texts count once: their first document alone enters the first sort. Within a block of documents, equal ranks are put
 together before they are sorted, so that a passage in very many documents gives one row for each block.
@@ -20,17 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, whole
+from .common import release, stored, table, whole
 
 #: Bytes of a string that must not repeat; of the first rank. BEFORE bytes ahead of a position and LENGTH after it hold all its strings.
-LENGTH, FIRST = 50, 24
+LENGTH, FIRST = 50, 20
 BEFORE = LENGTH - FIRST
 AROUND = BEFORE + LENGTH
+#: Bytes of the middle rank. A string that starts up to REST bytes ahead of its position holds the MIDDLE bytes from it on; any other holds those from REST bytes ahead on.
+REST = BEFORE // 2
+MIDDLE = LENGTH - REST
 #: Documents of a block, about, and the bytes that are ranked at a time within one.
 BLOCK_DOCS, CHUNK = 1000, 1 << 17
+#: Bits of the first name, which only sorts out what is unique, and of the name of the bytes around, which tells apart positions of one first name.
+SHORT, LONG = np.uint64((1 << 48) - 1), np.uint64((1 << 56) - 1)
 STEP = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(50)
 #: Names at length 1; the last is of what lies outside a document.
@@ -81,7 +89,8 @@ class Names:
     def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(positions, text of each, first and last start of the 50-byte strings that each is the least position of). Ties go to the left."""
         whole_, n = self.level(16), len(self.level(1))
-        first = whole_[: n - FIRST + 1] * SHIFTS[8] + self.level(8)[16 : 16 + n - FIRST + 1]
+        rest = FIRST - 16
+        first = whole_[: n - FIRST + 1] * SHIFTS[rest] + self.level(rest)[16 : 16 + n - FIRST + 1]
         key = _mixed(first)
         key &= np.uint64(0xFFFFFFFF00000000)
         key |= np.arange(len(key), dtype=np.uint64)
@@ -118,11 +127,11 @@ def ranked(part: list[tuple]):
     """The least positions of a part with both names."""
     names = Names([r[-1] for r in part])
     positions, of, first, last = names.least()
-    return names, positions, of, first, last, names.at(FIRST, positions), names.at(AROUND, positions - BEFORE)
+    return names, positions, of, first, last, names.at(FIRST, positions) & SHORT, names.at(AROUND, positions - BEFORE) & LONG
 
 
 def _block_ranks(texts: pa.Table, firsts: pa.Table) -> pa.Table:
-    """Per block: both names of the least positions of texts that come first among equal ones, and the first and last document of each pair."""
+    """Per block: both names of the least positions of texts that come first among equal ones, and the first document of each pair, and how much larger the last one is."""
     own = set(zip(firsts.column("doc_id").to_pylist(), firsts.column("digest").to_pylist(), strict=True))
     rows = []
     for i, d, t in zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), texts.column("text").to_pylist(), strict=True):
@@ -135,7 +144,7 @@ def _block_ranks(texts: pa.Table, firsts: pa.Table) -> pa.Table:
         one.append(short)
         two.append(long)
         ids.append(np.array([r[0] for r in part], np.int64)[of])
-    names = ["short", "long", "block", "low", "high"]
+    names = ["short", "long", "block", "low", "more"]
     if not one:
         return pa.table({k: pa.array([], pa.int64()) for k in names})
     one, two, ids = map(np.concatenate, (one, two, ids))
@@ -144,16 +153,15 @@ def _block_ranks(texts: pa.Table, firsts: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)])
     last = np.r_[new[1:], len(one)] - 1 if len(one) else new
     block = np.full(len(new), texts.column("block")[0].as_py() if texts.num_rows else 0, np.int64)
-    return pa.table(dict(zip(names, (one[new].view(np.int64), two[new].view(np.int64), block, ids[new], ids[last]), strict=True)))
+    return pa.table(dict(zip(names, (one[new].view(np.int64), two[new].view(np.int64), block, ids[new], ids[last] - ids[new]), strict=True)))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by short, long: those whose short name is in two documents or more, with the first document of the long name, and whether the short name has others."""
-    held: list[np.ndarray] | None = None
-    fields = ["short", "long", "block", "low", "high"]
 
     def settle(c: list[np.ndarray]) -> pa.RecordBatch:
-        short, long, block, low, high = c
+        short, long, block, low, more = c
+        high = low + more
         new = np.r_[True, short[1:] != short[:-1]]
         at = np.flatnonzero(new)
         of = np.cumsum(new) - 1
@@ -165,8 +173,71 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = several[of] & (varied | (high > first))
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (block, short, long, first, varied)], names=["block", "short", "long", "first", "varied"])
 
+    return _by_name(batches, 5, settle)
+
+
+MARKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("name", pa.int64()), ("at", pa.int32()), ("spans", pa.binary())])
+
+
+def _known(texts: pa.Table, found: pa.Table) -> Iterator[tuple]:
+    """The parts of a block's texts, each once, with their positions that are found: (part, names, positions, text, first and last start, settled, open)."""
+    short, long, first, varied = (found.column(k).to_numpy() for k in ("short", "long", "first", "varied"))
+    pair = _mixed(short.view(np.uint64)) + long.view(np.uint64)
+    order = np.argsort(pair)
+    pair, first, varied = pair[order], first[order], varied[order]
+    rows = {(i, d): t for i, d, t in zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), texts.column("text").to_pylist(), strict=True)}
+    for part in chunks([(i, d, t.encode()) for (i, d), t in rows.items()]):
+        names, positions, of, begin, last, one, two = ranked(part)
+        own = _mixed(one) + two
+        at = np.minimum(np.searchsorted(pair, own), len(pair) - 1)
+        hit = pair[at] == own
+        positions, of, begin, last, at = positions[hit], of[hit], begin[hit], last[hit], at[hit]
+        done = np.array([r[0] for r in part], np.int64)[of] > first[at]
+        yield part, names, positions, of, begin, last, done, ~done & varied[at]
+
+
+def _halves(names: Names, positions: np.ndarray, begin: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both middle names of positions, 0 where no 50-byte string needs it."""
+    right = np.where(last >= positions - REST, names.at(MIDDLE, positions), np.uint64(0))
+    return right, np.where(begin < positions - REST, names.at(MIDDLE, positions - REST), np.uint64(0))
+
+
+def _block_halves(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """Per block: the middle names of open positions, with the first document of each and how much larger the last one is."""
+    one, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if texts.num_rows and found.num_rows:
+        for part, names, positions, of, begin, last, _, still in _known(texts, found):
+            own = np.array([r[0] for r in part], np.int64)[of[still]]
+            for half in _halves(names, positions[still], begin[still], last[still]):
+                one.append(half[half != 0])
+                ids.append(own[half != 0])
+    one, ids = np.concatenate(one), np.concatenate(ids)
+    order = np.lexsort((ids, one))
+    one, ids = one[order], ids[order]
+    new = np.flatnonzero(np.r_[True, one[1:] != one[:-1]][: len(one)])
+    last = np.r_[new[1:], len(one)] - 1 if len(one) else new
+    block = np.full(len(new), texts.column("block")[0].as_py() if texts.num_rows else 0, np.int64)
+    return pa.table({"short": one[new].view(np.int64), "block": block, "low": ids[new], "more": ids[last] - ids[new]})
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (short, block, low, more) sorted by name: those whose name is in two documents or more."""
+
+    def settle(c: list[np.ndarray]) -> pa.RecordBatch:
+        short, block, low, more = c
+        at = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
+        several = np.minimum.reduceat(low, at) != np.maximum.reduceat(low + more, at)
+        keep = np.repeat(several, np.diff(np.r_[at, len(short)]))
+        return pa.RecordBatch.from_arrays([pa.array(block[keep]), pa.array(short[keep])], names=["block", "short"])
+
+    return _by_name(batches, 4, settle)
+
+
+def _by_name(batches: Iterator[pa.RecordBatch], columns: int, settle) -> Iterator[pa.RecordBatch]:
+    """settle(columns) for runs of rows that hold all rows of each value in the first, sorted column."""
+    held: list[np.ndarray] | None = None
     for batch in batches:
-        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(fields))]
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
         if held is not None:
             own = [np.concatenate(x) for x in zip(held, own, strict=True)]
         if not len(own[0]):
@@ -179,40 +250,32 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held)
 
 
-MARKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("name", pa.int64()), ("at", pa.int32()), ("spans", pa.binary())])
-
-
-def _block_marks(texts: pa.Table, found: pa.Table) -> pa.Table:
-    """Per block: one row for each text with the spans that the longer rank settles, and a row for each 50-byte string that it leaves open."""
+def _block_marks(texts: pa.Table, told: pa.Table) -> pa.Table:
+    """Per block: one row for each text with the spans that the longer rank settles, and a row for each 50-byte string that it and the middle ones leave open."""
     out: dict[str, list] = {k: [] for k in MARKS.names}
+    found = told.filter(pc.is_valid(told.column("long")))
     if not texts.num_rows or not found.num_rows:
         return pa.table({f.name: pa.array([], f.type) for f in MARKS})
-    short, long, first, varied = (found.column(k).to_numpy() for k in ("short", "long", "first", "varied"))
-    pair = _mixed(short.view(np.uint64)) + long.view(np.uint64)
-    order = np.argsort(pair)
-    pair, first, varied = pair[order], first[order], varied[order]
+    middle = np.unique(told.filter(pc.is_null(told.column("long"))).column("short").to_numpy()).view(np.uint64)
+    middle = np.sort(np.r_[middle, np.uint64(0)])
+    repeated = lambda x: (x != 0) & (middle[np.minimum(np.searchsorted(middle, x), len(middle) - 1)] == x)
     block = texts.column("block")[0].as_py()
-    rows = {(i, d): t for i, d, t in zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), texts.column("text").to_pylist(), strict=True)}
     parts = {k: [] for k in MARKS.names}
-    for part in chunks([(i, d, t.encode()) for (i, d), t in rows.items()]):
-        names, positions, of, begin, last, one, two = ranked(part)
-        own = _mixed(one) + two
-        at = np.minimum(np.searchsorted(pair, own), len(pair) - 1)
-        hit = pair[at] == own
-        positions, of, begin, last, at = positions[hit], of[hit], begin[hit], last[hit], at[hit]
-        ids = np.array([r[0] for r in part], np.int64)[of]
-        done = ids > first[at]
+    for part, names, positions, of, begin, last, done, still in _known(texts, found):
         for k in np.unique(of[done]).tolist():
             mine = done & (of == k)
             spans = np.stack([begin[mine] - names.begin[k], last[mine] + LENGTH - names.begin[k]], 1)
             out["doc_id"].append(part[k][0])
             out["digest"].append(part[k][1])
             out["spans"].append(spans.astype("<i4").tobytes())
-        still = ~done & varied[at]
         if still.any():
-            n = last[still] - begin[still] + 1
-            starts = np.repeat(begin[still] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            of_start = np.repeat(of[still], n)
+            positions, of, begin, last = positions[still], of[still], begin[still], last[still]
+            right, left = map(repeated, _halves(names, positions, begin, last))
+            edge = positions - REST
+            begin, last, of = np.r_[np.maximum(begin, edge)[right], begin[left]], np.r_[last[right], np.minimum(last, edge - 1)[left]], np.r_[of[right], of[left]]
+            n = np.maximum(0, last - begin + 1)
+            starts = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n)[: n.sum()] + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            of_start = np.repeat(of, n)
             parts["name"].append(names.at(LENGTH, starts).view(np.int64))
             parts["at"].append((starts - names.begin[of_start]).astype(np.int32))
             parts["doc_id"].append(np.array([r[0] for r in part], np.int64)[of_start])
@@ -284,9 +347,16 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def results(t: pa.Table, m: pa.Table) -> pa.Table:
         return _block_results(t, m, keep_text)
 
-    ranks = by_block(firsts.drop("md5")).applyInArrow(_block_ranks, "short long, long long, block long, low long, high long")
-    found = ranks.repartition("short").sortWithinPartitions("short", "long").mapInArrow(_neighbours, "block long, short long, long long, first long, varied boolean")
-    marks = cut(by_block(found).applyInArrow(_block_marks, "block long, doc_id long, digest long, name long, at int, spans binary"))  # read twice
+    ranks = by_block(firsts.drop("md5")).applyInArrow(_block_ranks, "short long, long long, block long, low long, more long")
+    found = stored(ranks.repartition("short").sortWithinPartitions("short", "long").mapInArrow(_neighbours, "block long, short long, long long, first long, varied boolean"))  # read twice
+    del ranks
+    release(docs.sparkSession)
+    halves = by_block(found).applyInArrow(_block_halves, "short long, block long, low long, more long")
+    middle = halves.repartition("short").sortWithinPartitions("short").mapInArrow(_several, "block long, short long")
+    told = found.unionByName(middle, allowMissingColumns=True)
+    marks = stored(by_block(told).applyInArrow(_block_marks, "block long, doc_id long, digest long, name long, at int, spans binary"))  # read twice
+    del halves, middle, told
+    release(docs.sparkSession)
     still = marks.where("name is not null").select("block", "doc_id", "digest", "name", "at")
     first = still.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("name", "first")
     open_ = still.join(first, "name").where(F.col("doc_id") > F.col("first")).select("block", "doc_id", "digest", "at", F.lit(None).cast("binary").alias("spans"))
