@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import table, whole
 
-#: Hashed features, probes of the decomposition and dimensions kept, words of a passage that it is computed on.
-FEATURES, PROBES, RANK, PASSAGE, SLICE = 1 << 14, 56, 48, 32, 1 << 10
+#: Hashed features, probes of the decomposition, words of a passage that it is computed on; each feature is in SIGNS probes.
+FEATURES, PROBES, PASSAGE, SLICE, SIGNS = 1 << 14, 34, 32, 1 << 10, 3
+#: The LEAD first dimensions, in which all passages of a language are alike, are left out; the RANK next ones are kept.
+LEAD, RANK = 4, 28
 #: Items of fewer words are not searched for. So many items are searched for at a time.
 SHORTEST, ITEMS = 5, 5000
 #: The cosine that makes a candidate; the share of an item's words in the common subsequence that decides alone, and with the answer.
-NEAR, SAME, SAME_WITH_ANSWER = 0.45, 0.75, 0.6
+NEAR, SAME, SAME_WITH_ANSWER = 0.66, 0.75, 0.6
 #: Each width of window is so many times the last; windows start at every (width / STRIDE)th word.
-WIDER, STRIDE = 1.33, 6
+WIDER, STRIDE = 1.2, 5
 CHUNK = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -68,7 +70,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def feature(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(50)).astype(np.int64)  # 14 bits
+    return (codes >> np.uint64(50)).astype(np.uint16)  # 14 bits
 
 
 def parts(column: pa.Array) -> Iterator[list[bytes]]:
@@ -87,13 +89,16 @@ def parts(column: pa.Array) -> Iterator[list[bytes]]:
 # --- decomposition ---
 
 
-def _probes() -> np.ndarray:
-    return np.random.default_rng(17).choice(np.array([-1.0, 1.0], np.float32), (FEATURES, PROBES))
+@cache
+def _probes() -> tuple[np.ndarray, np.ndarray]:
+    """The probes that each feature is in, and its signs there."""
+    rng = np.random.default_rng(17)
+    return rng.integers(0, PROBES, (FEATURES, SIGNS)), rng.choice(np.array([-1.0, 1.0]), (FEATURES, SIGNS))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: how many passages have a feature, and the counts' matrix, transposed, times itself times the probes."""
-    probes = _probes()
+    where, signs = _probes()
     total, df, n = np.zeros((FEATURES, PROBES)), np.zeros(FEATURES), 0
     for batch in batches:
         for texts in parts(batch.column(0)):
@@ -104,13 +109,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(sizes)
             starts = np.concatenate([np.arange(e - s, e, PASSAGE) for e, s in zip(ends, sizes, strict=True)])
             passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
-            y = np.add.reduceat(probes[f], starts, axis=0)
+            y = np.zeros(len(starts) * PROBES)
+            for k in range(SIGNS):
+                y += np.bincount(passage * PROBES + where[f, k], weights=signs[f, k], minlength=len(y))
+            y = y.reshape(-1, PROBES).astype(np.float32)
             order = np.argsort(f, kind="stable")
-            sorted_f = f[order]
-            first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
-            total[sorted_f[first]] += np.add.reduceat(y[passage[order]], first, axis=0)
-            pairs = np.unique(f * len(starts) + passage) // len(starts)
-            df += np.bincount(pairs, minlength=FEATURES)
+            f, passage = f[order], passage[order]
+            new = np.r_[True, f[1:] != f[:-1]]
+            first = np.flatnonzero(new)
+            total[f[first]] += np.add.reduceat(y[passage], first, axis=0)
+            df += np.bincount(f[new | np.r_[True, passage[1:] != passage[:-1]]], minlength=FEATURES)
             n += len(starts)
     if n:
         for k in range(0, FEATURES, SLICE):
@@ -128,7 +136,7 @@ def _sum(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decompose(docs: DataFrame) -> np.ndarray:
-    """For each feature, its inverse document frequency times its place in the space of the leading singular vectors, each brought to unit variance."""
+    """For each feature, its inverse document frequency times its place in the space of singular vectors, each weighted down by its share of the variance."""
     texts = docs.select(whole().alias("text"))
     rows = texts.mapInArrow(_sketch, "slice long, n long, sums binary").groupBy("slice").applyInArrow(_sum, "slice long, n long, sums binary").collect()  # FEATURES / SLICE rows
     sums, n = np.zeros((FEATURES, PROBES + 1)), 0
@@ -137,19 +145,32 @@ def decompose(docs: DataFrame) -> np.ndarray:
         n += r["n"]
     idf = np.log((n + 1) / (sums[:, 0] + 1)) + 1
     basis, values, _ = np.linalg.svd(idf[:, None] * sums[:, 1:], full_matrices=False)
-    scale = np.sqrt(np.maximum(values[:RANK], 1e-6 * max(values[0], 1e-12)))  # of A'A, so singular values are its roots
-    return np.ascontiguousarray((idf[:, None] * basis[:, :RANK] / scale * np.sqrt(values[0] or 1)).astype(np.float32))
+    kept = slice(LEAD, LEAD + RANK)
+    scale = np.maximum(values[kept], 1e-6 * max(values[0], 1e-12)) / max(values[0], 1e-12)
+    return np.ascontiguousarray((idf[:, None] * basis[:, kept] / scale).astype(np.float32))
 
 
 # --- search ---
 
 
+@dataclass
+class Width:
+    """The items that a width of window is for: ids, word numbers, unit vectors, and which of the known words each holds."""
+
+    ids: list[int]
+    codes: list[np.ndarray]
+    vectors: np.ndarray
+    sizes: np.ndarray
+    holds: np.ndarray
+
+
 @dataclass
 class Items:
-    """Benchmark items by width of window: ids, word numbers, and unit vectors."""
+    """Benchmark items by width of window; known are the words of all of them, sorted."""
 
     space: np.ndarray
-    widths: dict[int, tuple[list[int], list[np.ndarray], np.ndarray]]
+    known: np.ndarray
+    widths: dict[int, Width]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], space: np.ndarray) -> Items:
@@ -161,11 +182,15 @@ class Items:
                 while width < len(codes):
                     width = int(np.ceil(width * WIDER))
                 by.setdefault(width, []).append((i, codes))
+        known = np.unique(np.concatenate([c for found in by.values() for _, c in found] or [np.zeros(0, np.uint64)]))
         out = {}
         for width, found in sorted(by.items()):
             v = np.stack([space[feature(c)].sum(0) for _, c in found])
-            out[width] = [i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        return cls(space, out)
+            holds = np.zeros((len(found), len(known) + 1), bool)  # the last column is for all other words
+            for k, (_, c) in enumerate(found):
+                holds[k, np.searchsorted(known, c)] = True
+            out[width] = Width([i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array([len(c) for _, c in found]), holds)
+        return cls(space, known, out)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -193,33 +218,45 @@ def leaked(item: np.ndarray, region: np.ndarray) -> float:
 
 
 def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, float]]]:
-    """For each text the items in it: (item, share of the common subsequence, cosine)."""
+    """For each text the items in it: (item, share of the common subsequence, cosine).
+
+    Before the common subsequence of a candidate is computed, its words that the item holds at all are counted: they limit it.
+    """
     codes, sizes = words(texts)
+    found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
+    if not len(codes) or not items.widths:
+        return [[] for _ in texts]
     sums = np.zeros((len(codes) + 1, RANK), np.float32)
-    if len(codes):
-        np.cumsum(items.space[feature(codes)], axis=0, out=sums[1:])
+    np.cumsum(items.space[feature(codes)], axis=0, out=sums[1:])
+    at = np.minimum(np.searchsorted(items.known, codes), len(items.known) - 1)
+    known = np.where(items.known[at] == codes, at, len(items.known))
+    known = np.r_[known, len(items.known)]
     first = np.cumsum(sizes) - sizes
-    found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-    for width, (ids, item_codes, vectors) in items.widths.items():
-        step = max(1, width // STRIDE)
-        starts = np.concatenate([np.r_[np.arange(f, f + n - width, step), max(f, f + n - width)] for f, n in zip(first, sizes, strict=True) if n] or [np.zeros(0, np.int64)]).astype(np.int64)
-        of = np.searchsorted(first, starts, "right") - 1
-        while len(of) and (bad := sizes[of] == 0).any():  # texts without words begin where the next begins
-            of = np.where(bad, of - 1, of)
-        ends = np.minimum(starts + width, first[of] + sizes[of]) if len(of) else starts
+    filled = np.flatnonzero(sizes)
+    for width, own in items.widths.items():
+        step, wider = max(1, width // STRIDE), width + 2 * (width // 4)
+        starts = [np.r_[np.arange(f, f + n - width, step), max(f, f + n - width)] for f, n in zip(first[filled], sizes[filled], strict=True)]
+        of = np.repeat(filled, [len(s) for s in starts])
+        starts = np.concatenate(starts).astype(np.int64)
+        last = first[of] + sizes[of]
+        ends = np.minimum(starts + width, last)
         v = sums[ends] - sums[starts]
         v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-        for block in range(0, len(ids), 1000):
-            cosine = v @ vectors[block : block + 1000].T
+        for block in range(0, len(own.ids), 500):
+            cosine = v @ own.vectors[block : block + 500].T
             rows, columns = np.nonzero(cosine >= NEAR)
-            for r, c in zip(rows.tolist(), columns.tolist(), strict=True):
-                k, i = int(of[r]), ids[block + c]
-                if found[k].get(i, (0.0,))[0] == 1.0:
-                    continue
-                a, e = max(first[k], starts[r] - width // 4), min(first[k] + sizes[k], ends[r] + width // 4)
-                share = leaked(item_codes[block + c], codes[a:e])
-                if share > found[k].get(i, (0.0,))[0]:
-                    found[k][i] = share, float(cosine[r, c])
+            for k in range(0, len(rows), 20_000):
+                r, c = rows[k : k + 20_000], columns[k : k + 20_000] + block
+                a, e = np.maximum(first[of[r]], starts[r] - width // 4), np.minimum(last[r], ends[r] + width // 4)
+                spots = a[:, None] + np.arange(wider)
+                inside = np.where(spots < e[:, None], spots, len(codes))
+                shared = own.holds[c[:, None], known[inside]].sum(1)
+                for x in np.flatnonzero(shared >= SAME_WITH_ANSWER * own.sizes[c]).tolist():
+                    hits, i = found[of[r[x]]], own.ids[c[x]]
+                    if hits.get(i, (0.0,))[0] < 1.0:
+                        share = leaked(own.codes[c[x]], codes[a[x] : e[x]])
+                        if share > hits.get(i, (0.0,))[0]:
+                            hits[i] = share, float(cosine[r[x], c[x] - block])
     return [sorted((i, s, c) for i, (s, c) in f.items()) for f in found]
 
 
