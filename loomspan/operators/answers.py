@@ -9,7 +9,8 @@ from ..functions import answers, validate
 from ..functions.matching import locate, place_generic
 from ..functions.names import generic
 from ..functions.segment import heading_spans
-from .ontology import registered
+from .ontology import all_registered, registered
+from . import schemas as _bundled  # noqa: F401  registers the bundled schemas
 from .rows import flat_map
 
 ENTITY = "struct<id: string, type: string, name: string, attributes: map<string, string>, mentions: array<string>>"
@@ -20,12 +21,13 @@ RESULTS = f"entities array<{ENTITY}>, relations array<{RELATION}>, spans map<str
 
 def results(given: DataFrame, repair: bool = True, key: str = "chunk_id") -> DataFrame:
     """Answers (key, text, raw, fmt, schema) -> key and what each says, or its error. A null answer is an error; an unregistered schema fails the job."""
+    schemas = all_registered()  # as the driver knows them now; executors register none
 
     def make(text, raw, fmt, schema):
         if raw is None:
             r = validate.Result(error="no answer")
         else:
-            r = validate.finish(fmt or "sentences", raw, text or "", registered(schema or "business"), repair)
+            r = validate.finish(fmt or "sentences", raw, text or "", schemas[schema or "business"], repair)
         spans = [(i, [{"start": a, "end": b} for a, b in s]) for i, s in r.spans.items()]
         entity = [e | {"attributes": list(e["attributes"].items())} for e in r.entities]
         relation = [x | {"attributes": list(x["attributes"].items())} for x in r.relations]

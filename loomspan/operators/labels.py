@@ -155,10 +155,11 @@ def apply_corrections(drafts: DataFrame, lines: DataFrame, schema: str = "busine
     from .answers import ENTITY, RELATION
 
     own = lines.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("lines"))
+    own_schema = registered(schema)
 
     def make(text, entities, relations, changes):
         plain = lambda xs: [x | {"attributes": dict(x["attributes"] or {})} for x in xs or []]
-        es, rs, bad, error = corrected(text or "", plain(entities), plain(relations), changes or [], registered(schema))
+        es, rs, bad, error = corrected(text or "", plain(entities), plain(relations), changes or [], own_schema)
         listed = lambda xs: [x | {"attributes": list(x["attributes"].items())} for x in xs]
         yield listed(es), listed(rs), bad, error
 

@@ -160,6 +160,10 @@ def registered(name: str) -> Schema:
     return _registry[name]
 
 
+def all_registered() -> dict[str, Schema]:
+    return dict(_registry)
+
+
 def only_edges(legal: DataFrame) -> DataFrame:
     """src_type, tgt_type and the one edge legal between them."""
     return legal.groupBy("schema", "src_type", "tgt_type").agg(F.count("*").alias("n"), F.min("rel_type").alias("rel_type")).where("n = 1").drop("n")

@@ -36,7 +36,9 @@ def nodes_and_edges(entities: DataFrame, relations: DataFrame, mentions: DataFra
 
 def json_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id and its graph as one JSON object."""
-    n = nodes.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("label", "metadata").alias("v"))))).alias("nodes"))
+    listed = F.array_sort(F.collect_list(F.struct("id", "label", F.to_json("metadata").alias("m"))))
+    entry = lambda x: F.struct(x["id"], F.struct(x["label"].alias("label"), F.from_json(x["m"], "map<string,string>").alias("metadata")))
+    n = nodes.groupBy("doc_id").agg(F.map_from_entries(F.transform(listed, entry)).alias("nodes"))
     e = edges.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "src", "dst", "relation", "directed", F.to_json("metadata").alias("m")))), lambda x: F.struct(x["id"].alias("id"), x["src"].alias("source"), x["dst"].alias("target"), x["relation"].alias("relation"), x["directed"].alias("directed"), x["relation"].alias("label"), F.from_json(x["m"], "map<string,string>").alias("metadata"))).alias("edges"))
     g = n.join(e, "doc_id", "left")
     name = F.col("doc_id").cast("string")
