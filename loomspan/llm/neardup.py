@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, whole
+from .common import cut, release, table, whole
 from .shingles import mixed, shingles
 
 WORDS, SIMILAR = 5, 0.8
@@ -22,8 +22,8 @@ SAMPLES = BANDS * ROWS
 COUNTERS, SLICE, COMMON = 1 << 20, 1 << 14, 0.01
 #: Rows of the tables of random variables.
 RANDOM = 1 << 13
-#: Rounds in which a bucket's members meet one leader, before those still apart meet the others.
-ROUNDS = 3
+#: Whom the members of a bucket meet that are not of its group: the least one, then the one with the least share of its own, then all that can be similar.
+TURNS = ("first", "typical", "all")
 TEXTS = 200
 
 
@@ -160,6 +160,23 @@ def _verified(common):
     return verify
 
 
+def _own_parts(texts: DataFrame, wanted: DataFrame, shared) -> DataFrame:
+    """doc, weight (of all its shingles) and own (of those that no other of the wanted texts has)."""
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                own = shingles(part.column(1).to_pylist(), WORDS)
+                weights = [weigh(x, shared.value) for x in own]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x, _ in own], pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64())), pa.array([float(w.sum()) for w in weights])], names=["doc", "shingles", "weights", "weight"])
+
+    rows = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(weighed, "doc long, shingles array<long>, weights array<double>, weight double"))
+    each = rows.select("doc", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("doc", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
+    lone = each.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min("w").alias("w")).where("doc = other").groupBy("doc").agg(F.sum("w").alias("own"))
+    return rows.select("doc", "weight").join(lone, "doc", "left").select("doc", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
 # --- groups ---
 
 
@@ -190,9 +207,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     copy_of is the least id with the same text. Texts are linked if the weighted Jaccard similarity of their TF-IDF shingles
     of five words is 0.8 or more; group_id is the least id that is connected by links and copies, and kept says that the row has
-    it. Texts that share a band are candidates. In each bucket all meet the least one, then in turn other leaders; those of a
-    bucket that are still in several groups then meet the members of the others, so every candidate pair is either
-    verified or within one group already.
+    it. Texts that share a band are candidates. In each bucket all meet the least one, then the most typical one; those of a
+    bucket that are still in several groups then meet the members of the others, but for pairs that can't be similar: what a
+    text has in no other text limits what it can share. So every candidate pair is verified, within one group already, or
+    proven to be no link.
 
     Texts without words (null ones count as empty) are copies of each other and near nothing else. Rows with a null id are kept,
     in no group. Rows of one id count as one document. Long texts are read whole; an empty table gives no rows. Other
@@ -213,29 +231,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = named.join(first, ["doc_id", "md5"], "left_semi").select("doc_id", "text")
     texts = cut(texts)
     node = members.select(F.col("doc").alias("node")).distinct().withColumn("least", F.col("node"))
-    group, edges, tested = cut(node), None, None
-    for turn in range(ROUNDS + 1):
+    group, edges, tested, own = cut(node), None, None, None
+    for turn in TURNS:
         placed = members.join(group.withColumnRenamed("node", "doc"), "doc")
-        apart = placed.groupBy("key").agg(F.min("least").alias("g0"), F.max("least").alias("g1"), F.min(F.struct((F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc")).alias("order"), F.col("doc"), F.col("least"))).alias("l")).where("g0 < g1")
-        placed = placed.join(apart.select("key", F.col("l")["doc"].alias("leader"), F.col("l")["least"].alias("leader_group")), "key")
-        if turn < ROUNDS:
-            pairs = placed.where("least != leader_group").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-        else:  # all that are apart still, but for those of the leader's group among themselves
-            rest = placed.where("least != leader_group").select("key", F.col("doc").alias("x"), F.col("least").alias("x_group"))
-            pairs = rest.join(placed.select("key", "doc", "least"), "key").where("x_group != least").select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b"))
+        apart = placed.groupBy("key").agg(F.min("least").alias("g0"), F.max("least").alias("g1")).where("g0 < g1")
+        placed = placed.join(apart.select("key"), "key", "left_semi")
+        if turn == "typical":
+            own = cut(_own_parts(texts, placed.select(F.col("doc").alias("doc_id")).distinct(), shared))
+        order = F.col("doc") if turn == "first" else F.col("own") / F.col("weight")
+        placed = placed if own is None else placed.join(own, "doc")
+        leaders = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("doc"), F.col("least"))).alias("l"))
+        placed = placed.join(leaders.select("key", F.col("l")["doc"].alias("leader"), F.col("l")["least"].alias("leader_group")), "key")
+        rest = placed.where("least != leader_group")
+        if turn != "all":
+            pairs = rest.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+        else:
+            other = rest.select("key", F.col("doc").alias("x"), F.col("least").alias("x_group"), F.col("weight").alias("x_weight"), F.col("own").alias("x_own"))
+            both = F.least(F.col("x_weight") - F.col("x_own"), F.col("weight") - F.col("own"))  # the most that they can share
+            able = both * (1 + SIMILAR) >= SIMILAR * (F.col("x_weight") + F.col("weight")) - 1e-6
+            pairs = other.join(placed, (other.key == placed.key) & (F.col("x_group") != F.col("least")) & able).select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b"))
         pairs = pairs.distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.take(1):
-            if turn < ROUNDS:
-                continue
-            break
+            continue
         told = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
         linked = cut(told.select("a", "b", "left", "right").mapInArrow(_verified(shared), "a long, b long"))
         edges = linked if edges is None else edges.unionByName(linked)
         grouped = components(edges)
         edges = grouped.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
         group = cut(node.join(grouped.withColumnRenamed("least", "lower"), "node", "left").select("node", F.coalesce("lower", "least").alias("least")))
+        release(spark)
     of_class = classes.select("md5", "copy_of").join(group, F.col("copy_of") == F.col("node"), "left").select("md5", "copy_of", F.coalesce("least", "copy_of").alias("group_id"))
     out = signed.select("doc_id", "md5").join(of_class, "md5").withColumn("kept", F.col("doc_id") == F.col("group_id"))
     none = F.lit(None).cast("long")
