@@ -57,13 +57,20 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         own[1] += [s for s in dict.fromkeys(list(r.surfaces) if r.surfaces is not None else []) if s not in own[1]]
         own[2] = max(own[2], int(r.chunk))
     state.update(([*have], [v[0] for v in have.values()], [v[1] for v in have.values()], [v[2] for v in have.values()]))
-    state.setTimeoutDuration(3_600_000)
     yield pd.DataFrame({"doc_id": key[0], "number": pd.Series([*have], dtype="int32"), "type": [v[0] for v in have.values()], "surfaces": [v[1] for v in have.values()], "last_seen": pd.Series([v[2] for v in have.values()], dtype="int32")})
 
 
-def known_stream(answers: DataFrame) -> DataFrame:
-    """The same over a stream of answers: each document with new answers gives its known entities anew; a document without any for an hour is forgotten."""
-    return answers.groupBy("doc_id").applyInPandasWithState(_update, KNOWN, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def known_stream(answers: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """The same over a stream of answers: each document with new answers gives its known entities anew. forget_ms: a document without
+    any for that long is forgotten (such a query also runs batches without data); by default none is."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _update(key, batches, state)
+        if forget_ms and state.exists:
+            state.setTimeoutDuration(forget_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return answers.groupBy("doc_id").applyInPandasWithState(update, KNOWN, STATE, "update", timeout)
 
 
 def arriving(docs: DataFrame, delay: str = "10 minutes") -> DataFrame:
