@@ -20,7 +20,7 @@ def stem(path):
 
 def text_files(spark: SparkSession, paths: str | list[str], pattern: str = "*.txt") -> DataFrame:
     """One document a file: doc_id (the file's stem) and text."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(paths)
+    df = spark.read.text(paths, wholetext=True, pathGlobFilter=pattern)
     return df.select(stem(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -44,7 +44,7 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 def pair_scores(spark: SparkSession, path: str) -> DataFrame:
     """{chunk: {"TYPE i j": margin}} -> chunk_id, type, src, tgt, margin."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, map<string, double>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, double>>").alias("m"))
     pairs = raw.select(F.explode("m").alias("chunk_id", "own")).select("chunk_id", F.explode("own").alias("k", "margin")).withColumn("k", F.split("k", " "))
     return pairs.select("chunk_id", F.col("k")[0].alias("type"), F.col("k")[1].cast("int").alias("src"), F.col("k")[2].cast("int").alias("tgt"), "margin")
 
