@@ -176,7 +176,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _by_name(batches, 5, settle)
 
 
-MARKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("name", pa.int64()), ("at", pa.int32()), ("spans", pa.binary())])
+MARKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("name", pa.int64()), ("at", pa.int32()), ("spans", pa.binary())])
 
 
 def _known(texts: pa.Table, found: pa.Table) -> Iterator[tuple]:
@@ -186,7 +186,7 @@ def _known(texts: pa.Table, found: pa.Table) -> Iterator[tuple]:
     order = np.argsort(pair)
     pair, first, varied = pair[order], first[order], varied[order]
     rows = {(i, d): t for i, d, t in zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), texts.column("text").to_pylist(), strict=True)}
-    for part in chunks([(i, d, t.encode()) for (i, d), t in rows.items()]):
+    for part in chunks([(key[0], k, rows[key].encode()) for k, key in enumerate(sorted(rows))]):
         names, positions, of, begin, last, one, two = ranked(part)
         own = _mixed(one) + two
         at = np.minimum(np.searchsorted(pair, own), len(pair) - 1)
@@ -233,6 +233,18 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _by_name(batches, 4, settle)
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (name, doc_id, block, row, at) sorted by name: those in a later document than the name's first."""
+
+    def settle(c: list[np.ndarray]) -> pa.RecordBatch:
+        name, doc, block, row, at = c
+        first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        keep = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(name)]))
+        return pa.RecordBatch.from_arrays([pa.array(block[keep]), pa.array(row[keep]), pa.array(at[keep])], names=["block", "row", "at"])
+
+    return _by_name(batches, 5, settle)
+
+
 def _by_name(batches: Iterator[pa.RecordBatch], columns: int, settle) -> Iterator[pa.RecordBatch]:
     """settle(columns) for runs of rows that hold all rows of each value in the first, sorted column."""
     held: list[np.ndarray] | None = None
@@ -251,7 +263,10 @@ def _by_name(batches: Iterator[pa.RecordBatch], columns: int, settle) -> Iterato
 
 
 def _block_marks(texts: pa.Table, told: pa.Table) -> pa.Table:
-    """Per block: one row for each text with the spans that the longer rank settles, and a row for each 50-byte string that it and the middle ones leave open."""
+    """Per block: one row for each text with the spans that the longer rank settles, and a row for each 50-byte string that it and the middle ones leave open.
+
+    A text is named by its number among the block's, in order of id and digest.
+    """
     out: dict[str, list] = {k: [] for k in MARKS.names}
     found = told.filter(pc.is_valid(told.column("long")))
     if not texts.num_rows or not found.num_rows:
@@ -266,7 +281,7 @@ def _block_marks(texts: pa.Table, told: pa.Table) -> pa.Table:
             mine = done & (of == k)
             spans = np.stack([begin[mine] - names.begin[k], last[mine] + LENGTH - names.begin[k]], 1)
             out["doc_id"].append(part[k][0])
-            out["digest"].append(part[k][1])
+            out["row"].append(part[k][1])
             out["spans"].append(spans.astype("<i4").tobytes())
         if still.any():
             positions, of, begin, last = positions[still], of[still], begin[still], last[still]
@@ -279,13 +294,13 @@ def _block_marks(texts: pa.Table, told: pa.Table) -> pa.Table:
             parts["name"].append(names.at(LENGTH, starts).view(np.int64))
             parts["at"].append((starts - names.begin[of_start]).astype(np.int32))
             parts["doc_id"].append(np.array([r[0] for r in part], np.int64)[of_start])
-            parts["digest"].append(np.array([r[1] for r in part], np.int64)[of_start])
+            parts["row"].append(np.array([r[1] for r in part], np.int32)[of_start])
     n = len(out["doc_id"])
-    settled = pa.table([pa.array([block] * n, pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["digest"], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(out["spans"], pa.binary())], schema=MARKS)
+    settled = pa.table([pa.array([block] * n, pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["row"], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(out["spans"], pa.binary())], schema=MARKS)
     if not parts["name"]:
         return settled
     ids = np.concatenate(parts["doc_id"])
-    left_open = pa.table([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(np.concatenate(parts["digest"])), pa.array(np.concatenate(parts["name"])), pa.array(np.concatenate(parts["at"])), pa.nulls(len(ids), pa.binary())], schema=MARKS)
+    left_open = pa.table([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(np.concatenate(parts["row"])), pa.array(np.concatenate(parts["name"])), pa.array(np.concatenate(parts["at"])), pa.nulls(len(ids), pa.binary())], schema=MARKS)
     return pa.concat_tables([settled, left_open])
 
 
@@ -309,10 +324,12 @@ WHOLE = -1
 
 
 def _block_results(texts: pa.Table, marks: pa.Table, keep_text: bool = False) -> pa.Table:
+    given = list(zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), strict=True))
+    keys = sorted(set(given))
     spans: dict[tuple, list] = {}
-    for i, d, at, packed in zip(*(marks.column(k).to_pylist() for k in ("doc_id", "digest", "at", "spans")), strict=True):
+    for i, d, row, at, packed in zip(*(marks.column(k).to_pylist() for k in ("doc_id", "digest", "row", "at", "spans")), strict=True):
         own = np.frombuffer(packed, "<i4").reshape(-1, 2) if at is None else np.array([[at, at + LENGTH]], np.int32)
-        spans.setdefault((i, d), []).append(own if at != WHOLE else None)
+        spans.setdefault((i, d) if row is None else keys[row], []).append(own if at != WHOLE else None)
     out: list[list] = [[] for _ in RESULT]
     for i, d, t in zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), texts.column("text").to_pylist(), strict=True):
         raw = t.encode()
@@ -354,15 +371,15 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     halves = by_block(found).applyInArrow(_block_halves, "short long, block long, low long, more long")
     middle = halves.repartition("short").sortWithinPartitions("short").mapInArrow(_several, "block long, short long")
     told = found.unionByName(middle, allowMissingColumns=True)
-    marks = stored(by_block(told).applyInArrow(_block_marks, "block long, doc_id long, digest long, name long, at int, spans binary"))  # read twice
+    marks = stored(by_block(told).applyInArrow(_block_marks, "block long, doc_id long, row int, name long, at int, spans binary"))  # read twice
     del halves, middle, told
     release(docs.sparkSession)
-    still = marks.where("name is not null").select("block", "doc_id", "digest", "name", "at")
-    first = still.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("name", "first")
-    open_ = still.join(first, "name").where(F.col("doc_id") > F.col("first")).select("block", "doc_id", "digest", "at", F.lit(None).cast("binary").alias("spans"))
+    still = marks.where("name is not null").select("name", "doc_id", "block", "row", "at")
+    open_ = still.repartition("name").sortWithinPartitions("name", "doc_id").mapInArrow(_later, "block long, row int, at int")
     copies = named.where(F.octet_length("text") >= LENGTH).select(block, "doc_id", "digest", "md5").join(firsts.select("md5", F.col("doc_id").alias("first")), "md5").where(F.col("doc_id") > F.col("first"))
     copies = copies.select("block", "doc_id", "digest", F.lit(WHOLE).alias("at"), F.lit(None).cast("binary").alias("spans"))
-    done = by_block(marks.where("name is null").select(open_.columns).unionByName(open_).unionByName(copies)).applyInArrow(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    settled = marks.where("name is null").select("block", "row", "spans")
+    done = by_block(settled.unionByName(open_, True).unionByName(copies, True)).applyInArrow(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     zero = F.lit(0).cast("long")
     rest = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"))
     out = done.unionByName(rest)
