@@ -2,8 +2,8 @@
 
 A randomised singular value decomposition of the TF-IDF matrix of all passages is computed on the executors: a random test
 matrix goes through the matrix and its transpose in one pass, and the sums (features times PROBES, whatever the input) come
-back. Passages of the documents, in windows as wide as the items, are compared with the items by cosine in that space;
-candidates are checked by their longest common subsequence with the item, and by the item's answer.
+back. All windows of the documents, as wide as the items, are compared with all items: by the words that they share, which limit the
+longest common subsequence, then by that itself and the item's answer. What is found has its cosine in that space beside it.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ FEATURES, PROBES, PASSAGE, SLICE, SIGNS = 1 << 14, 34, 32, 1 << 10, 3
 LEAD, RANK = 4, 28
 #: Items of fewer words are not searched for. So many items are searched for at a time.
 SHORTEST, ITEMS = 5, 5000
-#: The cosine that makes a candidate; the share of an item's words in the common subsequence that decides alone, and with the answer.
-NEAR, SAME, SAME_WITH_ANSWER = 0.66, 0.75, 0.6
+#: The share of an item's words in the common subsequence that decides alone, and with the answer.
+SAME, SAME_WITH_ANSWER = 0.75, 0.6
 #: Each width of window is so many times the last; windows start at every (width / STRIDE)th word.
 WIDER, STRIDE = 1.2, 5
-CHUNK = 1 << 17
+#: Bytes of text, and items, that are compared at a time.
+CHUNK, BLOCK = 1 << 17, 512
 _P = 0x9E3779B97F4A7C15 | 1
 
 #: Bytes to bytes of lower case, and which bytes are part of words: ASCII letters and digits, and all beyond ASCII.
@@ -155,13 +156,24 @@ def decompose(docs: DataFrame) -> np.ndarray:
 
 @dataclass
 class Width:
-    """The items that a width of window is for: ids, word numbers, unit vectors, and which of the known words each holds."""
+    """The items that a width of window is for: ids, word numbers, unit vectors, number of words.
+
+    held has a row for each known word, in which each item that holds it adds 1 to its lane: eight lanes of bytes to a number, or
+    fewer wider ones if windows are long; sums of rows are exact, as no lane of a window's sum flows over. places has, sorted,
+    item times (known words + 1) plus known word for all words of all items; numbers, the word's number among its item's; times
+    and answers, how often the item and its answer hold each of these.
+    """
 
     ids: list[int]
     codes: list[np.ndarray]
     vectors: np.ndarray
     sizes: np.ndarray
-    holds: np.ndarray
+    held: np.ndarray
+    lane: np.dtype
+    places: np.ndarray
+    numbers: np.ndarray
+    times: np.ndarray
+    answers: np.ndarray
 
 
 @dataclass
@@ -186,10 +198,19 @@ class Items:
         out = {}
         for width, found in sorted(by.items()):
             v = np.stack([space[feature(c)].sum(0) for _, c in found])
-            holds = np.zeros((len(found), len(known) + 1), bool)  # the last column is for all other words
+            lane = np.dtype(np.uint8 if 2 * width < 256 else np.uint16 if 2 * width < 65536 else np.uint32)
+            held = np.zeros((len(known) + 1, -(-len(found) // 8) * 8), lane)  # the last row is for all other words
+            places, numbers = [], []
+            times, answers = np.zeros((2, len(found), width + 1), np.int32)
             for k, (_, c) in enumerate(found):
-                holds[k, np.searchsorted(known, c)] = True
-            out[width] = Width([i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array([len(c) for _, c in found]), holds)
+                own, place = np.unique(c, return_inverse=True)
+                rows_of = np.searchsorted(known, own)
+                held[rows_of, k] = 1
+                places.append(k * (len(known) + 1) + rows_of)
+                numbers.append(np.arange(1, len(own) + 1))
+                times[k] = np.bincount(place + 1, minlength=width + 1)
+                answers[k] = np.bincount(place[-answer_size(len(c)) :] + 1, minlength=width + 1)
+            out[width] = Width([i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array([len(c) for _, c in found]), held.view(np.uint64), lane, np.concatenate(places), np.concatenate(numbers), times, answers)
         return cls(space, known, out)
 
 
@@ -206,12 +227,17 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def answer_size(n: int) -> int:
+    """How many words the answer of an item of n words has: its last fifth."""
+    return max(3, n // 5)
+
+
 def leaked(item: np.ndarray, region: np.ndarray) -> float:
     """The share of the item's words in the common subsequence, negative if that is too little; the answer is the item's last fifth."""
     share = common_subsequence(item, region) / len(item)
     if share >= SAME:
         return share
-    answer = item[-max(3, len(item) // 5) :]
+    answer = item[-answer_size(len(item)) :]
     if share >= SAME_WITH_ANSWER and common_subsequence(answer, region) == len(answer):
         return share
     return -share
@@ -220,14 +246,13 @@ def leaked(item: np.ndarray, region: np.ndarray) -> float:
 def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, float]]]:
     """For each text the items in it: (item, share of the common subsequence, cosine).
 
-    Before the common subsequence of a candidate is computed, its words that the item holds at all are counted: they limit it.
+    The common subsequence is computed for every window that can pass: first the window's words that the item holds at all are
+    counted, then each as often as the item holds it, and those of the answer. These counts limit the common subsequence.
     """
     codes, sizes = words(texts)
     found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
     if not len(codes) or not items.widths:
         return [[] for _ in texts]
-    sums = np.zeros((len(codes) + 1, RANK), np.float32)
-    np.cumsum(items.space[feature(codes)], axis=0, out=sums[1:])
     at = np.minimum(np.searchsorted(items.known, codes), len(items.known) - 1)
     known = np.where(items.known[at] == codes, at, len(items.known))
     known = np.r_[known, len(items.known)]
@@ -240,23 +265,30 @@ def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, floa
         starts = np.concatenate(starts).astype(np.int64)
         last = first[of] + sizes[of]
         ends = np.minimum(starts + width, last)
-        v = sums[ends] - sums[starts]
-        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-        for block in range(0, len(own.ids), 500):
-            cosine = v @ own.vectors[block : block + 500].T
-            rows, columns = np.nonzero(cosine >= NEAR)
+        a, e = np.maximum(first[of], starts - width // 4), np.minimum(last, ends + width // 4)
+        lanes = 8 // own.lane.itemsize
+        for block in range(0, len(own.ids), BLOCK):
+            held = own.held[:, block // lanes : (block + BLOCK) // lanes]
+            counts = np.zeros((len(known), held.shape[1]), np.uint64)
+            np.cumsum(held[known[:-1]], axis=0, out=counts[1:])
+            least = np.ceil(SAME_WITH_ANSWER * own.sizes[block : block + BLOCK] - 1e-9).astype(own.lane)
+            rows, columns = np.nonzero((counts[e] - counts[a]).view(own.lane)[:, : len(least)] >= least)
             for k in range(0, len(rows), 20_000):
                 r, c = rows[k : k + 20_000], columns[k : k + 20_000] + block
-                a, e = np.maximum(first[of[r]], starts[r] - width // 4), np.minimum(last[r], ends[r] + width // 4)
-                spots = a[:, None] + np.arange(wider)
-                inside = np.where(spots < e[:, None], spots, len(codes))
-                shared = own.holds[c[:, None], known[inside]].sum(1)
-                for x in np.flatnonzero(shared >= SAME_WITH_ANSWER * own.sizes[c]).tolist():
+                spots = a[r, None] + np.arange(wider)
+                key = c[:, None] * len(items.known) + c[:, None] + known[np.where(spots < e[r, None], spots, len(codes))]
+                near = np.minimum(np.searchsorted(own.places, key), len(own.places) - 1)
+                place = np.where(own.places[near] == key, own.numbers[near], 0)
+                there = np.bincount((np.arange(len(r))[:, None] * (width + 1) + place).ravel(), minlength=len(r) * (width + 1)).reshape(len(r), -1)
+                shared = np.minimum(there, own.times[c]).sum(1)
+                answered = (there >= own.answers[c])[:, 1:].all(1)
+                for x in np.flatnonzero((shared >= SAME * own.sizes[c] - 1e-9) | (shared >= SAME_WITH_ANSWER * own.sizes[c] - 1e-9) & answered).tolist():
                     hits, i = found[of[r[x]]], own.ids[c[x]]
                     if hits.get(i, (0.0,))[0] < 1.0:
-                        share = leaked(own.codes[c[x]], codes[a[x] : e[x]])
+                        share = leaked(own.codes[c[x]], codes[a[r[x]] : e[r[x]]])
                         if share > hits.get(i, (0.0,))[0]:
-                            hits[i] = share, float(cosine[r[x], c[x] - block])
+                            v = items.space[feature(codes[starts[r[x]] : ends[r[x]]])].sum(0)
+                            hits[i] = share, float(v @ own.vectors[c[x]] / max(np.linalg.norm(v), 1e-9))
     return [sorted((i, s, c) for i, (s, c) in f.items()) for f in found]
 
 
