@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -74,25 +75,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, sure: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of mixed characters near a sensitive word that the compressor can't shorten and no sure span overlaps."""
-    found, end = [], 0
+    found, known, starts, ends = [], set(), [], []  # the runs of a candidate's characters are looked at from left to right
     low = text.lower()
     if not any(w in low for w in STEMS):
         return []
     for m in SENSITIVE.finditer(text):
-        if m.start() < end:
-            continue
         for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + NEAR + 200)):
             a, b = c.span()
             if a - m.end() > NEAR:
                 break
-            b = next((m2.end() for m2 in [CANDIDATE.match(text, a)] if m2), b)
-            end = max(end, b)
+            if a in known:
+                continue
+            known.add(a)
+            k = bisect_right(starts, a) - 1
+            if k < 0 or a >= ends[k]:
+                k += 1
+                starts.insert(k, a)
+                ends.insert(k, CANDIDATE.match(text, a).end())
+            b = ends[k]
             own = c[0]
             digits = sum(x.isdigit() for x in own)
             mixed = digits >= 4 and any(x.isalpha() for x in own) or digits and own.lower() != own != own.upper()
             if mixed and not any(s < b and a < e for s, _, e in sure) and novelty(text, a, b) >= NOVEL:
                 found.append((a, 3, b))
-    return sorted(set(found))
+    out, end = [], 0
+    for a, k, b in sorted(found):  # of those that begin within one run the first
+        if a >= end:
+            out.append((a, k, b))
+            end = b
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
