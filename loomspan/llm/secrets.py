@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, sure: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of mixed characters near a sensitive word that the compressor can't shorten and no sure span overlaps."""
+    """Candidates near a sensitive word that the compressor can't shorten and no sure span overlaps."""
     found, known, starts, ends = [], set(), [], []  # the runs of a candidate's characters are looked at from left to right
     low = text.lower()
     if not any(w in low for w in STEMS):
@@ -93,10 +93,7 @@ def novel_spans(text: str, sure: list[tuple[int, int, int]]) -> list[tuple[int,
                 starts.insert(k, a)
                 ends.insert(k, CANDIDATE.match(text, a).end())
             b = ends[k]
-            own = c[0]
-            digits = sum(x.isdigit() for x in own)
-            mixed = digits >= 4 and any(x.isalpha() for x in own) or digits and own.lower() != own != own.upper()
-            if mixed and not any(s < b and a < e for s, _, e in sure) and novelty(text, a, b) >= NOVEL:
+            if not any(s < b and a < e for s, _, e in sure) and novelty(text, a, b) >= NOVEL:
                 found.append((a, 3, b))
     out, end = [], 0
     for a, k, b in sorted(found):  # of those that begin within one run the first

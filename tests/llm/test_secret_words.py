@@ -29,8 +29,7 @@ def test_spans_equal_brute_force():
         all_ = set()
         for m in secrets.SENSITIVE.finditer(text):
             for c in secrets.CANDIDATE.finditer(text, m.end()):
-                digits = sum(x.isdigit() for x in c[0])
-                if c.start() - m.end() <= secrets.NEAR and digits and secrets.novelty(text, *c.span()) >= secrets.NOVEL:
+                if c.start() - m.end() <= secrets.NEAR and secrets.novelty(text, *c.span()) >= secrets.NOVEL:
                     all_.add(c.span())
         out, end = [], 0
         for a, b in sorted(all_):
@@ -40,3 +39,9 @@ def test_spans_equal_brute_force():
         assert secrets.novel_spans(text, []) == out, text
         some += len(out)
     assert some > 100
+
+
+def test_keys_of_one_case_and_without_digits_are_measured():
+    for key in ("QWKZJXVBPMTHRDGC", "kzqxwvjpbtmhrfgd", "KZQ2XWVJPBTMHRFG", "qkzxwvjpbt7mhrfg"):
+        assert secrets.novel_spans(f"my bearer is {key} ok", []) == [(13, 3, 29)], key
+    assert secrets.novel_spans("the secret ingredient is internationalisation yes", []) == []
