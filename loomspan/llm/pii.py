@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -64,9 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 LONGEST, REACH = 14, 3
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-#: A window is a run of tokens that begins and ends at one of these marks, with gaps of few characters between marks.
-MARK = re.compile(r"[0-9@]|\b(?:at|dot)\b|\[at\]|\(at\)", re.I)
-GAP_CHARS = 12
+DIGIT = re.compile(r"[0-9]")
 LABELS = (None, *KINDS)
 # Words that announce a kind.
 CUES = {
@@ -180,7 +179,7 @@ def _example(rng: np.random.Generator) -> tuple[list[str], list[tuple[int, int,
             return s.join(c[x : x + 4] for x in range(0, 16, 4)), "card"
         if k in (7, 8):
             return [f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"][rng.integers(0, 5)], "phone"
-        return [num(int(rng.integers(1, 20))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}.{num(1)}", f"{word()} at {word()} .", f"{num(2)} at {num(2)}", f"{num(5)}-{num(5)}-{num(7)}", num(16), f"{num(4)} {num(4)} {num(4)} {num(4)}"][rng.integers(0, 8)], None
+        return [num(int(rng.integers(1, 20))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}.{num(1)}", f"{word()} at {word()} .", f"{num(2)} at {num(2)}", f"{num(5)}-{num(5)}-{num(7)}", num(16), f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{word()} at {' '.join(word() for _ in range(rng.integers(2, 6)))} dot {word()}"][rng.integers(0, 9)], None
 
     tokens, spans = [], []
     for _ in range(rng.integers(1, 4)):
@@ -218,37 +217,57 @@ def trained(examples: int = 700, rounds: int = 4, seed: int = 7) -> dict[str, fl
     return {f: x - total[f] / (step + 1) for f, x in w.items()}
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """The parts of a text that the field reads: marks less than GAP_CHARS apart, and a few words on either side."""
+def is_mark(token: str) -> bool:
+    """Every candidate segment holds a mark: digits, @, at or dot."""
+    return "0" <= token[0] <= "9" or token == "@" or token.lower() in AT | DOT
+
+
+def windows(tokens: list[str], taken: Callable[[int, int], bool] = lambda i, j: False) -> list[tuple[int, int]]:
+    """The runs of tokens that the field reads: all that a segment with a mark can reach and what its features see, joined where they overlap.
+
+    Marks further apart than a segment is long are in no segment together. Groups of marks are left out that can't make a
+    candidate: too few digits, no @, not both words, or taken.
+    """
+    groups: list[list[int]] = []
+    for k in (k for k, t in enumerate(tokens) if is_mark(t)):
+        if groups and k - groups[-1][-1] < LONGEST:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
     out: list[list[int]] = []
-    for m in MARK.finditer(text):
-        if out and m.start() - out[-1][1] <= GAP_CHARS:
-            out[-1][1] = m.end()
+    for own in groups:
+        low = {tokens[k].lower() for k in own}
+        if sum(len(tokens[k]) for k in own if tokens[k].isdigit()) < 4 and "@" not in low and not (low & AT and low & DOT) or taken(own[0], own[-1]):
+            continue
+        i, j = max(0, own[0] - LONGEST + 1 - REACH), min(len(tokens), own[-1] + LONGEST + 1)
+        if out and i <= out[-1][1]:
+            out[-1][1] = j
         else:
-            out.append([m.start(), m.end()])
-    return [(a, b) for a, b in out]
+            out.append([i, j])
+    return [(i, j) for i, j in out]
 
 
 def field_spans(text: str, weights: dict[str, float], sure: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """What the field finds besides the spans that are sure already."""
+    low = text.lower()
+    if "@" not in text and not ("at" in low and "dot" in low) and len(DIGIT.findall(text)) < 4:
+        return []
     found = []
     sure = sorted(sure)
     starts = [a for a, _ in sure]
-    for a, b in windows(text):
-        low = text[a:b].lower()
-        if sum(c.isdigit() for c in low) < 4 and "@" not in low and not ("at" in low and "dot" in low):
-            continue
-        k = np.searchsorted(starts, a, "right")
-        if any(s <= a and e >= b for s, e in sure[max(0, k - 4) : k]):
-            continue
-        left = max(0, a - 40)
-        spots = [(m.start(), m.end()) for m in TOKEN.finditer(text, left, min(len(text), b + 25))]
-        tokens = [text[x:y] for x, y in spots]
-        for i, j, label in decode(tokens, weights):
-            x, y = spots[i][0], spots[j - 1][1]
-            if (x == left and left > 0) or any(s < y and x < e for s, e in sure):
-                continue
-            found.append((x, KINDS.index(label), y))
+    spots = [m.span() for m in TOKEN.finditer(text)]
+    tokens = [text[x:y] for x, y in spots]
+
+    def taken(i: int, j: int) -> bool:
+        a, b = spots[i][0], spots[j][1]
+        k = bisect_right(starts, a)
+        return any(s <= a and e >= b for s, e in sure[max(0, k - 4) : k])
+
+    for first, last in windows(tokens, taken):
+        for i, j, label in decode(tokens[first:last], weights):
+            x, y = spots[first + i][0], spots[first + j - 1][1]
+            if not any(s < y and x < e for s, e in sure):
+                found.append((x, KINDS.index(label), y))
     out, end = [], 0
     for x, k, y in sorted(set(found)):
         if x >= end:
