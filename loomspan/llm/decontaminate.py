@@ -8,12 +8,14 @@ longest common subsequence, then by that itself and the item's answer. What is f
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from .common import table, whole
 FEATURES, PROBES, PASSAGE, SLICE, SIGNS = 1 << 14, 34, 32, 1 << 10, 3
 #: The LEAD first dimensions, in which all passages of a language are alike, are left out; the RANK next ones are kept.
 LEAD, RANK = 4, 28
-#: Items of fewer words are not searched for. So many items are searched for at a time.
+#: Items of fewer words are searched for by exact match. So many items are searched for at a time.
 SHORTEST, ITEMS = 5, 5000
 #: The share of an item's words in the common subsequence that decides alone, and with the answer.
 SAME, SAME_WITH_ANSWER = 0.75, 0.6
@@ -33,11 +35,16 @@ WIDER, STRIDE = 1.2, 5
 CHUNK, BLOCK = 1 << 17, 512
 _P = 0x9E3779B97F4A7C15 | 1
 
-#: Bytes to bytes of lower case, and which bytes are part of words: ASCII letters and digits, and all beyond ASCII.
+#: Bytes to bytes of lower case, and which bytes are part of words: ASCII letters and digits, and all beyond ASCII but what GAPS says.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
+#: By first byte, the second bytes of Latin-1 characters that are no letters or numbers.
+GAPS = {0xC2: np.setdiff1d(np.arange(0x80, 0xC0), [0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]), 0xC3: np.array([0x97, 0xB7])}
+#: What is no part of a word in any script, and characters of scripts without blanks, with their marks: each is a word.
+GAP_CHARS = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+ALONE = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}--\p{M}]\p{M}*+ー?+)", regex.V1)
 _VALUES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -48,14 +55,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def separated(text: bytes) -> bytes:
+    """The text in lower case with composed characters, blanks for all gaps, and blanks around the characters that are words alone."""
+    return ALONE.sub(r" \1 ", GAP_CHARS.sub(" ", unicodedata.normalize("NFC", text.decode()).lower())).encode()
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of texts as 64-bit numbers, and how many each text has; case is folded for ASCII and Latin-1."""
+    """The words of texts as 64-bit numbers, and how many each text has; case is folded.
+
+    Texts of ASCII and Latin-1 are taken by their bytes, others are separated before, by the same rules.
+    """
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    if (raw > 0xC3).any():
+        texts = [t if t.isascii() or max(t) <= 0xC3 else separated(t) for t in texts]
+        raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     b = LOWER[raw]
     latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
     up = latin[(raw[latin] >= 0x80) & (raw[latin] <= 0x9E) & (raw[latin] != 0x97)]
     b[up] += 32
     inside = IN_WORD[b]
+    for lead, seconds in GAPS.items():
+        k = latin - 1 if lead == 0xC3 else np.flatnonzero(raw[:-1] == lead)
+        k = k[np.isin(raw[k + 1], seconds)]
+        inside[k] = inside[k + 1] = False
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
     n = 1 << (len(b) + 1).bit_length()
@@ -154,6 +176,14 @@ def decompose(docs: DataFrame) -> np.ndarray:
 # --- search ---
 
 
+def keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n words."""
+    out = np.zeros(len(codes) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(_P) + codes[k : k + len(out)]
+    return out
+
+
 @dataclass
 class Width:
     """The items that a width of window is for: ids, word numbers, unit vectors, number of words.
@@ -178,15 +208,18 @@ class Width:
 
 @dataclass
 class Items:
-    """Benchmark items by width of window; known are the words of all of them, sorted."""
+    """Benchmark items by width of window; known are the words of all of them, sorted. short has, by their number of words, the
+    shorter ones: ids and keys, by key, and unit vectors."""
 
     space: np.ndarray
     known: np.ndarray
     widths: dict[int, Width]
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], space: np.ndarray) -> Items:
         by: dict[int, list] = {}
+        brief: dict[int, list] = {}
         for i, text in rows:
             codes, _ = words([(text or "").encode()])
             if len(codes) >= SHORTEST:
@@ -194,6 +227,9 @@ class Items:
                 while width < len(codes):
                     width = int(np.ceil(width * WIDER))
                 by.setdefault(width, []).append((i, codes))
+            elif len(codes):
+                v = space[feature(codes)].sum(0)
+                brief.setdefault(len(codes), []).append((int(keys(codes, len(codes))[0]), i, v / max(np.linalg.norm(v), 1e-9)))
         known = np.unique(np.concatenate([c for found in by.values() for _, c in found] or [np.zeros(0, np.uint64)]))
         out = {}
         for width, found in sorted(by.items()):
@@ -211,7 +247,11 @@ class Items:
                 times[k] = np.bincount(place + 1, minlength=width + 1)
                 answers[k] = np.bincount(place[-answer_size(len(c)) :] + 1, minlength=width + 1)
             out[width] = Width([i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array([len(c) for _, c in found]), held.view(np.uint64), lane, np.concatenate(places), np.concatenate(numbers), times, answers)
-        return cls(space, known, out)
+        short = {}
+        for n, found in brief.items():
+            found.sort(key=lambda x: x[:2])
+            short[n] = np.array([i for _, i, _ in found]), np.array([k for k, _, _ in found], np.uint64), np.stack([v for *_, v in found])
+        return cls(space, known, out, short)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -251,8 +291,22 @@ def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, floa
     """
     codes, sizes = words(texts)
     found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-    if not len(codes) or not items.widths:
+    if not len(codes):
         return [[] for _ in texts]
+    text_of = np.repeat(np.arange(len(texts)), sizes)
+    for n, (ids, wanted, vectors) in items.short.items():
+        if len(codes) < n:
+            continue
+        own = keys(codes, n)
+        begin, end = np.searchsorted(wanted, own, "left"), np.searchsorted(wanted, own, "right")
+        at = np.flatnonzero((begin < end) & (text_of[: len(own)] == text_of[n - 1 :]))
+        _, once = np.unique(text_of[at] * len(wanted) + begin[at], return_index=True)
+        for p in at[once].tolist():
+            v = items.space[feature(codes[p : p + n])].sum(0)
+            for x in range(begin[p], end[p]):
+                found[text_of[p]][int(ids[x])] = 1.0, float(v @ vectors[x] / max(np.linalg.norm(v), 1e-9))
+    if not items.widths:
+        return [sorted((i, s, c) for i, (s, c) in f.items()) for f in found]
     at = np.minimum(np.searchsorted(items.known, codes), len(items.known) - 1)
     known = np.where(items.known[at] == codes, at, len(items.known))
     known = np.r_[known, len(items.known)]
@@ -308,7 +362,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, ascending), and share and cosine of the best one, for every row of docs (doc_id, text).
 
     An item (benchmark: item_id, text) is in a text if a passage near it holds SAME of its words in their order, or
-    SAME_WITH_ANSWER of them and all of its last fifth. Items of fewer than SHORTEST words or with a null id aren't searched for. Null
+    SAME_WITH_ANSWER of them and all of its last fifth; one of fewer than SHORTEST words, if all of them stand there in a row.
+    Characters of scripts without blanks are words. Items without words or with a null id aren't searched for. Null
     texts count as empty: not contaminated. Repeated rows are judged each, but put together by id where there are more than
     ITEMS items; empty tables give no rows or no contamination. Long texts are read whole; other columns are ignored. All
     items go against all rows, ITEMS of them at a time.
