@@ -368,11 +368,13 @@ def nearest_earlier_candidate(spark, sf_dir):
 def _chunk_graph(spark, sf_dir):
     """Chunk entities and mentions by rule: each capitalised word of a chunk is an entity, whose type its hash names."""
     c = segmentation.chunks(table(spark, sf_dir, "documents"))
-    tokens = c.select("doc_id", "chunk", "text", F.col("start").alias("_at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{5,}"), F.lit(0)))).alias("name"))
+    tokens = c.select("doc_id", "chunk", "text", F.col("start").alias("_at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b" + MENTION), F.lit(0)))).alias("name"))
+    before = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?s)^(.*?)\b"), F.col("name"), F.lit("(?![a-z])")), F.lit(1))
+    tokens = tokens.withColumn("_in", F.length(before))  # a short name may also begin a longer one
     kind = F.element_at(F.array(*map(F.lit, ("Person", "Org", "Place"))), (F.pmod(judging.hashed(F.col("name")), F.lit(3)) + 1).cast("int"))
-    order = F.row_number().over(W.partitionBy("doc_id", "chunk").orderBy(F.expr("instr(text, name)"), "name")) - 1
+    order = F.row_number().over(W.partitionBy("doc_id", "chunk").orderBy("_in", "name")) - 1
     e = tokens.withColumn("ord", order).where("ord < 40").withColumn("type", kind).withColumn("ent_id", F.concat(F.lit("e"), F.col("ord") + 1))
-    mentions = e.select("doc_id", "chunk", "ent_id", F.lit(0).alias("ord"), F.col("name").alias("mention"), (F.col("_at") + F.expr("instr(text, name)") - 1).cast("int").alias("at"))
+    mentions = e.select("doc_id", "chunk", "ent_id", F.lit(0).alias("ord"), F.col("name").alias("mention"), (F.col("_at") + F.col("_in")).cast("int").alias("at"))
     entities = e.select("doc_id", "chunk", "ord", "ent_id", "type", "name", F.create_map().cast("map<string,string>").alias("attributes"))
     return entities, mentions
 
