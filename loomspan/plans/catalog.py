@@ -526,9 +526,14 @@ def alias_components(spark, sf_dir):
 
 @query("decoy_claims")
 def decoy_claims(spark, sf_dir):
-    pool = judging.pooled(structured_edges(spark, sf_dir).select(F.lit("all").alias("doc_id"), "src", "type", "tgt", F.lit("a").alias("source")).where("type in ('LOCATED_IN', 'HEADQUARTERED_IN')"))
-    n = structured_edges(spark, sf_dir).select(F.lit("all").alias("doc_id"), F.col("tgt").alias("name"), F.col("tgt_type").alias("type")).where("type = 'Place'").distinct()
-    return judging.decoys(pool, BUSINESS.symmetric(), ontology.neighbour_types(BUSINESS.dim_legal(spark)), n, 2)
+    """Each region is a document: its nations, and the organisations that have their seat in one of these."""
+    e = structured_edges(spark, sf_dir)
+    located = e.where("type = 'LOCATED_IN'").select(F.col("tgt").alias("doc_id"), "src", "type", "tgt")
+    region = located.select("doc_id", F.col("src").alias("tgt"))
+    seated = e.where("type = 'HEADQUARTERED_IN'").join(region, "tgt").select("doc_id", "src", "type", "tgt")
+    pool = judging.pooled(located.unionByName(seated).withColumn("source", F.lit("a")))
+    places = region.select("doc_id", F.col("tgt").alias("name")).unionByName(region.select("doc_id", F.col("doc_id").alias("name"))).distinct()
+    return judging.decoys(pool, BUSINESS.symmetric(), ontology.neighbour_types(BUSINESS.dim_legal(spark)), places.withColumn("type", F.lit("Place")), 2)
 
 
 # --- label data, carried entities ---
