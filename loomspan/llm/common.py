@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 #: The same white space as a set of characters.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Catalyst gives this many bytes or more to what it knows no size of.
+UNKNOWN = 1 << 60
+#: Rows of a table that may be broadcast: of ids, 3 MB.
+SMALL = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +59,25 @@ def whole(text: str = "text") -> Column:
 
 
 def scaled(df: DataFrame, mb: int = 32, least: int = 8) -> int:
-    """A number of partitions that follows the size of the scanned files: one for each mb of them."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except ValueError:
-        size = 0
-    return max(least, min(200_000, size // (mb << 20)))
+    """A number of partitions that follows the size of what a plan reads: one for each mb of its scans, added up and never multiplied
+    as estimates of joins are. Where a scan has no known size, as a table made in memory, it is the session's number of shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    if any(x >= UNKNOWN for x in sizes):
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(200_000, sum(sizes) // (mb << 20)))
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """The table with a hint to broadcast it if it is counted to have so many rows at most; else as it is, for a join by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def null_safe(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def fingerprint(*columns: Column) -> Column:
+    """128 bits of several values, in which null differs from every value."""
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat_ws("\x01", *(F.md5(p) for p in parts)))

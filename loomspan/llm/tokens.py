@@ -51,8 +51,13 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+def block_bucket(block: int, buckets: int) -> int:
+    """A block's number has its task's in the upper half; both count, so that all buckets get as many."""
+    return ((block >> 32) * 1_000_003 + (block & 0xFFFFFFFF)) % buckets
+
+
 def _pack(block: int, texts: list[str], buckets: int, path: str) -> Iterator[tuple]:
-    """(block, bucket, pre-tokens, how many documents each is in, the documents' places in the block, frequencies); bucket -1 has the counts known at once."""
+    """(block, bucket, pre-tokens, how many documents each is in, the documents' places in the block, frequencies). A row without pre-tokens has the counts known at once; such rows are dealt to all buckets by their block's number."""
     _, pattern, special, single = _tokenizer(path)
     known = np.zeros(len(texts), np.int64)
     found, of = [], []
@@ -81,13 +86,12 @@ def _pack(block: int, texts: list[str], buckets: int, path: str) -> Iterator[tup
             first = np.flatnonzero(np.r_[True, np.diff(codes[own]) != 0])
             widths = np.diff(np.r_[first, len(codes[own])])
             yield block, b, list(names[codes[own][first]]), widths.astype("<u2").tobytes(), docs[own].astype("<u2").tobytes(), times[own].astype("<u4").tobytes()
-    yield block, -1, [], b"", np.arange(len(texts)).astype("<u2").tobytes(), known.astype("<i8").tobytes()
+    yield block, block_bucket(block, buckets), None, b"", np.arange(len(texts)).astype("<u2").tobytes(), known.astype("<i8").tobytes()
 
 
 PACKED = "block long, bucket int, names array<string>, widths binary, docs binary, times binary"
 
 
-
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than limit tokens) for every row of docs (doc_id, text).
 
@@ -129,9 +133,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
         for batch in batches:
             blocks, places, sums = [], [], []
             names_of, widths_of, docs_of, times_of = (batch.column(k) for k in (2, 3, 4, 5))
-            for k, (block, bucket) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for k, block in enumerate(batch.column(0).to_pylist()):
                 at, times = np.frombuffer(docs_of[k].as_py(), "<u2").astype(np.int64), times_of[k].as_py()
-                if bucket < 0:
+                if not names_of[k].is_valid:
                     total = np.frombuffer(times, "<i8")
                 else:
                     names = names_of[k].as_py()
