@@ -7,23 +7,25 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, release, table, whole
+from .common import cut, release, small, table, whole
 from .shingles import mixed, shingles
 
 WORDS, SIMILAR = 5, 0.8
 #: BANDS keys of ROWS samples each: texts of similarity 0.8 share one with probability 0.9998.
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Document frequencies are counted in so many hashed counters. Only those of at least COMMON of all documents matter: below, a
-#: shingle weighs 1, at all documents 1 / 2. So at most (mean length / COMMON) of them go to the executors, whatever the input.
-COUNTERS, SLICE, COMMON = 1 << 20, 1 << 14, 0.01
+#: Document frequencies are counted in so many hashed counters, which come to the driver and go to all executors whatever the input.
+COUNTERS, SLICE = 1 << 20, 1 << 14
+#: Steps that the inverse document frequency is rounded to, between 1/2 and 1.
+LEVELS = 16
 #: Rows of the tables of random variables.
-RANDOM = 1 << 13
-#: Whom the members of a bucket meet that are not of its group: the least one, then the one with the least share of its own, then all that can be similar.
-TURNS = ("first", "typical", "all")
+RANDOM = 1 << 12
+#: Texts with one of their rarest shingles in common meet each other if they are so many at most; else LEADERS of them meet all, round by round.
+FEW, LEADERS = 32, 16
 TEXTS = 200
 
 
@@ -35,50 +37,53 @@ def counter(x: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
+    total, n = np.zeros(COUNTERS, np.int64), 0
     for batch in batches:
         for k in range(0, batch.num_rows, 5 * TEXTS):
             own = shingles(batch.column(0).slice(k, 5 * TEXTS).to_pylist(), WORDS)
             total += np.bincount(np.concatenate([counter(s) for s, _ in own]), minlength=COUNTERS)
-    for k in range(0, COUNTERS, SLICE):
-        if total[k : k + SLICE].any():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + SLICE].astype("<u4").tobytes()])], names=["slice", "counts"])
+            n += sum(len(s) > 0 for s, _ in own)
+    for k in range(0, COUNTERS if n else 0, SLICE):
+        counts = total[k : k + SLICE].astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if not k else 0]), pa.array([counts])], names=["slice", "n", "counts"])
 
 
 def _sum(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, at = np.zeros(SLICE, np.int64), 0
+    total, n, at = np.zeros(SLICE, np.int64), 0, 0
     for batch in groups:
         for k in range(batch.num_rows):
-            at = batch.column(0)[k].as_py()
-            total += np.frombuffer(batch.column(1)[k].as_py(), "<u4")
-    own = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(own + at), pa.array(total[own])], names=["counter", "df"])
+            at, n = batch.column(0)[k].as_py(), n + batch.column(1)[k].as_py()
+            total += np.frombuffer(batch.column(2)[k].as_py(), "<u4")
+    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n]), pa.array([total.astype("<i8").tobytes()])], names=["slice", "n", "counts"])
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The counters of shingles in COMMON of all texts or more, and their weights. A counter also holds what else falls into it: a few ten-thousandths of the texts."""
-    n = docs.count()
+def idf_levels(counts: np.ndarray, n: int) -> np.ndarray:
+    """For each counter, LEVELS * ln(n / df) / ln n, rounded: LEVELS for a shingle of one text, 0 for one of all n.
+
+    df is what the counter holds beyond the median of all counters, which is what other shingles have put there.
+    """
+    df = np.clip(counts - np.median(counts), 1, max(n, 1))
+    return np.rint(LEVELS * np.log(max(n, 1) / df) / np.log(max(n, 2))).astype(np.uint8) if n > 1 else np.full(len(counts), LEVELS, np.uint8)
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """The levels of all counters, over all texts."""
     texts = docs.select(whole().alias("text"))
-    counts = texts.mapInArrow(_count, "slice long, counts binary").groupBy("slice").applyInArrow(_sum, "counter long, df long")
-    rows = counts.where(F.col("df") >= F.lit(max(2.0, COMMON * n))).orderBy("counter").collect()  # bounded, see COMMON
-    df = np.array([r["df"] for r in rows], np.float64)
-    return np.array([r["counter"] for r in rows], np.int64), 0.5 + 0.5 * np.clip(np.log(max(n, 1) / np.maximum(df, 1)) / np.log(1 / COMMON), 0, 1)
+    parts = texts.mapInArrow(_count, "slice long, n long, counts binary").groupBy("slice").applyInArrow(_sum, "slice long, n long, counts binary")
+    counts, n = np.zeros(COUNTERS, np.int64), 0
+    for r in parts.collect():  # COUNTERS / SLICE rows
+        counts[r["slice"] : r["slice"] + SLICE], n = np.frombuffer(r["counts"], "<i8"), n + r["n"]
+    return idf_levels(counts, n)
 
 
-def weigh(own: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Term frequency times inverse document frequency of each of a text's shingles."""
-    at, idf = common
-    w = own[1].astype(np.float64)
-    if len(at) and len(w):
-        c = counter(own[0])
-        k = np.minimum(np.searchsorted(at, c), len(at) - 1)
-        w = w * np.where(at[k] == c, idf[k], 1.0)
-    return w
+def weigh(own: tuple[np.ndarray, np.ndarray], levels: np.ndarray) -> np.ndarray:
+    """Term frequency times inverse document frequency of each of a text's shingles; the latter is (1 + ln(n / df) / ln n) / 2."""
+    return own[1] * (0.5 + levels[counter(own[0])] / (2.0 * LEVELS))
 
 
-def similarity(a, b, common) -> float:
+def similarity(a, b, levels) -> float:
     """Weighted Jaccard: the sum of the lesser weights over the sum of the greater ones."""
-    wa, wb = weigh(a, common), weigh(b, common)
+    wa, wb = weigh(a, levels), weigh(b, levels)
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(wa[i], wb[j]).sum()
     rest = wa.sum() + wb.sum() - both
@@ -90,91 +95,93 @@ def similarity(a, b, common) -> float:
 
 @cache
 def _random() -> tuple[np.ndarray, ...]:
-    """r and beta of a shingle come from one row, ln c from another: gamma(2, 1), uniform, and the logarithm of gamma(2, 1)."""
+    """r and beta of a shingle come from one row, ln c from another: gamma(2, 1), uniform, and the logarithm of gamma(2, 1). The
+    last table has r (t - beta + 1) for each level and row, for shingles that occur once in a text."""
     rng = np.random.default_rng(5)
     r = rng.gamma(2.0, 1.0, (RANDOM, SAMPLES)).astype(np.float32)
     beta = rng.random((RANDOM, SAMPLES)).astype(np.float32)
     ln_c = np.log(rng.gamma(2.0, 1.0, (RANDOM, SAMPLES))).astype(np.float32)
-    return r, beta, ln_c, r * (beta - 1)
+    once = [r * (_steps(np.full(1, 0.5 + k / (2.0 * LEVELS)), r, beta) - beta + 1) for k in range(LEVELS + 1)]
+    return r, beta, ln_c, np.concatenate(once)
+
 
+def _steps(weights: np.ndarray, r: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """t = floor(ln w / r + beta)"""
+    return np.floor(np.log(weights).astype(np.float32)[:, None] / r + beta)
 
-def bands(own: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+
+def bands(own: tuple[np.ndarray, np.ndarray], levels: np.ndarray) -> np.ndarray:
     """The band keys of a text. For each sample the shingle of least ln a = ln c - r (t - beta + 1) is taken, with t = floor(ln w / r + beta); two texts take the same (shingle, t) with the probability of their weighted similarity."""
-    x = own[0]
-    r, beta, ln_c, unit = _random()
-    best, taken, level = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
+    x, times = own
+    r, beta, ln_c, once = _random()
+    weights, level = weigh(own, levels), levels[counter(x)].astype(np.int64)
+    at, row_c = (x & np.uint64(RANDOM - 1)).astype(np.int64), (x >> np.uint64(16) & np.uint64(RANDOM - 1)).astype(np.int64)
+    best, taken = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
     for start in range(0, len(x), 4096):
-        part = x[start : start + 4096]
-        i, j = (part & np.uint64(RANDOM - 1)).astype(np.int64), (part >> np.uint64(16) & np.uint64(RANDOM - 1)).astype(np.int64)
-        ln_a = ln_c[j] + unit[i]  # t is 0 where the weight is 1
-        other = np.flatnonzero(weights[start : start + 4096] != 1.0)
-        t = None
-        if len(other):
-            ri, bi = r[i[other]], beta[i[other]]
-            t = np.floor(np.log(weights[start + other]).astype(np.float32)[:, None] / ri + bi)
-            ln_a[other] = ln_c[j[other]] - ri * (t - bi + 1)
+        part = slice(start, start + 4096)
+        ln_a = ln_c[row_c[part]] - once[level[part] * RANDOM + at[part]]
+        many = start + np.flatnonzero(times[part] > 1)
+        if len(many):
+            ri, bi = r[at[many]], beta[at[many]]
+            ln_a[many - start] = ln_c[row_c[many]] - ri * (_steps(weights[many], ri, bi) - bi + 1)
         k = ln_a.argmin(0)
         value = ln_a[k, np.arange(SAMPLES)]
         new = value < best
-        best = np.where(new, value, best)
-        taken = np.where(new, start + k, taken)
-        if t is None:
-            level = np.where(new, 0, level)
-        else:
-            of = np.searchsorted(other, k)
-            hit = (of < len(other)) & (other[np.minimum(of, len(other) - 1)] == k)
-            own_t = np.where(hit, t[np.minimum(of, len(other) - 1), np.arange(SAMPLES)], 0)
-            level = np.where(new, own_t.astype(np.int64), level)
-    sample = mixed(x[taken] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
+        best, taken = np.where(new, value, best), np.where(new, start + k, taken)
+    own_r, own_beta = r[at[taken], np.arange(SAMPLES)], beta[at[taken], np.arange(SAMPLES)]
+    t = np.floor(np.log(weights[taken]).astype(np.float32) / own_r + own_beta).astype(np.int64)
+    sample = mixed(x[taken] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for c in range(ROWS):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sample[:, c])
     return key.view(np.int64)
 
 
-def _signatures(common):
+def _signatures(shared):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = common.value
+        levels = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(k, TEXTS)
-                keys = [bands(own, weigh(own, at)) if len(own[0]) else [] for own in shingles(part.column(2).to_pylist(), WORDS)]
+                keys = [bands(own, levels) if len(own[0]) else [] for own in shingles(part.column(2).to_pylist(), WORDS)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "md5", "keys"])
 
     return sign
 
 
-def _verified(common):
+def _verified(shared):
+    def of(ids: pa.Array, texts: pa.Array) -> list:
+        """The shingles of texts of which many may be of one id."""
+        first: dict = {}
+        for k, i in enumerate(ids):
+            first.setdefault(i, k)
+        found = dict(zip(first, shingles(texts.take(pa.array(list(first.values()))).to_pylist(), WORDS), strict=True))
+        return [found[i] for i in ids]
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = common.value
+        levels = shared.value
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2), batch.column(3)
-            ok = []
+            keep = []
             for k in range(0, len(a), TEXTS):
-                pairs = zip(shingles(left.slice(k, TEXTS).to_pylist(), WORDS), shingles(right.slice(k, TEXTS).to_pylist(), WORDS), strict=True)
-                ok += [similarity(x, y, at) >= SIMILAR for x, y in pairs]
-            keep = [k for k, x in enumerate(ok) if x]
+                left, right = (of(ids[k : k + TEXTS], batch.column(c).slice(k, TEXTS)) for c, ids in ((2, a), (3, b)))
+                keep += [k + n for n, (x, y) in enumerate(zip(left, right, strict=True)) if similarity(x, y, levels) >= SIMILAR]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
     return verify
 
 
-def _own_parts(texts: DataFrame, wanted: DataFrame, shared) -> DataFrame:
-    """doc, weight (of all its shingles) and own (of those that no other of the wanted texts has)."""
-
+def _weighed(shared):
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(k, TEXTS)
                 own = shingles(part.column(1).to_pylist(), WORDS)
                 weights = [weigh(x, shared.value) for x in own]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x, _ in own], pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64())), pa.array([float(w.sum()) for w in weights])], names=["doc", "shingles", "weights", "weight"])
+                columns = [pa.array([x.view(np.int64) for x, _ in own], pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64())), pa.array([float(w.sum()) for w in weights])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc", "shingles", "weights", "weight"])
 
-    rows = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(weighed, "doc long, shingles array<long>, weights array<double>, weight double"))
-    each = rows.select("doc", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("doc", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
-    lone = each.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min("w").alias("w")).where("doc = other").groupBy("doc").agg(F.sum("w").alias("own"))
-    return rows.select("doc", "weight").join(lone, "doc", "left").select("doc", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
+    return weighed
 
 
 # --- groups ---
@@ -202,79 +209,142 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
 
 
+def _open(members: DataFrame, group: DataFrame) -> DataFrame:
+    """key, doc, least: the members of buckets that are still in several groups."""
+    placed = members.join(group.withColumnRenamed("node", "doc"), "doc")
+    apart = placed.groupBy("key").agg(F.min("least").alias("g0"), F.max("least").alias("g1")).where("g0 < g1").select("key")
+    return placed.join(apart, "key", "left_semi")
+
+
+def _with_leader(placed: DataFrame, order: Column) -> DataFrame:
+    """a, b: each member of a bucket with the one that comes first, where they are in different groups."""
+    leaders = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "doc", "least")).alias("l"))
+    met = placed.join(leaders.select("key", F.col("l")["doc"].alias("leader"), F.col("l")["least"].alias("leader_group")), "key").where("least != leader_group")
+    return met.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+
+
+def _rarest(weighed: DataFrame, group: DataFrame) -> DataFrame:
+    """shingle, doc, least, weight, n: of texts, the rarest shingles that any text of another group similar to them must share one of.
+
+    Similar texts share SIMILAR of the greater weight at least. So a text is left out if the shingles that its group alone has
+    weigh over 1 - SIMILAR of it. Of the others, shingles are taken from the rarest on until these and the group's own
+    weigh over 1 - SIMILAR: two similar texts have a common one among those. n says how many texts hold a shingle.
+    """
+    each = weighed.select("doc", "weight", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("doc", "weight", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
+    each = each.join(group.withColumnRenamed("node", "doc"), "doc")
+    held = each.groupBy("shingle").agg(F.min("least").alias("g0"), F.max("least").alias("g1"), F.count("*").alias("n")).where("g0 < g1").select("shingle", "n")
+    apart = cut(each.join(held, "shingle"))
+    may = apart.groupBy("doc").agg(F.sum("w").alias("may"))
+    apart = apart.join(may, "doc").where(F.col("may") >= SIMILAR * F.col("weight") - 1e-9)
+    before = F.coalesce(F.sum("w").over(W.partitionBy("doc").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return apart.withColumn("before", before).where(F.col("weight") - F.col("may") + F.col("before") <= (1 - SIMILAR) * F.col("weight") + 1e-9).select("shingle", "doc", "least", "weight")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, md5, copy_of, group_id, kept for every row of docs (doc_id, text): one row for each, and no pairs.
 
     copy_of is the least id with the same text. Texts are linked if the weighted Jaccard similarity of their TF-IDF shingles
     of five words is 0.8 or more; group_id is the least id that is connected by links and copies, and kept says that the row has
-    it. Texts that share a band are candidates. In each bucket all meet the least one, then the most typical one; those of a
-    bucket that are still in several groups then meet the members of the others, but for pairs that can't be similar: what a
-    text has in no other text limits what it can share. So every candidate pair is verified, within one group already, or
-    proven to be no link.
+    it. Texts that share a band are candidates. In each bucket all meet the least one, then the most typical one. What is then
+    still in several groups is told apart by rare shingles: of texts that share a band, those of different groups meet that
+    also share one of their rarest shingles, without which they can't be similar. Where very many share a rare shingle, a few of
+    them meet all others, and then go, until one group is left. So every candidate pair is verified, within one group
+    already, or proven to be no link.
 
     Texts without words (null ones count as empty) are copies of each other and near nothing else. Rows with a null id are kept,
-    in no group. Rows of one id count as one document. Long texts are read whole; an empty table gives no rows. Other
-    columns are ignored.
+    in no group. Rows of one id count as one document, with the text of least md5 if they differ. Ties go to the least id. Long texts are read whole; an empty table
+    gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text")).withColumn("md5", F.md5("text"))
     named = rows.where("doc_id is not null")
-    shared = spark.sparkContext.broadcast(common_shingles(docs))
-    signed = named.select("doc_id", "md5", "text").mapInArrow(_signatures(shared), "doc_id long, md5 string, keys array<long>")
-    signed = cut(signed)
+    shared = spark.sparkContext.broadcast(frequencies(docs))
+    signed = cut(named.select("doc_id", "md5", "text").mapInArrow(_signatures(shared), "doc_id long, md5 string, keys array<long>"))
     classes = cut(signed.groupBy("md5").agg(F.min("doc_id").alias("copy_of"), F.first("keys").alias("keys")))
-    members = classes.select(F.explode("keys").alias("key"), F.col("copy_of").alias("doc")).distinct()
-    shared_keys = members.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    members = cut(members.join(shared_keys, "key"))
-    involved = members.select(F.col("doc").alias("doc_id")).distinct()
-    first = classes.select(F.col("copy_of").alias("doc_id"), "md5").join(involved, "doc_id")
-    texts = named.join(first, ["doc_id", "md5"], "left_semi").select("doc_id", "text")
-    texts = cut(texts)
-    node = members.select(F.col("doc").alias("node")).distinct().withColumn("least", F.col("node"))
-    group, edges, tested, own = cut(node), None, None, None
-    for turn in TURNS:
-        placed = members.join(group.withColumnRenamed("node", "doc"), "doc")
-        apart = placed.groupBy("key").agg(F.min("least").alias("g0"), F.max("least").alias("g1")).where("g0 < g1")
-        placed = placed.join(apart.select("key"), "key", "left_semi")
-        if turn == "typical":
-            own = cut(_own_parts(texts, placed.select(F.col("doc").alias("doc_id")).distinct(), shared))
-        order = F.col("doc") if turn == "first" else F.col("own") / F.col("weight")
-        placed = placed if own is None else placed.join(own, "doc")
-        leaders = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("doc"), F.col("least"))).alias("l"))
-        placed = placed.join(leaders.select("key", F.col("l")["doc"].alias("leader"), F.col("l")["least"].alias("leader_group")), "key")
-        rest = placed.where("least != leader_group")
-        if turn != "all":
-            pairs = rest.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-        else:
-            other = rest.select("key", F.col("doc").alias("x"), F.col("least").alias("x_group"), F.col("weight").alias("x_weight"), F.col("own").alias("x_own"))
-            both = F.least(F.col("x_weight") - F.col("x_own"), F.col("weight") - F.col("own"))  # the most that they can share
-            able = both * (1 + SIMILAR) >= SIMILAR * (F.col("x_weight") + F.col("weight")) - 1e-6
-            pairs = other.join(placed, (other.key == placed.key) & (F.col("x_group") != F.col("least")) & able).select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b"))
-        pairs = pairs.distinct()
+    members = classes.select(F.explode("keys").alias("key"), F.col("copy_of").alias("doc"))
+    several = members.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
+    members = cut(members.join(several, "key").distinct())
+    node = cut(members.select(F.col("doc").alias("node")).distinct().withColumn("least", F.col("node")))
+    first = classes.groupBy(F.col("copy_of").alias("doc_id")).agg(F.min("md5").alias("md5")).join(node.select(F.col("node").alias("doc_id")), "doc_id")
+    texts = cut(named.join(first, ["doc_id", "md5"], "left_semi").dropDuplicates(["doc_id", "md5"]).select("doc_id", "text"))
+    state = {"group": node, "edges": None, "tested": None}
+
+    def meet(pairs: DataFrame) -> bool:
+        """Verifies the pairs (a, b) that weren't before, and joins the groups of those that are similar."""
+        tested, edges = state["tested"], state["edges"]
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.take(1):
-            continue
+            return False
+        state["tested"] = pairs if tested is None else tested.unionByName(pairs)
         told = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
         linked = cut(told.select("a", "b", "left", "right").mapInArrow(_verified(shared), "a long, b long"))
-        edges = linked if edges is None else edges.unionByName(linked)
-        grouped = components(edges)
-        edges = grouped.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
-        group = cut(node.join(grouped.withColumnRenamed("least", "lower"), "node", "left").select("node", F.coalesce("lower", "least").alias("least")))
+        if not linked.take(1):
+            return False
+        grouped = components(linked if edges is None else edges.unionByName(linked))
+        state["edges"] = grouped.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
+        state["group"] = cut(node.join(grouped.withColumnRenamed("least", "lower"), "node", "left").select("node", F.coalesce("lower", "least").alias("least")))
         release(spark)
-    of_class = classes.select("md5", "copy_of").join(group, F.col("copy_of") == F.col("node"), "left").select("md5", "copy_of", F.coalesce("least", "copy_of").alias("group_id"))
-    out = signed.select("doc_id", "md5").join(of_class, "md5").withColumn("kept", F.col("doc_id") == F.col("group_id"))
+        return True
+
+    meet(_with_leader(_open(members, node), F.col("doc")))
+    placed = cut(_open(members, state["group"]))
+    if placed.take(1):
+        wanted = placed.select(F.col("doc").alias("doc_id")).distinct()
+        weighed = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_weighed(shared), "doc long, shingles array<long>, weights array<double>, weight double"))
+        lone = weighed.select("doc", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).groupBy("s.shingles").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min("s.weights").alias("w"))
+        lone = lone.where("doc = other").groupBy("doc").agg(F.sum("w").alias("own"))
+        share = weighed.select("doc", "weight").join(lone, "doc", "left").select("doc", (F.coalesce("own", F.lit(0.0)) / F.col("weight")).alias("share"))
+        meet(_with_leader(placed.join(share, "doc"), F.col("share")))
+        _settle(meet, state, members, weighed, classes)
+    out_of = classes.select("md5", "copy_of").join(state["group"], F.col("copy_of") == F.col("node"), "left").select("md5", "copy_of", F.coalesce("least", "copy_of").alias("group_id"))
+    out = signed.select("doc_id", "md5").join(out_of, "md5").withColumn("kept", F.col("doc_id") == F.col("group_id"))
     none = F.lit(None).cast("long")
     rest = rows.where("doc_id is null").select("doc_id", "md5", none.alias("copy_of"), none.alias("group_id"), F.lit(True).alias("kept"))
     return out.select("doc_id", "md5", "copy_of", "group_id", "kept").unionByName(rest)
 
 
+def _settle(meet, state: dict, members: DataFrame, weighed: DataFrame, classes: DataFrame) -> None:
+    """Lets all meet that are still in different groups, share a band and may be similar."""
+    wanted = _open(members, state["group"]).select("doc").distinct()
+    rare = cut(_rarest(weighed.join(wanted, "doc", "left_semi"), state["group"]))
+    keys = classes.select(F.col("copy_of").alias("doc"), "keys")
+    n = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("least").alias("g0"), F.max("least").alias("g1")).where("g0 < g1").select("shingle", "n")
+    rare = cut(rare.join(n, "shingle").join(keys, "doc"))
+    hot = rare.where(F.col("n") > FEW)
+    rare = rare.where(F.col("n") <= FEW)
+    x, y = (rare.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("doc", "least", "weight", "keys"))) for side in "ab")
+    able = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_least") != F.col("b_least"))
+    able &= F.least("a_weight", "b_weight") >= SIMILAR * F.greatest("a_weight", "b_weight") - 1e-9
+    met = x.join(y, (x.shingle == y.shingle) & able & F.arrays_overlap("a_keys", "b_keys"))
+    meet(met.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct())
+    # of shingles that many share: buckets by shingle and band
+    hot = hot.select("doc", F.explode("keys").alias("band"), "shingle").select(F.xxhash64("shingle", "band").alias("key"), "doc")
+    rounds, left = 0, cut(hot)
+    while left.take(1):
+        placed = cut(_open(left, state["group"]))
+        least = [F.min(F.struct(F.xxhash64(F.lit(rounds * LEADERS + k), "doc"), "doc", "least")).alias(f"l{k}") for k in range(LEADERS)]
+        leaders = placed.groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"l{k}")["doc"].alias("doc"), F.col(f"l{k}")["least"].alias("least")) for k in range(LEADERS))))).alias("l"))
+        leaders = cut(leaders.select("key", F.col("l")["doc"].alias("leader"), F.col("l")["least"].alias("leader_group")))
+        met = placed.join(leaders, "key").where("least != leader_group").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+        meet(met)
+        left = cut(placed.select("key", "doc").join(leaders.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti"))
+        rounds += 1
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns; rows with a null id stay."""
-    first = near_duplicates(docs).where("kept and doc_id is not null").groupBy("group_id").agg(F.min("md5").alias("_md5")).withColumnRenamed("group_id", "_id")
-    rows = docs.where("doc_id is not null").withColumn("_digest", F.md5(whole()))
-    rows = rows.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_md5")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest").unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates, with all its columns; rows with a null id stay.
+
+    Rows of the ids that go are left out where they are; texts aren't moved unless more than SMALL ids go. Of rows that repeat an id
+    the one of the least text by md5 stays. Empty tables give no rows; columns of any name pass through.
+    """
+    whole_row = docs.select(F.struct("*").alias("row"))
+    ids = cut(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    gone = ids.where("not kept or n > 1").select(F.col("doc_id").alias("gone"))
+    doc = F.col("row")["doc_id"].cast("long")
+    stays = whole_row.join(small(gone), doc == F.col("gone"), "left_anti")
+    repeated = small(ids.where("kept and n > 1").select(F.col("doc_id").alias("again")))
+    first = whole_row.join(repeated, doc == F.col("again"), "left_semi").groupBy(doc.alias("id")).agg(F.min_by("row", F.md5(F.coalesce(F.col("row")["text"], F.lit("")))).alias("row"))
+    return stays.select("row.*").unionByName(first.select("row.*"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
