@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, whole
+from .common import WORD, cut, fingerprint, small, table, whole
 
 BLOCK_WORDS, CAP, WEIGHTS, SEED = 64, 3, (1, 2, 3), 20_24
-#: A source's documents are shuffled into so many runs, each summed by itself; so many slots are ranked together.
-RUNS, STRETCH = 4096, 1024
+#: About so many documents are summed together, as many slots are ranked together, and so many sums of these are summed in turn:
+#: no window holds more, whatever the size of a source, up to the third power of it.
+STRETCH = 1024
 #: Bits of a van der Corput point; as many slots as 2 to this power are distinct.
 BITS = 40
 
@@ -51,6 +52,15 @@ def blocks(target: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
+def _before(counts: DataFrame, at: str, n: str) -> DataFrame:
+    """source_rank, at, before: for rows (source_rank, at, n), how much of n stands before each in its source, in the order of `at`, a number from 0 on. Two windows, each over STRETCH rows about."""
+    coarse = counts.withColumn("coarse", F.floor(F.col(at) / STRETCH))
+    sums = coarse.groupBy("source_rank", "coarse").agg(F.sum(n).alias("sum"))
+    upto = sums.select("source_rank", "coarse", (F.sum("sum").over(W.partitionBy("source_rank").orderBy("coarse")) - F.col("sum")).alias("base"))
+    within = F.sum(n).over(W.partitionBy("source_rank", "coarse").orderBy(at)) - F.col(n)
+    return coarse.withColumn("within_coarse", within).join(upto, ["source_rank", "coarse"]).select("source_rank", at, (F.col("base") + F.col("within_coarse")).alias("before"))
+
+
 def schedule(sources: DataFrame, cap: int = CAP) -> DataFrame:
     """slot, source_rank, rank (of the slot among its source's), block: the order in which the mix takes blocks.
 
@@ -66,37 +76,34 @@ def schedule(sources: DataFrame, cap: int = CAP) -> DataFrame:
     met = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells)))))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") * cells))
-    slots = slots.join(met.select("cell", "low", "high", "source_rank", "n_blocks"), "cell").where("point >= low and point < high")
+    slots = slots.join(small(met.select("cell", "low", "high", "source_rank", "n_blocks")), "cell").where("point >= low and point < high")
     slots = slots.select("slot", "source_rank", "n_blocks", F.floor(F.col("slot") / STRETCH).alias("stretch"))
-    counts = slots.groupBy("source_rank", "stretch").agg(F.count("*").alias("n"))
-    before = counts.select("source_rank", "stretch", (F.sum("n").over(W.partitionBy("source_rank").orderBy("stretch")) - F.col("n")).alias("before"))
+    before = _before(slots.groupBy("source_rank", "stretch").agg(F.count("*").alias("n")), "stretch", "n")
     within = F.row_number().over(W.partitionBy("source_rank", "stretch").orderBy("slot"))
     ranked = slots.withColumn("within", within).join(before, ["source_rank", "stretch"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     return ranked.where(F.col("rank") < cap * F.col("n_blocks")).select("slot", "source_rank", "rank", F.pmod("rank", "n_blocks").alias("block"))
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text", "source")
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """What the mix takes of every row of docs (doc_id, source, text): size, source_size, target (both of its source) and taken, in words.
 
     A source's documents are shuffled by a hash into one stream, which is cut into equal-token blocks; the schedule's slots
     of a source take its blocks in turn, and again from the first when all are taken, up to cap times. taken sums the words
     of a document in the blocks taken, as often as they are. Rows without words (null or blank texts) take 0; a null source
-    is a source; repeated rows stand beside each other; an empty table gives no rows. Other columns are ignored. Reruns agree.
+    is a source; repeated rows stand beside each other; an empty table gives no rows. Other columns are ignored. Reruns
+    agree: ties of the hash go by doc_id, size and text.
     """
     h = F.xxhash64(F.lit(seed), "doc_id", "source")
-    rows = docs.select("doc_id", "source", row_key().alias("row_key"), F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size")).withColumn("h", h)
+    rows = docs.select("doc_id", "source", fingerprint(F.col("doc_id"), F.col("source"), F.col("text")).alias("row_key"), F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size")).withColumn("h", h)
     rows = cut(rows)
-    sources = cut(blocks(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), block_words))
+    held = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
+    runs = 1 << max(4, ((held.agg(F.sum("n_rows")).first()[0] or 0) // STRETCH).bit_length())
+    sources = cut(blocks(targets(held.drop("n_rows"), weights, cap), block_words))
     named = sources.select(F.col("source").alias("name"), "source_rank", "source_size", "target", "n_blocks", "least", "longer")
-    rows = rows.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("run", F.pmod("h", F.lit(RUNS)))
+    rows = rows.join(small(named), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("run", F.pmod("h", F.lit(runs)))
     filled = rows.where("size > 0")
-    sums = filled.groupBy("source_rank", "run").agg(F.sum("size").alias("n"))
-    before = sums.select("source_rank", "run", (F.sum("n").over(W.partitionBy("source_rank").orderBy("run")) - F.col("n")).alias("before"))
-    within = F.sum("size").over(W.partitionBy("source_rank", "run").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    before = _before(filled.groupBy("source_rank", "run").agg(F.sum("size").alias("n")), "run", "n")
+    within = F.sum("size").over(W.partitionBy("source_rank", "run").orderBy("h", "doc_id", "size", "row_key").rowsBetween(W.unboundedPreceding, 0))
     filled = filled.withColumn("within", within).join(before, ["source_rank", "run"]).withColumn("start", F.col("before") + F.col("within") - F.col("size"))
     edge = F.col("longer") * (F.col("least") + 1)
     of = lambda x: F.when(x < edge, F.floor(x / (F.col("least") + 1))).otherwise(F.col("longer") + F.floor((x - edge) / F.col("least")))
@@ -111,11 +118,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
 
 
 def repeat_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them: their taken words over their size, rounded. Rows that are alike share their copies evenly."""
+    """The rows of docs as often as the mix takes them: their taken words over their size, rounded; with all columns, whatever these are called.
+
+    Rows that are alike share their copies evenly. Rows without words go; an empty table gives no rows. The one shuffle of the
+    texts, by a hash of the row, is also the shuffle that a mix needs.
+    """
     taken = mix(docs, **how).where("size > 0").groupBy("row_key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = taken.select(F.col("row_key").alias("_row_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.join(copies, row_key() == F.col("_row_key"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    copies = cut(taken.select("row_key", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0"))
+    row = F.col("row")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("row_key", fingerprint(row["doc_id"], row["source"], row["text"]))
+    return rows.join(copies, "row_key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, GAP, cut, table, whole
+from .common import BLANKS, GAP, cut, small, stored, table, whole
 
 #: A text fails outright with fewer words, or if more than so many per cent of its words are in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Groups of language and source with fewer rows are estimated together; with fewer than FEW of these, none is an outlier.
+#: Groups of language and source with fewer rows are estimated together; with fewer than FEW of these, none is an outlier, as a
+#: covariance of five features means nothing there. Both are parameters of judge.
 OWN, FEW = 100, 20
-#: The share of a group that an estimate rests on, the number of concentration steps, and the squared distance that rejects.
-#: MEDIAN is the median of chi-squared with 5 degrees of freedom; the cutoff is far beyond its 0.999999 quantile (36.5), as clean
-#: texts have longer tails than a normal distribution.
-KEPT, STEPS, MEDIAN, CUTOFF = 0.75, 3, 4.35146, 60.0
-#: The least standard deviation of each feature, in its own unit: what differs by less is no sign of low quality.
+#: The share of a group that an estimate rests on; the most concentration steps, which end earlier once no determinant falls by
+#: SETTLED of its logarithm; and the median of chi-squared with 5 degrees of freedom, for the consistency correction.
+KEPT, STEPS, SETTLED, MEDIAN = 0.75, 12, 1e-2, 4.35146
+#: The squared distance that rejects. The 0.999999 quantile of chi-squared would be 36.5; counts of real texts have longer tails.
+CUTOFF = 60.0
+#: The least standard deviation of each feature, in its own unit: what differs by less is no sign of low quality. Their squares
+#: regularise every covariance, as most groups have features that hardly vary.
 FEATURES = {"f_words": 0.5, "f_length": 0.08, "f_symbols": 0.25, "f_lines": 0.15, "f_repeats": 0.1}
 NAMES = list(FEATURES)
 GROUP = ["g_lang", "g_source"]
+#: An estimate of a group by the start that it came from.
+KEY = [*GROUP, "start"]
 
 
 def let(value: Column, body) -> Column:
@@ -52,19 +57,15 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(found)
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text", "lang", "source")
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text, and row_key, a hash of all that is read."""
+def _counted(df: DataFrame) -> DataFrame:
+    """Adds the counts, base_failed and n_lines to rows with the column text."""
     text, shown = whole(), F.trim(whole(), F.lit(BLANKS))
     words = F.when(shown == "", F.array().cast("array<string>")).otherwise(F.split(shown, GAP))
     size = lambda c: F.char_length(c).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
-    df = docs.select("doc_id", "lang", "source", row_key().alias("row_key"), text.alias("text"), words.alias("words"))
+    df = df.withColumn("text", text).withColumn("words", words)
     df = df.select(
-        "doc_id", "row_key", "lang", "source", F.size("words").cast("long").alias("n_words"), size(F.translate("text", BLANKS, "")).alias("word_chars"),
+        *(c for c in df.columns if c not in ("text", "words")), F.size("words").cast("long").alias("n_words"), size(F.translate("text", BLANKS, "")).alias("word_chars"),
         (size("text") - size(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(F.col("words"), _repeat_words).alias("n_repeat_words"),
@@ -73,6 +74,11 @@ def counts(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
+def counts(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
+    return _counted(docs.select("doc_id", "lang", "source", "text"))
+
+
 def features(df: DataFrame) -> DataFrame:
     """The transformed counts: logarithms of the words, of their mean length and of the symbols per 100 words; the shares of repeated lines and words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
@@ -83,36 +89,34 @@ def features(df: DataFrame) -> DataFrame:
     })
 
 
-def _quantile(df: DataFrame, values: dict[str, Column], share: float, step: float) -> DataFrame:
+def _quantile(df: DataFrame, by: list[str], values: dict[str, Column], share: float, step: float) -> DataFrame:
     """Per group, of each value, the middle of the bin of that width in which the share lies: counts per bin, so exact to the bin and the same in each run."""
     pair = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.round(v / step).cast("long").alias("bin")) for k, v in values.items())))
-    bins = df.select(*GROUP, pair.alias("p")).groupBy(*GROUP, "p.name", "p.bin").agg(F.count("*").alias("n"))
-    w = W.partitionBy(*GROUP, "name")
+    bins = df.select(*by, pair.alias("p")).groupBy(*by, "p.name", "p.bin").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*by, "name")
     upto, total = F.sum("n").over(w.orderBy("bin")), F.sum("n").over(w)
-    first = bins.withColumn("ok", upto >= share * total).where("ok").groupBy(*GROUP)
+    first = bins.withColumn("ok", upto >= share * total).where("ok").groupBy(*by)
     return first.agg(*(F.min(F.when(F.col("name") == k, F.col("bin") * step)).alias(k) for k in values))
 
 
-def _with(df: DataFrame, of_groups: DataFrame) -> DataFrame:
-    """Each row with its group's figures. A group may hold a third of all rows; its figures are one row."""
-    g = of_groups.select(*(F.col(k).alias(f"_{k}") for k in GROUP), *(c for c in of_groups.columns if c not in GROUP))
-    return df.join(g, F.col("g_lang").eqNullSafe(F.col("_g_lang")) & F.col("g_source").eqNullSafe(F.col("_g_source"))).drop("_g_lang", "_g_source")
+def _with(df: DataFrame, of_groups: DataFrame, by: list[str] = GROUP) -> DataFrame:
+    """Each row with its group's figures; the columns of `by` are never null. A group may hold a third of all rows; its figures are few rows, which are broadcast if they are few in all."""
+    return df.join(small(of_groups), by)
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    sums = [F.sum(c).alias(f"s_{c}") for c in NAMES]
-    cross = [F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
-    return df.groupBy(*GROUP).agg(F.count("*").alias("n"), *sums, *cross)
+def _moments(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    names, columns = list(values), list(values.values())
+    sums = [F.sum(c).alias(f"s_{k}") for k, c in values.items()]
+    cross = [F.sum(columns[i] * columns[j]).alias(f"q_{names[i]}_{names[j]}") for i in range(len(names)) for j in range(i + 1)]
+    return df.groupBy(*KEY).agg(F.count("*").alias("n"), *sums, *cross)
 
 
-def _whitening(m: DataFrame) -> DataFrame:
-    """From a group's moments: its means m_i, and w_i_j, the inverse of the Cholesky factor of its covariance with floors added to the diagonal."""
-    df = m.select(*GROUP, "n", *((F.col(f"s_{c}") / F.col("n")).alias(f"m_{i}") for i, c in enumerate(NAMES)), *(c for c in m.columns if c.startswith("q_")))
-    d = len(NAMES)
+def _whitening(m: DataFrame, covariance, keep: list[Column]) -> DataFrame:
+    """w_i_j, the inverse of the Cholesky factor of a group's covariance(i, j), and logdet, the logarithm of its determinant."""
+    df, d = m, len(NAMES)
     for i in range(d):
         for j in range(i + 1):
-            c = F.col(f"q_{NAMES[i]}_{NAMES[j]}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            c = c + F.lit(FEATURES[NAMES[i]] ** 2) if i == j else c
+            c = covariance(i, j)
             for k in range(j):
                 c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l_{j}_{j}"))
@@ -120,7 +124,8 @@ def _whitening(m: DataFrame) -> DataFrame:
         for i in range(j, d):
             x = F.lit(1.0) if i == j else -sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)), F.lit(0.0))
             df = df.withColumn(f"w_{i}_{j}", x / F.col(f"l_{i}_{i}"))
-    return df.select(*GROUP, "n", *(f"m_{i}" for i in range(d)), *(f"w_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    logdet = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(d)), F.lit(0.0))
+    return df.select(*KEY, *keep, *(f"w_{i}_{j}" for i in range(d) for j in range(i + 1)), logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -128,51 +133,96 @@ def _distance() -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
-def estimates(df: DataFrame) -> DataFrame:
-    """Per group, robust means and whitening, by concentration steps from medians and absolute deviations, and scale, which brings the
-    median squared distance to that of a normal distribution (never below 1)."""
-    bins = lambda d: {"at": F.log1p(d)}  # noqa: E731  distances lie over many powers of ten
-    mid = cut(_quantile(df, {c: F.col(c) for c in NAMES}, 0.5, 0.01))
+def _starts(df: DataFrame) -> DataFrame:
+    """Three deterministic first estimates of each group: medians with the absolute deviations from them, uncorrelated (0), and with
+    the correlations of the hyperbolic tangents (1) and of the spatial signs (2) of the standardised features."""
+    d = range(len(NAMES))
+    mid = cut(_quantile(df, GROUP, {c: F.col(c) for c in NAMES}, 0.5, 0.01))
     mid = mid.select(*GROUP, *(F.col(c).alias(f"m_{i}") for i, c in enumerate(NAMES)))
-    off = cut(_quantile(_with(df, mid), {f"d_{c}": F.abs(F.col(c) - F.col(f"m_{i}")) for i, c in enumerate(NAMES)}, 0.5, 0.01))
-    now = _with(mid, off)
-    for i, c in enumerate(NAMES):
-        for j in range(i + 1):
-            now = now.withColumn(f"w_{i}_{j}", F.lit(0.0) if i != j else 1 / F.greatest(1.4826 * F.col(f"d_{c}"), F.lit(FEATURES[c])))
-    for _ in range(STEPS):
-        near = cut(_quantile(_with(df, now), bins(_distance()), KEPT, 0.01))
-        now = cut(_whitening(_moments(_with(_with(df, now), near).where(F.log1p(_distance()) <= F.col("at") + 0.005))))
-    scale = _quantile(_with(df, now), bins(_distance()), 0.5, 0.01)
-    return cut(_with(now.drop("n"), scale.select(*GROUP, F.greatest(F.lit(1.0), F.expm1("at") / MEDIAN).alias("scale"))))
+    off = _quantile(_with(df, mid), GROUP, {c: F.abs(F.col(c) - F.col(f"m_{i}")) for i, c in enumerate(NAMES)}, 0.5, 0.01)
+    off = off.select(*GROUP, *(F.greatest(1.4826 * F.col(c), F.lit(FEATURES[c])).alias(f"d_{i}") for i, c in enumerate(NAMES)))
+    centre = cut(mid.join(off, GROUP))
+    z = [(F.col(c) - F.col(f"m_{i}")) / F.col(f"d_{i}") for i, c in enumerate(NAMES)]
+    norm = F.sqrt(F.greatest(sum((x * x for x in z), F.lit(0.0)), F.lit(1e-12)))
+    ways = F.array(F.struct(F.lit(1).alias("start"), *(F.tanh(x).alias(f"u_{i}") for i, x in enumerate(z))), F.struct(F.lit(2).alias("start"), *((x / norm).alias(f"u_{i}") for i, x in enumerate(z))))
+    changed = _with(df, centre).select(*GROUP, F.explode(ways).alias("u")).select(*GROUP, "u.*")
+    m = _moments(changed, {str(i): F.col(f"u_{i}") for i in d}).join(centre, GROUP)
+    zero = centre.select(*GROUP, F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), *(F.lit(0.0).alias(f"s_{i}") for i in d), *(F.lit(float(i == j)).alias(f"q_{i}_{j}") for i in d for j in range(i + 1)), *(f"m_{i}" for i in d), *(f"d_{i}" for i in d))
+
+    def covariance(i: int, j: int) -> Column:
+        floor = F.lit(1e-3) * F.col("n")
+        r = F.col(f"q_{i}_{j}") / F.sqrt((F.col(f"q_{i}_{i}") + floor) * (F.col(f"q_{j}_{j}") + floor))
+        return F.col(f"d_{i}") * F.col(f"d_{j}") * (r if i != j else F.lit(1.0))
 
+    return cut(_whitening(m.unionByName(zero), covariance, [F.col(f"m_{i}") for i in d]))
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+
+def estimates(df: DataFrame) -> DataFrame:
+    """Per group, the means and the whitening of least determinant that concentration steps come to from several starts, and scale,
+    which brings the median squared distance to that of a normal distribution (never below 1)."""
+    bins = {"at": F.log1p(_distance())}  # distances lie over many powers of ten
+    now, before = _starts(df), None
+
+    def covariance(i: int, j: int) -> Column:
+        c = F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / (F.col("n") * F.col("n"))
+        return c + F.lit(FEATURES[NAMES[i]] ** 2) if i == j else c
+
+    means = [(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(NAMES))]
+    values = {str(i): F.col(c) for i, c in enumerate(NAMES)}
+    for _ in range(STEPS):
+        near = cut(now.join(_quantile(_with(df, now), KEY, bins, KEPT, 0.01), KEY))
+        inside = _with(df, near).where(F.log1p(_distance()) <= F.col("at") + 0.005)
+        now = cut(_whitening(_moments(inside, values), covariance, means))
+        if before is not None:
+            fell = before.select(*KEY, F.col("logdet").alias("old")).join(now, KEY).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
+            if fell is None or fell < SETTLED:
+                break
+        before = now
+    best = now.groupBy(*GROUP).agg(F.min_by(F.struct(*(c for c in now.columns if c not in GROUP)), F.struct("logdet", "start")).alias("b")).select(*GROUP, "b.*")
+    scale = _quantile(_with(df, cut(best)), GROUP, bins, 0.5, 0.01)
+    return cut(best.join(scale.select(*GROUP, F.greatest(F.lit(1.0), F.expm1("at") / MEDIAN).alias("scale")), GROUP))
+
+
+def _judged(rows: DataFrame, cutoff: float, own: int, few: int) -> DataFrame:
+    """Adds distance and kept to rows with lang, source, the counts and the features; the rows are read in each step."""
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+    named = rows.withColumns({"g_lang": key("lang"), "g_source": key("source")})
+    sizes = cut(named.where("not base_failed").groupBy(*GROUP).agg(F.count("*").alias("rows")))
+    # small groups are one; its name is none that a value can give
+    sizes = sizes.withColumn("alone", F.col("rows") >= own)
+    total = sizes.groupBy(F.when(F.col("alone"), F.col("g_lang")).otherwise("small").alias("l"), F.when(F.col("alone"), F.col("g_source")).otherwise("small").alias("s")).agg(F.sum("rows").alias("rows_of_group"))
+    place = sizes.withColumns({"l": F.when(F.col("alone"), F.col("g_lang")).otherwise("small"), "s": F.when(F.col("alone"), F.col("g_source")).otherwise("small")})
+    place = cut(place.join(total, ["l", "s"]).select(*GROUP, "l", "s", "rows_of_group"))
+    sound = _with(named.where("not base_failed"), place).drop(*GROUP).withColumnsRenamed({"l": "g_lang", "s": "g_source"})
+    found = estimates(sound.select(*GROUP, *NAMES))
+    figures = place.join(found.withColumnsRenamed({"g_lang": "l", "g_source": "s"}), ["l", "s"]).drop("l", "s")
+    judged = named.join(small(cut(figures)), GROUP, "left")
+    distance = F.when(F.col("base_failed"), F.lit(None)).when(F.col("rows_of_group") >= few, _distance() / F.col("scale")).otherwise(0.0)
+    judged = judged.withColumn("distance", distance.cast("double"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff)).select(*rows.columns, "distance", "kept")
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, own: int = OWN, few: int = FEW) -> DataFrame:
     """The counts of every row of docs (doc_id, text, lang, source), its squared distance from its group, and kept.
 
     kept is false where the base rules fail, or where the robust squared Mahalanobis distance from what is usual in the
-    row's language and source is over the cutoff. Rows that fail the base rules take no part in the estimates. Null texts
-    count as empty (no words: they fail); a null language or source is a value of its own; repeated rows count each; long
-    texts are read whole; an empty table gives no rows. Other columns are ignored.
+    row's language and source is over the cutoff. Rows that fail the base rules take no part in the estimates; groups of fewer
+    than own rows are one group, and in one of fewer than few nothing is an outlier. Null texts count as empty (no words: they
+    fail); a null language or source is a value of its own; repeated rows count each, and rows that are alike are judged
+    alike; long texts are read whole; an empty table gives no rows. Other columns are ignored.
+    """
+    judged = _judged(cut(features(counts(docs))), cutoff, own, few)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, own: int = OWN, few: int = FEW) -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns, whatever these are called; none of an empty table.
+
+    The rows are written once with their counts beside them; the estimates read the counts alone, and no text is moved.
     """
-    rows = cut(features(counts(docs)))
-    sound = rows.where(~F.col("base_failed"))
-    sizes = sound.groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    own = cut(sizes.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), "rows", (F.col("rows") >= OWN).alias("own")))
-    named = sound.join(own, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")))
-    # the leading letter keeps the common group of small ones apart from every value, and null from both
-    named = named.withColumns({f"g_{k}": F.when(F.col("own"), F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("null"))).otherwise("small") for k in ("lang", "source")})
-    found = estimates(named.select("g_lang", "g_source", *NAMES))
-    least = named.groupBy(*GROUP).agg(F.count("*").alias("rows_of_group"))
-    judged = _with(_with(named.drop("rows"), found), least).withColumn("distance", F.when(F.col("rows_of_group") >= FEW, _distance() / F.col("scale")).otherwise(0.0))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "row_key")
-    return judged.select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance", "row_key").unionByName(failed)
-
-
-def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs that judge keeps, with all their columns."""
-    good = judge(docs, cutoff).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.join(good, row_key() == F.col("_row_key"), "left_semi")
+    row = F.col("row")
+    held = docs.select(F.struct("*").alias("row")).select("row", row["lang"].alias("lang"), row["source"].alias("source"), row["text"].alias("text"))
+    return _judged(stored(features(_counted(held))), cutoff, own, few).where("kept").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,29 @@ def test_quality_rejects_what_is_unlike_its_group(spark):
     assert not got[150].base_failed
 
 
+def test_estimates_are_as_good_as_those_of_many_random_starts(spark):
+    """Distances against a plain search of the subset of least determinant."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    texts = [" ".join(word(int(rng.integers(3, 8))) + "%" * int(rng.random() < 0.05) for _ in range(int(rng.integers(60, 300)))) for _ in range(240)]
+    texts += [" ".join(word(2) + "|" for _ in range(int(rng.integers(60, 90)))) for _ in range(30)]
+    rows = quality.features(quality.counts(docs(spark, texts))).select("doc_id", *quality.NAMES).orderBy("doc_id").collect()
+    x, floor = np.array([r[1:] for r in rows]), np.square(list(quality.FEATURES.values()))
+    best = (np.inf, None)
+    for _ in range(60):
+        own = rng.choice(len(x), 20, replace=False)
+        for _ in range(30):
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) + np.diag(floor)
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = np.argsort(d)[: int(0.75 * len(x))]
+        best = min(best, (np.linalg.slogdet(np.cov(x[own].T, bias=True) + np.diag(floor))[1], d), key=lambda b: b[0])
+    d = best[1] / max(1.0, np.median(best[1]) / quality.MEDIAN)
+    got = np.array([r.distance for r in sorted(quality.judge(docs(spark, texts)).collect(), key=lambda r: r.doc_id)])
+    assert np.corrcoef(np.log1p(d), np.log1p(got))[0, 1] > 0.99
+    clear = np.abs(np.log(np.maximum(d, 1e-9) / quality.CUTOFF)) > 0.15
+    assert ((d <= quality.CUTOFF) == (got <= quality.CUTOFF))[clear].all() and (got[240:] > quality.CUTOFF).all()
+
+
 def test_quality_takes_odd_and_empty_tables(spark):
     out = quality.judge(odd(spark)).collect()
     assert len(out) == odd(spark).count() and all(not r.kept for r in out if r.base_failed)
@@ -76,6 +99,39 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert words == pytest.approx(sum(r.target for r in {r.source: r for r in out}.values()), rel=0.1)
 
 
+def test_mix_equals_brute_force(spark):
+    """The schedule slot by slot, and the words of each source laid out one by one."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["w"] * int(rng.integers(0, 90))) for _ in range(120)]
+    sources = [["a", "b", None][int(rng.integers(0, 9)) // 4] for _ in texts]
+    d = docs(spark, texts, source=sources)
+    out = {r.doc_id: r for r in mixing.mix(d, block_words=16).collect()}
+    h = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", "source").alias("h")).collect()}
+    size = {i: len(t.split()) for i, t in enumerate(texts)}
+    names = sorted({s for s in sources if s}) + [None]
+    total = {s: sum(size[i] for i in size if sources[i] == s) for s in names}
+    target = {r.source: r.target for r in out.values()}
+    n_blocks = {s: max(1, int(total[s] / 16 + 0.5)) for s in names}
+    draws = [target[s] * n_blocks[s] / total[s] for s in names]
+    times, rank = Counter(), Counter()
+    ends = np.cumsum(draws) / sum(draws)
+    for k in range(round(sum(draws))):
+        point = sum((k >> b & 1) / 2 ** (b + 1) for b in range(40))
+        s = names[min(int(np.searchsorted(ends, point, "right")), len(names) - 1)]
+        if rank[s] < 3 * n_blocks[s]:
+            times[s, rank[s] % n_blocks[s]] += 1
+        rank[s] += 1
+    for s in names:
+        stream = [i for i in sorted(size, key=lambda i: (h[i] % 16, h[i], i)) if sources[i] == s for _ in range(size[i])]
+        least, longer = divmod(total[s], n_blocks[s])
+        taken = Counter()
+        for b in range(n_blocks[s]):
+            start = b * least + min(b, longer)
+            for i in stream[start : start + least + (b < longer)]:
+                taken[i] += times[s, b]
+        assert {i: out[i].taken for i in size if sources[i] == s} == {i: taken[i] for i in size if sources[i] == s}
+
+
 def test_mix_takes_odd_and_empty_tables(spark):
     out = mixing.mix(odd(spark)).collect()
     assert len(out) == odd(spark).count()
