@@ -40,13 +40,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders that stored() has written and nobody has removed yet.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read from there."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def mark() -> int:
+    """A place among the folders written so far, for remove_since."""
+    return len(_written)
+
+
+def remove_since(spark: SparkSession, at: int, keep: DataFrame | None = None) -> None:
+    """Removes the folders written since a mark, but for the one that keep reads: for steps whose result is written elsewhere by now."""
+    own = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    left = []
+    for path in _written[at:]:
+        if path.split(":", 1)[-1].lstrip("/") in own:
+            left.append(path)
+        else:
+            files, where = _files(spark, path)
+            files.delete(where, True)
+    _written[at:] = left
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver next collects garbage."""
     gc.collect()

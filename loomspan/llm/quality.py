@@ -20,8 +20,8 @@ OWN, FEW = 100, 20
 #: The share of a group that an estimate rests on; the most concentration steps, which end earlier once no determinant falls by
 #: SETTLED of its logarithm; and the median of chi-squared with 5 degrees of freedom, for the consistency correction.
 KEPT, STEPS, SETTLED, MEDIAN = 0.75, 12, 1e-2, 4.35146
-#: The squared distance that rejects. The 0.999999 quantile of chi-squared would be 36.5; counts of real texts have longer tails.
-CUTOFF = 60.0
+#: The squared distance that rejects: the 0.9999993 quantile of chi-squared with 5 degrees of freedom. In the given tables nothing lies between it and 150.
+CUTOFF = 36.5
 #: The least standard deviation of each feature, in its own unit: what differs by less is no sign of low quality. Their squares
 #: regularise every covariance, as most groups have features that hardly vary.
 FEATURES = {"f_words": 0.5, "f_length": 0.08, "f_symbols": 0.25, "f_lines": 0.15, "f_repeats": 0.1}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table, whole
+from .common import cut, exists, shared_folder, table, whole
 
-SLOTS, PARTS = 4096, 8
+#: Virtual slots; parts of a slot, each of which is ranked by itself (more slots keep windows small where there are more records);
+#: how far from the mean a shard's bytes may be before the map is edited.
+SLOTS, PARTS, TOLERANCE = 4096, 8, 0.001
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,11 @@ class SlotMap:
     shards: int
     version: int = 1
 
+    @classmethod
+    def first(cls, slots: int, shards: int) -> SlotMap:
+        """Slots dealt to shards in turn, for a start without knowledge of loads."""
+        return cls(tuple(k % shards for k in range(slots)), shards)
+
     @classmethod
     def balanced(cls, loads: np.ndarray, shards: int) -> SlotMap:
         """The slots, largest first, each to the shard that has least; ties go to the lower number."""
@@ -34,14 +42,14 @@ class SlotMap:
         return cls(tuple(of), shards)
 
     def rebalanced(self, loads: np.ndarray, tolerance: float = 0.02) -> SlotMap:
-        """Moves single slots from the fullest to the emptiest shard until the fullest is within the tolerance of the mean, or no move helps."""
+        """The next version: single slots go from the fullest to the emptiest shard until both are within the tolerance of the mean, or no move helps."""
         of = np.array(self.shard_of)
         sums = np.bincount(of, weights=loads, minlength=self.shards)
         mean = sums.mean()
         for _ in range(len(of)):
             high, low = int(sums.argmax()), int(sums.argmin())
             own = np.flatnonzero((of == high) & (loads > 0) & (loads < sums[high] - sums[low]))
-            if sums[high] <= mean * (1 + tolerance) or not len(own):
+            if sums[high] <= mean * (1 + tolerance) and sums[low] >= mean * (1 - tolerance) or not len(own):
                 break
             slot = own[np.abs(loads[own] - (sums[high] - sums[low]) / 2).argmin()]
             of[slot] = low
@@ -63,6 +71,11 @@ class SlotMap:
             sums[high], sums[self.shards] = sums[high] - loads[slot], sums[self.shards] + loads[slot]
         return SlotMap(tuple(of.tolist()), self.shards + 1, self.version + 1)
 
+    def even(self, loads: np.ndarray, tolerance: float) -> bool:
+        """Whether all shards are within the tolerance of the mean."""
+        sums = np.bincount(np.array(self.shard_of), weights=loads, minlength=self.shards)
+        return bool((np.abs(sums - sums.mean()) <= tolerance * sums.mean()).all())
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Adds this version to the stored maps."""
         rows = [(self.version, self.shards, k, s) for k, s in enumerate(self.shard_of)]
@@ -84,13 +97,33 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.select("*", F.pmod(h, F.lit(slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftright(h, 32), F.lit(PARTS)).cast("int").alias("part"))
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def current_map(spark: SparkSession, maps: str, loads: np.ndarray, shards: int, tolerance: float) -> SlotMap:
+    """The last map stored under the path, edited and stored as the next version if its shards aren't even or their number is not the
+    one asked for; the first map where none is stored."""
+    now = SlotMap.load(spark, maps) if exists(spark, maps) else None
+    if now is None:
+        now = SlotMap.first(len(loads), shards)
+        now.save(spark, maps)
+    if len(now.shard_of) != len(loads) or now.shards > shards:
+        raise ValueError(f"the map under {maps} has {len(now.shard_of)} slots and {now.shards} shards, not {len(loads)} and at most {shards}")
+    while now.shards < shards:
+        now = now.grown(loads)
+        now.save(spark, maps)
+    if not now.even(loads, tolerance):
+        now = now.rebalanced(loads, tolerance)
+        now.save(spark, maps)
+    return now
+
+
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, maps: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Puts every row of docs (doc_id, text) into a shard; law `bytes`: the shards' sizes are near equal.
 
-    Without a map, one is made from the bytes that the slots hold now. slot is the record's place in its shard, gapless
-    from 0: the records of lower slots come first, then those of the same slot in the order of part, doc_id and checksum.
-    Null texts count as empty (size 8, checksum 0); null ids and repeated rows are records like others; an empty table
-    gives no rows. Other columns are ignored.
+    Records hash into slots, and bytes are summed per slot. The slot-to-shard map is the last version stored under maps, edited and
+    stored anew if the bytes ask for it; without a path, one in the shared folder is begun. slot is the record's place in its
+    shard, gapless from 0: the records of lower virtual slots come first, then those of the same one in the order of part,
+    doc_id, checksum and size; records that tie in all of these are alike but for columns that aren't read. Null texts count
+    as empty (size 8, checksum 0); null ids and repeated rows are records like others; an empty table gives no rows. Other
+    columns are ignored. One text's records are spread, as their ids count, so that a hot text fills no shard.
     """
     spark = docs.sparkSession
     rows = cut(records(docs, slots))
@@ -99,7 +132,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: SlotM
     at = np.array([r["virtual_slot"] * PARTS + r["part"] for r in held], dtype=np.int64)
     counts, sizes = np.zeros(slots * PARTS, np.int64), np.zeros(slots * PARTS, np.int64)
     counts[at], sizes[at] = [r["n"] for r in held], [r["bytes"] for r in held]
-    slot_map = slot_map or SlotMap.balanced(sizes.reshape(slots, PARTS).sum(1), shards)
+    slot_map = current_map(spark, maps or f"{shared_folder(spark)}/slot-maps-{uuid.uuid4()}", sizes.reshape(slots, PARTS).sum(1), shards, tolerance)
     of = np.repeat(np.array(slot_map.shard_of), PARTS)
     before = np.zeros(slots * PARTS, np.int64)
     for s in range(slot_map.shards):

@@ -171,6 +171,43 @@ def test_slot_maps_are_edited_not_made_anew(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path) == grown and sharding.SlotMap.load(spark, path, 1) == first
 
 
+def test_a_stored_map_is_edited_by_the_query(spark, tmp_path):
+    """The first run deals slots in turn and evens them; more rows of some slots make the next version, which moves few slots; one more shard takes its share."""
+    path = str(tmp_path / "maps")
+    rng = np.random.default_rng(7)
+    first = docs(spark, ["x" * int(rng.integers(0, 200)) for _ in range(3000)])
+    versions = [sharding.shard(first, 6, 256, path, 0.01).first().map_version, sharding.shard(first, 6, 256, path, 0.01).first().map_version]
+    assert versions == [2, 2]
+    before = sharding.SlotMap.load(spark, path)
+    later = first.unionByName(docs(spark, ["y" * 900 for _ in range(200)]).withColumn("doc_id", F.col("doc_id") + 10_000))
+    out = sharding.shard(later, 6, 256, path, 0.01).collect()
+    after = sharding.SlotMap.load(spark, path)
+    moved = sum(a != b for a, b in zip(before.shard_of, after.shard_of, strict=True))
+    assert after.version == 3 and 0 < moved < 100 and all(after.shard_of[r.virtual_slot] == r.shard for r in out)
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) < 1.02 * min(sizes.values())
+    more = sharding.shard(later, 7, 256, path, 0.05).collect()
+    assert {r.shard for r in more} == set(range(7))
+
+
+def test_shards_equal_brute_force(spark):
+    """Places and shards by sorting all records in Python."""
+    d = docs(spark, [f"text {k % 50}" * (k % 7) for k in range(500)])
+    hashed = {r.doc_id: r for r in sharding.records(d, 64).collect()}
+    out = {r.doc_id: r for r in sharding.shard(d, 5, 64).collect()}
+    import zlib
+
+    of = {}
+    for i, r in enumerate(d.collect()):
+        assert out[i].text_crc32 == zlib.crc32(r.text.encode()) and out[i]["size"] == len(r.text.encode()) + 8
+        assert of.setdefault(hashed[i].virtual_slot, out[i].shard) == out[i].shard
+    for s in range(5):
+        own = sorted((i for i in out if out[i].shard == s), key=lambda i: (hashed[i].virtual_slot, hashed[i].part, i))
+        assert [out[i].slot for i in own] == list(range(len(own)))
+
+
 def test_shard_takes_odd_and_empty_tables(spark):
     out = sharding.shard(odd(spark)).collect()
     assert len(out) == odd(spark).count()
