@@ -24,8 +24,8 @@ COUNTERS, SLICE = 1 << 20, 1 << 14
 LEVELS = 16
 #: Rows of the tables of random variables.
 RANDOM = 1 << 12
-#: Texts with one of their rarest shingles in common meet each other if they are so many at most; else LEADERS of them meet all, round by round.
-FEW, LEADERS = 32, 16
+#: Two texts are similar only if they share this times the sum of their weights; so many rounds let the members of a bucket meet one of them.
+SHARED, ROUNDS = SIMILAR / (1 + SIMILAR), 2
 TEXTS = 200
 
 
@@ -223,21 +223,47 @@ def _with_leader(placed: DataFrame, order: Column) -> DataFrame:
     return met.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
 
 
-def _rarest(weighed: DataFrame, group: DataFrame) -> DataFrame:
-    """shingle, doc, least, weight, n: of texts, the rarest shingles that any text of another group similar to them must share one of.
+def _able(weighed: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of members of buckets (key, doc, least) those that can be similar to one of another group there, with weight and may; and their shingles.
 
-    Similar texts share SIMILAR of the greater weight at least. So a text is left out if the shingles that its group alone has
-    weigh over 1 - SIMILAR of it. Of the others, shingles are taken from the rarest on until these and the group's own
-    weigh over 1 - SIMILAR: two similar texts have a common one among those. n says how many texts hold a shingle.
+    may is the weight of a text's shingles that texts of other groups have too, among those placed; no more can be shared with
+    one of these. Similar texts a, b share SHARED * (weight_a + weight_b) at least: so a is left out where may_a / SHARED -
+    weight_a is less than the least weight in the bucket, or its weight more than what any other can reach in this way. The
+    second table has shingle, doc, w and n, the number of texts that hold the shingle, of shingles that two groups have.
     """
-    each = weighed.select("doc", "weight", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("doc", "weight", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
-    each = each.join(group.withColumnRenamed("node", "doc"), "doc")
+    of_doc = placed.select("doc", "least").distinct()
+    each = weighed.join(of_doc, "doc").select("doc", "least", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("doc", "least", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
     held = each.groupBy("shingle").agg(F.min("least").alias("g0"), F.max("least").alias("g1"), F.count("*").alias("n")).where("g0 < g1").select("shingle", "n")
-    apart = cut(each.join(held, "shingle"))
-    may = apart.groupBy("doc").agg(F.sum("w").alias("may"))
-    apart = apart.join(may, "doc").where(F.col("may") >= SIMILAR * F.col("weight") - 1e-9)
-    before = F.coalesce(F.sum("w").over(W.partitionBy("doc").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return apart.withColumn("before", before).where(F.col("weight") - F.col("may") + F.col("before") <= (1 - SIMILAR) * F.col("weight") + 1e-9).select("shingle", "doc", "least", "weight")
+    apart = cut(each.join(held, "shingle").select("shingle", "doc", "w", "n"))
+    may = apart.groupBy("doc").agg(F.sum("w").alias("may")).join(weighed.select("doc", "weight"), "doc").withColumn("reach", F.col("may") / SHARED - F.col("weight"))
+    reaching = placed.join(may, "doc")
+    ends = reaching.groupBy("key").agg(F.min("weight").alias("lightest"), F.max("reach").alias("furthest"))
+    able = reaching.join(ends, "key").where((F.col("reach") >= F.col("lightest") - 1e-6) & (F.col("weight") <= F.col("furthest") + 1e-6))
+    return cut(able.select("key", "doc", "least", "weight", "may")), apart
+
+
+def _by_rare_shingles(able: DataFrame, apart: DataFrame, keys: DataFrame) -> DataFrame:
+    """a, b: the texts of different groups that share a band and can be similar, found by the rarest shingles.
+
+    A text's shingles that two groups have are put in one order for all texts, rarest first; rest is the weight from one on. The
+    first common shingle of two similar texts has SHARED * (weight_a + weight_b) or more of rest in both: so it is among
+    those of rest SIMILAR * weight at least, in the lighter text of 2 * SHARED * weight. They are joined by these. Where most
+    texts of a shingle are in one group, these are not joined with each other.
+    """
+    docs = able.select("doc", "least", "weight", "may").distinct()
+    rest = F.col("may") - F.coalesce(F.sum("w").over(W.partitionBy("doc").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rare = apart.join(docs, "doc").withColumn("rest", rest).where(F.col("rest") >= SIMILAR * F.col("weight") - 1e-6).drop("w", "n", "may")
+    sizes = rare.groupBy("shingle", "least").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("least", F.struct("n", "least")).alias("most"), F.count("*").alias("groups"))
+    rare = cut(rare.join(sizes.where("groups > 1").select("shingle", "most"), "shingle").join(keys, "doc"))
+    light, heavy = (rare.select("shingle", "most", *(F.col(c).alias(f"{side}_{c}") for c in ("doc", "least", "weight", "rest", "keys"))) for side in "ab")
+    light = light.where(F.col("a_rest") >= 2 * SHARED * F.col("a_weight") - 1e-6)
+    able = F.struct("a_weight", "a_doc") < F.struct("b_weight", "b_doc")
+    able &= (F.col("a_least") != F.col("b_least")) & (F.least("a_rest", "b_rest") >= SHARED * (F.col("a_weight") + F.col("b_weight")) - 1e-6)
+    able &= F.arrays_overlap("a_keys", "b_keys")
+    own = light.shingle == heavy.shingle
+    few = light.where("a_least != most").join(heavy, own & able)
+    many = light.where("a_least = most").join(heavy.where("b_least != most"), own & able)
+    return few.select("a_doc", "b_doc").unionByName(many.select("a_doc", "b_doc")).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -245,11 +271,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     copy_of is the least id with the same text. Texts are linked if the weighted Jaccard similarity of their TF-IDF shingles
     of five words is 0.8 or more; group_id is the least id that is connected by links and copies, and kept says that the row has
-    it. Texts that share a band are candidates. In each bucket all meet the least one, then the most typical one. What is then
-    still in several groups is told apart by rare shingles: of texts that share a band, those of different groups meet that
-    also share one of their rarest shingles, without which they can't be similar. Where very many share a rare shingle, a few of
-    them meet all others, and then go, until one group is left. So every candidate pair is verified, within one group
-    already, or proven to be no link.
+    it. Texts that share a band are candidates. In each bucket all meet the least one, then, in ROUNDS, the one of which most
+    is in other groups too. Of those still in several groups, texts meet that can be similar by the weight that they share at most
+    and that have one of their rarest shingles in common. So every candidate pair is verified, within one group already, or
+    proven to be no link.
 
     Texts without words (null ones count as empty) are copies of each other and near nothing else. Rows with a null id are kept,
     in no group. Rows of one id count as one document, with the text of least md5 if they differ. Ties go to the least id. Long texts are read whole; an empty table
@@ -291,11 +316,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if placed.take(1):
         wanted = placed.select(F.col("doc").alias("doc_id")).distinct()
         weighed = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_weighed(shared), "doc long, shingles array<long>, weights array<double>, weight double"))
-        lone = weighed.select("doc", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).groupBy("s.shingles").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min("s.weights").alias("w"))
-        lone = lone.where("doc = other").groupBy("doc").agg(F.sum("w").alias("own"))
-        share = weighed.select("doc", "weight").join(lone, "doc", "left").select("doc", (F.coalesce("own", F.lit(0.0)) / F.col("weight")).alias("share"))
-        meet(_with_leader(placed.join(share, "doc"), F.col("share")))
-        _settle(meet, state, members, weighed, classes)
+        for _ in range(ROUNDS):
+            able, _ = _able(weighed, placed)
+            meet(_with_leader(able, -F.col("may") / F.col("weight")))
+            placed = cut(_open(able.select("key", "doc"), state["group"]))
+            release(spark)
+        able, apart = _able(weighed, placed)
+        meet(_by_rare_shingles(able, apart, classes.groupBy(F.col("copy_of").alias("doc")).agg(F.min_by("keys", "md5").alias("keys"))))
     out_of = classes.select("md5", "copy_of").join(state["group"], F.col("copy_of") == F.col("node"), "left").select("md5", "copy_of", F.coalesce("least", "copy_of").alias("group_id"))
     out = signed.select("doc_id", "md5").join(out_of, "md5").withColumn("kept", F.col("doc_id") == F.col("group_id"))
     none = F.lit(None).cast("long")
@@ -303,34 +330,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "md5", "copy_of", "group_id", "kept").unionByName(rest)
 
 
-def _settle(meet, state: dict, members: DataFrame, weighed: DataFrame, classes: DataFrame) -> None:
-    """Lets all meet that are still in different groups, share a band and may be similar."""
-    wanted = _open(members, state["group"]).select("doc").distinct()
-    rare = cut(_rarest(weighed.join(wanted, "doc", "left_semi"), state["group"]))
-    keys = classes.select(F.col("copy_of").alias("doc"), "keys")
-    n = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("least").alias("g0"), F.max("least").alias("g1")).where("g0 < g1").select("shingle", "n")
-    rare = cut(rare.join(n, "shingle").join(keys, "doc"))
-    hot = rare.where(F.col("n") > FEW)
-    rare = rare.where(F.col("n") <= FEW)
-    x, y = (rare.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("doc", "least", "weight", "keys"))) for side in "ab")
-    able = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_least") != F.col("b_least"))
-    able &= F.least("a_weight", "b_weight") >= SIMILAR * F.greatest("a_weight", "b_weight") - 1e-9
-    met = x.join(y, (x.shingle == y.shingle) & able & F.arrays_overlap("a_keys", "b_keys"))
-    meet(met.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct())
-    # of shingles that many share: buckets by shingle and band
-    hot = hot.select("doc", F.explode("keys").alias("band"), "shingle").select(F.xxhash64("shingle", "band").alias("key"), "doc")
-    rounds, left = 0, cut(hot)
-    while left.take(1):
-        placed = cut(_open(left, state["group"]))
-        least = [F.min(F.struct(F.xxhash64(F.lit(rounds * LEADERS + k), "doc"), "doc", "least")).alias(f"l{k}") for k in range(LEADERS)]
-        leaders = placed.groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"l{k}")["doc"].alias("doc"), F.col(f"l{k}")["least"].alias("least")) for k in range(LEADERS))))).alias("l"))
-        leaders = cut(leaders.select("key", F.col("l")["doc"].alias("leader"), F.col("l")["least"].alias("leader_group")))
-        met = placed.join(leaders, "key").where("least != leader_group").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        meet(met)
-        left = cut(placed.select("key", "doc").join(leaders.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti"))
-        rounds += 1
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, with all its columns; rows with a null id stay.
 

@@ -120,10 +120,8 @@ def test_groups_in_one_large_bucket(spark):
     assert {i: out[i] for i in of} == of and all(out[i] == i for i in range(300))
 
 
-def test_texts_of_common_passages_equal_brute_force(spark, monkeypatch):
-    """Few passages in many texts: no shingle is rare, so that leaders meet the others round by round."""
-    monkeypatch.setattr(neardup, "FEW", 2)
-    monkeypatch.setattr(neardup, "LEADERS", 2)
+def test_texts_of_common_passages_equal_brute_force(spark):
+    """Few passages in many texts: no shingle is rare."""
     rng = random.Random(12)
     pool = [" ".join(f"p{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(6)]
     texts = [" ".join([*rng.sample(pool, 3), *(f"u{rng.random()}" for _ in range(k % 9))]) for k in range(70)]
@@ -131,6 +129,21 @@ def test_texts_of_common_passages_equal_brute_force(spark, monkeypatch):
     assert [out[i] for i in range(len(texts))] == brute_groups(texts, neardup.frequencies(docs(spark, texts)))
 
 
+def test_chains_of_copies_equal_brute_force(spark):
+    """Copies of copies, with changes that several of them share, and no text that is near all."""
+    rng = random.Random(14)
+    chain = [[f"w{k}" for k in range(120)]]
+    for _ in range(120):
+        other = list(rng.choice(chain[-30:]))
+        for _ in range(rng.randint(1, 5)):
+            other[rng.randrange(len(other))] = f"m{rng.random()}"
+        chain.append(other)
+    texts = [" ".join(x) for x in chain] + [" ".join(f"u{rng.random()}" for _ in range(80)) for _ in range(200)]
+    out = {r.doc_id: r.group_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    want = brute_groups(texts, neardup.frequencies(docs(spark, texts)))
+    assert len(set(want)) > 203 and [out[i] for i in range(len(texts))] == want
+
+
 def test_frequencies_leave_out_what_all_counters_hold():
     counts = np.full(1000, 7)
     counts[:3] = 8, 57, 107
