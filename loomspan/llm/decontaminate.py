@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-A randomised singular value decomposition of the TF-IDF matrix of all passages is computed on the executors: a random test
-matrix goes through the matrix and its transpose in one pass, and the sums (features times PROBES, whatever the input) come
-back. All windows of the documents, as wide as the items, are compared with all items: by the words that they share, which limit the
+A randomised singular value decomposition of the TF-IDF matrix of all passages is computed on the executors. The passages'
+hashed features are written once; their frequencies are counted; then a random test matrix goes through the weighted matrix
+and its transpose, and what comes back, made orthogonal, goes through them again (POWER times). The sums (features times PROBES,
+whatever the input) come back each time. All windows of the documents, as wide as the items, are compared with all items: by the words that they share, which limit the
 longest common subsequence, then by that itself and the item's answer. What is found has its cosine in that space beside it.
 """
 
@@ -19,14 +20,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import mark, remove_since, stored, table, whole
 
 #: Hashed features, probes of the decomposition, words of a passage that it is computed on; each feature is in SIGNS probes.
 FEATURES, PROBES, PASSAGE, SLICE, SIGNS = 1 << 14, 34, 32, 1 << 10, 3
 #: The LEAD first dimensions, in which all passages of a language are alike, are left out; the RANK next ones are kept.
-LEAD, RANK = 4, 28
-#: Items of fewer words are searched for by exact match. So many items are searched for at a time.
-SHORTEST, ITEMS = 5, 5000
+LEAD, RANK, POWER = 4, 28, 1
+#: Items of fewer words are searched for by exact match. So many items are compared at a time, and so many times as many in one scan
+#: of the documents: what executors hold of them is bounded, about 60 MB for ITEMS of 60 words.
+SHORTEST, ITEMS, AT_ONCE = 5, 1000, 4
 #: The share of an item's words in the common subsequence that decides alone, and with the answer.
 SAME, SAME_WITH_ANSWER = 0.75, 0.6
 #: Each width of window is so many times the last; windows start at every (width / STRIDE)th word.
@@ -119,55 +121,106 @@ def _probes() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, PROBES, (FEATURES, SIGNS)), rng.choice(np.array([-1.0, 1.0]), (FEATURES, SIGNS))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how many passages have a feature, and the counts' matrix, transposed, times itself times the probes."""
-    where, signs = _probes()
-    total, df, n = np.zeros((FEATURES, PROBES)), np.zeros(FEATURES), 0
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of texts, some texts a row, and how many each text has."""
     for batch in batches:
         for texts in parts(batch.column(0)):
             codes, sizes = words(texts)
-            if not len(codes):
-                continue
-            f = feature(codes)
-            ends = np.cumsum(sizes)
-            starts = np.concatenate([np.arange(e - s, e, PASSAGE) for e, s in zip(ends, sizes, strict=True)])
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
-            y = np.zeros(len(starts) * PROBES)
-            for k in range(SIGNS):
-                y += np.bincount(passage * PROBES + where[f, k], weights=signs[f, k], minlength=len(y))
-            y = y.reshape(-1, PROBES).astype(np.float32)
-            order = np.argsort(f, kind="stable")
-            f, passage = f[order], passage[order]
-            new = np.r_[True, f[1:] != f[:-1]]
-            first = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array([sizes.astype("<u4").tobytes()]), pa.array([feature(codes).astype("<u2").tobytes()])], names=["sizes", "features"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, first place of each passage) of each row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sizes, f = np.frombuffer(batch.column(0)[k].as_py(), "<u4").astype(np.int64), np.frombuffer(batch.column(1)[k].as_py(), "<u2")
+            if len(f):
+                ends = np.cumsum(sizes)
+                yield f, np.concatenate([np.arange(e - s, e, PASSAGE) for e, s in zip(ends, sizes, strict=True)])
+
+
+def _by_feature(f: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features sorted, the passage of each, and where each feature begins."""
+    passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
+    order = np.argsort(f, kind="stable")
+    f, passage = f[order], passage[order]
+    return f, passage, np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+
+
+def _slices(total: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    for k in range(0, FEATURES if n else 0, SLICE):
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([total[k : k + SLICE].astype("<f4").tobytes()])], names=["slice", "n", "sums"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: how many passages have a feature."""
+    df, n = np.zeros(FEATURES), 0
+    for f, starts in _passages(batches):
+        f, passage, _ = _by_feature(f, starts)
+        df += np.bincount(f[np.r_[True, (f[1:] != f[:-1]) | (passage[1:] != passage[:-1])]], minlength=FEATURES)
+        n += len(starts)
+    yield from _slices(df, n)
+
+
+def _sketch(shared):
+    """Per task: the TF-IDF matrix's transpose times itself times the sparse signs, or times the basis that is given."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, basis = shared.value
+        where, signs = _probes()
+        signs = signs * idf[:, None]
+        weighted = None if basis is None else (idf[:, None] * basis).astype(np.float32)
+        total, n = np.zeros((FEATURES, PROBES)), 0
+        for f, starts in _passages(batches):
+            if weighted is None:
+                passage, y = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)])), np.zeros(len(starts) * PROBES)
+                for k in range(SIGNS):
+                    y += np.bincount(passage * PROBES + where[f, k], weights=signs[f, k], minlength=len(y))
+                y = y.reshape(-1, PROBES).astype(np.float32)
+            else:
+                y = np.add.reduceat(weighted[f], starts, axis=0)
+            f, passage, first = _by_feature(f, starts)
             total[f[first]] += np.add.reduceat(y[passage], first, axis=0)
-            df += np.bincount(f[new | np.r_[True, passage[1:] != passage[:-1]]], minlength=FEATURES)
             n += len(starts)
-    if n:
-        for k in range(0, FEATURES, SLICE):
-            own = np.concatenate([df[k : k + SLICE, None], total[k : k + SLICE]], 1).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([own.tobytes()])], names=["slice", "n", "sums"])
+        yield from _slices(idf[:, None] * total, n)
 
+    return sketch
 
-def _sum(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n, at = np.zeros(SLICE * (PROBES + 1)), 0, 0
-    for batch in groups:
-        for k in range(batch.num_rows):
-            at, n = batch.column(0)[k].as_py(), n + batch.column(1)[k].as_py()
-            total += np.frombuffer(batch.column(2)[k].as_py(), "<f4")
-    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n]), pa.array([total.astype("<f8").tobytes()])], names=["slice", "n", "sums"])
 
+def _sum(width: int):
+    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, at = np.zeros(SLICE * width), 0, 0
+        for batch in groups:
+            for k in range(batch.num_rows):
+                at, n = batch.column(0)[k].as_py(), n + batch.column(1)[k].as_py()
+                total += np.frombuffer(batch.column(2)[k].as_py(), "<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n]), pa.array([total.astype("<f8").tobytes()])], names=["slice", "n", "sums"])
 
-def decompose(docs: DataFrame) -> np.ndarray:
-    """For each feature, its inverse document frequency times its place in the space of singular vectors, each weighted down by its share of the variance."""
-    texts = docs.select(whole().alias("text"))
-    rows = texts.mapInArrow(_sketch, "slice long, n long, sums binary").groupBy("slice").applyInArrow(_sum, "slice long, n long, sums binary").collect()  # FEATURES / SLICE rows
-    sums, n = np.zeros((FEATURES, PROBES + 1)), 0
-    for r in rows:
+    return add
+
+
+def _summed(rows: DataFrame, of, width: int) -> tuple[np.ndarray, int]:
+    """What tasks sum per feature, summed over all tasks; FEATURES / SLICE rows come to the driver."""
+    schema = "slice long, n long, sums binary"
+    sums, n = np.zeros((FEATURES, width)), 0
+    for r in rows.mapInArrow(of, schema).groupBy("slice").applyInArrow(_sum(width), schema).collect():
         sums[r["slice"] : r["slice"] + SLICE] = np.frombuffer(r["sums"], "<f8").reshape(SLICE, -1)
         n += r["n"]
-    idf = np.log((n + 1) / (sums[:, 0] + 1)) + 1
-    basis, values, _ = np.linalg.svd(idf[:, None] * sums[:, 1:], full_matrices=False)
+    return sums, n
+
+
+def decompose(docs: DataFrame, power: int = POWER) -> np.ndarray:
+    """For each feature, its inverse document frequency times its place in the space of singular vectors, each weighted down by its share of the variance."""
+    spark, at = docs.sparkSession, mark()
+    rows = stored(docs.select(whole().alias("text")).mapInArrow(_features, "sizes binary, features binary"))
+    df, n = _summed(rows, _frequencies, 1)
+    idf, basis = np.log((n + 1) / (df[:, 0] + 1)) + 1, None
+    for _ in range(power + 1):
+        shared = spark.sparkContext.broadcast((idf, basis))
+        sums, _ = _summed(rows, _sketch(shared), PROBES)
+        shared.destroy()
+        basis, values, _ = np.linalg.svd(sums, full_matrices=False)
+    remove_since(spark, at)
     kept = slice(LEAD, LEAD + RANK)
     scale = np.maximum(values[kept], 1e-6 * max(values[0], 1e-12)) / max(values[0], 1e-12)
     return np.ascontiguousarray((idf[:, None] * basis[:, kept] / scale).astype(np.float32))
@@ -349,13 +402,19 @@ def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, floa
 RESULT = "doc_id long, contaminated boolean, n_items long, items array<long>, share double, cosine double"
 
 
-def searches(docs: DataFrame, benchmark: DataFrame) -> list:
-    """The items that are searched for, in broadcasts of ITEMS about, in the space of docs."""
+def searches(docs: DataFrame, benchmark: DataFrame) -> list[list]:
+    """The items that are searched for, in broadcasts of ITEMS about, in the space of docs; AT_ONCE of them go through the documents together."""
     space = decompose(docs)
     wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     blocks = max(1, -(-wanted.count() // ITEMS))
     own = lambda k: wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-    return [docs.sparkSession.sparkContext.broadcast(Items.of([tuple(r) for r in own(k)], space)) for k in range(blocks)]
+    shared = [docs.sparkSession.sparkContext.broadcast(Items.of([tuple(r) for r in own(k)], space)) for k in range(blocks)]
+    return [shared[k : k + AT_ONCE] for k in range(0, blocks, AT_ONCE)]
+
+
+def _hits(searched: list, texts: list[bytes]) -> list[list[tuple[int, float, float]]]:
+    found = [search(shared.value, texts) for shared in searched]
+    return found[0] if len(found) == 1 else [sorted(h for own in of_text for h in own) for of_text in zip(*found, strict=True)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -364,20 +423,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item (benchmark: item_id, text) is in a text if a passage near it holds SAME of its words in their order, or
     SAME_WITH_ANSWER of them and all of its last fifth; one of fewer than SHORTEST words, if all of them stand there in a row.
     Characters of scripts without blanks are words. Items without words or with a null id aren't searched for. Null
-    texts count as empty: not contaminated. Repeated rows are judged each, but put together by id where there are more than
-    ITEMS items; empty tables give no rows or no contamination. Long texts are read whole; other columns are ignored. All
-    items go against all rows, ITEMS of them at a time.
+    texts count as empty: not contaminated. Ties of the best share go to the greater cosine. Repeated rows are judged each, but
+    put together by id where there are more than AT_ONCE * ITEMS items; empty tables give no rows or no contamination. Long texts
+    are read whole; other columns are ignored. All items go against all rows.
     """
     rows, found = docs.select(F.col("doc_id").cast("long"), whole().alias("text")), None
     searched = searches(docs, benchmark)
-    for shared in searched:
+    for together in searched:
 
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], together=together) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[list] = [[] for _ in range(5)]
                 for texts in parts(batch.column(1)):
-                    for hits in search(shared.value, texts):
-                        best = max(hits, key=lambda x: x[1], default=(0, None, None))
+                    for hits in _hits(together, texts):
+                        best = max(hits, key=lambda x: x[1:], default=(0, None, None))
                         for column, x in zip(out, (bool(hits), len(hits), [h[0] for h in hits], best[1], best[2]), strict=True):
                             column.append(x)
                 kinds = (pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.float64())
@@ -393,13 +452,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    for shared in searches(docs, benchmark):
+    """The rows of docs that hold no item, with all their columns; in one scan, whatever the number of items."""
+    for together in searches(docs, benchmark):
 
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], together=together) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
-                yield batch.filter(pa.array([not hits for part in parts(texts) for hits in search(shared.value, part)], pa.bool_()))
+                yield batch.filter(pa.array([not hits for part in parts(texts) for hits in _hits(together, part)], pa.bool_()))
 
         docs = docs.mapInArrow(look, docs.schema)
     return docs

@@ -177,6 +177,35 @@ def test_common_subsequence_equals_the_table():
         assert decontaminate.common_subsequence(a, b) == plain_subsequence(a.tolist(), b.tolist())
 
 
+def test_decomposition_equals_that_of_the_whole_matrix(spark):
+    """The space spanned against numpy's decomposition of the full TF-IDF matrix of the passages."""
+    rng = random.Random(15)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(8)]
+    texts = [" ".join(rng.choice(topics[k % 8]) for _ in range(rng.randint(20, 90))) for k in range(200)]
+    space = decontaminate.decompose(docs(spark, texts))
+    passages = []
+    for t in texts:
+        f = decontaminate.feature(decontaminate.words([t.encode()])[0])
+        passages += [np.bincount(f[k : k + decontaminate.PASSAGE], minlength=decontaminate.FEATURES) for k in range(0, len(f), decontaminate.PASSAGE)]
+    counts = np.array(passages, float)
+    idf = np.log((len(counts) + 1) / ((counts > 0).sum(0) + 1)) + 1
+    basis = np.linalg.svd(counts * idf, full_matrices=False)[2][:8].T
+    own = np.linalg.qr(space / idf[:, None])[0]
+    # the eight topics' directions are found, but for those that are left out
+    assert (np.linalg.norm(own.T @ basis, axis=0) ** 2).sum() > 8 - decontaminate.LEAD - 0.1
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    items = [" ".join(f"i{k}w{j}" for j in range(10)) for k in range(20)]
+    texts = ["before " + items[k] + " after" if k % 2 else f"plain text {k}" for k in range(20)] + [items[3] + " and " + items[4]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = {r.doc_id: r.items for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
+    assert out == {**{k: [k] if k % 2 else [] for k in range(20)}, 20: [3, 4]}
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs(spark, texts), bench).collect()) == list(range(0, 20, 2))
+
+
 def test_leaks_are_found_and_others_left(spark):
     rng = random.Random(13)
     words = [f"word{k}" for k in range(3000)]
