@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -112,26 +113,36 @@ def _by_descriptions(groups: Groups, entities: list[Entity]) -> None:
 
 
 def _by_head_nouns(groups: Groups, entities: list[Entity], same_chunk: bool = False) -> None:
-    """A lone described entity joins the only named group with its head noun, in the nearest chunk at or before its own that has one."""
-    of, held = dict(groups.of), {g: list(n) for g, n in groups.held.items()}
-    by_node = {e.node: e for e in entities}
-    named: dict[Node, tuple[str, set[str], set[int]]] = {}
-    for g, nodes in held.items():
-        own = [m for n in nodes for m in by_node[n].surfaces() if identifying(m)]
-        if own:
-            named[g] = by_node[min(nodes)].type, {w.casefold() for m in own for w in tokens(m)}, {n[0] for n in nodes}
+    """A lone described entity joins the only named group with its head noun, in the nearest chunk at or before its own that has one.
+
+    An index by type and word holds the chunks where named groups are, in order, and the groups of each.
+    """
+    of, sizes = dict(groups.of), {g: len(n) for g, n in groups.held.items()}
+    names: dict[Node, set[str]] = defaultdict(set)
+    places: dict[Node, set[int]] = defaultdict(set)
+    kinds: dict[Node, tuple[Node, str]] = {}
     for e in entities:
         g = of[e.node]
-        if g in named or len(held[g]) > 1 or not e.all_generic():
+        names[g].update(w.casefold() for m in e.surfaces() if identifying(m) for w in tokens(m))
+        places[g].add(e.chunk)
+        kinds[g] = min(kinds.get(g, (e.node, e.type)), (e.node, e.type))
+    there: dict[tuple[str, str], dict[int, set[Node]]] = defaultdict(lambda: defaultdict(set))
+    for g, words in names.items():
+        for word in words:
+            for chunk in places[g]:
+                there[kinds[g][1], word][chunk].add(g)
+    chunks = {key: sorted(found) for key, found in there.items()}
+    for e in entities:
+        g = of[e.node]
+        if names[g] or sizes[g] > 1 or not e.all_generic():
             continue
-        heads = {d.split()[-1] for d in e.descriptions()}
-        fits = {x: at for x, (kind, words, at) in named.items() if kind == e.type and words & heads and min(at) <= e.chunk}
-        for k in range(e.chunk, -1, -1):
-            there = [x for x, at in fits.items() if k in at]
-            if there:
-                if len(there) == 1:
-                    groups.join(there[0], e.node, "d", force=same_chunk)
-                break
+        keys = [key for d in e.descriptions() if (key := (e.type, d.split()[-1])) in there]
+        earlier = [(chunks[key][k - 1], key) for key in keys if (k := bisect_right(chunks[key], e.chunk))]
+        if earlier:
+            nearest = max(chunk for chunk, _ in earlier)
+            found = set().union(*(there[key][nearest] for chunk, key in earlier if chunk == nearest))
+            if len(found) == 1:
+                groups.join(found.pop(), e.node, "d", force=same_chunk)
 
 
 def resolve(entities: list[Entity], carried: bool = False, carry_forward: bool = True, same_chunk: bool = False) -> Groups:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import claim_key
-from .rows import flat_map
+from .rows import flat_map, ranked
 
 CLAIM = ["doc_id", "src", "type", "tgt"]
 
@@ -170,16 +170,16 @@ def scored(counts: DataFrame, by: list[str]) -> DataFrame:
 def replicates(counts: DataFrame, rounds: int = 2000, salt: str = "boot") -> DataFrame:
     """replicate, source, f1: each replicate draws as many documents as there are, by hash, with replacement.
 
-    The draws are counted per replicate and document first; documents are numbered in order of id.
+    The draws are counted per replicate and document first; documents are numbered in order of their hash, then id.
     """
     spark = counts.sparkSession
     docs = counts.select("doc_id").distinct()
     n = docs.count()
     if not n:
         return spark.createDataFrame([], "replicate long, source string, f1 double")
-    numbered = docs.withColumn("slot", F.row_number().over(W.orderBy("doc_id")) - 1)
-    draws = spark.range(rounds).withColumnRenamed("id", "replicate").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("slot", F.pmod(hashed(F.lit(salt), F.col("replicate"), F.col("k")), F.lit(n)).cast("int")).groupBy("replicate", "slot").agg(F.count("*").alias("times"))
+    numbered = ranked(docs, hashed(F.col("doc_id")), "doc_id").withColumn("slot", F.col("_rank") - 1)
+    draws = spark.range(rounds * n).select(F.floor(F.col("id") / n).alias("replicate"), F.pmod("id", F.lit(n)).alias("k"))
+    draws = draws.withColumn("slot", F.pmod(hashed(F.lit(salt), F.col("replicate"), F.col("k")), F.lit(n))).groupBy("replicate", "slot").agg(F.count("*").alias("times"))
     weighted = draws.join(numbered, "slot").join(counts, "doc_id")
     sums = weighted.groupBy("replicate", "source").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("wrote", "right", "true_facts")))
     p, r = F.col("right") / F.greatest("wrote", F.lit(1)), F.col("right") / F.greatest("true_facts", F.lit(1))

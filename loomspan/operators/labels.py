@@ -12,7 +12,7 @@ from ..functions import segment, validate
 from ..functions.answers import MAX_ENTITIES, MAX_RELATIONS
 from .judging import hashed
 from .ontology import registered
-from .rows import flat_map
+from .rows import flat_map, ranked
 from .segmentation import chunks
 
 
@@ -21,7 +21,7 @@ def group_split(chunk_table: DataFrame, pattern: str = "", val: float = 0.1, tes
     their hash; the first round(n * test) are test, at least one, the next round(n * val) val. No group is in two splits."""
     name = F.regexp_extract("doc_id", pattern, 1) if pattern else F.col("doc_id").cast("string")
     df = chunk_table.withColumn("_group", name)
-    groups = df.select("_group").distinct().withColumn("_rank", F.row_number().over(W.orderBy(hashed(F.lit(salt), F.col("_group")), "_group")))
+    groups = ranked(df.select("_group").distinct(), hashed(F.lit(salt), F.col("_group")), "_group")
     n = groups.agg(F.count("*").alias("_n"))
     n_test, n_val = F.greatest(F.lit(1), F.round(F.col("_n") * test)), F.round(F.col("_n") * val)
     placed = groups.crossJoin(F.broadcast(n))  # one row

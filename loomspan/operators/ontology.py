@@ -214,10 +214,10 @@ COARSE_RELATION = {
 def coarsen(relations: DataFrame, keys: list[str]) -> DataFrame:
     """Relations (keys, ord, source, target, type, src_type, tgt_type) in the coarse view, the first of equals, with fine_type.
 
-    FOUNDED depends on its source: a person is affiliated with what it founded, an organisation owns it.
+    FOUNDED depends on its source: an organisation owns what it founded, any other is affiliated with it.
     """
     pairs = F.create_map(*(F.lit(x) for kv in COARSE_RELATION.items() for x in kv))
-    founded = F.when(F.col("src_type") == "Person", F.lit("AFFILIATED_WITH")).when(F.col("src_type") == "Org", F.lit("OWNS"))
+    founded = F.when(F.col("src_type") == "Org", F.lit("OWNS")).otherwise(F.lit("AFFILIATED_WITH"))
     known = F.col("src_type").isin(*COARSE_ENTITY) & F.col("tgt_type").isin(*COARSE_ENTITY)
     df = relations.where(known).withColumn("coarse", F.when(F.col("type") == "FOUNDED", founded).otherwise(pairs[F.col("type")])).where("coarse is not null")
     a, b = canonical_ends(F.col("coarse").isin(*COARSE_SYMMETRIC), F.col("source"), F.col("target"))

@@ -18,6 +18,7 @@ from .rows import flat_map
 
 
 def _grouped(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """One row for each document with all its entities: a document's entities must fit into a task's memory, as its graph must."""
     m = mentions.groupBy("doc_id", "chunk", "ent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "at", "mention"))).alias("mentions"))
     e = entities.join(m, ["doc_id", "chunk", "ent_id"], "left")
     return e.select("doc_id", F.struct("chunk", "ord", "ent_id", "type", "name", "mentions").alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("nodes"))
@@ -33,12 +34,12 @@ def entity_groups(entities: DataFrame, mentions: DataFrame, carried: bool = Fals
     def make(nodes):
         own = _entities(nodes)
         groups = resolve(own, carried, carry_forward, same_chunk)
-        by_node = {e.node: e for e in own}
+        by_node, place = {e.node: e for e in own}, {e.node: k for k, e in enumerate(own)}
         number: dict = {}
         for e in own:
             number.setdefault(groups.of[e.node], f"e{len(number) + 1}")
         for g, members in groups.held.items():
-            order = sorted(members, key=list(by_node).index)
+            order = sorted(members, key=place.__getitem__)
             names = [by_node[n].name for n in order]
             unnamed = all(generic(s) for n in order for s in [by_node[n].name, *by_node[n].surfaces()])
             yield from ((n[0], n[1], number[g], best_name(names), unnamed) for n in order)

@@ -35,9 +35,9 @@ def listed(known_rows: DataFrame, most: int = 40, surfaces: int = 4) -> DataFram
 
 def known_before(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """For each chunk (doc_id, chunk) what its document's earlier chunks named: doc_id, chunk, number, type, last_seen."""
-    a = answers.select("doc_id", F.col("chunk").alias("_c"), "number", "type")
-    seen = chunks.select("doc_id", "chunk").join(a, "doc_id").where("_c < chunk")
-    return seen.groupBy("doc_id", "chunk", "number").agg(F.min_by("type", "_c").alias("type"), F.max("_c").alias("last_seen"))
+    per = answers.groupBy("doc_id", "number").agg(F.min_by("type", "chunk").alias("type"), F.array_sort(F.collect_set("chunk")).alias("_at"))
+    seen = chunks.select("doc_id", "chunk").join(per, "doc_id").where(F.col("_at")[0] < F.col("chunk"))  # a row for each row of the result
+    return seen.select("doc_id", "chunk", "number", "type", F.array_max(F.filter("_at", lambda c: c < F.col("chunk"))).alias("last_seen"))
 
 
 STATE = "numbers array<int>, types array<string>, surfaces array<array<string>>, last array<int>"
