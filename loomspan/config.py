@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,22 @@ class EngineConfig:
     retype: bool = True
 
 
+def from_json(text: str, base: EngineConfig = EngineConfig()) -> EngineConfig:
+    """Settings from a JSON object: the keys that are settings here, over a base; other keys belong to the proposer and are left out."""
+    names = {f.name for f in fields(EngineConfig)}
+    return replace(base, **{k: v for k, v in json.loads(text).items() if k in names})
+
+
+def first_config(texts: list[str | None], keys: tuple[str, ...] = ("schema", "format", "compact_prompt", "conditioned")) -> dict:
+    """What a trained proposer says of how it is asked, from the first of several configurations that is there; none is an error."""
+    found = next((t for t in texts if t), None)
+    if found is None:
+        raise FileNotFoundError("no configuration says how the proposer was trained")
+    own = json.loads(found)
+    defaults = {"schema": "business", "format": "sentences", "compact_prompt": False, "conditioned": False}
+    return {k: own.get(k, defaults.get(k)) for k in keys}
+
+
 # Word lists that results depend on.
 LEGAL_SUFFIXES = frozenset("as asa ab oy aps ou gmbh ltd inc plc sa ag nv bv se llc corp co limited".split())
 PRONOUNS = frozenset(

@@ -57,6 +57,41 @@ def canonical(relations: DataFrame, symmetric: frozenset[str] | set[str]) -> Dat
     return relations.select("chunk_id", "type", F.when(swap, F.col("tgt")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("tgt")).alias("tgt"))
 
 
+def spans_of(results: DataFrame) -> DataFrame:
+    """chunk_id, ent, ord, type, start, end: where the entities of results (entities, spans by entity id) stand."""
+    e = results.select("chunk_id", "spans", F.posexplode("entities").alias("ord", "e"))
+    at = e.select("chunk_id", F.col("e.id").alias("ent"), "ord", F.col("e.type").alias("type"), F.explode(F.element_at("spans", F.col("e.id"))).alias("s"))
+    return at.select("chunk_id", "ent", "ord", "type", "s.start", "s.end")
+
+
+def labels_of(results: DataFrame) -> DataFrame:
+    """chunk_id, ent, type, name: entities by what both sides can name, their best surface, in lower case without full stops."""
+    from ..functions.names import display_name
+    from .rows import flat_map
+
+    def make(entities):
+        for e in entities or []:
+            yield e["id"], e["type"], " ".join(display_name(e["mentions"]).lower().replace(".", "").split())
+
+    return flat_map(results, ["chunk_id"], ["entities"], make, "ent string, type string, name string")
+
+
+def triples_of(results: DataFrame) -> DataFrame:
+    """chunk_id, type, src, tgt by entity id."""
+    return results.select("chunk_id", F.explode("relations").alias("r")).select("chunk_id", "r.type", F.col("r.source").alias("src"), F.col("r.target").alias("tgt"))
+
+
+def relation_relaxed(gold: DataFrame, pred: DataFrame, gold_labels: DataFrame, pred_labels: DataFrame, symmetric: set[str]) -> DataFrame:
+    """Relations whose ends agree by name and type, whatever the spans."""
+
+    def by_name(relations: DataFrame, labels: DataFrame) -> DataFrame:
+        end = lambda k: labels.select("chunk_id", F.col("ent").alias(k), F.concat_ws("|", "name", "type").alias(f"{k}_name"))
+        r = relations.join(end("src"), ["chunk_id", "src"]).join(end("tgt"), ["chunk_id", "tgt"])
+        return canonical(r.select("chunk_id", "type", F.col("src_name").alias("src"), F.col("tgt_name").alias("tgt")), symmetric)
+
+    return counted(compared(by_name(gold, gold_labels), by_name(pred, pred_labels), ["chunk_id", "type", "src", "tgt"]))
+
+
 def entity_strict(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return counted(compared(gold, pred, ["chunk_id", "start", "end", "type"]))
 
@@ -104,12 +139,68 @@ def summary(chunks: DataFrame, results: DataFrame) -> DataFrame:
     relations = F.coalesce(F.size("relations"), F.lit(0))
     lost_m, lost_e = F.coalesce("unresolved_mentions", F.lit(0)), F.coalesce("unresolved_evidence", F.lit(0))
     illegal = F.coalesce("illegal_relations", F.lit(0))
+    took = F.sum("seconds") if "seconds" in results.columns else F.lit(None).cast("double")
     return r.agg(
         F.count("*").alias("chunks"), F.round(F.avg(ok.cast("double")), 4).alias("schema_validity"), share(lost_m, mentions + lost_m).alias("hallucinated_mentions"),
         share(lost_e, relations + lost_e).alias("hallucinated_evidence"), share(illegal, relations + illegal).alias("illegal_relations"),
+        F.round(F.when(took > 0, 60 * F.count("*") / took), 2).alias("chunks_per_minute"),
     )
 
 
+METRICS = "metric string, tp long, fp long, fn long, precision double, recall double, f1 double"
+
+
+def summarized(gold: DataFrame, results: DataFrame, symmetric: set[str]) -> DataFrame:
+    """metric, tp, fp, fn, precision, recall, f1, pooled over all chunks of gold; a chunk without a result counts as empty.
+
+    Both tables have chunk_id, entities, relations and spans. The metrics are ent_strict, ent_relaxed, coref, rel_strict,
+    rel_relaxed, rel_pair, and rel_type, whose tp are the found pairs that have a type in common.
+    """
+    pred = results.join(gold.select("chunk_id"), "chunk_id", "left_semi").where("entities is not null")
+    g_spans, p_spans = spans_of(gold), spans_of(pred)
+    g_names, p_names = labels_of(gold), labels_of(pred)
+    g_rel, p_rel = triples_of(gold), triples_of(pred)
+    # every predicted entity is aligned, those without a place to none
+    ids = pred.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", F.col("e.id").alias("pred_ent")).distinct()
+    alignment = ids.join(aligned(p_spans, g_spans), ["chunk_id", "pred_ent"], "left")
+    g_canonical = canonical(g_rel, symmetric)
+    pairs = relation_pairs(g_canonical, p_rel, alignment)
+    typed = pairs.select(F.col("typed").alias("tp"), (F.col("shared") - F.col("typed")).alias("fp"), (F.col("shared") - F.col("typed")).alias("fn"))
+    tables = {
+        "ent_strict": entity_strict(g_spans, p_spans), "ent_relaxed": entity_relaxed(g_names, p_names), "coref": coreference(g_spans, p_spans),
+        "rel_strict": relation_strict(g_rel, p_rel, alignment, symmetric), "rel_relaxed": relation_relaxed(g_rel, p_rel, g_names, p_names, symmetric),
+        "rel_pair": pairs, "rel_type": typed.select("*", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn"))),
+    }
+    out = None
+    for name, t in tables.items():
+        row = t.select(F.lit(name).alias("metric"), "tp", "fp", "fn", "precision", "recall", "f1")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def evaluated(gold: DataFrame, results: DataFrame, schemas: dict, union_results: DataFrame | None = None) -> DataFrame:
+    """source (generator, and union where given), schema, metric and its figures: each chunk of gold (with a column schema) under its own schema."""
+    out = None
+    for source, rows in (("generator", results), ("union", union_results)):
+        for name, schema in schemas.items() if rows is not None else ():
+            own = summarized(gold.where(F.col("schema") == name), rows, set(schema.symmetric())).select(F.lit(source).alias("source"), F.lit(name).alias("schema"), "*")
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def grid(written: DataFrame, scores: DataFrame, legal: DataFrame, gold: DataFrame, keys: list[str], cuts: list[float], margins: list[float]) -> DataFrame:
+    """cut, margin and the figures of the union with them, for each pair of settings (columns keys, type, src, tgt)."""
+    from .union import union
+
+    out = None
+    for cut in cuts:
+        for margin in margins:
+            on = [*keys, "type", "src", "tgt"]
+            row = counted(compared(gold, union(written, scores, legal, keys, cut, margin), on)).select(F.lit(cut).alias("cut"), F.lit(margin).alias("margin"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def sentence_distance(positions: DataFrame) -> DataFrame:
     """Least distance in sentences between any two entities of a chunk (chunk_id, ent, sentence)."""
     one = lambda k: positions.select("chunk_id", F.col("ent").alias(k), F.col("sentence").alias(f"{k}_s")).distinct()

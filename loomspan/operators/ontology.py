@@ -43,6 +43,18 @@ def relation(name: str, sources: str, targets: str, definition: str = "", **more
     return RelationType(edge_name(name) if not name.isupper() else name, ends, " ".join(definition.split()), **more)
 
 
+def following(definition: str, named: dict[str, str], dropped: Iterable[str]) -> str:
+    """A definition under a variant: relations by the names that they have there, and without clauses, but for the first, that name a type that is gone. A plural counts as the type."""
+    gone = set(dropped)
+    known = sorted({*named, *gone}, key=len, reverse=True)
+    if not known:
+        return definition
+    mention = re.compile(rf"\b({'|'.join(map(re.escape, known))})(s?)\b")
+    first, *more = (c.strip() for c in definition.split(";"))
+    kept = [first, *(c for c in more if not any(m[1] in gone for m in mention.finditer(c)))]
+    return "; ".join(mention.sub(lambda m: named.get(m[1], m[1]) + m[2], c) for c in kept)
+
+
 @dataclass(frozen=True)
 class Schema:
     name: str
@@ -106,6 +118,24 @@ class Schema:
             edges.append(f"- {r.name} ({'; '.join(f'{s} -> {t}' for s, t in r.ends)}): {r.definition}" + (f" [{'; '.join(notes)}]" if notes else ""))
         return "\n".join(["Node types:", *nodes, "", "Edge types:", *edges])
 
+    def sources(self, edge: str) -> list[str]:
+        return sorted({s for s, _ in self._by_name[edge].ends})
+
+    def targets(self, edge: str) -> list[str]:
+        return sorted({t for _, t in self._by_name[edge].ends})
+
+    def rendered(self) -> str:
+        """The short text for conditioned prompts: entity types, then relation types with their ends."""
+        nodes = [f"- {e.name}: {e.definition}" + f" (required attributes: {', '.join(e.required)})" * bool(e.required) for e in self.entities]
+        edges = [f"- {r.name}: {'|'.join(self.sources(r.name))} -> {'|'.join(self.targets(r.name))}. {r.definition}" + f"; attributes: {', '.join(r.attributes)}" * bool(r.attributes) for r in self.relations]
+        return "\n".join(["Entity types:", *nodes, "Relation types (source -> target):", *edges])
+
+    def as_json(self) -> dict:
+        """The schema itself: what each type means, needs and may connect."""
+        nodes = {e.name: {"description": e.definition, "required": list(e.required)} for e in self.entities}
+        edges = {r.name: {"description": r.definition, "attributes": list(r.attributes), "sources": self.sources(r.name), "targets": self.targets(r.name), "symmetric": r.symmetric} for r in self.relations}
+        return {"name": self.name, "entities": nodes, "relations": edges}
+
     def json_schema(self) -> dict:
         """What a valid answer in JSON looks like."""
         strings = {"type": "object", "additionalProperties": {"type": "string"}}
@@ -114,21 +144,34 @@ class Schema:
         many = lambda p, need: {"type": "array", "maxItems": 40, "items": {"type": "object", "properties": p, "required": need}}
         return {"type": "object", "required": ["entities", "relations"], "properties": {"entities": many(entity, ["id", "type", "name", "mentions"]), "relations": many(edge, ["type", "source", "target", "modality", "evidence"])}}
 
+    def without(self, relations: Iterable[str] = (), entities: Iterable[str] = (), name: str | None = None) -> tuple[Schema, dict[str, str]]:
+        """The schema without these types, and the relations that stay: one needs a legal pair of ends that stay, and an entity type that loses all its relations goes too."""
+        gone = set(relations), set(entities)
+        linked = {x for r in self.relations for pair in r.ends for x in pair}
+        kept = []
+        for r in self.relations:
+            ends = tuple(pair for pair in r.ends if not gone[1] & set(pair))
+            if r.name not in gone[0] and ends:
+                kept.append(replace(r, ends=ends))
+        used = {x for r in kept for pair in r.ends for x in pair}
+        nodes = tuple(e for e in self.entities if e.name not in gone[1] and (e.name in used or e.name not in linked))
+        dropped = {r.name for r in self.relations} - {r.name for r in kept} | {e.name for e in self.entities} - {e.name for e in nodes}
+        names = {r.name: r.name for r in kept}
+        out = tuple(replace(r, definition=following(r.definition, names, dropped)) for r in kept)
+        return Schema(name or f"{self.name}~reduced", nodes, out), names
+
     def variant(self, seed: int, drop: float = 0.25, rename: float = 0.3, rephrase: float = 0.3) -> tuple[Schema, dict[str, str]]:
         """A sub-schema by a seeded draw: some relations go, some take an alias or a paraphrase, the order changes. Also the new name of each relation that stays."""
         rng = random.Random(seed)
         kept = [r for r in self.relations if rng.random() >= drop] or [rng.choice(self.relations)]
-        gone = {r.name for r in self.relations} - {r.name for r in kept}
         named, out = {}, []
         for r in rng.sample(kept, len(kept)):
-            name = rng.choice(r.aliases) if r.aliases and rng.random() < rename else r.name
+            named[r.name] = rng.choice(r.aliases) if r.aliases and rng.random() < rename else r.name
             text = rng.choice(r.paraphrases) if r.paraphrases and rng.random() < rephrase else r.definition
-            named[r.name] = name
-            out.append(replace(r, name=name, aliases=(), definition=text))
-        follow = lambda text: "; ".join(c for k, c in enumerate(text.split("; ")) if not k or not any(g in c for g in gone))
-        rename_in = lambda text: re.sub(r"\b[A-Z][A-Z_]+\b", lambda m: named.get(m[0], m[0]), text)
-        out = [replace(r, definition=rename_in(follow(r.definition))) for r in out]
+            out.append(replace(r, name=named[r.name], aliases=(), definition=text))
         used = {x for r in out for pair in r.ends for x in pair}
+        dropped = {r.name for r in self.relations} - named.keys() | {e.name for e in self.entities} - used
+        out = [replace(r, definition=following(r.definition, named, dropped)) for r in out]
         return Schema(f"{self.name}~{seed}", tuple(e for e in self.entities if e.name in used), tuple(out)), named
 
     # --- dimension tables ---
@@ -198,6 +241,31 @@ def map_types(relations: DataFrame, named: dict[str, str]) -> DataFrame:
     return relations.withColumn("type", pairs[F.col("type")]).where("type is not null")
 
 
+def gold_under(entities: DataFrame, relations: DataFrame, schema: Schema, named: dict[str, str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Gold (keys, ent_id, type; keys, type, source, target) under a variant: entities of types that stay, and relations that stay, under
+    their new names, between two of these and legal there."""
+    kept = entities.where(F.col("type").isin(*(e.name for e in schema.entities)))
+    end = lambda k: kept.select(*keys, F.col("ent_id").alias(k), F.col("type").alias({"source": "src_type", "target": "tgt_type"}[k]))
+    placed = map_types(relations, named).join(end("source"), [*keys, "source"]).join(end("target"), [*keys, "target"])
+    return kept, legal_only(placed, schema.dim_legal(relations.sparkSession)).select(*relations.columns)
+
+
+def training_view(entities: DataFrame, relations: DataFrame, schema: Schema, keys: list[str], held_out: dict | None = None, seed: int | None = None) -> tuple[DataFrame, DataFrame, Schema] | None:
+    """Gold and schema as training sees them: without held-out types (held_out: schemas, relations, entities), then, with a seed, under a random variant. None where the schema is held out."""
+    held = held_out or {}
+    if schema.name in held.get("schemas", ()):
+        return None
+    if held.get("relations") or held.get("entities"):
+        small, named = schema.without(held.get("relations", ()), held.get("entities", ()))
+        entities, relations = gold_under(entities, relations, small, named, keys)
+        schema = small
+    if seed is not None:
+        drawn, named = schema.variant(seed)
+        entities, relations = gold_under(entities, relations, drawn, named, keys)
+        schema = drawn
+    return entities, relations, schema
+
+
 # --- the coarse view ---
 
 # Entity types and relation types of the view; a founder owns an organisation if it is one itself.
@@ -211,6 +279,15 @@ COARSE_RELATION = {
 }
 
 
+def coarse_rendered() -> str:
+    """The coarse view as text."""
+    of: dict[str, list[str]] = {}
+    for fine, coarse in [*COARSE_RELATION.items(), ("FOUNDED", "AFFILIATED_WITH"), ("FOUNDED", "OWNS")]:
+        of.setdefault(coarse, []).append(fine)
+    lines = [f"- {coarse}{' (symmetric)' if coarse in COARSE_SYMMETRIC else ''}: {', '.join(fine)}" for coarse, fine in sorted(of.items())]
+    return "\n".join([f"Entity types: {', '.join(COARSE_ENTITY)}", "Relation types, and what each holds:", *lines])
+
+
 def coarsen(relations: DataFrame, keys: list[str]) -> DataFrame:
     """Relations (keys, ord, source, target, type, src_type, tgt_type) in the coarse view, the first of equals, with fine_type.
 

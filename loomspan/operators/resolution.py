@@ -114,13 +114,14 @@ def evidence(relations: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def shared_sentence(found: DataFrame, sentences: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (doc_id, source, target, lo, hi) without evidence: the first sentence within lo and hi where both are mentioned."""
+    """For pairs (doc_id, source, target, lo, hi, and what else names them) without evidence: the first sentence within lo and hi where both are mentioned."""
     from .segmentation import with_sentence
 
     m = with_sentence(found.select("doc_id", "merged_id", "start"), sentences, ["doc_id"]).where("sent_start is not null").select("doc_id", "merged_id", "sent_start", "sent_end").distinct()
     a, b = (m.select("doc_id", F.col("merged_id").alias(k), "sent_start", "sent_end") for k in ("source", "target"))
     both = pairs.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target", "sent_start", "sent_end"]).where("sent_start >= lo and sent_end <= hi")
-    return both.groupBy("doc_id", "source", "target").agg(F.min(F.struct("sent_start", "sent_end")).alias("s")).select("doc_id", "source", "target", "s.*")
+    named = [c for c in pairs.columns if c not in ("lo", "hi")]
+    return both.groupBy(*named).agg(F.min(F.struct("sent_start", "sent_end")).alias("s")).select(*named, "s.*")
 
 
 def surname_links(names: DataFrame) -> DataFrame:

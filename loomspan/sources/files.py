@@ -33,10 +33,59 @@ def labelled(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return json_lines(spark, paths, LABELLED)
 
 
+def checked_labelled(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Labelled chunks with `errors`, every rule of the record's schema that its gold breaks; a schema that isn't registered is one."""
+    from ..functions.validate import strict_errors
+    from ..operators.ontology import all_registered
+    from ..operators.rows import flat_map
+
+    schemas = all_registered()
+
+    def make(gold, name):
+        schema = schemas.get(name or "business")
+        broken = [f"unknown schema {name}"] if schema is None else strict_errors(gold["entities"] or [], gold["relations"] or [], schema) if gold else []
+        yield (broken,)
+
+    rows = labelled(spark, paths).withColumn("_gold", F.col("gold"))
+    columns = [c for c in rows.columns if c != "_gold"]
+    return flat_map(rows.withColumn("_name", F.col("schema")), columns, ["_gold", "_name"], make, "errors array<string>")
+
+
 def results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return json_lines(spark, paths, RESULT)
 
 
+def reread(stored: DataFrame, texts: DataFrame | None = None, schema: str | None = None, per_chunk: DataFrame | None = None, repair: bool = False) -> DataFrame:
+    """Stored results as results() reads them: chunk_id, entities, relations, spans, error, counts, seconds and schema.
+
+    The schema is the argument, or per_chunk's (chunk_id, schema), or the stored one, or business; one that isn't registered fails
+    the read, as a type that another schema lacks would be dropped in silence. Chunks whose text (texts: chunk_id, text) is given
+    are parsed and located anew from what was answered, so that changes to these rules need no new answers.
+    """
+    from ..operators import answers
+    from ..operators.ontology import all_registered
+
+    df = stored if per_chunk is None else stored.join(per_chunk.select("chunk_id", F.col("schema").alias("_given")), "chunk_id", "left")
+    name = F.coalesce(F.lit(schema) if schema else F.lit(None).cast("string"), F.col("_given") if per_chunk is not None else F.lit(None).cast("string"), "schema", F.lit("business"))
+    wrong = F.raise_error(F.concat(F.lit("result "), "chunk_id", F.lit(" names a schema that is not registered: "), name)).cast("string")
+    df = df.withColumn("schema", F.when(name.isin(*all_registered()), name).otherwise(wrong)).drop("_given")
+    nothing = F.lit(0)
+    if texts is None:
+        again = None
+        old = df
+    else:
+        df = df.join(texts.select("chunk_id", "text"), "chunk_id", "left")
+        anew = df.where("text is not null")
+        again = answers.results(anew.select("chunk_id", "text", "raw", F.col("format").alias("fmt"), "schema"), repair).join(anew.select("chunk_id", "seconds", "schema"), "chunk_id")
+        old = df.where("text is null").drop("text")
+    relation = answers.RELATION
+    kept = old.select(
+        "chunk_id", F.col("output.entities").alias("entities"), F.transform("output.relations", lambda r: F.struct(r["type"].alias("type"), r["source"].alias("source"), r["target"].alias("target"), r["modality"].alias("modality"), r["evidence"].alias("evidence"), r["attributes"].alias("attributes"))).cast(f"array<{relation}>").alias("relations"),
+        F.col("resolved_spans").alias("spans"), "error", F.lit(False).alias("over_cap"), *(F.coalesce(F.col(c), nothing).alias(c) if c in old.columns else nothing.alias(c) for c in answers.COUNTS), "seconds", "schema",
+    )
+    return kept if again is None else again.unionByName(kept)
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """Results as JSON Lines; fields that are null are left out."""
     rows.write.mode("errorifexists").json(path)
