@@ -77,7 +77,7 @@ def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: D
     swapped = base.where("kind = 'entity'").join(own, ["doc_id", "tgt"]).join(other, ["doc_id", "_t"]).where("_new != tgt and _new != src")
     swapped = swapped.groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min_by("_new", hashed(F.col("doc_id"), F.col("_new"))).alias("_new")).select("doc_id", "src", "type", F.col("_new").alias("tgt"), "kind")
     typed = base.where("kind = 'type'").join(F.broadcast(neighbours), "type").groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min("other").alias("other")).select("doc_id", "src", F.col("other").alias("type"), "tgt", "kind")
-    return turned.unionByName(swapped).unionByName(typed).join(pool.select(*CLAIM), CLAIM, "left_anti").dropDuplicates(CLAIM)
+    return turned.unionByName(swapped).unionByName(typed).join(pool.select(*CLAIM), CLAIM, "left_anti").groupBy(*CLAIM).agg(F.min("kind").alias("kind"))
 
 
 def checked_verdicts(verdicts: DataFrame, docs: DataFrame, strict_quote: bool = True) -> DataFrame:

@@ -6,6 +6,8 @@ come from md5 hashes, and the trade tables make a structured graph of organisati
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names, segment
 from ..functions.matching import find_all
 from ..operators import evaluation, judging, labels, ontology, resolution, segmentation, union
-from ..operators.rows import flat_map
+from ..operators.rows import flat_map, written
 from ..operators.schemas import BUSINESS
 from ..streaming import carry
 
@@ -73,7 +75,14 @@ def chunk_invariants(spark, sf_dir):
     return per
 
 
-@query("document_sentences")
+SENTENCES_SQL = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])([ \t]+)([A-Z"''“‘0-9])', '\1' || chr(1) || '\2\3', 'g'), '\n', chr(1) || chr(10), 'g'), chr(1)) AS parts FROM documents),
+    u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM p),
+    o AS (SELECT doc_id, i, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM u),
+    t AS (SELECT doc_id, i, base + length(part) - length(regexp_replace(part, '^\s+', '')) AS a, length(regexp_replace(part, '^\s+|\s+$', '', 'g')) AS n FROM o)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS k, CAST(a AS INTEGER) AS "start", CAST(a + n AS INTEGER) AS "end" FROM t WHERE n > 0"""
+
+
+@query("document_sentences", SENTENCES_SQL)
 def document_sentences(spark, sf_dir):
     return segmentation.sentences(table(spark, sf_dir, "documents")).drop("text")
 
@@ -93,9 +102,24 @@ def tagger_windows(spark, sf_dir):
     return segmentation.line_windows(table(spark, sf_dir, "documents"), 300).drop("text")
 
 
-@query("heading_lines")
+HEADED = """SELECT doc_id, 'Part ' || doc_id || ' from ' || coalesce(source, 'nowhere') || chr(10) || chr(10) || text AS text FROM documents WHERE text IS NOT NULL"""
+
+
+@query(
+    "heading_lines",
+    rf"""WITH d AS ({HEADED}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) AS words FROM l),
+    f AS (SELECT *, words BETWEEN 1 AND 12 AS short FROM o WHERE line <> ''),
+    n AS (SELECT *, lead(i) OVER w AS next_i, lead(short) OVER w AS next_short, lag(i) OVER w AS last_i, lag(short) OVER w AS last_short FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    h AS (SELECT * FROM n WHERE next_i IS NOT NULL AND short AND NOT (next_i = i + 1 AND next_short) AND NOT coalesce(last_i = i - 1 AND last_short, false)
+      AND NOT regexp_matches(line, '[.!?:;,"''”)]\s*$') AND NOT regexp_matches(line, '^\s*([-*•–]|[0-9]+[.)]|[a-z][.)])\s'))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS k, CAST(base AS INTEGER) AS "start", CAST(base + length(line) AS INTEGER) AS "end", line AS text FROM h""",
+)
 def heading_lines(spark, sf_dir):
-    return segmentation.headings(table(spark, sf_dir, "documents"))
+    """Headings of documents that begin with a title line and a blank one."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    title = F.concat(F.lit("Part "), F.col("doc_id").cast("string"), F.lit(" from "), F.coalesce("source", F.lit("nowhere")), F.lit("\n\n"))
+    return segmentation.headings(d.select("doc_id", F.concat(title, "text").alias("text")))
 
 
 @query(
@@ -112,7 +136,10 @@ def tidy_pages(spark, sf_dir):
     return segmentation.tidied(pages)
 
 
-@query("verbalized_tables")
+@query(
+    "verbalized_tables",
+    "SELECT s_nationkey AS doc_id, string_agg('Supplier: ' || s_name || '; Key: ' || s_suppkey || '; Active: yes.', chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey",
+)
 def verbalized_tables(spark, sf_dir):
     """Each nation's suppliers as a table, read as sentences."""
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
@@ -161,15 +188,20 @@ def mention_line_asof(spark, sf_dir):
     return out.select("doc_id", "token", "start", F.col("sent_start").alias("line_start"), F.col("sent_end").alias("line_end"))
 
 
-@query("whole_word_occurrences")
+@query(
+    "whole_word_occurrences",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS word FROM documents), n AS (SELECT DISTINCT doc_id, word FROM w WHERE regexp_full_match(word, '[A-Z][a-z]{3,}'))
+    SELECT w.doc_id, w.word AS needle, count(*) AS n FROM w JOIN n USING (doc_id, word) GROUP BY ALL""",
+)
 def whole_word_occurrences(spark, sf_dir):
-    """Whole-word places of each document's first word."""
+    """How often each capitalised word of four letters or more stands in its document as a whole word, by the matcher that places names."""
 
     def make(text):
-        first = next(iter((text or "").split()), "")
-        yield from ((first, a, b) for a, b in find_all(text or "", first))
+        text = text or ""
+        for needle in dict.fromkeys(re.findall(r"(?<![^\W_])[A-Z][a-z]{3,}(?![^\W_])", text)):
+            yield needle, len(find_all(text, needle))
 
-    return flat_map(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], make, "needle string, start int, end int")
+    return flat_map(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], make, "needle string, n long")
 
 
 # --- the structured graph ---
@@ -271,8 +303,8 @@ def _scored(spark, sf_dir):
     s = s.unionByName(more.withColumn("margin", margin("o", "src", "tgt")))
     scores = s.groupBy("type", "src", "tgt").agg(F.first("src_type").alias("src_type"), F.first("tgt_type").alias("tgt_type"), F.max("margin").alias("margin"))
     written = w.where(F.pmod(judging.hashed(F.lit("w"), F.col("type"), F.col("src"), F.col("tgt")), F.lit(3)) != 0)
-    one = F.lit("all").alias("chunk_id")
-    return written.select(one, "type", "src", "tgt"), scores.select(one, "*", F.struct("type", "src", "tgt").alias("ord"))
+    chunk = F.pmod(F.xxhash64(F.least("src", "tgt"), F.greatest("src", "tgt")), F.lit(5000)).alias("chunk_id")  # a pair's rows are in one chunk
+    return written.select(chunk, "type", "src", "tgt"), scores.select(chunk, "*", F.struct("type", "src", "tgt").alias("ord"))
 
 
 @query(
@@ -366,15 +398,20 @@ def nearest_earlier_candidate(spark, sf_dir):
 
 
 def _chunk_graph(spark, sf_dir):
-    """Chunk entities and mentions by rule: each capitalised word of a chunk is an entity, whose type its hash names."""
-    c = segmentation.chunks(table(spark, sf_dir, "documents"))
-    tokens = c.select("doc_id", "chunk", "text", F.col("start").alias("_at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b" + MENTION), F.lit(0)))).alias("name"))
-    before = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?s)^(.*?)\b"), F.col("name"), F.lit("(?![a-z])")), F.lit(1))
-    tokens = tokens.withColumn("_in", F.length(before))  # a short name may also begin a longer one
+    """Chunk entities and mentions by rule: each capitalised word of a chunk is an entity, whose type its hash names; 40 a chunk, an answer's limit. Written once, for all that read it."""
+
+    def make(text):
+        for c in segment.chunk(text or ""):
+            first: dict[str, int] = {}
+            for m in re.finditer(rf"\b{MENTION}", c.text):
+                first.setdefault(m[0], m.start())
+            for ord_, (name, at) in enumerate(list(first.items())[:40]):
+                yield c.index, ord_, name, c.start + at
+
+    found = flat_map(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], make, "chunk int, ord int, name string, at int")
     kind = F.element_at(F.array(*map(F.lit, ("Person", "Org", "Place"))), (F.pmod(judging.hashed(F.col("name")), F.lit(3)) + 1).cast("int"))
-    order = F.row_number().over(W.partitionBy("doc_id", "chunk").orderBy("_in", "name")) - 1
-    e = tokens.withColumn("ord", order).where("ord < 40").withColumn("type", kind).withColumn("ent_id", F.concat(F.lit("e"), F.col("ord") + 1))
-    mentions = e.select("doc_id", "chunk", "ent_id", F.lit(0).alias("ord"), F.col("name").alias("mention"), (F.col("_at") + F.col("_in")).cast("int").alias("at"))
+    e = written(found.withColumn("type", kind).withColumn("ent_id", F.concat(F.lit("e"), F.col("ord") + 1)))
+    mentions = e.select("doc_id", "chunk", "ent_id", F.lit(0).alias("ord"), F.col("name").alias("mention"), "at")
     entities = e.select("doc_id", "chunk", "ord", "ent_id", "type", "name", F.create_map().cast("map<string,string>").alias("attributes"))
     return entities, mentions
 
@@ -402,6 +439,7 @@ def document_graph(spark, sf_dir):
 
 def _sampled(spark, sf_dir, salt: str, keep: int) -> DataFrame:
     e = structured_edges(spark, sf_dir).where("type != 'PARTICIPATED_IN'").select(F.lit("all").alias("chunk_id"), "type", "src", "tgt").distinct()
+    e = e.withColumn("chunk_id", F.pmod(F.xxhash64(F.least("src", "tgt"), F.greatest("src", "tgt")), F.lit(5000)))
     return e.where(F.pmod(judging.hashed(F.lit(salt), F.col("type"), F.col("src"), F.col("tgt")), F.lit(10)) < keep)
 
 
@@ -434,7 +472,7 @@ def prf_by_type(spark, sf_dir):
     SELECT count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM pr""",
 )
 def coref_pairs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.lit("all").alias("chunk_id"), F.col("o_custkey").alias("ent"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 1).alias("end"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk_id"), F.col("o_custkey").alias("ent"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 1).alias("end"))
     return evaluation.coreference(o.where("start % 5 <> 0"), o.where("start % 7 <> 0")).select("tp", "fp", "fn")
 
 
@@ -486,7 +524,7 @@ def scores_without_type(spark, sf_dir):
     return judging.by_type(_facts(spark, sf_dir), ["a", "b"])
 
 
-BOOT_SQL = f"""{POOL_SQL.format(by="doc_id, source,")}, d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS slot FROM (SELECT DISTINCT doc_id FROM n)), m AS (SELECT count(*) AS m FROM d),
+BOOT_SQL = f"""{POOL_SQL.format(by="doc_id, source,")}, d AS (SELECT doc_id, row_number() OVER (ORDER BY {H.format("doc_id::VARCHAR")}, doc_id) - 1 AS slot FROM (SELECT DISTINCT doc_id FROM n)), m AS (SELECT count(*) AS m FROM d),
     draws AS (SELECT r.i AS replicate, {H.format("'{salt}|' || r.i || '|' || k.i")} % (SELECT m FROM m) AS slot FROM range({{rounds}}) r(i), range((SELECT m FROM m)) k(i)),
     s AS (SELECT replicate, source, sum(wrote) AS wrote, sum("right") AS "right", sum(true_facts) AS true_facts FROM draws JOIN d USING (slot) JOIN n USING (doc_id) GROUP BY ALL),
     rf AS (SELECT replicate, source, 2 * p * r / greatest(p + r, 1e-9) AS f1 FROM (SELECT *, {SCORE_SQL} FROM s))"""
@@ -494,46 +532,67 @@ BOOT_SQL = f"""{POOL_SQL.format(by="doc_id, source,")}, d AS (SELECT doc_id, row
 
 @query(
     "bootstrap_ci",
-    f"""WITH {BOOT_SQL.replace("{salt}", "boot").replace("{rounds}", "200").replace("{{rounds}}", "200")}, o AS (SELECT source, f1, row_number() OVER (PARTITION BY source ORDER BY f1) - 1 AS rn FROM rf)
-    SELECT source, round(max(f1) FILTER (WHERE rn = 5), 6) AS low, round(max(f1) FILTER (WHERE rn = 194), 6) AS high FROM o GROUP BY source""",
+    f"""WITH {BOOT_SQL.replace("{salt}", "boot").replace("{rounds}", "2000")}, o AS (SELECT source, f1, row_number() OVER (PARTITION BY source ORDER BY f1) - 1 AS rn FROM rf)
+    SELECT source, round(max(f1) FILTER (WHERE rn = 50), 6) AS low, round(max(f1) FILTER (WHERE rn = 1949), 6) AS high FROM o GROUP BY source""",
 )
 def bootstrap_ci(spark, sf_dir):
     counts = judging.per_document(_facts(spark, sf_dir), ["a", "b"])
-    return judging.interval(judging.replicates(counts, 200), ["source"], "f1", 200)
+    return judging.interval(judging.replicates(counts, 2000), ["source"], "f1", 2000)
 
 
 @query(
     "paired_bootstrap",
-    f"""WITH {BOOT_SQL.replace("{salt}", "pair").replace("{rounds}", "200").replace("{{rounds}}", "200")}, w AS (SELECT replicate, max(f1) FILTER (WHERE source = 'a') - max(f1) FILTER (WHERE source = 'b') AS d FROM rf GROUP BY replicate),
+    f"""WITH {BOOT_SQL.replace("{salt}", "pair").replace("{rounds}", "4000")}, w AS (SELECT replicate, max(f1) FILTER (WHERE source = 'a') - max(f1) FILTER (WHERE source = 'b') AS d FROM rf GROUP BY replicate),
     o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS rn FROM w), t AS (SELECT source, sum(wrote) AS wrote, sum("right") AS "right", sum(true_facts) AS true_facts FROM n GROUP BY source),
     tf AS (SELECT source, round(2 * p * r / greatest(p + r, 1e-9), 6) AS f1 FROM (SELECT *, {SCORE_SQL} FROM t))
-    SELECT round((SELECT f1 FROM tf WHERE source = 'a') - (SELECT f1 FROM tf WHERE source = 'b'), 6) AS difference, round(max(d) FILTER (WHERE rn = 5), 6) AS low, round(max(d) FILTER (WHERE rn = 194), 6) AS high FROM o""",
+    SELECT round((SELECT f1 FROM tf WHERE source = 'a') - (SELECT f1 FROM tf WHERE source = 'b'), 6) AS difference, round(max(d) FILTER (WHERE rn = 100), 6) AS low, round(max(d) FILTER (WHERE rn = 3899), 6) AS high FROM o""",
 )
 def paired_bootstrap(spark, sf_dir):
-    return judging.paired(judging.per_document(_facts(spark, sf_dir), ["a", "b"]), "a", "b", 200)
+    return judging.paired(judging.per_document(_facts(spark, sf_dir), ["a", "b"]), "a", "b", 4000)
 
 
 @query(
     "alias_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS doc_id, p_brand AS a, p_name AS b FROM part WHERE p_partkey % 4 = 0), u AS (SELECT * FROM e UNION SELECT doc_id, b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS doc_id, p_brand AS a, p_name AS b FROM part), u AS (SELECT * FROM e UNION SELECT doc_id, b, a FROM e),
     r AS (SELECT doc_id, a AS name, a AS x FROM u UNION SELECT r.doc_id, r.name, u.b FROM r JOIN u ON r.doc_id = u.doc_id AND r.x = u.a)
     SELECT doc_id, name, min(x) AS canonical FROM r GROUP BY doc_id, name""",
 )
 def alias_components(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("a"), F.col("p_name").alias("b"))
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("a"), F.col("p_name").alias("b"))
     return judging.alias_groups(p)
 
 
-@query("decoy_claims")
+NEIGHBOURS_SQL = "near AS (SELECT a.rel_type AS type, min(b.rel_type) AS other FROM legal a JOIN legal b USING (src_type, tgt_type) WHERE a.rel_type <> b.rel_type GROUP BY a.rel_type)"
+
+
+@query(
+    "decoy_claims",
+    f"""WITH {LEGAL_SQL}, {NEIGHBOURS_SQL}, {EDGES_SQL},
+    pool AS (SELECT DISTINCT tgt AS doc_id, src, type, tgt FROM edges WHERE type IN ('HEADQUARTERED_IN', 'OPERATES_IN')
+      UNION SELECT DISTINCT 'n' || c.c_nationkey, e.src, e.type, e.tgt FROM edges e JOIN customer c ON e.type = 'FAMILY_OF' AND (e.src = 'c' || c.c_custkey OR e.tgt = 'c' || c.c_custkey)),
+    names AS (SELECT 'n' || a.n_nationkey AS doc_id, 'n' || b.n_nationkey AS name, 'Place' AS type FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey
+      UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'Person' FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'Person' FROM customer),
+    h AS (SELECT *, {H.format("'decoy|' || doc_id || '|' || src || '|' || type || '|' || tgt")} AS h FROM pool),
+    base AS (SELECT *, CASE WHEN h % 3 = 0 AND type <> 'FAMILY_OF' THEN 'direction' WHEN h % 3 = 2 THEN 'type' ELSE 'entity' END AS kind FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, src, type, tgt) <= 20),
+    made AS (SELECT doc_id, tgt AS src, type, src AS tgt, kind FROM base WHERE kind = 'direction'
+      UNION ALL SELECT b.doc_id, b.src, b.type, arg_min(o.name, {H.format("b.doc_id || '|' || o.name")}) AS tgt, b.kind FROM base b JOIN names n ON n.doc_id = b.doc_id AND n.name = b.tgt JOIN names o ON o.doc_id = b.doc_id AND o.type = n.type
+        WHERE b.kind = 'entity' AND o.name <> b.tgt AND o.name <> b.src GROUP BY b.doc_id, b.src, b.type, b.tgt, b.kind
+      UNION ALL SELECT b.doc_id, b.src, near.other, b.tgt, b.kind FROM base b JOIN near ON near.type = b.type WHERE b.kind = 'type')
+    SELECT doc_id, src, type, tgt, min(kind) AS kind FROM made m WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.doc_id = m.doc_id AND p.src = m.src AND p.type = m.type AND p.tgt = m.tgt) GROUP BY doc_id, src, type, tgt""",
+)
 def decoy_claims(spark, sf_dir):
-    """Each region is a document: its nations, and the organisations that have their seat in one of these."""
+    """Each nation is a document: the organisations that have their seat there or do business there, and families there."""
     e = structured_edges(spark, sf_dir)
-    located = e.where("type = 'LOCATED_IN'").select(F.col("tgt").alias("doc_id"), "src", "type", "tgt")
-    region = located.select("doc_id", F.col("src").alias("tgt"))
-    seated = e.where("type = 'HEADQUARTERED_IN'").join(region, "tgt").select("doc_id", "src", "type", "tgt")
-    pool = judging.pooled(located.unionByName(seated).withColumn("source", F.lit("a")))
-    places = region.select("doc_id", F.col("tgt").alias("name")).unionByName(region.select("doc_id", F.col("doc_id").alias("name"))).distinct()
-    return judging.decoys(pool, BUSINESS.symmetric(), ontology.neighbour_types(BUSINESS.dim_legal(spark)), places.withColumn("type", F.lit("Place")), 2)
+    seated = e.where("type in ('HEADQUARTERED_IN', 'OPERATES_IN')").select(F.col("tgt").alias("doc_id"), "src", "type", "tgt")
+    c, n, s = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
+    key = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    home = c.select(key("n", "c_nationkey").alias("doc_id"), key("c", "c_custkey").alias("who"))
+    kin = e.where("type = 'FAMILY_OF'").withColumn("who", F.when(F.col("src").startswith("c"), F.col("src")).otherwise(F.col("tgt"))).join(home, "who").select("doc_id", "src", "type", "tgt")
+    pool = judging.pooled(seated.unionByName(kin).distinct().withColumn("source", F.lit("a")))
+    other = n.select("n_regionkey", key("n", "n_nationkey").alias("name"))
+    names_ = n.select("n_regionkey", key("n", "n_nationkey").alias("doc_id")).join(other, "n_regionkey").select("doc_id", "name", F.lit("Place").alias("type"))
+    people = home.select("doc_id", F.col("who").alias("name")).unionByName(s.select(key("n", "s_nationkey").alias("doc_id"), key("s", "s_suppkey").alias("name"))).withColumn("type", F.lit("Person"))
+    return judging.decoys(pool, BUSINESS.symmetric(), ontology.neighbour_types(BUSINESS.dim_legal(spark)), names_.unionByName(people), 20)
 
 
 # --- label data, carried entities ---
@@ -580,7 +639,12 @@ def normalised_names(spark, sf_dir):
     return flat_map(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_name"], lambda n: [(names.normalised(n),)], "name_key string")
 
 
-@query("layout_lines")
+@query(
+    "layout_lines",
+    r"""SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^\s*(\||[-*•]\s|[0-9]+[.)]\s|(\*\*)?[A-Z][\p{L}\p{N}_ /&().-]{0,40}(\*\*)?:(\*\*)?\s)'))) AS INTEGER) AS n FROM
+    (SELECT doc_id, replace(replace(text, '. ', chr(10) || '- '), chr(10) || 'T', chr(10) || 'Note: t') AS text FROM documents)""",
+)
 def layout_lines(spark, sf_dir):
-    """Lines of each document that are laid out as rows, items or labelled values."""
-    return flat_map(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], lambda t: [(sum(1 for x in (t or "").split("\n") if segment.LAYOUT.match(x)),)], "n int")
+    """Lines that are laid out as rows, items or labelled values, of documents whose sentences are shown as a list."""
+    shown = F.replace(F.replace("text", F.lit(". "), F.lit("\n- ")), F.lit("\nT"), F.lit("\nNote: t"))
+    return flat_map(table(spark, sf_dir, "documents").select("doc_id", shown.alias("text")), ["doc_id"], ["text"], lambda t: [(sum(1 for x in (t or "").split("\n") if segment.LAYOUT.match(x)),)], "n int")

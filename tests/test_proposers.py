@@ -89,7 +89,8 @@ def test_tags_and_names():
     tags = tagging.encode(text, tokens, spans)
     assert tags[1:5] == ["B-Org", "I-Org", "I-Org", "O"] and tags[10] == "B-Person"
     assert tagging.decode(text, tokens, tags) == [(4, 18, "Org"), (35, 39, "Person")]  # a hyphen belongs to the word before it
-    assert tagging.decode(text, tokens, ["O"] * 4 + ["I-Org", "I-Org", "I-Org"] + ["O"] * 5) == [(11, 18, "Org")]  # from inside a word to its start, not over the break
+    assert tagging.decode(text, tokens, ["O"] * 3 + ["I-Org", "I-Org", "I-Org", "I-Org"] + ["O"] * 5) == [(12, 18, "Org")]  # not over the break
+    assert tagging.decode(text, tokens, ["O", "O", "I-Org"] + ["O"] * 9) == [(4, 11, "Org")]  # from inside a word to its start
     assert tagging.decode("Acme, Bo", [(0, 5), (5, 8)], ["B-Org", "I-Person"]) == [(0, 4, "Org"), (6, 8, "Person")]
     assert tagging.name_mentions("Nordvik Mills", ["the mills", "Nordvik", "it", "The Mills"]) == ["Nordvik Mills", "Nordvik", "The Mills"]
 
