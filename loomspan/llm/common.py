@@ -34,10 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: After so many tables cut, the driver's JVM collects its garbage: plans and broadcasts that nothing refers to, and with them their
+#: shuffle files, would else stay until its heap has grown.
+TIDY = 4
+_cuts = 0
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    global _cuts
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()
+    _cuts += 1
+    if _cuts % TIDY == 0:
+        release(spark)
+    return done
 
 
 #: Folders that stored() has written and nobody has removed yet.

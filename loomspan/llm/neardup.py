@@ -187,26 +187,29 @@ def _weighed(shared):
 # --- groups ---
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, least: the least node that each node of edges (a, b) is connected with, itself included.
+def starred(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as (a, b) with a > b that connect the same nodes: larger neighbours and then smaller ones are tied to a node's least neighbour."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small_ = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return cut(small_.where("a != b").distinct())
 
-    By turns, larger neighbours and then smaller ones are tied to a node's least neighbour, until every node is tied to the
-    least of its component. Each turn's edges are written; none come to the driver.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = cut(small)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
+
+def _tied(edges: DataFrame) -> bool:
+    """Whether each node is tied to one other, which is tied to none: then that is the least of its component."""
+    ends = edges.select(F.col("a").alias("node"), "b").unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b")))
+    wrong = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_if(F.col("b").isNull()).alias("ends")).where("low != high or (low is not null and ends > 0)")
+    return not wrong.take(1)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, least: the least node that each node of edges (a, b) is connected with, itself included. Each turn's edges are written; none come to the driver."""
+    now = starred(edges)
+    while not _tied(now):
+        now = starred(now)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("least")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("least")).distinct())
 
 
 def _open(members: DataFrame, group: DataFrame) -> DataFrame:
@@ -305,12 +308,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linked = cut(told.select("a", "b", "left", "right").mapInArrow(_verified(shared), "a long, b long"))
         if not linked.take(1):
             return False
-        grouped = components(linked if edges is None else edges.unionByName(linked))
-        state["edges"] = grouped.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
-        state["group"] = cut(node.join(grouped.withColumnRenamed("least", "lower"), "node", "left").select("node", F.coalesce("lower", "least").alias("least")))
+        # one turn of stars: who is labelled alike is connected, though not all that are connected are labelled alike yet
+        state["edges"] = starred(linked if edges is None else edges.unionByName(linked))
+        state["group"] = labelled(state["edges"].groupBy(F.col("a").alias("node")).agg(F.min("b").alias("lower")))
         release(spark)
         return True
 
+    def labelled(lower: DataFrame) -> DataFrame:
+        return cut(node.join(lower, "node", "left").select("node", F.coalesce("lower", "least").alias("least")))
+
     meet(_with_leader(_open(members, node), F.col("doc")))
     placed = cut(_open(members, state["group"]))
     if placed.take(1):
@@ -323,6 +329,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             release(spark)
         able, apart = _able(weighed, placed)
         meet(_by_rare_shingles(able, apart, classes.groupBy(F.col("copy_of").alias("doc")).agg(F.min_by("keys", "md5").alias("keys"))))
+    if state["edges"] is not None:
+        state["group"] = labelled(components(state["edges"]).withColumnRenamed("least", "lower"))
     out_of = classes.select("md5", "copy_of").join(state["group"], F.col("copy_of") == F.col("node"), "left").select("md5", "copy_of", F.coalesce("least", "copy_of").alias("group_id"))
     out = signed.select("doc_id", "md5").join(out_of, "md5").withColumn("kept", F.col("doc_id") == F.col("group_id"))
     none = F.lit(None).cast("long")

@@ -6,10 +6,9 @@ DataFrame functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, GAP, cut, small, stored, table, whole
+from .common import BLANKS, GAP, SMALL, cut, stored, table, whole
 
 #: A text fails outright with fewer words, or if more than so many per cent of its words are in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -89,26 +88,26 @@ def features(df: DataFrame) -> DataFrame:
     })
 
 
-def _quantile(df: DataFrame, by: list[str], values: dict[str, Column], share: float, step: float) -> DataFrame:
-    """Per group, of each value, the middle of the bin of that width in which the share lies: counts per bin, so exact to the bin and the same in each run."""
-    pair = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.round(v / step).cast("long").alias("bin")) for k, v in values.items())))
-    bins = df.select(*by, pair.alias("p")).groupBy(*by, "p.name", "p.bin").agg(F.count("*").alias("n"))
-    w = W.partitionBy(*by, "name")
-    upto, total = F.sum("n").over(w.orderBy("bin")), F.sum("n").over(w)
-    first = bins.withColumn("ok", upto >= share * total).where("ok").groupBy(*by)
-    return first.agg(*(F.min(F.when(F.col("name") == k, F.col("bin") * step)).alias(k) for k in values))
+def _quantile(value: Column, share: float, step: float) -> Column:
+    """The quantile of values rounded to a step: counts per step, so bounded, exact to the step and the same in each run."""
+    return F.percentile(F.round(value / step) * step, share)
 
 
-def _with(df: DataFrame, of_groups: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    """Each row with its group's figures; the columns of `by` are never null. A group may hold a third of all rows; its figures are few rows, which are broadcast if they are few in all."""
-    return df.join(small(of_groups), by)
+def _same(columns: list[str]) -> list[Column]:
+    """Columns that are equal in all rows of a group, as aggregates."""
+    return [F.first(c).alias(c) for c in columns]
 
 
-def _moments(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+def _with(df: DataFrame, of_groups: DataFrame, few: bool, by: list[str] = GROUP) -> DataFrame:
+    """Each row with its group's figures; the columns of `by` are never null. A group may hold a third of all rows; its figures are few rows, which are broadcast if they are counted to be few in all."""
+    return df.join(F.broadcast(of_groups) if few else of_groups, by)
+
+
+def _moments(df: DataFrame, values: dict[str, Column], same: list[str]) -> DataFrame:
     names, columns = list(values), list(values.values())
     sums = [F.sum(c).alias(f"s_{k}") for k, c in values.items()]
     cross = [F.sum(columns[i] * columns[j]).alias(f"q_{names[i]}_{names[j]}") for i in range(len(names)) for j in range(i + 1)]
-    return df.groupBy(*KEY).agg(F.count("*").alias("n"), *sums, *cross)
+    return df.groupBy(*KEY).agg(F.count("*").alias("n"), *sums, *cross, *_same(same))
 
 
 def _whitening(m: DataFrame, covariance, keep: list[Column]) -> DataFrame:
@@ -133,35 +132,34 @@ def _distance() -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
-def _starts(df: DataFrame) -> DataFrame:
+def _starts(df: DataFrame, few: bool) -> DataFrame:
     """Three deterministic first estimates of each group: medians with the absolute deviations from them, uncorrelated (0), and with
     the correlations of the hyperbolic tangents (1) and of the spatial signs (2) of the standardised features."""
     d = range(len(NAMES))
-    mid = cut(_quantile(df, GROUP, {c: F.col(c) for c in NAMES}, 0.5, 0.01))
-    mid = mid.select(*GROUP, *(F.col(c).alias(f"m_{i}") for i, c in enumerate(NAMES)))
-    off = _quantile(_with(df, mid), GROUP, {c: F.abs(F.col(c) - F.col(f"m_{i}")) for i, c in enumerate(NAMES)}, 0.5, 0.01)
-    off = off.select(*GROUP, *(F.greatest(1.4826 * F.col(c), F.lit(FEATURES[c])).alias(f"d_{i}") for i, c in enumerate(NAMES)))
-    centre = cut(mid.join(off, GROUP))
+    mid = cut(df.groupBy(*GROUP).agg(*(_quantile(F.col(c), 0.5, 0.01).alias(f"m_{i}") for i, c in enumerate(NAMES))))
+    off = [F.greatest(1.4826 * _quantile(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 0.01), F.lit(FEATURES[c])).alias(f"d_{i}") for i, c in enumerate(NAMES)]
+    centre = cut(_with(df, mid, few).groupBy(*GROUP).agg(*off, *_same([f"m_{i}" for i in d])))
     z = [(F.col(c) - F.col(f"m_{i}")) / F.col(f"d_{i}") for i, c in enumerate(NAMES)]
     norm = F.sqrt(F.greatest(sum((x * x for x in z), F.lit(0.0)), F.lit(1e-12)))
-    ways = F.array(F.struct(F.lit(1).alias("start"), *(F.tanh(x).alias(f"u_{i}") for i, x in enumerate(z))), F.struct(F.lit(2).alias("start"), *((x / norm).alias(f"u_{i}") for i, x in enumerate(z))))
-    changed = _with(df, centre).select(*GROUP, F.explode(ways).alias("u")).select(*GROUP, "u.*")
-    m = _moments(changed, {str(i): F.col(f"u_{i}") for i in d}).join(centre, GROUP)
-    zero = centre.select(*GROUP, F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), *(F.lit(0.0).alias(f"s_{i}") for i in d), *(F.lit(float(i == j)).alias(f"q_{i}_{j}") for i in d for j in range(i + 1)), *(f"m_{i}" for i in d), *(f"d_{i}" for i in d))
+    changed = {0: [F.lit(0.0) for _ in z], 1: [F.tanh(x) for x in z], 2: [x / norm for x in z]}
+    ways = F.explode(F.array(*(F.struct(F.lit(k).alias("start"), *(x.alias(f"u_{i}") for i, x in enumerate(u))) for k, u in changed.items())))
+    kept = [f"{k}_{i}" for k in "md" for i in d]
+    rows = _with(df, centre, few).select(*GROUP, *kept, ways.alias("u")).select(*GROUP, *kept, "u.*")
 
     def covariance(i: int, j: int) -> Column:
         floor = F.lit(1e-3) * F.col("n")
         r = F.col(f"q_{i}_{j}") / F.sqrt((F.col(f"q_{i}_{i}") + floor) * (F.col(f"q_{j}_{j}") + floor))
         return F.col(f"d_{i}") * F.col(f"d_{j}") * (r if i != j else F.lit(1.0))
 
-    return cut(_whitening(m.unionByName(zero), covariance, [F.col(f"m_{i}") for i in d]))
+    m = _moments(rows, {str(i): F.col(f"u_{i}") for i in d}, kept)
+    return cut(_whitening(m, covariance, [F.col(f"m_{i}") for i in d]))
 
 
-def estimates(df: DataFrame) -> DataFrame:
+def estimates(df: DataFrame, few: bool) -> DataFrame:
     """Per group, the means and the whitening of least determinant that concentration steps come to from several starts, and scale,
-    which brings the median squared distance to that of a normal distribution (never below 1)."""
-    bins = {"at": F.log1p(_distance())}  # distances lie over many powers of ten
-    now, before = _starts(df), None
+    which brings the median squared distance to that of a normal distribution (never below 1). few: the groups are few enough to
+    be broadcast."""
+    far = F.log1p(_distance())  # distances lie over many powers of ten
 
     def covariance(i: int, j: int) -> Column:
         c = F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / (F.col("n") * F.col("n"))
@@ -169,18 +167,19 @@ def estimates(df: DataFrame) -> DataFrame:
 
     means = [(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(NAMES))]
     values = {str(i): F.col(c) for i, c in enumerate(NAMES)}
-    for _ in range(STEPS):
-        near = cut(now.join(_quantile(_with(df, now), KEY, bins, KEPT, 0.01), KEY))
-        inside = _with(df, near).where(F.log1p(_distance()) <= F.col("at") + 0.005)
-        now = cut(_whitening(_moments(inside, values), covariance, means))
-        if before is not None:
-            fell = before.select(*KEY, F.col("logdet").alias("old")).join(now, KEY).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
-            if fell is None or fell < SETTLED:
-                break
-        before = now
-    best = now.groupBy(*GROUP).agg(F.min_by(F.struct(*(c for c in now.columns if c not in GROUP)), F.struct("logdet", "start")).alias("b")).select(*GROUP, "b.*")
-    scale = _quantile(_with(df, cut(best)), GROUP, bins, 0.5, 0.01)
-    return cut(best.join(scale.select(*GROUP, F.greatest(F.lit(1.0), F.expm1("at") / MEDIAN).alias("scale")), GROUP))
+    now = _starts(df, few)
+    own = [c for c in now.columns if c not in KEY]
+    for step in range(STEPS):
+        near = cut(_with(df, now, few).groupBy(*KEY).agg(_quantile(far, KEPT, 0.01).alias("at"), *_same(own)))
+        m = _moments(_with(df, near, few).where(far <= F.col("at") + 0.005), values, ["logdet"]).withColumnRenamed("logdet", "before")
+        now = cut(_whitening(m, covariance, [F.col("before"), *means]))
+        fell = now.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        now = now.drop("before")
+        if step and (fell is None or fell < SETTLED):
+            break
+    best = now.groupBy(*GROUP).agg(F.min_by(F.struct(*own), F.struct("logdet", "start")).alias("b")).select(*GROUP, "b.*")
+    scale = F.greatest(F.lit(1.0), F.expm1(_quantile(far, 0.5, 0.01)) / MEDIAN).alias("scale")
+    return cut(_with(df, cut(best), few).groupBy(*GROUP).agg(scale, *_same(own)))
 
 
 def _judged(rows: DataFrame, cutoff: float, own: int, few: int) -> DataFrame:
@@ -188,15 +187,15 @@ def _judged(rows: DataFrame, cutoff: float, own: int, few: int) -> DataFrame:
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     named = rows.withColumns({"g_lang": key("lang"), "g_source": key("source")})
     sizes = cut(named.where("not base_failed").groupBy(*GROUP).agg(F.count("*").alias("rows")))
+    held, small_rows = sizes.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("rows") < own, F.col("rows"))), F.lit(0))).first()
+    hint = len(KEY) * held <= SMALL
     # small groups are one; its name is none that a value can give
-    sizes = sizes.withColumn("alone", F.col("rows") >= own)
-    total = sizes.groupBy(F.when(F.col("alone"), F.col("g_lang")).otherwise("small").alias("l"), F.when(F.col("alone"), F.col("g_source")).otherwise("small").alias("s")).agg(F.sum("rows").alias("rows_of_group"))
-    place = sizes.withColumns({"l": F.when(F.col("alone"), F.col("g_lang")).otherwise("small"), "s": F.when(F.col("alone"), F.col("g_source")).otherwise("small")})
-    place = cut(place.join(total, ["l", "s"]).select(*GROUP, "l", "s", "rows_of_group"))
-    sound = _with(named.where("not base_failed"), place).drop(*GROUP).withColumnsRenamed({"l": "g_lang", "s": "g_source"})
-    found = estimates(sound.select(*GROUP, *NAMES))
-    figures = place.join(found.withColumnsRenamed({"g_lang": "l", "g_source": "s"}), ["l", "s"]).drop("l", "s")
-    judged = named.join(small(cut(figures)), GROUP, "left")
+    alone = F.col("rows") >= own
+    place = sizes.select(*GROUP, *(F.when(alone, F.col(c)).otherwise("small").alias(k) for c, k in zip(GROUP, "ls", strict=True)), F.when(alone, F.col("rows")).otherwise(small_rows).alias("rows_of_group"))
+    sound = _with(named.where("not base_failed"), place, hint).drop(*GROUP).withColumnsRenamed({"l": "g_lang", "s": "g_source"})
+    found = estimates(sound.select(*GROUP, *NAMES), hint)
+    figures = cut(place.join(found.withColumnsRenamed({"g_lang": "l", "g_source": "s"}), ["l", "s"]).drop("l", "s"))
+    judged = named.join(F.broadcast(figures) if hint else figures, GROUP, "left")
     distance = F.when(F.col("base_failed"), F.lit(None)).when(F.col("rows_of_group") >= few, _distance() / F.col("scale")).otherwise(0.0)
     judged = judged.withColumn("distance", distance.cast("double"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff)).select(*rows.columns, "distance", "kept")
