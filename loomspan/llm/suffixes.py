@@ -35,8 +35,8 @@ AROUND = BEFORE + LENGTH
 #: Bytes of the middle rank. A string that starts up to REST bytes ahead of its position holds the MIDDLE bytes from it on; any other holds those from REST bytes ahead on.
 REST = BEFORE // 2
 MIDDLE = LENGTH - REST
-#: Documents of a block, about, and the bytes that are ranked at a time within one.
-BLOCK_DOCS, CHUNK = 1000, 1 << 17
+#: Bytes of a block's documents, about (a longer document is held whole), and the bytes that are ranked at a time within one.
+BLOCK_BYTES, CHUNK = 1 << 22, 1 << 17
 #: Bits of the first name, which only sorts out what is unique, and of the name of the bytes around, which tells apart positions of one first name.
 SHORT, LONG = np.uint64((1 << 48) - 1), np.uint64((1 << 56) - 1)
 STEP = 0x9E3779B97F4A7C15 | 1
@@ -350,8 +350,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     doc_id have no smaller or larger neighbours: they stay whole and take nothing from others. Rows of one id don't affect each
     other; repeated rows are judged each. An empty table gives no rows. Other columns are ignored.
     """
-    n = docs.count()
-    blocks = max(4, -(-n // BLOCK_DOCS))
+    size = docs.agg(F.sum(F.octet_length(whole()).cast("long"))).first()[0] or 0
+    blocks = max(4, -(-size // BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text")).withColumn("md5", F.md5("text")).withColumn("digest", F.xxhash64("md5"))
     block = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(blocks)).alias("block")
     named = rows.where("doc_id is not null")
