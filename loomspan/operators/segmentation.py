@@ -26,6 +26,20 @@ def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans(docs, segment.paragraphs, key)
 
 
+def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, k, start, end of the filled lines of texts without the blanks around them, by DataFrame functions; only lengths are shuffled, and a null text has none."""
+    from pyspark.sql import Window as W
+
+    line = docs.select(key, F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
+    size = lambda c: F.char_length(c)
+    body = F.regexp_replace("_line", r"(?U)^\s+", "")
+    line = line.select(key, "_i", size("_line").alias("_n"), (size("_line") - size(body)).alias("_lead"), size(F.regexp_replace(body, r"(?U)\s+$", "")).alias("_body"))
+    w = W.partitionBy(key).orderBy("_i")
+    line = line.withColumn("_at", F.coalesce(F.sum(F.col("_n") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_lead")).where("_body > 0")
+    start = F.col("_at").cast("int")
+    return line.select(key, (F.row_number().over(w) - 1).alias("k"), start.alias("start"), (start + F.col("_body")).alias("end"))
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans(docs, segment.sentences, key)
 

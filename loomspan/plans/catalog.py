@@ -184,7 +184,7 @@ def mention_line_asof(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tokens = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)))).alias("token"))
     spots = tokens.select("doc_id", "token", (F.expr("instr(text, token)") - 1).cast("int").alias("start"))
-    out = segmentation.with_sentence(spots, segmentation.paragraphs(docs), ["doc_id"])
+    out = segmentation.with_sentence(spots, segmentation.lines(docs), ["doc_id"])
     return out.select("doc_id", "token", "start", F.col("sent_start").alias("line_start"), F.col("sent_end").alias("line_end"))
 
 
