@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,18 @@ example placeholder changeme your_token_here YOUR_API_KEY xxxxxxxxxxxxxxxx 01234
 0000000000000000 1234567890123456 ABCDEFGHIJKLMNOPQRSTUVWXYZ getValue setValue toString fromString createUser updateUser
 """.split()
 
+#: Prose and code that every compression begins with: by it the compressor knows how often letters, digits and marks occur in plain text,
+#: whatever the length of the surroundings.
+PLAIN = """The service reads its settings once when it starts and keeps them until it stops. Each request is checked, then passed to a worker, which writes the
+result and the time that it took. Quite often a job fails because a file is missing, a key has expired or the network is slow; the queue then tries it again
+after a minute or two, five times at most. def load(path, size=1024): for line in open(path): if not line.strip(): continue; name, value = line.split("=", 1);
+found[name] = int(value) if value.isdigit() else value; return found. SELECT id, name, count(*) FROM users WHERE created > '2023-05-17' GROUP BY id, name
+ORDER BY 2 DESC LIMIT 100; private static final int MAX_SIZE = 65536; if (x == null || y.isEmpty()) { throw new IllegalStateException("value of " + key); }
+"""
 #: Characters of surroundings that are compressed along, how near before a candidate a sensitive word must be, its least length, and the
-#: least marginal bytes for each of its characters.
-AROUND, NEAR, SHORTEST, NOVEL = 400, 48, 16, 0.9
+#: least marginal bytes for each of its characters. Under PLAIN random letters of both cases, digits or base64 cost 0.81 or more
+#: in 99 of 100 cases, long words 0.8 at most.
+AROUND, NEAR, SHORTEST, NOVEL = 400, 48, 16, 0.8
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 
 
@@ -55,10 +65,10 @@ def _compressor():
 
 def novelty(text: str, start: int, end: int) -> float:
     """Bytes that the candidate adds to its compressed surroundings, for each of its own."""
-    a, b = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND // 4].encode()
+    around = "".join([PLAIN, text[end : end + AROUND // 4], text[max(0, start - AROUND) : start]]).encode()
     own = text[start:end].encode()
     c = _compressor()
-    return (len(c.compress(b + a + own)) - len(c.compress(b + a))) / len(own)
+    return (len(c.compress(around + own)) - len(c.compress(around))) / len(own)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,6 +86,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, sure: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates near a sensitive word that the compressor can't shorten and no sure span overlaps."""
     found, known, starts, ends = [], set(), [], []  # the runs of a candidate's characters are looked at from left to right
+    taken = sorted((s, e) for s, _, e in sure)
+    upto = list(accumulate((e for _, e in taken), max))  # the furthest end of the spans that begin no later
     low = text.lower()
     if not any(w in low for w in STEMS):
         return []
@@ -93,7 +105,8 @@ def novel_spans(text: str, sure: list[tuple[int, int, int]]) -> list[tuple[int,
                 starts.insert(k, a)
                 ends.insert(k, CANDIDATE.match(text, a).end())
             b = ends[k]
-            if not any(s < b and a < e for s, _, e in sure) and novelty(text, a, b) >= NOVEL:
+            k = bisect_left(taken, (b,)) - 1
+            if (k < 0 or upto[k] <= a) and novelty(text, a, b) >= NOVEL:
                 found.append((a, 3, b))
     out, end = [], 0
     for a, k, b in sorted(found):  # of those that begin within one run the first
@@ -114,7 +127,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """The secrets in every row of docs (doc_id, text).
 
     n_<kind> and base_sha256 are of the base patterns' matches; spans has these and the novel ones, by start, then kind; n_novel
-    counts the latter. Null texts count as empty; long texts are read whole; repeated rows are found each; an empty table
+    counts the latter: runs of SHORTEST characters or more that begin within NEAR characters after a sensitive word, of which the
+    first wins where several begin in one run. Null texts count as empty; long texts are read whole; repeated rows are found each; an empty table
     gives no rows. Other columns are ignored.
     """
 
