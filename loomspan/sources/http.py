@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Ask = Callable[[str], str]
 
@@ -28,8 +29,11 @@ def completions(url: str, model: str, max_tokens: int = 2048, timeout: float = 6
     return ask
 
 
-def asked(prompts: DataFrame, ask: Ask, partitions: int | None = None, in_flight: int = 32) -> DataFrame:
-    """Prompts (chunk_id, prompt) -> chunk_id, raw, error; in_flight requests a task at a time. A failing request fails its row alone."""
+def asked(prompts: DataFrame, ask: Ask, partitions: int | None = None, in_flight: int = 32, by_length: bool = False) -> DataFrame:
+    """Prompts (chunk_id, prompt) -> chunk_id, raw, error; in_flight requests a task at a time. A failing request fails its row alone.
+
+    by_length deals prompts of like length to a partition, the longest first, so that requests in flight take about as long.
+    """
 
     def one(prompt: str) -> tuple[str | None, str | None]:
         try:
@@ -44,7 +48,13 @@ def asked(prompts: DataFrame, ask: Ask, partitions: int | None = None, in_flight
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([r for r, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=["chunk_id", "raw", "error"])
 
     df = prompts.select("chunk_id", "prompt")
-    return (df.repartition(partitions) if partitions else df).mapInArrow(run, "chunk_id string, raw string, error string")
+    if by_length:
+        size = F.char_length(F.coalesce("prompt", F.lit("")))
+        parts = (partitions,) if partitions else ()
+        df = df.withColumn("_size", size).repartitionByRange(*parts, F.desc("_size")).sortWithinPartitions(F.desc("_size")).drop("_size")
+    elif partitions:
+        df = df.repartition(partitions)
+    return df.mapInArrow(run, "chunk_id string, raw string, error string")
 
 
 def replayed(chunks: DataFrame, answers: DataFrame) -> DataFrame:
