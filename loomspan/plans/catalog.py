@@ -87,17 +87,40 @@ def document_sentences(spark, sf_dir):
     return segmentation.sentences(table(spark, sf_dir, "documents")).drop("text")
 
 
-@query("numbered_sentences")
+NUMBERED_SQL = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(\s+)([A-Z"''(\[])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS parts FROM documents),
+    u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM p),
+    o AS (SELECT doc_id, i, part, coalesce(sum(length(part) - (i > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+      coalesce(NOT regexp_matches(lag(part) OVER (PARTITION BY doc_id ORDER BY i), '((^|[^\p{L}\p{N}_.])[A-Z]|\b(Mr|Mrs|Ms|Dr|St|Jr|Sr|Prof|Gen|Col|Lt|Mt|Rev|lit|approx|vs|No|no))\.$'), true) AS begins FROM u),
+    g AS (SELECT *, CASE WHEN i > 0 THEN instr(part, chr(2)) - 1 ELSE 0 END AS gap, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+    r AS (SELECT doc_id, run, min(base + gap) AS a, max(base + length(part) - (i > 0)::INT) AS b, bool_or(regexp_matches(part, '[^\s\x02]')) AS filled FROM g GROUP BY ALL)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS k, CAST(a AS INTEGER) AS "start", CAST(b AS INTEGER) AS "end" FROM r WHERE filled"""
+
+
+@query("numbered_sentences", NUMBERED_SQL)
 def numbered_sentences(spark, sf_dir):
     return segmentation.numbered_sentences(table(spark, sf_dir, "documents"), "doc_id").drop("text")
 
 
-@query("sentence_windows")
+@query(
+    "sentence_windows",
+    f"""WITH RECURSIVE s AS MATERIALIZED ({NUMBERED_SQL}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    j AS MATERIALIZED (SELECT a.doc_id, a.k AS i, n.n, greatest(a.k + 1, coalesce(min(b.k), n.n)) AS j FROM s a JOIN n ON n.doc_id = a.doc_id LEFT JOIN s b ON b.doc_id = a.doc_id AND b.k >= a.k AND b."end" - a."start" > 800 GROUP BY a.doc_id, a.k, n.n),
+    w AS (SELECT doc_id, i, j, n FROM j WHERE i = 0 UNION ALL SELECT j.doc_id, j.i, j.j, j.n FROM w JOIN j ON j.doc_id = w.doc_id AND j.i = greatest(w.i + 1, w.j - 1) WHERE w.j < w.n)
+    SELECT w.doc_id, CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.i) - 1 AS INTEGER) AS k, a."start", b."end" FROM w JOIN s a ON a.doc_id = w.doc_id AND a.k = w.i JOIN s b ON b.doc_id = w.doc_id AND b.k = w.j - 1""",
+)
 def sentence_windows(spark, sf_dir):
     return segmentation.sentence_windows(table(spark, sf_dir, "documents"), 800, 1, "doc_id").drop("text")
 
 
-@query("tagger_windows")
+@query(
+    "tagger_windows",
+    r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+    f AS (SELECT doc_id, i, length(line) + (i < n - 1)::INT AS size, len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) AS words FROM l WHERE i < n - 1 OR line <> ''),
+    o AS MATERIALIZED (SELECT doc_id, i, coalesce(sum(size) OVER w, 0) AS pos, coalesce(sum(size) OVER w, 0) + size AS upto, coalesce(sum(words) OVER w, 0) AS before, coalesce(sum(words) OVER w, 0) + words AS after FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    j AS MATERIALIZED (SELECT a.doc_id, a.i, a.pos, min(b.i) AS j, min(b.pos) AS stop FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.i > a.i AND b.before > a.before AND b.after - a.before > 300 GROUP BY ALL),
+    w AS (SELECT * FROM j WHERE i = 0 UNION ALL SELECT j.* FROM w JOIN j ON j.doc_id = w.doc_id AND j.i = w.j), e AS (SELECT doc_id, max(upto) AS last FROM o GROUP BY doc_id)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS k, CAST(pos AS INTEGER) AS "start", CAST(coalesce(stop, last) AS INTEGER) AS "end" FROM w JOIN e USING (doc_id)""",
+)
 def tagger_windows(spark, sf_dir):
     return segmentation.line_windows(table(spark, sf_dir, "documents"), 300).drop("text")
 
