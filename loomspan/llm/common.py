@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: After so many tables cut, the driver's JVM collects its garbage: plans and broadcasts that nothing refers to, and with them their
-#: shuffle files, would else stay until its heap has grown.
+#: After so many tables cut, the driver lets go of what nothing refers to.
 TIDY = 4
 _cuts = 0
 
@@ -93,9 +93,24 @@ def remove_since(spark: SparkSession, at: int, keep: DataFrame | None = None) ->
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver next collects garbage."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver next collects garbage.
+
+    Then the driver's JVM gives back what its native allocator holds free: Spark's many short-lived threads leave that scattered over
+    dozens of arenas. JVMs without that command keep it.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    by_name = jvm.java.lang.Class.forName
+    try:
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        given = (jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0))
+        signature, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for k in range(4):
+            signature[k], values[k] = by_name(kinds[k]), given[k]
+        by_name("javax.management.MBeanServer").getMethod("invoke", signature).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        pass
 
 
 def whole(text: str = "text") -> Column:

@@ -2,7 +2,7 @@
 
 A randomised singular value decomposition of the TF-IDF matrix of all passages is computed on the executors. The passages'
 hashed features are written once; their frequencies are counted; then a random test matrix goes through the weighted matrix
-and its transpose, and what comes back, made orthogonal, goes through them again (POWER times). The sums (features times PROBES,
+and its transpose; what comes back, made orthogonal, may go through them again (POWER times). The sums (features times PROBES,
 whatever the input) come back each time. All windows of the documents, as wide as the items, are compared with all items: by the words that they share, which limit the
 longest common subsequence, then by that itself and the item's answer. What is found has its cosine in that space beside it.
 """
@@ -25,7 +25,7 @@ from .common import mark, remove_since, stored, table, whole
 #: Hashed features, probes of the decomposition, words of a passage that it is computed on; each feature is in SIGNS probes.
 FEATURES, PROBES, PASSAGE, SLICE, SIGNS = 1 << 14, 34, 32, 1 << 10, 3
 #: The LEAD first dimensions, in which all passages of a language are alike, are left out; the RANK next ones are kept.
-LEAD, RANK, POWER = 4, 28, 1
+LEAD, RANK, POWER = 4, 28, 0
 #: Items of fewer words are searched for by exact match. So many items are compared at a time, and so many times as many in one scan
 #: of the documents: what executors hold of them is bounded, about 60 MB for ITEMS of 60 words.
 SHORTEST, ITEMS, AT_ONCE = 5, 1000, 4

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, release, small, table, whole
+from .common import cut, small, table, whole
 from .shingles import mixed, shingles
 
 WORDS, SIMILAR = 5, 0.8
@@ -25,7 +25,7 @@ LEVELS = 16
 #: Rows of the tables of random variables.
 RANDOM = 1 << 12
 #: Two texts are similar only if they share this times the sum of their weights; so many rounds let the members of a bucket meet one of them.
-SHARED, ROUNDS = SIMILAR / (1 + SIMILAR), 2
+SHARED, ROUNDS = SIMILAR / (1 + SIMILAR), 1
 TEXTS = 200
 
 
@@ -311,7 +311,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # one turn of stars: who is labelled alike is connected, though not all that are connected are labelled alike yet
         state["edges"] = starred(linked if edges is None else edges.unionByName(linked))
         state["group"] = labelled(state["edges"].groupBy(F.col("a").alias("node")).agg(F.min("b").alias("lower")))
-        release(spark)
         return True
 
     def labelled(lower: DataFrame) -> DataFrame:
@@ -326,7 +325,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             able, _ = _able(weighed, placed)
             meet(_with_leader(able, -F.col("may") / F.col("weight")))
             placed = cut(_open(able.select("key", "doc"), state["group"]))
-            release(spark)
         able, apart = _able(weighed, placed)
         meet(_by_rare_shingles(able, apart, classes.groupBy(F.col("copy_of").alias("doc")).agg(F.min_by("keys", "md5").alias("keys"))))
     if state["edges"] is not None:
