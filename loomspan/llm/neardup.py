@@ -347,8 +347,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = ids.where("not kept or n > 1").select(F.col("doc_id").alias("gone"))
     doc = F.col("row")["doc_id"].cast("long")
     stays = whole_row.join(small(gone), doc == F.col("gone"), "left_anti")
-    repeated = small(ids.where("kept and n > 1").select(F.col("doc_id").alias("again")))
-    first = whole_row.join(repeated, doc == F.col("again"), "left_semi").groupBy(doc.alias("id")).agg(F.min_by("row", F.md5(F.coalesce(F.col("row")["text"], F.lit("")))).alias("row"))
+    repeated = ids.where("kept and n > 1").select(F.col("doc_id").alias("again"))
+    if not repeated.take(1):
+        return stays.select("row.*")
+    first = whole_row.join(small(repeated), doc == F.col("again"), "left_semi").groupBy(doc.alias("id")).agg(F.min_by("row", F.md5(F.coalesce(F.col("row")["text"], F.lit("")))).alias("row"))
     return stays.select("row.*").unionByName(first.select("row.*"))
 
 
