@@ -367,9 +367,11 @@ def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, floa
     filled = np.flatnonzero(sizes)
     for width, own in items.widths.items():
         step, wider = max(1, width // STRIDE), width + 2 * (width // 4)
-        starts = [np.r_[np.arange(f, f + n - width, step), max(f, f + n - width)] for f, n in zip(first[filled], sizes[filled], strict=True)]
-        of = np.repeat(filled, [len(s) for s in starts])
-        starts = np.concatenate(starts).astype(np.int64)
+        over = np.maximum(0, sizes[filled] - width)  # words beyond the first window; the last one ends with its text
+        several = -(-over // step) + 1
+        of = np.repeat(filled, several)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
+        starts = first[of] + np.minimum(number * step, np.repeat(over, several))
         last = first[of] + sizes[of]
         ends = np.minimum(starts + width, last)
         a, e = np.maximum(first[of], starts - width // 4), np.minimum(last, ends + width // 4)
