@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, neardup, pii, quality, secrets, sharding, suffixes, tokens
+from . import archives, decontaminate, infilling, language, mixing, neardup, pii, quality, resampling, secrets, sharding, suffixes, tokens
 from .common import table
 
 
@@ -66,6 +66,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_repeats": suffixes.op10_repeats,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_warc": archives.op12_warc,
+    "op13_infilling": infilling.op13_infilling,
     "op1_targets": op1_targets,
     "op2_base": op2_base,
     "op3_base": op3_base,
@@ -81,6 +84,13 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ASSIGNED = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c + "?" * (c == "_") for c in w) for w in ("password", "passwd", "secret", "token", "api_key"))
 DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 LUHN = f"list_sum(list_transform(range(len({DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE 2 END * substr({DIGITS}, len({DIGITS}) - i, 1)::INT - CASE WHEN i % 2 = 1 AND substr({DIGITS}, len({DIGITS}) - i, 1)::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+#: Words in lower case of A to Z, and all runs of one to three of them.
+PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ALL_RUNS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+#: A checksum bit by bit: each byte comes in before eight shifts.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(len(h) // 2), lambda i: [('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384)))"""
+DRAW = "('0x' || substr(s, {}, 8))::BIGINT"
 FOUND = r"list_filter(regexp_extract_all(coalesce(text, ''), '{}'), lambda x: {})"
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +125,27 @@ ORACLE_SQL: dict[str, str] = {
     t AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS upto, string_agg(substr(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (a - last) AS BIGINT)), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
     sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(upto, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+    "op11_resampling": f"""WITH d AS (SELECT doc_id, {PLAIN} AS w FROM documents), q AS (SELECT {PLAIN} AS w FROM benchmark),
+    f AS (SELECT doc_id, unnest({ALL_RUNS}) AS f FROM d), g AS (SELECT unnest({ALL_RUNS}) AS f FROM q),
+    c AS (SELECT f, count(*) AS n FROM f GROUP BY f), e AS (SELECT f, count(*) AS n FROM g GROUP BY f),
+    h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM c UNION SELECT f FROM e)),
+    b AS (SELECT f, {CRC32} % 10000 AS bucket FROM h),
+    s AS (SELECT bucket, sum(n) AS n FROM c JOIN b USING (f) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS n FROM e JOIN b USING (f) GROUP BY bucket),
+    gain AS (SELECT r AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM range(10000) x(r) LEFT JOIN s ON s.bucket = r LEFT JOIN t ON t.bucket = r),
+    x AS (SELECT doc_id, sum(gain) AS weight FROM f JOIN b USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+    y AS (SELECT d.doc_id, len(w) AS n_words, CAST(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+      CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN x USING (doc_id)),
+    z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_words >= 20 QUALIFY rank <= 5 * count(*) OVER () // 100)
+    SELECT doc_id, n_features, weight, score, rank FROM y LEFT JOIN z USING (doc_id)""",
+    "op12_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), q AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY b) AS leader FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM leader THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM leader THEN leader END AS refers_to FROM q""",
+    "op13_infilling": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS s FROM documents),
+    h AS (SELECT doc_id, text, u, len(u) AS n, {DRAW.format(1)} AS h1, {DRAW.format(9)} AS h2, {DRAW.format(17)} AS h3, {DRAW.format(25)} AS h4 FROM d),
+    c AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(list_slice(u, 1, least(h1 % (n + 1), h2 % (n + 1))), '') AS p, array_to_string(list_slice(u, least(h1 % (n + 1), h2 % (n + 1)) + 1, greatest(h1 % (n + 1), h2 % (n + 1))), '') AS m,
+      array_to_string(list_slice(u, greatest(h1 % (n + 1), h2 % (n + 1)) + 1, n), '') AS s FROM h)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c""",
 }

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspan.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, sharding, suffixes, tokens
+from loomspan.llm import decontaminate, infilling, language, mixing, neardup, pii, quality, secrets, sharding, suffixes, tokens
 
 from .helpers import docs, odd
 
@@ -18,7 +18,7 @@ def clashing(spark):
 
 def test_operators_ignore_extra_columns(spark, clashing):
     n = clashing.count()
-    for apply in (mixing.mix, pii.find_pii, secrets.find_secrets, quality.judge, neardup.near_duplicates, tokens.count_tokens, language.identify, sharding.shard, suffixes.remove_repeats):
+    for apply in (mixing.mix, pii.find_pii, secrets.find_secrets, quality.judge, neardup.near_duplicates, tokens.count_tokens, language.identify, sharding.shard, suffixes.remove_repeats, infilling.fill_in_middle):
         assert len(apply(clashing).collect()) == n, apply.__module__
     bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     assert len(decontaminate.decontaminate(clashing, bench).collect()) == n
