@@ -90,7 +90,8 @@ def lenient(found: dict, schema: Schema, repair: bool = True, retype: bool = Tru
     relations = found.get("relations", [])
     sound = [r for r in relations if isinstance(r, dict) and all(isinstance(r.get(k), str) for k in ("type", "source", "target", "evidence")) and r.get("modality") in MODALITIES]
     out.dropped_relations = len(relations) - len(sound)
-    new = retyped(entities, sound, schema) if retype else {}
+    told = [r for r in relations if isinstance(r, dict) and all(isinstance(r.get(k), str) for k in ("type", "source", "target"))]
+    new = retyped(entities, told, schema) if retype else {}
     out.retyped_entities = len(new)
     out.entities = [e | {"type": new.get(e["id"], e["type"])} for e in entities]
     of = {e["id"]: e["type"] for e in out.entities}

@@ -99,7 +99,7 @@ def test_answers_round_trip_and_are_checked():
 
 def test_repeats_end_a_block():
     said = "E1 Person: A\nS1\nR MET_WITH E1 E2 asserted\nS2\nR MET_WITH E1 E2 asserted\nR MET_WITH E1 E3 asserted\nS3\nR MET_WITH E1 E3 asserted"
-    assert answers.drop_repeats(said) == "E1 Person: A\nS1\nR MET_WITH E1 E2 asserted\nS2\nS3\nR MET_WITH E1 E3 asserted"
+    assert answers.drop_repeats(said) == "E1 Person: A\nS1\nR MET_WITH E1 E2 asserted\nS2\nR MET_WITH E1 E2 asserted\nS3\nR MET_WITH E1 E3 asserted"
 
 
 def _e(i, kind, *names_):
