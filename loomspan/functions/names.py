@@ -60,8 +60,8 @@ def described(mention: str) -> str:
 
 
 def claim_key(name: str) -> str:
-    """What names of claims are compared by: lower case, straight apostrophes, no punctuation, single spaces."""
-    return " ".join(re.sub(r"[^\w\s'&-]", " ", name.lower().replace("’", "'")).split())
+    """What names of claims are compared by: lower case, without punctuation, single spaces (a caption may break a name over two lines)."""
+    return " ".join(re.sub(r"[^\w\s]", "", name.lower()).split())
 
 
 DESCRIPTIVE = ("the ", "a ", "an ", "this ", "that ", "these ", "those ", "its ", "his ", "her ", "their ", "our ")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import MAX_ENTITIES, MAX_MENTIONS, MAX_RELATIONS, NO_SENTENCE
 from ..functions.names import DESCRIPTIVE
+from .islands import let
 
 #: Where lines end, and what is white space around one, as Java patterns.
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
@@ -54,10 +55,9 @@ def attributes_of(listed: Column) -> Column:
     """key=value pairs with ; between them as a map; the last of a key counts."""
     pairs = F.filter(F.split(F.coalesce(listed, F.lit("")), ";"), lambda p: p.contains("="))
     cut = F.transform(pairs, lambda p: F.struct(stripped(F.substring_index(p, "=", 1)).alias("k"), stripped(p.substr(F.instr(p, "=") + 1, F.char_length(p))).alias("v")))
-    whole = F.filter(cut, lambda p: (p["k"] != "") & (p["v"] != ""))
-    later = lambda i: F.transform(F.slice(whole, i + 2, F.size(whole)), lambda q: q["k"])
-    last = F.filter(whole, lambda p, i: ~F.array_contains(later(i), p["k"]))
-    return F.map_from_entries(last)
+    later = lambda whole, i: F.transform(F.slice(whole, i + 2, F.size(whole)), lambda q: q["k"])
+    last = lambda whole: F.filter(whole, lambda p, i: ~F.array_contains(later(whole, i), p["k"]))
+    return F.map_from_entries(let(F.filter(cut, lambda p: (p["k"] != "") & (p["v"] != "")), last))
 
 
 def answer_lines(answers: DataFrame, key: str, fmt: str) -> DataFrame:

@@ -5,13 +5,12 @@ Claims are (doc_id, src, type, tgt) by name; claim_sources adds source. Draws ar
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import claim_key
 from .rows import flat_map, ranked
 
 CLAIM = ["doc_id", "src", "type", "tgt"]
@@ -22,35 +21,69 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
-def canonical_names(entities: DataFrame) -> DataFrame:
-    """Entities (doc_id, source, ord, name, type, mentions) -> doc_id, key, type, canonical.
+def key_of(name: Column) -> Column:
+    """What names of claims are compared by, as functions.names.claim_key has it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", ""), r"(?U)\s+", " "))
 
-    Names of all sources are put together in order: an entity takes the canonical name of the first of its names that has one; its
-    capitalised mentions follow. A name in lower case goes to the only entity of its type with that mention.
-    """
 
-    def make(rows):
-        canon: dict[tuple, str] = {}
-        owners: dict[tuple, set[str]] = defaultdict(set)
-        order = sorted(rows, key=lambda r: (r["source"], r["ord"]))
-        for r in order:
-            names = [r["name"], *(r["mentions"] or [])]
-            known = next((canon[k] for n in names if (k := (claim_key(n), r["type"])) in canon), r["name"])
-            for n in names:
-                if n == r["name"] or n[:1].isupper() or n[:1].isdigit():
-                    canon.setdefault((claim_key(n), r["type"]), known)
-        for r in order:
-            for n in r["mentions"] or []:
-                if n != r["name"] and n[:1].islower():
-                    owners[claim_key(n), r["type"]].add(canon[claim_key(r["name"]), r["type"]])
-        for r in order:
-            k = claim_key(r["name"]), r["type"]
-            if r["name"][:1].islower() and len(owners[k]) == 1:
-                canon[k] = next(iter(owners[k]))
-        yield from ((k, t, c) for (k, t), c in sorted(canon.items()))
-
-    grouped = entities.groupBy("doc_id").agg(F.collect_list(F.struct("source", "ord", "name", "type", "mentions")).alias("rows"))
-    return flat_map(grouped, ["doc_id"], ["rows"], make, "key string, type string, canonical string")
+def name_like(mention: Column) -> Column:
+    """A mention that begins with a capital or a digit: "Smith", "4 July"; not "the court"."""
+    return mention.rlike(r"^[\p{IsUppercase}\p{Nd}]")
+
+
+def _mentioned(entities: DataFrame) -> DataFrame:
+    """Entities (doc_id, source, ord, name, type, mentions) as a row for each of their names: doc_id, eid, type, name, p (0: the name itself), m, key."""
+    said = F.concat(F.array("name"), F.coalesce("mentions", F.array().cast("array<string>")))
+    return entities.select("doc_id", F.struct("source", "ord").alias("eid"), "type", "name", F.posexplode(said).alias("p", "m")).withColumn("key", key_of(F.col("m")))
+
+
+def canonical_names(entities: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 40) -> DataFrame:
+    """Entities (doc_id, source, ord, name, type, mentions) of all sources -> doc_id, key, canonical.
+
+    Entities come in the order of source and ord. A key belongs to the first entity that has it as its name or as a capitalised mention. An
+    entity follows the owner of the first of its keys that an earlier one owns, and takes its canonical name; one that follows none
+    gives its own. So entities are a forest whose roots are found by pointers that double their reach each round (cut writes each
+    round down). A name that begins with no capital then goes to the only owner that lists it as a mention, for entities of its type.
+    """
+    capital = F.col("m").rlike(r"^\p{IsUppercase}")
+    names = cut(_mentioned(entities))
+    owners = names.where(capital | (F.col("m") == F.col("name"))).groupBy("doc_id", "key").agg(F.min("eid").alias("owner"))
+    earlier = names.join(owners, ["doc_id", "key"]).where(F.col("owner") < F.col("eid"))
+    follows = earlier.groupBy("doc_id", "eid").agg(F.min_by("owner", "p").alias("to"))
+    own = names.where("p = 0")
+    now = cut(own.join(follows, ["doc_id", "eid"], "left").select("doc_id", "eid", F.coalesce("to", "eid").alias("to")))
+    for _ in range(rounds):
+        step = now.join(now.select("doc_id", F.col("eid").alias("to"), F.col("to").alias("further")), ["doc_id", "to"])
+        moved = cut(step.select("doc_id", "eid", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moves")))
+        now = moved.drop("moves")
+        if not moved.where("moves").take(1):
+            break
+    roots = now.join(own.select("doc_id", F.col("eid").alias("to"), F.col("name").alias("root")), ["doc_id", "to"]).select("doc_id", "eid", "root")
+    named = owners.join(roots.withColumnRenamed("eid", "owner"), ["doc_id", "owner"]).select("doc_id", "key", "root")
+    of_own = own.join(named, ["doc_id", "key"]).select("doc_id", "eid", "root")  # every entity's name has an owner
+    lower = names.where(~capital & (F.col("m") != F.col("name"))).join(of_own, ["doc_id", "eid"])
+    only = lower.groupBy("doc_id", "key", "type").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a = b").select("doc_id", "key", F.col("type").alias("_type"), "a")
+    plain = own.where(~capital)
+    given = plain.join(only, (plain["doc_id"] == only["doc_id"]) & (plain["key"] == only["key"]) & plain["type"].eqNullSafe(only["_type"]))
+    last = given.groupBy(plain["doc_id"], plain["key"]).agg(F.max_by("a", "eid").alias("changed"))
+    return named.join(last, ["doc_id", "key"], "left").select("doc_id", "key", F.coalesce("changed", "root").alias("canonical"))
+
+
+def labelled_aliases(entities: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Labellers' entities (doc_id, source, ord, name, type, mentions) -> doc_id, name (a key), canonical: names that one entity has.
+
+    Only names that all labellers give one type count, and of mentions only those like names. An entity's names hang on the first of them;
+    what hangs together, through all labellers, is a group, and its least name stands for it. Names alone in their group are left out.
+    """
+    names = cut(_mentioned(entities))
+    told = F.coalesce(F.col("type"), F.lit("\x00"))
+    single = names.groupBy("doc_id", "key").agg(F.min(told).alias("a"), F.max(told).alias("b")).where("a = b and key != ''").select("doc_id", "key")
+    used = names.where((F.col("m") == F.col("name")) | name_like(F.col("m"))).join(single, ["doc_id", "key"], "left_semi")
+    hubs = used.groupBy("doc_id", "eid").agg(F.min_by("key", "p").alias("hub"))
+    node = lambda c: F.struct("doc_id", F.col(c).alias("name"))
+    edges = used.join(hubs, ["doc_id", "eid"]).where("key != hub").select(node("hub").alias("a"), node("key").alias("b")).distinct()
+    found = components(edges, cut)
+    return found.select(F.col("node")["doc_id"].alias("doc_id"), F.col("node")["name"].alias("name"), F.col("least")["name"].alias("canonical"))
 
 
 def pooled(claims: DataFrame) -> DataFrame:
@@ -110,24 +143,11 @@ def disagreement(verdicts: DataFrame) -> DataFrame:
     return both.groupBy("judge_a", "judge_b").agg(F.count("*").alias("both"), F.count_if(F.col("a") != F.col("b")).alias("differ"))
 
 
-def alias_groups(pairs: DataFrame) -> DataFrame:
-    """doc_id, name, canonical: names of a document that pairs (doc_id, a, b) tie together, and the least of them."""
-
-    def make(rows):
-        of: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            while of.setdefault(x, x) != x:
-                of[x] = x = of[of[x]]
-            return x
-
-        for r in rows:
-            a, b = sorted((root(r["a"]), root(r["b"])))
-            of[b] = a
-        yield from ((x, root(x)) for x in sorted(of))
-
-    grouped = pairs.where("a is not null and b is not null").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("rows"))
-    return flat_map(grouped, ["doc_id"], ["rows"], make, "name string, canonical string")
+def alias_groups(pairs: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, name, canonical: names of a document that pairs (doc_id, a, b) tie together, and the least of them. Documents are as large as they like."""
+    node = lambda c: F.struct("doc_id", F.col(c).alias("name"))
+    found = components(pairs.where("a is not null and b is not null").select(node("a").alias("a"), node("b").alias("b")), cut)
+    return found.select(F.col("node")["doc_id"].alias("doc_id"), F.col("node")["name"].alias("name"), F.col("least")["name"].alias("canonical"))
 
 
 def components(edges: DataFrame, cut, rounds: int = 64) -> DataFrame:
@@ -146,9 +166,11 @@ def components(edges: DataFrame, cut, rounds: int = 64) -> DataFrame:
 
 
 def facts(claims: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Claims (doc_id, src, type, tgt, sources, is_true) under canonical names: sources together, true if one of them is."""
-    end = lambda k: aliases.select("doc_id", F.col("name").alias(k), F.col("canonical").alias(f"_{k}"))
-    c = claims.join(end("src"), ["doc_id", "src"], "left").join(end("tgt"), ["doc_id", "tgt"], "left")
+    """Claims (doc_id, src, type, tgt, sources, is_true) by the keys of their names, or what aliases (doc_id, name, canonical) make of them: sources together, true if one of them is."""
+    known = aliases.select("doc_id", key_of(F.col("name")).alias("_name"), key_of(F.col("canonical")).alias("_canonical")).distinct()
+    end = lambda k: known.select("doc_id", F.col("_name").alias(k), F.col("_canonical").alias(f"_{k}"))
+    c = claims.withColumn("src", key_of(F.col("src"))).withColumn("tgt", key_of(F.col("tgt")))
+    c = c.join(end("src"), ["doc_id", "src"], "left").join(end("tgt"), ["doc_id", "tgt"], "left")
     c = c.withColumn("src", F.coalesce("_src", "src")).withColumn("tgt", F.coalesce("_tgt", "tgt"))
     return c.groupBy(*CLAIM).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.bool_or("is_true").alias("is_true"))
 

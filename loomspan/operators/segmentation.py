@@ -1,4 +1,7 @@
-"""Segmentation of documents: chunks, paragraphs, sentences and windows as tables. Null texts count as empty and give no rows."""
+"""Segmentation of documents: chunks, paragraphs, sentences and windows as tables. Null texts count as empty and give no rows.
+
+What is cut by patterns and windows is made by DataFrame functions (islands); greedy windows over one text's sentences or lines and its cleaning run as one function a row.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import segment
+from .islands import chunks, headings, numbered_sentences, paragraphs, sentences, verbalized  # noqa: F401  these are segmentation too
 from .rows import flat_map
 
 SPAN = "k int, start int, end int, text string"
 
 
-def chunks(docs: DataFrame, max_words: int = 200, dense_words: int | None = 80, key: str = "doc_id") -> DataFrame:
-    """key, chunk, start, end, text, context, dense, model_text; substring(text of the document, start + 1, end - start) is text."""
-    make = lambda t: ((c.index, c.start, c.end, c.text, c.context, c.dense, c.model_text) for c in segment.chunk(t or "", max_words, dense_words))
-    return flat_map(docs, [key], ["text"], make, "chunk int, start int, end int, text string, context string, dense boolean, model_text string")
-
-
 def spans(docs: DataFrame, cut, key: str = "doc_id") -> DataFrame:
     """key, k, start, end, text for a function that cuts a text into spans."""
     return flat_map(docs, [key], ["text"], lambda t: ((k, a, b, (t or "")[a:b]) for k, (a, b) in enumerate(cut(t or ""))), SPAN)
 
 
-def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return spans(docs, segment.paragraphs, key)
-
-
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, k, start, end of the filled lines of texts without the blanks around them, by DataFrame functions; only lengths are shuffled, and a null text has none."""
     from pyspark.sql import Window as W
@@ -40,14 +34,6 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return line.select(key, (F.row_number().over(w) - 1).alias("k"), start.alias("start"), (start + F.col("_body")).alias("end"))
 
 
-def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return spans(docs, segment.sentences, key)
-
-
-def numbered_sentences(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return spans(docs, segment.numbered_sentences, key)
-
-
 def sentence_windows(docs: DataFrame, max_chars: int, overlap: int = 1, key: str = "chunk_id") -> DataFrame:
     return spans(docs, lambda t: segment.sentence_windows(t, max_chars, overlap), key)
 
@@ -56,20 +42,11 @@ def line_windows(docs: DataFrame, words: int = 300, key: str = "doc_id") -> Data
     return spans(docs, lambda t: segment.line_windows(t, words), key)
 
 
-def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return spans(docs, segment.heading_spans, key)
-
-
 def tidied(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and the cleaned text; a null text stays null."""
     return flat_map(docs, [key], ["text"], lambda t: [(None if t is None else segment.tidy(t),)], "text string")
 
 
-def verbalized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and the text with tables as sentences; a null text stays null."""
-    return flat_map(docs, [key], ["text"], lambda t: [(None if t is None else segment.verbalize(t),)], "text string")
-
-
 def word_count(text: Column) -> Column:
     """Words between white space of any kind."""
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))

@@ -53,11 +53,6 @@ def line_paragraph_spans(spark, sf_dir):
     return segmentation.paragraphs(table(spark, sf_dir, "documents")).select("doc_id", "k", "start", "end")
 
 
-@query("chunk_table")
-def chunk_table(spark, sf_dir):
-    return segmentation.chunks(table(spark, sf_dir, "documents")).drop("model_text")
-
-
 @query(
     "chunk_invariants",
     """SELECT doc_id, true AS slices_match, true AS within_limit, true AS numbered FROM documents WHERE trim(text) <> ''""",
@@ -82,6 +77,29 @@ SENTENCES_SQL = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS k, CAST(a AS INTEGER) AS "start", CAST(a + n AS INTEGER) AS "end" FROM t WHERE n > 0"""
 
 
+CHUNKS_SQL = rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+    o AS (SELECT doc_id, line, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM l),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, base + length(line) - length(ltrim(line)) AS s, base + length(line) - length(ltrim(line)) + length(trim(line)) AS e, len(regexp_extract_all(line, '\S+')) AS words FROM o WHERE trim(line) <> ''),
+    m AS (SELECT *, words > 200 AS long, coalesce(words > 200 OR lag(words) OVER (PARTITION BY doc_id ORDER BY k) > 200, true) AS opens FROM p),
+    r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m),
+    q AS (SELECT s.doc_id, r.run, s."start" AS s, s."end" AS e, substr(d.text, CAST(s."start" + 1 AS BIGINT), CAST(s."end" - s."start" AS BIGINT)) AS said FROM r JOIN ({SENTENCES_SQL}) s ON s.doc_id = r.doc_id AND s."start" >= r.s AND s."start" < r.e JOIN documents d ON d.doc_id = r.doc_id WHERE long),
+    g AS (SELECT doc_id, run, s, unnest(regexp_extract_all(said, '\S+\s*')) AS word, unnest(range(len(regexp_extract_all(said, '\S+\s*')))) AS i FROM q WHERE len(regexp_extract_all(said, '\S+')) > 200),
+    h AS (SELECT *, s + coalesce(sum(length(word)) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM g),
+    units AS (SELECT doc_id, run, s, e, words FROM r WHERE NOT long UNION ALL SELECT doc_id, run, s, e, len(regexp_extract_all(said, '\S+')) FROM q WHERE len(regexp_extract_all(said, '\S+')) <= 200
+      UNION ALL SELECT doc_id, run, min(pos), max(pos + length(regexp_replace(word, '\s+$', ''))), count(*) FROM h GROUP BY doc_id, run, s, i // 100),
+    n AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS u, sum(words) OVER w AS upto, count(*) OVER (PARTITION BY doc_id, run) AS many FROM units WINDOW w AS (PARTITION BY doc_id, run ORDER BY s)),
+    j AS MATERIALIZED (SELECT a.doc_id, a.run, a.u AS i, a.many, coalesce(min(b.u), a.many) AS j FROM n a LEFT JOIN n b ON b.doc_id = a.doc_id AND b.run = a.run AND b.u > a.u AND b.upto - a.upto + a.words > 200 GROUP BY a.doc_id, a.run, a.u, a.many),
+    c AS (SELECT * FROM j WHERE i = 0 UNION ALL SELECT j.* FROM c JOIN n x ON x.doc_id = c.doc_id AND x.run = c.run AND x.u = c.j - 1 JOIN n y ON y.doc_id = c.doc_id AND y.run = c.run AND y.u = c.j JOIN j ON j.doc_id = c.doc_id AND j.run = c.run
+      AND j.i = CASE WHEN c.j - c.i > 1 AND x.words + y.words <= 200 THEN c.j - 1 ELSE c.j END)
+    SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c.run, c.i) - 1 AS INTEGER) AS chunk, CAST(a.s AS INTEGER) AS "start", CAST(b.e AS INTEGER) AS "end", substr(d.text, CAST(a.s + 1 AS BIGINT), CAST(b.e - a.s AS BIGINT)) AS text, '' AS context, false AS dense
+    FROM c JOIN n a ON a.doc_id = c.doc_id AND a.run = c.run AND a.u = c.i JOIN n b ON b.doc_id = c.doc_id AND b.run = c.run AND b.u = c.j - 1 JOIN documents d ON d.doc_id = c.doc_id"""
+
+
+@query("chunk_table", CHUNKS_SQL)
+def chunk_table(spark, sf_dir):
+    return segmentation.chunks(table(spark, sf_dir, "documents")).drop("model_text")
+
+
 @query("document_sentences", SENTENCES_SQL)
 def document_sentences(spark, sf_dir):
     return segmentation.sentences(table(spark, sf_dir, "documents")).drop("text")
@@ -582,7 +600,7 @@ def paired_bootstrap(spark, sf_dir):
 )
 def alias_components(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_brand").alias("a"), F.col("p_name").alias("b"))
-    return judging.alias_groups(p)
+    return judging.alias_groups(p, written)
 
 
 NEIGHBOURS_SQL = "near AS (SELECT a.rel_type AS type, min(b.rel_type) AS other FROM legal a JOIN legal b USING (src_type, tgt_type) WHERE a.rel_type <> b.rel_type GROUP BY a.rel_type)"

@@ -3,6 +3,7 @@ import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
 
+from loomspan.operators.rows import written
 from loomspan.operators import answers, evaluation, judging, labels, ontology, resolution, segmentation, union
 from loomspan.operators.schemas import BUSINESS
 from loomspan.sources import files, graph, http
@@ -118,7 +119,7 @@ def test_judging(spark):
     true = judging.judged_true(pool, ok).cache()
     assert {r.src: r.is_true for r in true.collect()} == {"A": True, "A Corp": True, "C": False}
     assert judging.disagreement(ok).first().differ == 0
-    alias = judging.alias_groups(spark.createDataFrame([("d", "A", "A Corp")], "doc_id string, a string, b string"))
+    alias = judging.alias_groups(spark.createDataFrame([("d", "A", "A Corp")], "doc_id string, a string, b string"), written)
     facts = judging.facts(true, alias).cache()
     assert facts.count() == 2
     score = {r.source: r for r in judging.scored(judging.per_document(facts, ["s1", "s2"]), ["source"]).collect()}
@@ -129,7 +130,7 @@ def test_judging(spark):
     low = judging.interval(judging.replicates(judging.per_document(facts, ["s1", "s2"]), 40), ["source"], "f1", 40)
     assert {r.source for r in low.collect()} == {"s1", "s2"}
     names = spark.createDataFrame([("d", "x", 0, "Acme AB", "Org", ["Acme", "the firm"]), ("d", "y", 0, "acme", "Org", []), ("d", "y", 1, "the firm", "Org", [])], "doc_id string, source string, ord int, name string, type string, mentions array<string>")
-    canon = {r.key: r.canonical for r in judging.canonical_names(names).collect()}
+    canon = {r.key: r.canonical for r in judging.canonical_names(names, written).collect()}
     assert canon["acme"] == "Acme AB" and canon["the firm"] == "Acme AB"
     chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 51)], "a long, b long")
     assert {r.least for r in judging.components(chain, lambda d: d.cache()).collect()} == {0, 50}
