@@ -5,10 +5,15 @@ Spans are (chunk_id, ent, type, start, end); relations (chunk_id, type, src, tgt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .decoding import shown_name
+from .islands import let
+
 
 def f1_columns(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """Precision, recall and F1 to four places; 0 where undefined."""
@@ -147,58 +152,137 @@ def summary(chunks: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-METRICS = "metric string, tp long, fp long, fn long, precision double, recall double, f1 double"
+def _distinct(items: Column) -> Column:
+    return F.array_distinct(F.coalesce(items, F.array()))
+
+
+def _entities(of: str) -> Column:
+    """Entities of a column (entities, spans by id) with what they are compared by: their best surface in lower case without full stops, their type, their spans."""
+    label = lambda e: F.trim(F.regexp_replace(F.regexp_replace(F.lower(shown_name(e["mentions"])), r"\.", ""), r"(?U)\s+", " "))
+    at = lambda e: F.array_distinct(F.coalesce(F.try_element_at(F.col(f"{of}.spans"), e["id"]), F.array().cast("array<struct<start: int, end: int>>")))
+    known = lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.concat_ws("\x01", label(e), e["type"]).alias("label"), at(e).alias("spans"))
+    return F.transform(F.coalesce(F.col(f"{of}.entities"), F.array()), known)
+
+
+def _alignment(pred: Column, gold: Column) -> Column:
+    """id of each predicted entity -> the gold entity of its type that its spans overlap most; the first of equals, none without overlap."""
+
+    def shared(p: Column, g: Column) -> Column:
+        one = lambda s: F.array_max(F.transform(g["spans"], lambda t: F.least(s["end"], t["end"]) - F.greatest(s["start"], t["start"])))
+        return F.aggregate(p["spans"], F.lit(0), lambda n, s: n + F.greatest(F.lit(0), F.coalesce(one(s), F.lit(0))))
+
+    def best(p: Column) -> Column:
+        met = F.transform(gold, lambda g, i: F.struct(F.when(g["type"] == p["type"], shared(p, g)).otherwise(0).alias("n"), (-i).alias("i"), g["id"].alias("id")))
+        top = F.array_max(met)
+        return F.struct(p["id"].alias("id"), F.when(top["n"] > 0, top["id"]).alias("to"))
+
+    return F.map_from_entries(F.transform(pred, best))
+
+
+def _triples(of: str, end: Callable[[Column], Column], symmetric: Column) -> Column:
+    """The distinct relations of a column by what `end` makes of their ends; those of a symmetric type in one order."""
+
+    def triple(r: Column) -> Column:
+        a, b = end(r["source"]), end(r["target"])
+        swap = F.coalesce(F.array_contains(symmetric, r["type"]) & (b < a), F.lit(False))
+        return F.struct(r["type"].alias("type"), F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"))
+
+    return _distinct(F.transform(F.coalesce(F.col(f"{of}.relations"), F.array()), triple))
+
+
+def chunk_counts(gold: DataFrame, results: DataFrame, symmetric: dict[str, list[str]]) -> DataFrame:
+    """source, schema, chunk_id, metric, type, tp, fp, fn: what each chunk of gold adds to each metric, for each source of results.
+
+    gold: chunk_id, schema, entities, relations, spans; results the same with source instead of schema. A chunk that a source doesn't answer, or
+    answers with an error, counts as empty. rel_strict has a row for each type, others one of null type; rel_type counts the pairs
+    that both sides relate as right (tp) or not (fp, fn). All is worked out within a chunk's two rows, joined once.
+    """
+    bundle = lambda df, more, name: df.select("chunk_id", more, F.struct("entities", "relations", "spans").alias(name))
+    sources = results.select("source").distinct()
+    every = bundle(gold, "schema", "g").crossJoin(F.broadcast(sources))  # a row for each system
+    both = every.join(bundle(results, "source", "p"), ["chunk_id", "source"], "left")
+    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for kv in symmetric.items() for x in kv))
+    both = both.withColumn("sym", F.coalesce(table[F.col("schema")], F.array().cast("array<string>"))).withColumn("ge", _entities("g")).withColumn("pe", _entities("p"))
+    both = both.withColumn("to", _alignment(F.col("pe"), F.col("ge")))
+    name = lambda es: F.map_from_entries(F.transform(F.array_distinct(F.transform(es, lambda e: e["id"])), lambda i: F.struct(i, F.filter(es, lambda e: e["id"] == i)[0]["label"])))
+    both = both.withColumn("g_name", name(F.col("ge"))).withColumn("p_name", name(F.col("pe")))
+    sym = F.col("sym")
+    both = both.withColumn("gt", _triples("g", lambda x: x, sym)).withColumn("pt", _triples("p", lambda x: F.try_element_at("to", x), sym))
+    both = both.withColumn("gn", _triples("g", lambda x: F.try_element_at("g_name", x), sym)).withColumn("pn", _triples("p", lambda x: F.try_element_at("p_name", x), sym))
+    strict = lambda es: F.array_distinct(F.flatten(F.transform(es, lambda e: F.transform(e["spans"], lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), e["type"].alias("t"))))))
+    labels = lambda es: F.array_distinct(F.transform(es, lambda e: e["label"]))
+    pairs = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    tied = lambda es: F.array_distinct(F.flatten(F.transform(es, lambda e: let(F.array_sort(e["spans"]), pairs))))
+    ends = lambda ts: F.array_distinct(F.transform(F.filter(ts, lambda t: t["a"].isNotNull() & t["b"].isNotNull()), lambda t: F.struct(F.least(t["a"], t["b"]).alias("a"), F.greatest(t["a"], t["b"]).alias("b"))))
+    n = lambda x: F.size(x).cast("long")
+
+    def counts(metric: str, g: Column, p: Column, more: Column | None = None) -> Column:
+        tp = n(F.array_intersect(g, p))
+        return F.struct(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("type"), tp.alias("tp"), (n(F.array_except(p, g)) + (F.lit(0) if more is None else more)).cast("long").alias("fp"), n(F.array_except(g, p)).alias("fn"))
+
+    one = lambda tp, fp, fn: lambda t: F.struct(F.lit("rel_strict").alias("metric"), t["type"].alias("type"), *(F.lit(x).cast("long").alias(k) for k, x in (("tp", tp), ("fp", fp), ("fn", fn))))
+    gt, pt = F.col("gt"), F.col("pt")
+    loose = n(F.filter(pt, lambda t: t["a"].isNull() | t["b"].isNull()))
+    right, met = n(ends(F.array_intersect(gt, pt))), n(F.array_intersect(ends(gt), ends(pt)))
+    typing = F.struct(F.lit("rel_type").alias("metric"), F.lit(None).cast("string").alias("type"), right.alias("tp"), (met - right).alias("fp"), (met - right).alias("fn"))
+    fixed = F.array(
+        counts("ent_strict", strict(F.col("ge")), strict(F.col("pe"))),
+        counts("ent_relaxed", labels(F.col("ge")), labels(F.col("pe"))),
+        counts("coref", tied(F.col("ge")), tied(F.col("pe"))),
+        counts("rel_relaxed", F.col("gn"), F.col("pn")),
+        counts("rel_pair", ends(gt), ends(pt), loose),
+        typing,
+        F.struct(F.lit("rel_strict").alias("metric"), F.lit(None).cast("string").alias("type"), *(F.lit(0).cast("long").alias(k) for k in ("tp", "fp", "fn"))),
+    )
+    by_type = F.concat(F.transform(F.array_intersect(gt, pt), one(1, 0, 0)), F.transform(F.array_except(pt, gt), one(0, 1, 0)), F.transform(F.array_except(gt, pt), one(0, 0, 1)))
+    return both.select("source", "schema", "chunk_id", F.explode(F.concat(fixed, by_type)).alias("m")).select("source", "schema", "chunk_id", "m.*")
+
+
+def figures(gold: DataFrame, results: DataFrame, symmetric: dict[str, list[str]], by_type: bool = False) -> DataFrame:
+    """source, schema, metric, type, tp, fp, fn, precision, recall, f1, as chunk_counts has them: one join and one aggregation over grouping sets.
+
+    type is null for a metric as a whole; with by_type rel_strict has a row for each type as well.
+    """
+    c = chunk_counts(gold, results, symmetric)
+    sets = [["source", "schema", "metric"], *([["source", "schema", "metric", "type"]] if by_type else [])]
+    on = ["source", "schema", "metric", "type"]
+    sums = c.groupingSets([[F.col(x) for x in s] for s in sets], *on).agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")), F.grouping("type").alias("_whole"))
+    return sums.where("_whole = 1 or type is not null").select(*on, "tp", "fp", "fn", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def summarized(gold: DataFrame, results: DataFrame, symmetric: set[str]) -> DataFrame:
     """metric, tp, fp, fn, precision, recall, f1, pooled over all chunks of gold; a chunk without a result counts as empty.
 
     Both tables have chunk_id, entities, relations and spans. The metrics are ent_strict, ent_relaxed, coref, rel_strict,
-    rel_relaxed, rel_pair, and rel_type, whose tp are the found pairs that have a type in common.
+    rel_relaxed, rel_pair, and rel_type, whose tp are the found pairs that have a relation in common.
+    """
+    return figures(gold.withColumn("schema", F.lit("")), results.withColumn("source", F.lit("")), {"": sorted(symmetric)}).drop("source", "schema", "type")
+
+
+def evaluated(gold: DataFrame, results: DataFrame, schemas: dict, union_results: DataFrame | None = None, by_type: bool = False) -> DataFrame:
+    """source (generator, and union where given), schema, metric, type and figures: each chunk of gold (with a column schema) under its own schema."""
+    columns = ["chunk_id", "entities", "relations", "spans"]
+    rows = results.select(F.lit("generator").alias("source"), *columns)
+    if union_results is not None:
+        rows = rows.unionByName(union_results.select(F.lit("union").alias("source"), *columns))
+    return figures(gold.where(F.col("schema").isin(*schemas)), rows, {k: sorted(s.symmetric()) for k, s in schemas.items()}, by_type)
+
+
+def grid(written: DataFrame, scores: DataFrame, legal: DataFrame, gold: DataFrame, keys: list[str], cuts: list[float], margins: list[float], cap: int = 400) -> DataFrame:
+    """cut, margin and the figures of the union with them, for each pair of settings (columns keys, type, src, tgt).
+
+    The settings are a small table; each side of the union meets those that it depends on, and all are counted by one aggregation.
     """
-    pred = results.join(gold.select("chunk_id"), "chunk_id", "left_semi").where("entities is not null")
-    g_spans, p_spans = spans_of(gold), spans_of(pred)
-    g_names, p_names = labels_of(gold), labels_of(pred)
-    g_rel, p_rel = triples_of(gold), triples_of(pred)
-    # every predicted entity is aligned, those without a place to none
-    ids = pred.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", F.col("e.id").alias("pred_ent")).distinct()
-    alignment = ids.join(aligned(p_spans, g_spans), ["chunk_id", "pred_ent"], "left")
-    g_canonical = canonical(g_rel, symmetric)
-    pairs = relation_pairs(g_canonical, p_rel, alignment)
-    typed = pairs.select(F.col("typed").alias("tp"), (F.col("shared") - F.col("typed")).alias("fp"), (F.col("shared") - F.col("typed")).alias("fn"))
-    tables = {
-        "ent_strict": entity_strict(g_spans, p_spans), "ent_relaxed": entity_relaxed(g_names, p_names), "coref": coreference(g_spans, p_spans),
-        "rel_strict": relation_strict(g_rel, p_rel, alignment, symmetric), "rel_relaxed": relation_relaxed(g_rel, p_rel, g_names, p_names, symmetric),
-        "rel_pair": pairs, "rel_type": typed.select("*", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn"))),
-    }
-    out = None
-    for name, t in tables.items():
-        row = t.select(F.lit(name).alias("metric"), "tp", "fp", "fn", "precision", "recall", "f1")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def evaluated(gold: DataFrame, results: DataFrame, schemas: dict, union_results: DataFrame | None = None) -> DataFrame:
-    """source (generator, and union where given), schema, metric and its figures: each chunk of gold (with a column schema) under its own schema."""
-    out = None
-    for source, rows in (("generator", results), ("union", union_results)):
-        for name, schema in schemas.items() if rows is not None else ():
-            own = summarized(gold.where(F.col("schema") == name), rows, set(schema.symmetric())).select(F.lit(source).alias("source"), F.lit(name).alias("schema"), "*")
-            out = own if out is None else out.unionByName(own)
-    return out
-
-
-def grid(written: DataFrame, scores: DataFrame, legal: DataFrame, gold: DataFrame, keys: list[str], cuts: list[float], margins: list[float]) -> DataFrame:
-    """cut, margin and the figures of the union with them, for each pair of settings (columns keys, type, src, tgt)."""
-    from .union import union
-
-    out = None
-    for cut in cuts:
-        for margin in margins:
-            on = [*keys, "type", "src", "tgt"]
-            row = counted(compared(gold, union(written, scores, legal, keys, cut, margin), on)).select(F.lit(cut).alias("cut"), F.lit(margin).alias("margin"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    from .union import added, vetoed
+
+    spark, on = written.sparkSession, [*keys, "type", "src", "tgt"]
+    settings = spark.createDataFrame([(c, m) for c in cuts for m in margins], "cut double, margin_over double")
+    meets = lambda df: df.crossJoin(F.broadcast(settings))  # noqa: E731  a row for each pair of settings
+    tried = [*keys, "cut", "margin_over"]
+    kept = vetoed(meets(written), scores, keys, F.col("cut"))
+    more = added(kept, meets(scores), legal, tried, F.col("margin_over"), cap)
+    found = kept.select(*tried, "type", "src", "tgt").unionByName(more.select(*tried, "type", "src", "tgt"))
+    return counted(compared(meets(gold), found, ["cut", "margin_over", *on]), ["cut", "margin_over"]).withColumnRenamed("margin_over", "margin")
 
 
 def sentence_distance(positions: DataFrame) -> DataFrame:
