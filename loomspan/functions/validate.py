@@ -88,7 +88,7 @@ def lenient(found: dict, schema: Schema, repair: bool = True, retype: bool = Tru
         out.error = "schema: an id twice"
         return out
     relations = found.get("relations", [])
-    sound = [r for r in relations if isinstance(r, dict) and all(isinstance(r.get(k), str) for k in ("type", "source", "target", "evidence")) and r.get("modality") in MODALITIES]
+    sound = [r for r in relations if isinstance(r, dict) and all(isinstance(r.get(k), str) for k in ("type", "source", "target", "evidence")) and r.get("modality", "asserted") in MODALITIES]
     out.dropped_relations = len(relations) - len(sound)
     told = [r for r in relations if isinstance(r, dict) and all(isinstance(r.get(k), str) for k in ("type", "source", "target"))]
     new = retyped(entities, told, schema) if retype else {}
@@ -96,7 +96,7 @@ def lenient(found: dict, schema: Schema, repair: bool = True, retype: bool = Tru
     out.entities = [e | {"type": new.get(e["id"], e["type"])} for e in entities]
     of = {e["id"]: e["type"] for e in out.entities}
     for r in sound:
-        r = {"attributes": {}} | r
+        r = {"attributes": {}, "modality": "asserted"} | r
         ends = of.get(r["source"]), of.get(r["target"])
         if schema.relation(r["type"]) is None or None in ends:
             out.dropped_relations += 1

@@ -108,6 +108,44 @@ def decoded(answers: DataFrame, sentences: DataFrame, fmt: str = "sentences", ke
     return Decoded(entities, relations, outcomes)
 
 
+def decoded_json(answers: DataFrame, key: str = "chunk_id") -> Decoded:
+    """What answers (key, raw) in JSON say: an object with entities and relations, perhaps within a code fence or other text.
+
+    The object is read as a VARIANT and looked at in its row, without a shuffle. An entity without an id, type, name or mentions, too many
+    entities and too many mentions are errors of the whole answer, and so is text that is no JSON or says a key twice. A relation that
+    lacks a field has a null in its place; one without a modality is asserted. Values that are no text are no attributes.
+    """
+    bare = F.regexp_replace(stripped(F.col("raw")), rf"^```\w*{BLANKS}|^```\w*|{BLANKS}```\z|```\z", "")
+    body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.when(body != "", body), F.lit("]"))), "$", "array<variant>")  # a list, so that nothing may follow the object
+    got = answers.select(key, F.col("raw").isNull().alias("absent"), body.alias("body"), F.when(F.size(one) == 1, one[0]).alias("v"))
+    listed = lambda path: F.try_variant_get("v", path, "array<variant>")
+    text = lambda v, path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    strings = lambda v: F.filter(F.transform(F.try_variant_get(v, "$.mentions", "array<variant>"), lambda m: text(m, "$")), lambda m: m.isNotNull())
+    attributes = lambda v: F.coalesce(F.map_filter(F.transform_values(F.try_variant_get(v, "$.attributes", "map<string, variant>"), lambda _, x: text(x, "$")), lambda _, x: x.isNotNull()), F.create_map().cast("map<string, string>"))
+
+    def entity(v: Column) -> Column:
+        mentions = strings(v)
+        whole = F.size(F.try_variant_get(v, "$.mentions", "array<variant>")) == F.size(mentions)
+        return F.struct(text(v, "$.id").alias("ent_id"), text(v, "$.type").alias("type"), text(v, "$.name").alias("name"), F.when(whole & (F.size(mentions) > 0), mentions).alias("mentions"))
+
+    relation = lambda v: F.struct(
+        *(text(v, f"$.{k}").alias(k) for k in ("type", "source", "target")), F.when(F.try_variant_get(v, "$.modality", "variant").isNull(), F.lit("asserted")).otherwise(text(v, "$.modality")).alias("modality"), text(v, "$.evidence").alias("evidence"), attributes(v).alias("attributes")
+    )
+    got = got.withColumn("es", F.transform(listed("$.entities"), entity)).withColumn("rs", F.coalesce(F.transform(listed("$.relations"), relation), F.array().cast("array<struct<type: string, source: string, target: string, modality: string, evidence: string, attributes: map<string, string>>>")))
+    there = F.try_variant_get("v", "$.entities", "variant").isNotNull()
+    got = got.withColumn("es", F.when(there, F.col("es")).otherwise(F.array().cast("array<struct<ent_id: string, type: string, name: string, mentions: array<string>>>")))
+    broken = F.col("es").isNull() | F.exists("es", lambda e: e["ent_id"].isNull() | e["type"].isNull() | e["name"].isNull() | e["mentions"].isNull())
+    error = F.when(F.col("absent"), "no answer").when(F.col("body") == "", "no JSON object").when(F.col("v").isNull(), "json: malformed").when(broken, "schema: an entity lacks a field")
+    error = error.when(F.size("es") > MAX_ENTITIES, f"schema: at most {MAX_ENTITIES} entities").when(F.exists("es", lambda e: F.size(e["mentions"]) > MAX_MENTIONS), f"schema: at most {MAX_MENTIONS} mentions")
+    got = got.withColumn("error", error)
+    sound = got.where("error is null")
+    entities = sound.select(key, F.posexplode("es").alias("ord", "e")).select(key, "ord", "e.*")
+    relations = sound.select(key, F.posexplode("rs").alias("ord", "r")).select(key, "ord", "r.*")
+    n = lambda c: F.when(F.col("error").isNull(), F.size(c)).otherwise(0).cast("long")
+    return Decoded(entities, relations, got.select(key, n("es").alias("n_entities"), n("rs").alias("n_relations"), F.lit(0).cast("long").alias("malformed"), "error"))
+
+
 def without_repeats(raw: Column) -> Column:
     """An answer that stops at repeats: in the block of a header, what follows the first relation line that the answer has already is left out.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts
+from ..sources import formats
 from . import evaluation, labels
 from .ontology import registered
 from .rows import flat_map
+from . import schemas as _bundled  # noqa: F401  registers the bundled schemas
 
 NAMED = "array<struct<name: string, type: string, mentions: array<string>>>"
 CLAIMS = "array<struct<source: string, type: string, target: string>>"
@@ -100,8 +103,12 @@ def prompt_files(chunks: DataFrame, schema: str = "business") -> DataFrame:
 
 
 def write_prompts(chunks: DataFrame, path: str, schema: str = "business") -> None:
-    """A folder file_name=<name> for each chunk, with its prompt in it."""
-    prompt_files(chunks, schema).write.mode("errorifexists").partitionBy("file_name").text(path)
+    """A file for each chunk, named by it, in one folder, which must be empty; a job that fails leaves none."""
+    formats.register(chunks.sparkSession)
+    system, place = formats.filesystem(path)
+    if system.get_file_info(place).is_file or system.get_file_info(place).type.name == "Directory" and formats.files_in(system, place):
+        raise FileExistsError(path)
+    prompt_files(chunks, schema).write.format("named_files").mode("append").save(path)
 
 
 def chats(chunks: DataFrame, fmt: str = "sentences", schema: str = "business", style: str = "full") -> DataFrame:
@@ -130,7 +137,7 @@ def training_examples(labelled: DataFrame, fmt: str = "sentences", style: str =
         relations = [r | {"attributes": dict(r["attributes"] or {})} for r in gold["relations"] or []]
         views = [schema.without(held.get("relations", ()), held.get("entities", ()))] if held.get("relations") or held.get("entities") else []
         if variants:
-            draw = sum(map(ord, f"{seed}|{chunk_id}"))
+            draw = int(hashlib.md5(f"{seed}|{chunk_id}".encode()).hexdigest()[:8], 16)
             views.append((views[-1][0] if views else schema).variant(draw))
         for schema, named in views:
             types = {e.name for e in schema.entities}
@@ -149,7 +156,7 @@ def draft_text(chunk_id: str, text: str, entities: list[dict], relations: list[d
     """A draft as a corrector reads it: a header, numbered entities and relations, and the text."""
     number = {e["id"]: f"E{k}" for k, e in enumerate(entities, 1)}
     shown = [f"E{k} {e['type']}: {' | '.join(e['mentions'])}" for k, e in enumerate(entities, 1)]
-    shown += [f"R{k} {number[r['source']]} {r['type']} {number[r['target']]} {r['modality']}" for k, r in enumerate(relations, 1) if r["source"] in number and r["target"] in number]
+    shown += [f"R{k} {r['type']} {number[r['source']]} {number[r['target']]}" for k, r in enumerate(relations, 1) if r["source"] in number and r["target"] in number]
     return "\n".join([f"## {chunk_id}", *shown, "", text, ""])
 
 
@@ -162,8 +169,8 @@ def draft_batches(drafts: DataFrame, n: int, size: int = 25) -> DataFrame:
 
 
 INSTRUCTIONS = """Each section begins with `## <chunk id>`, then lists a draft's entities (E1, E2, ...) and relations (R1, R2, ...), then the text.
-Answer with the same headers, and below each the changes, one a line: drop E1, drop R2, retype E1 <Type>, retype R2 <TYPE>, flip R2,
-entity <Type>: <surface> | <surface>, mention E1: <surface>, add <TYPE> E1 E2 [modality]. A section without changes is right as it is."""
+Answer with the same headers, and below each the changes, one a line: drop R1 R2, retype R2 <TYPE>, flip R2,
+entity E9 <Type>: <surface> | <surface>, mention E1: <surface>, add <TYPE> E1 E2; new entities are numbered after the draft's last. A section without changes is right as it is."""
 
 
 def correction_instructions(schema: str = "business") -> str:
@@ -188,8 +195,7 @@ def corrected_labels(drafts: DataFrame, lines: DataFrame, schema: str = "busines
     """Labelled chunks of the drafts that have an answer (chunk_id, doc_id, text, entities, relations, split, schema), and a row of counts:
     drafts, answered, change lines, skipped changes, and answers that are left out for too many entities."""
     sections = labels.answer_sections(lines)
-    head = F.regexp_extract("line", r"^##\s+(\S+)\s*$", 1)
-    answered = lines.select(head.alias("chunk_id")).where("chunk_id != ''").distinct()
+    answered = lines.where(F.col("line").startswith("## ")).select(F.trim(F.expr("substring(line, 4)")).alias("chunk_id")).where("chunk_id != ''").distinct()
     applied = labels.apply_corrections(drafts.join(answered, "chunk_id", "left_semi"), sections, schema)
     kept = applied.where("error is null").join(drafts.select("chunk_id", "doc_id", "text"), "chunk_id")
     rows = kept.select("chunk_id", "doc_id", "text", "entities", "relations", F.lit("train").alias("split"), F.lit(schema).alias("schema"))

@@ -76,78 +76,88 @@ def draft_batches(chunk_table: DataFrame, n: int, size: int = 25, salt: str = "d
 
 
 def answer_sections(files: DataFrame) -> DataFrame:
-    """Lines (file, k, line) of correction answers -> chunk_id, k, line under the last header `## id`."""
-    head = F.regexp_extract("line", r"^##\s+(\S+)\s*$", 1)
-    df = files.withColumn("_head", F.when(head != "", head))
+    """Lines (file, k, line) of correction answers -> chunk_id, k, line under its header `## id`; of several sections of a chunk the last one, by file and place."""
+    head = F.when(F.col("line").startswith("## "), F.trim(F.expr("substring(line, 4)")))
     w = W.partitionBy("file").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("chunk_id", F.last("_head", ignorenulls=True).over(w)).where("_head is null and chunk_id is not null and trim(line) != ''").select("chunk_id", "k", "line")
+    df = files.withColumn("_head", head).withColumn("chunk_id", F.last("_head", ignorenulls=True).over(w))
+    df = df.withColumn("_section", F.struct("file", F.count("_head").over(w).alias("n")))
+    last = df.where("_head is not null").groupBy("chunk_id").agg(F.max("_section").alias("_last"))
+    kept = df.where("_head is null and chunk_id is not null and trim(line) != ''").join(last, "chunk_id").where("_section = _last")
+    return kept.select("chunk_id", "k", F.trim("line").alias("line"))
 
 
-# The lines of a correction.
-CHANGES = {
-    "drop": re.compile(r"^drop ([ER]\d+)$"),
-    "retype": re.compile(r"^retype ([ER]\d+) (\w+)$"),
-    "flip": re.compile(r"^flip (R\d+)$"),
-    "entity": re.compile(r"^entity (\w+): (.+)$"),
-    "mention": re.compile(r"^mention (E\d+): (.+)$"),
-    "add": re.compile(r"^add (\w+) (E\d+) (E\d+)(?: (asserted|negated|hedged|reported))?$"),
-}
+class Draft:
+    """A chunk's draft under correction: entities by E-number, relations by name as (type, source number, target number). A line that can't be followed raises."""
+
+    def __init__(self, text: str, entities: list[dict], relations: list[dict], schema):
+        self.text, self.schema = text, schema
+        self.entities = {f"E{k}": dict(e) for k, e in enumerate(entities, 1)}
+        named = {e["id"]: k for k, e in zip(self.entities, entities, strict=True)}
+        self.relations = {f"R{k}": [r["type"], named.get(r["source"]), named.get(r["target"])] for k, r in enumerate(relations, 1)}
+        self.types = {e.name for e in schema.entities}
+
+    def follow(self, line: str) -> None:
+        word, *rest = line.split()
+        {"drop": self.drop, "retype": self.retype, "flip": self.flip, "add": self.add}.get(word, lambda *_: self.name(line))(*rest)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.relations.pop(name, None)
+
+    def retype(self, name: str, kind: str, *_: str) -> None:
+        self.relations[name][0] = kind
+
+    def flip(self, name: str, *_: str) -> None:
+        self.relations[name][1:] = self.relations[name][:0:-1]
+
+    def add(self, kind: str, source: str, target: str, *_: str) -> None:
+        self.relations[f"A{len(self.relations)}_{source}_{target}"] = [kind, source, target]
+
+    def name(self, line: str) -> None:
+        """An entity with a number of its own, or another name of one."""
+        if m := ENTITY_LINE.match(line):
+            there = [s for part in m[3].split("|") if (s := part.strip()) and s in self.text]
+            if not there or m[2] not in self.types:
+                raise ValueError(line)
+            self.entities[m[1]] = {"id": m[1].lower(), "type": m[2], "name": there[0], "attributes": {}, "mentions": there}
+        elif m := MENTION_LINE.match(line):
+            known = self.entities[m[1]]
+            if (surface := m[2].strip()) in self.text:
+                known["mentions"] = [*known["mentions"], surface]
+        else:
+            raise ValueError(line)
+
+
+# The lines of a correction that name something.
+ENTITY_LINE = re.compile(r"entity (E\d+) (\w+): (.+)$")
+MENTION_LINE = re.compile(r"mention (E\d+): (.+)$")
 
 
 def corrected(text: str, entities: list[dict], relations: list[dict], lines: list[str], schema) -> tuple[list[dict], list[dict], int, str | None]:
-    """(entities, relations, skipped lines, error) after the changes, in order. Draft ids go by place; what is unknown, malformed, absent from the text or illegal is skipped and counted."""
-    es = {f"E{k}": dict(e) for k, e in enumerate(entities, 1)}
-    rs = {f"R{k}": dict(r) for k, r in enumerate(relations, 1)}
-    number = {e["id"]: k for k, e in es.items()}
-    for r in rs.values():
-        r["source"], r["target"] = number.get(r["source"]), number.get(r["target"])
-    types = {e.name for e in schema.entities}
-    bad = 0
-    for line in (" ".join(x.split()) for x in lines):
-        kind, m = next(((k, m) for k, p in CHANGES.items() if (m := p.match(line))), (None, None))
-        ok = False
-        if kind == "drop":
-            ok = (es if m[1][0] == "E" else rs).pop(m[1], None) is not None
-        elif kind == "retype":
-            own = es if m[1][0] == "E" else rs
-            ok = m[1] in own and (m[2] in types if m[1][0] == "E" else schema.relation(m[2]) is not None)
-            if ok:
-                own[m[1]]["type"] = m[2]
-        elif kind == "flip" and m[1] in rs:
-            r, ok = rs[m[1]], True
-            r["source"], r["target"] = r["target"], r["source"]
-        elif kind == "entity":
-            names = [x.strip() for x in m[2].split("|") if x.strip() in text and x.strip()]
-            ok = m[1] in types and bool(names)
-            if ok:
-                n = 1 + max((int(k[1:]) for k in es), default=0)
-                es[f"E{n}"] = {"id": f"e{n}", "type": m[1], "name": names[0], "attributes": {}, "mentions": names}
-        elif kind == "mention" and m[1] in es and m[2].strip() in text:
-            ok = True
-            es[m[1]]["mentions"] = list(dict.fromkeys([*es[m[1]]["mentions"], m[2].strip()]))
-        elif kind == "add":
-            ok = m[2] in es and m[3] in es and schema.relation(m[1]) is not None
-            if ok:
-                n = 1 + max((int(k[1:]) for k in rs), default=0)
-                rs[f"R{n}"] = {"type": m[1], "source": m[2], "target": m[3], "modality": m[4] or "asserted", "evidence": "", "attributes": {}}
-        bad += not ok
-    out, seen = [], set()
-    for r in rs.values():
-        a, b = es.get(r["source"]), es.get(r["target"])
-        key = (r["type"], r["source"], r["target"])
-        if a is None or b is None or a is b or key in seen or not schema.legal(r["type"], a["type"], b["type"]):
-            bad += 1
-            continue
-        seen.add(key)
-        out.append(r)
-    out = out[:MAX_RELATIONS]
-    linked = {x for r in out for x in (r["source"], r["target"])}
-    for k in reversed(list(es)):
-        if len(es) > MAX_ENTITIES and k not in linked:
-            del es[k]
-    if len(es) > MAX_ENTITIES:
-        return [], [], bad, f"at most {MAX_ENTITIES} entities"
-    return list(es.values()), [r | {"source": es[r["source"]]["id"], "target": es[r["target"]]["id"]} for r in out], bad, None
+    """(entities, relations, skipped, error) after the changes, in order: drop R1 R2, retype R1 TYPE, flip R1, entity E9 Type: a | b, mention E1: a, add TYPE E1 E2.
+
+    Entities are renamed e1, e2, … by their numbers. Lines that can't be followed, relations that are illegal, double or without an end, and
+    spare entities beyond the limit, the last first, are skipped and counted.
+    """
+    draft, skipped = Draft(text, entities, relations, schema), 0
+    for line in lines:
+        try:
+            draft.follow(line.strip())
+        except (KeyError, TypeError, ValueError):
+            skipped += 1
+    types = {k: e["type"] for k, e in draft.entities.items()}
+    legal = [tuple(r) for r in draft.relations.values() if r[1] in types and r[2] in types and r[1] != r[2] and schema.legal(r[0], types[r[1]], types[r[2]])]
+    kept = list(dict.fromkeys(legal))
+    skipped += len(draft.relations) - len(kept)
+    kept = kept[:MAX_RELATIONS]
+    linked = {end for _, a, b in kept for end in (a, b)}
+    spare = [k for k in draft.entities if k not in linked][::-1][: max(0, len(types) - MAX_ENTITIES)]
+    skipped += len(spare)
+    rest = [e | {"id": k.lower()} for k, e in draft.entities.items() if k not in set(spare)]
+    if len(rest) > MAX_ENTITIES:
+        return [], [], skipped, f"at most {MAX_ENTITIES} entities"
+    made = [{"type": t, "source": a.lower(), "target": b.lower(), "modality": "asserted", "evidence": "", "attributes": {}} for t, a, b in kept]
+    return rest, made, skipped, None
 
 
 def apply_corrections(drafts: DataFrame, lines: DataFrame, schema: str = "business") -> DataFrame:

@@ -55,31 +55,37 @@ def read_json_graphs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # The keys that graphs, nodes and edges may have.
-KEYS = {"graph": {"id", "label", "directed", "type", "metadata", "nodes", "edges"}, "node": {"label", "metadata"}, "edge": {"id", "source", "target", "relation", "directed", "label", "metadata"}}
+KEYS = {"graph": ["directed", "edges", "id", "label", "metadata", "nodes", "type"], "node": ["label", "metadata"], "edge": ["directed", "id", "label", "metadata", "relation", "source", "target"]}
 
 
 def graph_errors(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and what is wrong with its graph (a column value): an empty list means that it is valid."""
-
-    def make(value):
-        out = []
-        try:
-            g = json.loads(value or "")["graph"]
-        except (ValueError, KeyError, TypeError):
-            yield (["no graph object"],)
-            return
-        out += [f"graph.{k}" for k in sorted(set(g) - KEYS["graph"])]
-        nodes, edges = g.get("nodes", {}), g.get("edges", [])
-        if not isinstance(nodes, dict) or not isinstance(edges, list):
-            yield ([*out, "nodes is no object or edges no array"],)
-            return
-        out += [f"node {i}.{k}" for i, n in nodes.items() for k in sorted(set(n) - KEYS["node"])]
-        for e in edges:
-            out += [f"edge {e.get('id')}.{k}" for k in sorted(set(e) - KEYS["edge"])]
-            out += [f"edge {e.get('id')}: no node {e.get(k)}" for k in ("source", "target") if e.get(k) not in nodes]
-        yield (out,)
-
-    return flat_map(lines, [key], ["value"], make, "errors array<string>")
+    """key and what is wrong with its graph (a column value): an empty list means that it is valid.
+
+    Keys that a graph, a node or an edge may not have, and edges whose ends are no nodes. The value is read as a VARIANT, whatever its keys
+    are, and checked in its row. Text that is no JSON, or says a key twice, has no graph object.
+    """
+    members = lambda v: F.try_variant_get(v, "$", "map<string, variant>")
+    strange = lambda m, kind: F.array_sort(F.filter(F.map_keys(m), lambda k: ~k.isin(*KEYS[kind])))
+    none = F.array().cast("array<string>")
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", "array<variant>")  # a list, so that nothing may follow the object
+    read = lines.select(key, F.try_variant_get(F.when(F.size(one) == 1, one[0]), "$.graph", "map<string, variant>").alias("g"))
+    read = read.select(key, "g", members(F.col("g")["nodes"]).alias("n"), F.try_variant_get(F.col("g")["edges"], "$", "array<variant>").alias("e"))
+    has = lambda k: F.map_contains_key("g", F.lit(k))
+    unfit = has("nodes") & F.col("n").isNull() | has("edges") & F.col("e").isNull()
+    nodes = F.coalesce("n", F.create_map().cast("map<string, variant>"))
+    own = F.transform(strange(F.col("g"), "graph"), lambda k: F.concat(F.lit("graph."), k))
+    of_node = lambda x: F.transform(F.coalesce(strange(members(x["value"]), "node"), F.array(F.lit("no object"))), lambda k: F.concat(F.lit("node "), x["key"], F.lit("."), k))
+
+    def of_edge(v):
+        m, name = members(v), F.concat(F.lit("edge "), F.coalesce(F.try_variant_get(v, "$.id", "string"), F.lit("None")))
+        odd = F.transform(F.coalesce(strange(m, "edge"), F.array(F.lit("no object"))), lambda k: F.concat(name, F.lit("."), k))
+        end = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+        lost = F.filter(F.array(*(F.when(F.coalesce(~F.map_contains_key(nodes, end(k)), F.lit(True)), F.concat(name, F.lit(": no node "), F.coalesce(end(k), F.lit("None")))) for k in ("source", "target"))), lambda x: x.isNotNull())
+        return F.concat(odd, F.when(m.isNotNull(), lost).otherwise(none))
+
+    found = F.concat(own, F.flatten(F.transform(F.map_entries(nodes), of_node)), F.flatten(F.transform(F.coalesce("e", F.array().cast("array<variant>")), of_edge)))
+    said = F.when(F.col("g").isNull(), F.array(F.lit("no graph object"))).when(unfit, F.concat(own, F.array(F.lit("nodes is no object or edges no array")))).otherwise(found)
+    return read.select(key, said.alias("errors"))
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:

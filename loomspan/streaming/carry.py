@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 KNOWN = "doc_id string, number int, type string, surfaces array<string>, last_seen int"
 
@@ -40,37 +40,46 @@ def known_before(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     return seen.select("doc_id", "chunk", "number", "type", F.array_max(F.filter("_at", lambda c: c < F.col("chunk"))).alias("last_seen"))
 
 
-STATE = "numbers array<int>, types array<string>, surfaces array<array<string>>, last array<int>"
+class KnownEntities(StatefulProcessor):
+    """A document's known entities as map state, an entry for each number: a batch reads and writes the entries that it names, no others."""
 
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A document's known entities after its new answers. State never crosses documents."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    have: dict[int, list] = {}
-    if state.exists:
-        have = {n: [t, list(s), k] for n, t, s, k in zip(*state.get, strict=True)}
-    rows = pd.concat(list(batches)).sort_values(["chunk", "number"])
-    for r in rows.itertuples():
-        own = have.setdefault(int(r.number), [r.type, [], int(r.chunk)])
-        own[1] += [s for s in dict.fromkeys(list(r.surfaces) if r.surfaces is not None else []) if s not in own[1]]
-        own[2] = max(own[2], int(r.chunk))
-    state.update(([*have], [v[0] for v in have.values()], [v[1] for v in have.values()], [v[2] for v in have.values()]))
-    yield pd.DataFrame({"doc_id": key[0], "number": pd.Series([*have], dtype="int32"), "type": [v[0] for v in have.values()], "surfaces": [v[1] for v in have.values()], "last_seen": pd.Series([v[2] for v in have.values()], dtype="int32")})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "number int", "type string, surfaces array<string>, last_seen int", self.forget_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        given = pd.concat(list(rows)).sort_values(["chunk", "number"])
+        for number, own in given.groupby("number", sort=True):
+            at = (int(number),)
+            kind, surfaces, last = self.known.getValue(at) if self.known.containsKey(at) else (own.type.iloc[0], [], -1)
+            said = [s for listed in own.surfaces if listed is not None for s in listed]
+            now = (kind, list(dict.fromkeys([*surfaces, *said])), max(int(last), int(own.chunk.max())))
+            self.known.updateValue(at, now)
+            yield pd.DataFrame({"doc_id": [key[0]], "number": pd.Series(at, dtype="int32"), "type": [now[0]], "surfaces": [now[1]], "last_seen": pd.Series([now[2]], dtype="int32")})
+
+    def close(self) -> None:
+        pass
+
+
+#: What a session needs for state of this kind.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def known_stream(answers: DataFrame, forget_ms: int | None = None) -> DataFrame:
-    """The same over a stream of answers: each document with new answers gives its known entities anew. forget_ms: a document without
-    any for that long is forgotten (such a query also runs batches without data); by default none is."""
+    """The same over a stream of answers, whose chunks come in order: each known entity that a batch names, as it is now. The last row of a number counts.
+
+    State is keyed by document and number and never crosses documents; forget_ms: an entity that nothing names for that long is
+    forgotten, by default none is. The session needs STATE_STORE.
+    """
+    return answers.groupBy("doc_id").transformWithStateInPandas(KnownEntities(forget_ms), KNOWN, "update", "processingTime" if forget_ms else "none")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from _update(key, batches, state)
-        if forget_ms and state.exists:
-            state.setTimeoutDuration(forget_ms)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
-    return answers.groupBy("doc_id").applyInPandasWithState(update, KNOWN, STATE, "update", timeout)
+def known_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stream of known entities holds in its checkpoint, as known() has it: read from the state, for a look at it or a new start."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "known").load()
+    return state.select(F.col("key.doc_id").alias("doc_id"), F.col("user_map_key.number").alias("number"), "user_map_value.type", "user_map_value.surfaces", "user_map_value.last_seen")
 
 
 def arriving(docs: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from loomspan import config
-from loomspan.functions import answers, capacity, grammar, prompts, tagging
+from loomspan.functions import answers, grammar, prompts, tagging
 from loomspan.operators import ontology
 from loomspan.operators.schemas import BUSINESS, SPORTS
 
@@ -46,11 +46,7 @@ def test_training_examples_and_tasks():
     assert prompts.training_run("sports", "lines", "compact", epochs=2) == {"schema": "sports", "format": "lines", "compact_prompt": True, "conditioned": False, "epochs": 2}
 
 
-def test_questions_attend_to_the_prefix_and_themselves():
-    ids, positions, spans, last = prompts.packed([1, 2, 3], [[4, 5], [6]])
-    assert ids == [1, 2, 3, 4, 5, 6] and positions == [0, 1, 2, 3, 4, 3] and last == [4, 5]
-    seen = [[j for j in range(6) if prompts.may_attend(3, spans, i, j)] for i in range(6)]
-    assert seen == [[0], [0, 1], [0, 1, 2], [0, 1, 2, 3], [0, 1, 2, 3, 4], [0, 1, 2, 5]]
+def test_questions_about_pairs():
     assert prompts.entity_block([("Org", ["Acme", "it"])]) == "E1 Org: Acme | it" and "Target: b" in prompts.question("a", "b", "c")
 
 
@@ -95,34 +91,6 @@ def test_tags_and_names():
     assert tagging.name_mentions("Nordvik Mills", ["the mills", "Nordvik", "it", "The Mills"]) == ["Nordvik Mills", "Nordvik", "The Mills"]
 
 
-def test_capacity():
-    per_token = capacity.cache_bytes_per_token(36, 8, 128)
-    assert per_token == 147456 and capacity.row_bytes(1000, 400, 1) == 1400
-    assert capacity.batch_size(10 * 2**30, 1400 * per_token) == 8 and capacity.batch_size(1, 5) == 1
-    assert capacity.memory_share(8 << 30, 16 << 30, 1024, None) == 7 / 16 and capacity.memory_share(8 << 30, 16 << 30, 1024, 0.25) == 0.25
-    with pytest.raises(RuntimeError):
-        capacity.memory_share(1, 16 << 30, 1024, None)
-    tried = []
-
-    def work(part):
-        tried.append(len(part))
-        if len(part) > 2:
-            raise MemoryError
-        return sum(part)
-
-    assert capacity.in_groups([1, 2, 3, 4, 5], 4, work) == [3, 7, 5] and tried == [4, 2, 2, 1]
-    with pytest.raises(MemoryError):
-        capacity.in_groups([9], 1, lambda part: (_ for _ in ()).throw(MemoryError()))
-    host = capacity.Host((("wide", 8.0), ("half", 4.5), ("small", 3.0)), 1.0, 1.0, 0.01, 6.0)
-    assert capacity.plan(host, 24, 24).fmt == "wide" and capacity.plan(host, 7, 8).fmt == "half" and capacity.plan(host, 7, 8).sequences == 32
-    assert capacity.plan(host, 7, 8, "small", sequences=4).share == 0.81
-    with pytest.raises(ValueError):
-        capacity.plan(host, 7, 8, "other")
-    with pytest.raises(RuntimeError):
-        capacity.plan(host, 2, 8)
-    assert capacity.share_beside_scorer(host, 24, 24) == 0.73 and capacity.share_beside_scorer(host, 9, 24) is None
-
-
 def test_schema_texts_and_reduced_views():
     rendered = BUSINESS.rendered()
     assert "- HELD_AT: Event -> Place." in rendered and "- LOCATED_IN: Object|Org|Person|Place -> Place." in rendered
