@@ -1,4 +1,4 @@
-"""Cross-chunk resolution: entity groups by a grouped map per document; everything after it with DataFrame operations.
+"""Cross-chunk resolution: entity groups by a grouped map per document, or per block of a large one; everything after it with DataFrame operations.
 
 Inputs are the tables of chunk graphs: entities (doc_id, chunk, ord, ent_id, type, name, attributes), mentions (doc_id, chunk,
 ent_id, ord, mention, at) and relations (doc_id, chunk, ord, type, source, target, modality, attributes, score, origin,
@@ -7,44 +7,110 @@ sent_start, sent_end). Nodes are ordered by chunk, then listing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import generic
+from ..functions.names import generic, identifying, tokens
 from ..functions.resolve import Entity, best_name, resolve
-from .rows import flat_map
+from .rows import flat_map, written
 
 
 def _grouped(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row for each document with all its entities: a document's entities must fit into a task's memory, as its graph must."""
-    m = mentions.groupBy("doc_id", "chunk", "ent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "at", "mention"))).alias("mentions"))
-    e = entities.join(m, ["doc_id", "chunk", "ent_id"], "left")
-    return e.select("doc_id", F.struct("chunk", "ord", "ent_id", "type", "name", "mentions").alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("nodes"))
+    """One row for each document with all its entities, in order of chunk and listing."""
+    return _listed(entities, mentions).groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("nodes"))
 
 
 def _entities(nodes: list[dict]) -> list[Entity]:
     return [Entity(n["chunk"], n["ent_id"], n["type"], n["name"], [(m["mention"], m["at"]) for m in n["mentions"] or []]) for n in nodes]
 
 
-def entity_groups(entities: DataFrame, mentions: DataFrame, carried: bool = False, carry_forward: bool = True, same_chunk: bool = False) -> DataFrame:
-    """doc_id, chunk, ent_id, merged_id (e1, e2, … by first member), name of the group, unnamed (every mention and name is a pronoun or description)."""
+#: Entities of a document from which on it is resolved block by block; the groups are the same.
+LARGE = 5000
+GROUPS = "chunk int, ent_id string, merged_id string, merged_name string, unnamed boolean"
 
-    def make(nodes):
+
+def _shared(node: dict, carried: bool) -> list[tuple[str, bool]]:
+    """What an entity may meet others by, and whether it asks: a surname asks for full names, a description for names and its like; equal ids, places and names meet anyway."""
+    e = _entities([node])[0]
+    out = [(f"0|{e.id}", True)] if carried else []
+    out += [(f"a|{e.type}|{at}|{m.casefold()}", True) for m, at in e.mentions if at is not None and not generic(m)]
+    for k in e.keys():
+        out.append((f"b|{e.type}|{k}", True))
+        words = k.split()
+        out += [(f"s|{e.type}|{w}", len(words) == 1) for w in words]
+    asks, kind = e.all_generic(), "" if carried else e.type  # equal ids may bring types together
+    for d in e.descriptions():
+        out.append((f"c|{e.type}|{d}", asks))
+        out += [(f"h|{kind}|{d.split()[-1]}", True)] if asks else []
+    out += [(f"h|{kind}|{w.casefold()}", False) for m in e.surfaces() if identifying(m) for w in tokens(m)]
+    return sorted(set(out))
+
+
+def blocks(entities: DataFrame, mentions: DataFrame, carried: bool, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, chunk, ent_id, block: entities of which no rule looks at one when it decides on another are in different blocks.
+
+    Blocks are the components of entities and what they share, where one that shares it asks. Within a block, all of a rule's steps
+    come in the order in which they come in the document, so that the groups are the document's.
+    """
+    from .judging import components
+
+    keyed = _listed(entities, mentions)
+    shared = cut(flat_map(keyed, ["doc_id", "chunk", "ord", "ent_id"], ["e"], lambda e: _shared(e, carried), "feature string, asks boolean"))
+    node = F.struct("doc_id", "chunk", "ord", "ent_id")
+    hubs = shared.groupBy("doc_id", "feature").agg(F.min(node).alias("hub"), F.bool_or("asks").alias("asked"), F.count(F.lit(1)).alias("n")).where("asked and n > 1")
+    edges = shared.join(hubs, ["doc_id", "feature"]).select(F.col("hub").alias("a"), node.alias("b")).where("a != b").distinct()
+    found = components(edges, cut).select(*(F.col("node")[c].alias(c) for c in ("doc_id", "chunk", "ent_id")), F.to_json("least").alias("block"))
+    alone = F.concat_ws("|", F.col("chunk").cast("string"), "ent_id")
+    return entities.select("doc_id", "chunk", "ent_id").join(found, ["doc_id", "chunk", "ent_id"], "left").withColumn("block", F.coalesce("block", alone))
+
+
+def _listed(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """doc_id, chunk, ord, ent_id and e, all that resolution asks of an entity."""
+    m = mentions.groupBy("doc_id", "chunk", "ent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "at", "mention"))).alias("mentions"))
+    e = entities.join(m, ["doc_id", "chunk", "ent_id"], "left")
+    return e.select("doc_id", "chunk", "ord", "ent_id", F.struct("chunk", "ord", "ent_id", "type", "name", "mentions").alias("e"))
+
+
+def entity_groups(entities: DataFrame, mentions: DataFrame, carried: bool = False, carry_forward: bool = True, same_chunk: bool = False, large: int = LARGE, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """doc_id, chunk, ent_id, merged_id (e1, e2, … by first member), name of the group, unnamed (every mention and name is a pronoun or description).
+
+    The entities of a document that has more than `large` are taken apart into blocks first, and a block is one task's work instead of the document.
+    """
+
+    def groups_of(nodes):
+        """Each member of each group, with the group's first member."""
         own = _entities(nodes)
         groups = resolve(own, carried, carry_forward, same_chunk)
         by_node, place = {e.node: e for e in own}, {e.node: k for k, e in enumerate(own)}
-        number: dict = {}
-        for e in own:
-            number.setdefault(groups.of[e.node], f"e{len(number) + 1}")
-        for g, members in groups.held.items():
+        for members in groups.held.values():
             order = sorted(members, key=place.__getitem__)
             names = [by_node[n].name for n in order]
             unnamed = all(generic(s) for n in order for s in [by_node[n].name, *by_node[n].surfaces()])
-            yield from ((n[0], n[1], number[g], best_name(names), unnamed) for n in order)
-
-    return flat_map(_grouped(entities, mentions), ["doc_id"], ["nodes"], make, "chunk int, ent_id string, merged_id string, merged_name string, unnamed boolean")
+            yield from ((n, place[order[0]], best_name(names), unnamed) for n in order)
+
+    def of_document(nodes):
+        made = list(groups_of(nodes))
+        number = {first: k for k, first in enumerate(sorted({first for _, first, _, _ in made}), 1)}
+        yield from ((*n, f"e{number[first]}", name, unnamed) for n, first, name, unnamed in made)
+
+    def of_block(nodes):
+        yield from ((*n, nodes[first]["chunk"], nodes[first]["ord"], nodes[first]["ent_id"], name, unnamed) for n, first, name, unnamed in groups_of(nodes))
+
+    sizes = entities.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select("doc_id")
+    if not sizes.take(1):
+        return flat_map(_grouped(entities, mentions), ["doc_id"], ["nodes"], of_document, GROUPS)
+    big = cut(sizes)
+    some = lambda df, how: df.join(big, "doc_id", how)
+    small = flat_map(_grouped(some(entities, "left_anti"), some(mentions, "left_anti")), ["doc_id"], ["nodes"], of_document, GROUPS)
+    e, m = some(entities, "left_semi"), some(mentions, "left_semi")
+    parts = _listed(e, m).join(blocks(e, m, carried, cut), ["doc_id", "chunk", "ent_id"]).groupBy("doc_id", "block").agg(F.array_sort(F.collect_list("e")).alias("nodes"))
+    made = flat_map(parts, ["doc_id"], ["nodes"], of_block, "chunk int, ent_id string, _chunk int, _ord int, _ent string, merged_name string, unnamed boolean")
+    number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("_chunk", "_ord", "_ent"))  # a document's groups by their first members
+    numbered = made.withColumn("merged_id", F.concat(F.lit("e"), number.cast("string")))
+    return small.unionByName(numbered.select("doc_id", "chunk", "ent_id", "merged_id", "merged_name", "unnamed"))
 
 
 def union_log(entities: DataFrame, mentions: DataFrame, carried: bool = False) -> DataFrame:
