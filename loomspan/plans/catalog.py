@@ -288,19 +288,30 @@ def legal_edges(spark, sf_dir):
     return kept.groupBy("type", "src_type", "tgt_type").agg(F.count("*").alias("n"))
 
 
-@query("neighbour_types", f"WITH {LEGAL_SQL} SELECT DISTINCT a.rel_type AS type, b.rel_type AS other FROM legal a JOIN legal b USING (src_type, tgt_type) WHERE a.rel_type <> b.rel_type")
+def _edge_counts(spark, sf_dir) -> DataFrame:
+    """type, src_type, tgt_type, n over the trade graph."""
+    return structured_edges(spark, sf_dir).groupBy("type", "src_type", "tgt_type").agg(F.count("*").alias("n"))
+
+
+@query("neighbour_types", f"WITH {LEGAL_SQL}, {EDGES_SQL}, n AS (SELECT type, count(*) AS n FROM edges GROUP BY type), b AS (SELECT DISTINCT a.rel_type AS type, b.rel_type AS other FROM legal a JOIN legal b USING (src_type, tgt_type) WHERE a.rel_type <> b.rel_type) SELECT b.type, b.other, n.n FROM b JOIN n USING (type)")
 def neighbour_types(spark, sf_dir):
-    return ontology.neighbour_types(BUSINESS.dim_legal(spark))
+    """What else the relations of the trade graph might be taken for, and how many there are of each."""
+    n = _edge_counts(spark, sf_dir).groupBy("type").agg(F.sum("n").alias("n"))
+    return ontology.neighbour_types(BUSINESS.dim_legal(spark)).join(F.broadcast(n), "type")  # a row for each type
 
 
-@query("only_edges", f"WITH {LEGAL_SQL} SELECT src_type, tgt_type, min(rel_type) AS rel_type FROM legal GROUP BY ALL HAVING count(*) = 1")
+@query("only_edges", f"WITH {LEGAL_SQL}, {EDGES_SQL}, o AS (SELECT src_type, tgt_type, min(rel_type) AS rel_type FROM legal GROUP BY ALL HAVING count(*) = 1) SELECT e.type, src_type, tgt_type, o.rel_type, count(*) AS n FROM edges e JOIN o USING (src_type, tgt_type) GROUP BY ALL")
 def only_edges(spark, sf_dir):
-    return ontology.only_edges(BUSINESS.dim_legal(spark)).drop("schema")
+    """Relations of the trade graph between types that admit one relation alone, beside that one: where they differ it is what repairs them."""
+    only = ontology.only_edges(BUSINESS.dim_legal(spark)).drop("schema")
+    return _edge_counts(spark, sf_dir).join(F.broadcast(only), ["src_type", "tgt_type"])  # a schema's size
 
 
-@query("label_classes", "WITH t(type, sym) AS (VALUES " + ", ".join(f"('{r.name}', {str(r.symmetric).lower()})" for r in BUSINESS.relations) + ") SELECT type, '>' AS direction FROM t UNION ALL SELECT type, '<' FROM t WHERE NOT sym")
+@query("label_classes", "WITH t(type, sym) AS (VALUES " + ", ".join(f"('{r.name}', {str(r.symmetric).lower()})" for r in BUSINESS.relations) + f"), {EDGES_SQL}, c AS (SELECT type, '>' AS direction FROM t UNION ALL SELECT type, '<' FROM t WHERE NOT sym) SELECT c.type, direction, count(*) AS n FROM c JOIN edges USING (type) GROUP BY ALL")
 def label_classes(spark, sf_dir):
-    return ontology.label_classes(BUSINESS.dim_relation_type(spark))
+    """The classes under which the relations of the trade graph are learnt, with how many fall into each type."""
+    n = _edge_counts(spark, sf_dir).groupBy("type").agg(F.sum("n").alias("n"))
+    return ontology.label_classes(BUSINESS.dim_relation_type(spark)).join(F.broadcast(n), "type")  # a row for each type
 
 
 @query("structured_graph", f"WITH {EDGES_SQL} SELECT type, CASE WHEN type = 'FAMILY_OF' THEN least(src, tgt) ELSE src END AS a, CASE WHEN type = 'FAMILY_OF' THEN greatest(src, tgt) ELSE tgt END AS b, count(*) AS n FROM edges GROUP BY ALL")
@@ -325,7 +336,7 @@ def coarse_view(spark, sf_dir):
 
 # --- union rule ---
 
-SCORED_SQL = f"""{LEGAL_SQL}, {EDGES_SQL}, w AS (SELECT DISTINCT type, src, tgt, src_type, tgt_type FROM edges WHERE type <> 'PARTICIPATED_IN'),
+SCORED_SQL = f"""{LEGAL_SQL}, {EDGES_SQL}, w AS (SELECT DISTINCT type, src, tgt, src_type, tgt_type FROM edges),
     s AS (SELECT *, ({H.format("'m|' || type || '|' || src || '|' || tgt")} % 1000 - 500) / 100.0 AS margin FROM w
           UNION ALL SELECT type, tgt, src, tgt_type, src_type, ({H.format("'r|' || type || '|' || tgt || '|' || src")} % 1000 - 500) / 100.0 FROM w WHERE type = 'FAMILY_OF'
           UNION ALL SELECT 'OPERATES_IN', src, tgt, src_type, tgt_type, ({H.format("'o|' || src || '|' || tgt")} % 1000 - 500) / 100.0 FROM w WHERE type = 'HEADQUARTERED_IN'),
@@ -335,7 +346,7 @@ SCORED_SQL = f"""{LEGAL_SQL}, {EDGES_SQL}, w AS (SELECT DISTINCT type, src, tgt,
 
 
 def _scored(spark, sf_dir):
-    w = structured_edges(spark, sf_dir).where("type != 'PARTICIPATED_IN'").distinct()
+    w = structured_edges(spark, sf_dir).distinct()
     margin = lambda salt, *c: (F.pmod(judging.hashed(F.lit(salt), *map(F.col, c)), F.lit(1000)) - 500) / 100.0
     s = w.withColumn("margin", margin("m", "type", "src", "tgt"))
     turned = w.where("type = 'FAMILY_OF'").select("type", F.col("tgt").alias("src"), F.col("src").alias("tgt"), F.col("tgt_type").alias("src_type"), F.col("src_type").alias("tgt_type"))
@@ -439,14 +450,14 @@ def nearest_earlier_candidate(spark, sf_dir):
 
 
 def _chunk_graph(spark, sf_dir):
-    """Chunk entities and mentions by rule: each capitalised word of a chunk is an entity, whose type its hash names; 40 a chunk, an answer's limit. Written once, for all that read it."""
+    """Chunk entities and mentions by rule: each capitalised word of a chunk is an entity, whose type its hash names. Written once, for all that read it."""
 
     def make(text):
         for c in segment.chunk(text or ""):
             first: dict[str, int] = {}
             for m in re.finditer(rf"\b{MENTION}", c.text):
                 first.setdefault(m[0], m.start())
-            for ord_, (name, at) in enumerate(list(first.items())[:40]):
+            for ord_, (name, at) in enumerate(first.items()):
                 yield c.index, ord_, name, c.start + at
 
     found = flat_map(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], make, "chunk int, ord int, name string, at int")
@@ -479,13 +490,13 @@ def document_graph(spark, sf_dir):
 
 
 def _sampled(spark, sf_dir, salt: str, keep: int) -> DataFrame:
-    e = structured_edges(spark, sf_dir).where("type != 'PARTICIPATED_IN'").select(F.lit("all").alias("chunk_id"), "type", "src", "tgt").distinct()
+    e = structured_edges(spark, sf_dir).select(F.lit("all").alias("chunk_id"), "type", "src", "tgt").distinct()
     e = e.withColumn("chunk_id", F.pmod(F.xxhash64(F.least("src", "tgt"), F.greatest("src", "tgt")), F.lit(5000)))
     return e.where(F.pmod(judging.hashed(F.lit(salt), F.col("type"), F.col("src"), F.col("tgt")), F.lit(10)) < keep)
 
 
 PRF_SQL = f"""{EDGES_SQL}, u AS (SELECT DISTINCT type, CASE WHEN type = 'FAMILY_OF' THEN least(src, tgt) ELSE src END AS a, CASE WHEN type = 'FAMILY_OF' THEN greatest(src, tgt) ELSE tgt END AS b,
-      {H.format("'gold|' || type || '|' || src || '|' || tgt")} % 10 < 7 AS g, {H.format("'pred|' || type || '|' || src || '|' || tgt")} % 10 < 8 AS p FROM edges WHERE type <> 'PARTICIPATED_IN'),
+      {H.format("'gold|' || type || '|' || src || '|' || tgt")} % 10 < 7 AS g, {H.format("'pred|' || type || '|' || src || '|' || tgt")} % 10 < 8 AS p FROM edges),
     k AS (SELECT type, a, b, bool_or(g) AS g, bool_or(p) AS p FROM u GROUP BY ALL),
     c AS (SELECT {{by}} count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM k {{group}})
     SELECT *, round(tp::DOUBLE / (tp + fp), 4) AS "precision", round(tp::DOUBLE / (tp + fn), 4) AS recall, round(2.0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)), 4) AS f1 FROM c"""
@@ -674,10 +685,17 @@ def event_windows(spark, sf_dir):
 
 @query(
     "normalised_names",
-    """SELECT s_suppkey, lower(replace(replace(s_name, '.', ''), '#', ' ')) AS name_key FROM supplier""",
+    r"""WITH n AS (SELECT s_suppkey, [ '', 'The ', 'the ' ][s_suppkey % 3 + 1] || s_name || [ '', ' GmbH', ' Co., Ltd.', ', Inc.', ' AB', ' Group', ' S.A. Limited' ][s_suppkey % 7 + 1] AS name FROM supplier),
+    w AS (SELECT s_suppkey, list_filter(regexp_split_to_array(lower(replace(name, '.', '')), '[^a-z0-9_''&-]+'), lambda x: x <> '') AS words FROM n),
+    a AS (SELECT s_suppkey, CASE WHEN words[1] = 'the' THEN words[2:] ELSE words END AS words FROM w),
+    k AS (SELECT s_suppkey, words, list_max(list_transform(range(1, len(words) + 1), lambda i: CASE WHEN i = 1 OR NOT list_contains(['as','asa','ab','oy','aps','ou','gmbh','ltd','inc','plc','sa','ag','nv','bv','se','llc','corp','co','limited'], words[i]) THEN i ELSE 0 END)) AS upto FROM a)
+    SELECT s_suppkey, array_to_string(words[1:upto], ' ') AS name_key FROM k""",
 )
 def normalised_names(spark, sf_dir):
-    return flat_map(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_name"], lambda n: [(names.normalised(n),)], "name_key string")
+    """Suppliers' names with articles and legal forms, as names are compared."""
+    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("s_suppkey") % len(of) + 1).cast("int"))
+    name = F.concat(pick(["", "The ", "the "]), "s_name", pick(["", " GmbH", " Co., Ltd.", ", Inc.", " AB", " Group", " S.A. Limited"]))
+    return flat_map(table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name")), ["s_suppkey"], ["name"], lambda n: [(names.normalised(n),)], "name_key string")
 
 
 @query(

@@ -9,7 +9,7 @@ SPAN = "struct<start: int, end: int>"
 ENTITY = "struct<id: string, type: string, name: string, attributes: map<string, string>, mentions: array<string>>"
 RELATION = "struct<type: string, source: string, target: string, attributes: map<string, string>, modality: string, evidence: string>"
 OUTPUT = f"struct<entities: array<{ENTITY}>, relations: array<{RELATION}>>"
-RESULT = f"chunk_id string, format string, raw string, error string, seconds double, output {OUTPUT}, unresolved_mentions int, unresolved_evidence int, dropped_relations int, illegal_relations int, resolved_spans map<string, array<{SPAN}>>, schema string"
+RESULT = f"chunk_id string, format string, raw string, error string, seconds double, output {OUTPUT}, unresolved_mentions int, unresolved_evidence int, dropped_relations int, illegal_relations int, resolved_spans map<string, array<array<int>>>, schema string"
 LABELLED = f"chunk_id string, doc_id string, text string, gold {OUTPUT}, schema string, split string, entity_map map<string, string>, known array<string>, task string"
 
 
@@ -81,14 +81,30 @@ def reread(stored: DataFrame, texts: DataFrame | None = None, schema: str | None
     relation = answers.RELATION
     kept = old.select(
         "chunk_id", F.col("output.entities").alias("entities"), F.transform("output.relations", lambda r: F.struct(r["type"].alias("type"), r["source"].alias("source"), r["target"].alias("target"), r["modality"].alias("modality"), r["evidence"].alias("evidence"), r["attributes"].alias("attributes"))).cast(f"array<{relation}>").alias("relations"),
-        F.col("resolved_spans").alias("spans"), "error", F.lit(False).alias("over_cap"), *(F.coalesce(F.col(c), nothing).alias(c) if c in old.columns else nothing.alias(c) for c in answers.COUNTS), "seconds", "schema",
+        F.transform_values("resolved_spans", lambda _, spans: F.transform(spans, lambda s: F.struct(s[0].alias("start"), s[1].alias("end")))).alias("spans"), "error", F.lit(False).alias("over_cap"), *(F.coalesce(F.col(c), nothing).alias(c) if c in old.columns else nothing.alias(c) for c in answers.COUNTS), "seconds", "schema",
     )
     return kept if again is None else again.unionByName(kept)
 
 
+def result_records(results: DataFrame, asked: DataFrame) -> DataFrame:
+    """Results (chunk_id, entities, relations, spans, error, counts) and what they were made of (chunk_id, raw, fmt, seconds, schema) as the
+    records that other readers expect: format, raw, error, seconds, output (entities and relations, null after an error), counts, resolved_spans and schema."""
+    r = results.join(asked.select("chunk_id", "raw", F.col("fmt").alias("format"), "seconds", "schema"), "chunk_id")
+    count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    output = F.when(F.col("error").isNull(), F.struct("entities", "relations")).alias("output")
+    pairs = F.transform_values(F.coalesce("spans", F.create_map().cast("map<string, array<struct<start: int, end: int>>>")), lambda _, spans: F.transform(spans, lambda s: F.array(s["start"], s["end"]))).alias("resolved_spans")
+    return r.select("chunk_id", "format", "raw", "error", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), output, *(count(c) for c in ("unresolved_mentions", "unresolved_evidence", "dropped_relations", "illegal_relations")), pairs, "schema")
+
+
 def write_results(rows: DataFrame, path: str) -> None:
-    """Results as JSON Lines; fields that are null are left out."""
-    rows.write.mode("errorifexists").json(path)
+    """Records as JSON Lines with all their keys: null ones are written as null, but for the schema, which is left out."""
+    if "schema" not in rows.columns:
+        rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+        return
+    keys = [c for c in rows.columns if c != "schema"]
+    bare = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    more = F.concat(F.expr("substring(_bare, 1, char_length(_bare) - 1)"), F.lit(',"schema":'), F.to_json(F.array("schema")).substr(F.lit(2), F.char_length(F.to_json(F.array("schema"))) - 2), F.lit("}"))
+    rows.withColumn("_bare", bare).select(F.when(F.col("schema").isNull(), F.col("_bare")).otherwise(more).alias("value")).write.mode("errorifexists").text(path)
 
 
 def pair_scores(spark: SparkSession, path: str) -> DataFrame:

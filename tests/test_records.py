@@ -102,6 +102,19 @@ def test_stored_results_are_read_again(spark, tmp_path):
     assert files.checked_labelled(spark, str(tmp_path / "l.jsonl")).first().errors == ["unknown type Ghost"]
 
 
+def test_result_records_have_all_keys(spark, tmp_path):
+    res = parsed(spark, ANSWER, "garbage")
+    asked = spark.createDataFrame([("c0", ANSWER, "sentences", 1.5, "business"), ("c1", "garbage", "sentences", None, None)], "chunk_id string, raw string, fmt string, seconds double, schema string")
+    files.write_results(files.result_records(res, asked), str(tmp_path / "out"))
+    got = {r["chunk_id"]: r for r in (json.loads(x.value) for x in spark.read.text(str(tmp_path / "out")).collect())}
+    keys = ["chunk_id", "format", "raw", "error", "seconds", "output", "unresolved_mentions", "unresolved_evidence", "dropped_relations", "illegal_relations", "resolved_spans"]
+    assert list(got["c0"]) == [*keys, "schema"] and list(got["c1"]) == keys
+    assert got["c0"]["error"] is None and got["c0"]["seconds"] == 1.5 and got["c0"]["schema"] == "business" and got["c0"]["resolved_spans"]["e1"][0] == [0, 11]
+    assert got["c1"]["output"] is None and got["c1"]["error"].startswith("sentences:") and got["c1"]["seconds"] == 0.0
+    back = {r.chunk_id: r for r in files.reread(files.results(spark, str(tmp_path / "out"))).collect()}
+    assert len(back["c0"].entities) == 3 and tuple(back["c0"].spans["e1"][0]) == (0, 11) and back["c1"].entities is None
+
+
 def test_steps_run_once(spark, tmp_path):
     made = []
 
