@@ -93,11 +93,22 @@ def pooled(claims: DataFrame) -> DataFrame:
     return p.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy(h, "src", "type", "tgt")))
 
 
-def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: DataFrame, per_doc: int = 2) -> DataFrame:
-    """Claims made false on purpose (doc_id, src, type, tgt, kind): ends swapped, another target of its type, or a neighbouring type.
+def world_decoys(pool: DataFrame, names: DataFrame, world: DataFrame) -> DataFrame:
+    """Facts that are true in the world (src, type, tgt), planted in about half of the documents that name their source (names: doc_id, name)
+    and don't claim them: doc_id, src, type, tgt, kind. Names meet by key; which half is by hash."""
+    facts_ = world.select("src", "type", "tgt").distinct().withColumn("_key", key_of(F.col("src")))
+    named = names.select("doc_id", key_of(F.col("name")).alias("_key")).distinct()
+    met = named.join(facts_, "_key").select(*CLAIM).join(pool.select(*CLAIM), CLAIM, "left_anti")
+    half = F.pmod(hashed(F.lit("world"), *(F.col(c) for c in CLAIM)), F.lit(2)) == 0
+    return met.where(half).withColumn("kind", F.lit("world"))
+
+
+def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: DataFrame, per_doc: int = 2, swap: dict[str, str] | None = None, world: DataFrame | None = None) -> DataFrame:
+    """Claims made false on purpose (doc_id, src, type, tgt, kind): ends swapped, another target of its type, or another type.
 
     Of each document the per_doc claims that come first by hash are taken, each with the kind that its hash names; a decoy that is a
-    pooled claim, or has nothing to change to, is left out. names: doc_id, name, type.
+    pooled claim, or has nothing to change to, is left out. The other type is that of the swap table, else a neighbouring one. names:
+    doc_id, name, type. With facts of the world (src, type, tgt) those are planted too, as world_decoys has it.
     """
     h = hashed(F.lit("decoy"), *(F.col(c) for c in CLAIM))
     base = pool.withColumn("_h", h).withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("_h", "src", "type", "tgt"))).where(F.col("_n") <= per_doc)
@@ -109,8 +120,11 @@ def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: D
     other = names.select("doc_id", F.col("name").alias("_new"), F.col("type").alias("_t"))
     swapped = base.where("kind = 'entity'").join(own, ["doc_id", "tgt"]).join(other, ["doc_id", "_t"]).where("_new != tgt and _new != src")
     swapped = swapped.groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min_by("_new", hashed(F.col("doc_id"), F.col("_new"))).alias("_new")).select("doc_id", "src", "type", F.col("_new").alias("tgt"), "kind")
-    typed = base.where("kind = 'type'").join(F.broadcast(neighbours), "type").groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min("other").alias("other")).select("doc_id", "src", F.col("other").alias("type"), "tgt", "kind")
-    return turned.unionByName(swapped).unionByName(typed).join(pool.select(*CLAIM), CLAIM, "left_anti").groupBy(*CLAIM).agg(F.min("kind").alias("kind"))
+    given = F.create_map(*(F.lit(x) for kv in swap.items() for x in kv))[F.col("type")] if swap else F.lit(None).cast("string")
+    near = base.where("kind = 'type'").join(F.broadcast(neighbours), "type", "left").groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min("other").alias("other"))  # a schema's size
+    typed = near.withColumn("type", F.coalesce(given, "other")).where("type is not null").select(*CLAIM, "kind")
+    found = turned.unionByName(swapped).unionByName(typed).join(pool.select(*CLAIM), CLAIM, "left_anti").groupBy(*CLAIM).agg(F.min("kind").alias("kind"))
+    return found if world is None else found.unionByName(world_decoys(pool, names, world).join(found, CLAIM, "left_anti"))
 
 
 def checked_verdicts(verdicts: DataFrame, docs: DataFrame, strict_quote: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import judging
 from ..operators.rows import written
-from .catalog import H, query, table
+from .catalog import EDGES_SQL, H, query, structured_edges, table
 
 SPREAD = 400
 
@@ -62,3 +62,21 @@ def pool_aliases(spark, sf_dir):
 def pool_names(spark, sf_dir):
     """The canonical name of each key, from the entities of both labellers in order."""
     return judging.canonical_names(labelled(spark, sf_dir), written)
+
+
+@query(
+    "world_decoys",
+    f"""WITH {EDGES_SQL}, pool AS (SELECT DISTINCT tgt AS doc_id, src, type, tgt FROM edges WHERE type IN ('HEADQUARTERED_IN', 'OPERATES_IN')), named AS (SELECT DISTINCT doc_id, upper(src) AS src FROM pool WHERE src LIKE 's%'),
+    world AS (SELECT 'S' || s_suppkey AS src, 'LOCATED_IN' AS type, 'r' || (s_nationkey % 5) AS tgt FROM supplier UNION SELECT 's' || s_suppkey, 'HEADQUARTERED_IN', 'n' || (s_nationkey // 2 * 2) FROM supplier)
+    SELECT n.doc_id, w.src, w.type, w.tgt, 'world' AS kind FROM named n JOIN world w ON lower(w.src) = lower(n.src) WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.doc_id = n.doc_id AND p.src = w.src AND p.type = w.type AND p.tgt = w.tgt)
+    AND {H.format("'world|' || n.doc_id || '|' || w.src || '|' || w.type || '|' || w.tgt")} % 2 = 0""",
+)
+def world_decoys(spark, sf_dir):
+    """Facts about suppliers planted in the nations that name them, where these don't claim them."""
+    edges = structured_edges(spark, sf_dir).where("type in ('HEADQUARTERED_IN', 'OPERATES_IN')")
+    pool = edges.select(F.col("tgt").alias("doc_id"), "src", "type", "tgt").distinct()
+    s = table(spark, sf_dir, "supplier")
+    name = lambda c: F.concat(F.lit(c), F.col("s_suppkey").cast("string")).alias("src")
+    place = lambda c, n: F.concat(F.lit(c), n.cast("string")).alias("tgt")
+    world = s.select(name("S"), F.lit("LOCATED_IN").alias("type"), place("r", F.col("s_nationkey") % 5)).unionByName(s.select(name("s"), F.lit("HEADQUARTERED_IN").alias("type"), place("n", (F.floor(F.col("s_nationkey") / 2) * 2).cast("int"))))
+    return judging.world_decoys(pool, pool.where("src like 's%'").select("doc_id", F.upper("src").alias("name")), world)

@@ -60,3 +60,21 @@ def asked(prompts: DataFrame, ask: Ask, partitions: int | None = None, in_flight
 def replayed(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers that a table holds already (chunk_id, raw), null where it has none."""
     return chunks.join(answers.select("chunk_id", "raw"), "chunk_id", "left")
+
+
+def generated(chunks: DataFrame, ask: Ask, schema: str = "business", fmt: str = "sentences", style: str = "full", template: Callable[[list[dict]], str] | None = None, repair: bool = False, partitions: int | None = None) -> DataFrame:
+    """A chunk table (chunk_id, text) asked and answered in one call: the records that sources.files.write_results writes.
+
+    Every chunk has a record: one whose request failed says why in error. template turns a chat into a prompt; by default its turns one below the other.
+    """
+    from ..operators import answers, exports
+    from ..operators.rows import flat_map, written
+    from . import files
+
+    plain = template or (lambda chat: "\n\n".join(turn["content"] for turn in chat))
+    told = exports.chats(chunks.select("chunk_id", "text", F.lit(None).cast("string").alias("known")), fmt, schema, style)
+    prompts = flat_map(told, ["chunk_id"], ["messages"], lambda m: [(plain([dict(x.asDict() if hasattr(x, "asDict") else x) for x in m]),)], "prompt string")
+    said = written(asked(prompts, ask, partitions, by_length=True).withColumnRenamed("error", "_failed"))  # each is asked once
+    made = chunks.select("chunk_id", "text").join(said, "chunk_id").withColumns({"fmt": F.lit(fmt), "schema": F.lit(schema), "seconds": F.lit(0.0)})
+    results = answers.results(made, repair).join(said.select("chunk_id", "_failed"), "chunk_id").withColumn("error", F.coalesce("_failed", "error")).drop("_failed")
+    return files.result_records(results, made.withColumn("raw", F.coalesce("raw", F.lit(""))))

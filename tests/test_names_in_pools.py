@@ -87,3 +87,15 @@ def test_facts_fold_names_by_their_keys(spark):
     alias = judging.labelled_aliases(spark.createDataFrame([ent("g", 0, "Acme AB", "Org", "Acme")], SCHEMA), written)
     got = {(r.src, r.tgt): (r.sources, r.is_true) for r in judging.facts(claims, alias).collect()}
     assert got == {("acme", "b"): (["s1", "s2"], True), ("z", "b"): (["s2"], False)}
+
+
+def test_swaps_and_facts_of_the_world(spark):
+    pool = spark.createDataFrame([("d", f"A{k}", "OWNS", "B") for k in range(30)], "doc_id string, src string, type string, tgt string")
+    names = spark.createDataFrame([("d", "Acme, Inc.", "Org"), ("e", "Other", "Org")], "doc_id string, name string, type string")
+    near = spark.createDataFrame([("OWNS", "LIKES")], "type string, other string")
+    world = spark.createDataFrame([(s, "OWNS", f"T{k}") for k in range(40) for s in ("ACME INC", "Nobody")] + [("Acme Inc", "OWNS", "T0")], "src string, type string, tgt string")
+    got = judging.decoys(pool, set(), near, names, 30, {"OWNS": "HELD"}, world).collect()
+    assert {r.type for r in got if r.kind == "type"} == {"HELD"}
+    assert {r.type for r in judging.decoys(pool, set(), near, names, 30).collect() if r.kind == "type"} == {"LIKES"}
+    planted = [r for r in got if r.kind == "world"]
+    assert {(r.doc_id, r.src) for r in planted} <= {("d", "ACME INC"), ("d", "Acme Inc")} and 10 < len(planted) < 31

@@ -7,7 +7,7 @@ from loomspan.functions import answers as fn_answers
 from loomspan.operators import answers, chunk_graph, evaluation, exports, labels, ontology, tagged, targets
 from loomspan.operators.schemas import BUSINESS
 from loomspan.plans import steps
-from loomspan.sources import files
+from loomspan.sources import files, http
 
 from .test_proposers import ANSWER, TEXT
 
@@ -115,6 +115,19 @@ def test_result_records_have_all_keys(spark, tmp_path):
     assert len(back["c0"].entities) == 3 and tuple(back["c0"].spans["e1"][0]) == (0, 11) and back["c1"].entities is None
 
 
+def test_a_chunk_table_is_asked_in_one_call(spark, tmp_path):
+    def ask(prompt):
+        if "fails" in prompt:
+            raise RuntimeError("no service")
+        return ANSWER
+
+    chunks = spark.createDataFrame([("c0", TEXT), ("c1", "This one fails."), ("c2", "Nothing.")], "chunk_id string, text string")
+    got = {r.chunk_id: r for r in http.generated(chunks, ask).collect()}
+    assert len(got["c0"].output.relations) == 2 and got["c0"].error is None and got["c0"].raw == ANSWER
+    assert got["c1"].error == "RuntimeError: no service" and got["c1"].output is None and got["c1"].raw == ""
+    assert got["c2"].output.entities == [] and got["c2"].unresolved_mentions > 0
+
+
 def test_steps_run_once(spark, tmp_path):
     made = []
 
