@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and that have one of their rarest shingles in common. So every candidate pair is verified, within one group already, or
     proven to be no link.
 
-    Texts without words (null ones count as empty) are copies of each other and near nothing else. Rows with a null id are kept,
+    Texts without words (null ones count as empty) are copies of equal ones alone: blank texts of different blanks are different. Rows with a null id are kept,
     in no group. Rows of one id count as one document, with the text of least md5 if they differ. Ties go to the least id. Long texts are read whole; an empty table
     gives no rows. Other columns are ignored.
     """

@@ -246,26 +246,32 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_name(batches: Iterator[pa.RecordBatch], columns: int, settle) -> Iterator[pa.RecordBatch]:
-    """settle(columns) for runs of rows that hold all rows of each value in the first, sorted column."""
-    held: list[np.ndarray] | None = None
+    """settle(columns) for runs of rows that hold all rows of each value in the first, sorted column. Parts of a run are put together once, when it ends."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
-        if held is not None:
-            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
         if not len(own[0]):
             continue
-        cut_at = int(np.flatnonzero(np.r_[True, own[0][1:] != own[0][:-1]])[-1])
-        if cut_at:
-            yield settle([x[:cut_at] for x in own])
-        held = [x[cut_at:] for x in own]
-    if held is not None and len(held[0]):
-        yield settle(held)
+        last = held[-1][0][-1] if held else own[0][0]
+        starts = np.flatnonzero(np.r_[own[0][0] != last, own[0][1:] != own[0][:-1]])
+        if not len(starts):
+            held.append(own)
+            continue
+        cut_at = int(starts[-1])
+        done = [np.concatenate(x) for x in zip(*held, [x[:cut_at] for x in own], strict=True)] if held else [x[:cut_at] for x in own]
+        if len(done[0]):
+            yield settle(done)
+        held = [[x[cut_at:] for x in own]]
+    if held:
+        yield settle([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def _block_marks(texts: pa.Table, told: pa.Table) -> pa.Table:
     """Per block: one row for each text with the spans that the longer rank settles, and a row for each 50-byte string that it and the middle ones leave open.
 
-    A text is named by its number among the block's, in order of id and digest.
+    A text is named by its number among the block's, in order of id and digest. Of a string that several documents of the block hold
+    the first one's are left open alone: the others' come after that one, whatever other blocks hold, so that a string which is
+    everywhere gives each block one document's rows.
     """
     out: dict[str, list] = {k: [] for k in MARKS.names}
     found = told.filter(pc.is_valid(told.column("long")))
@@ -295,12 +301,28 @@ def _block_marks(texts: pa.Table, told: pa.Table) -> pa.Table:
             parts["at"].append((starts - names.begin[of_start]).astype(np.int32))
             parts["doc_id"].append(np.array([r[0] for r in part], np.int64)[of_start])
             parts["row"].append(np.array([r[1] for r in part], np.int32)[of_start])
+    ids, rows, open_names, starts_at = (np.concatenate(parts[k]) if parts["name"] else np.zeros(0, np.int64) for k in ("doc_id", "row", "name", "at"))
+    if len(ids):
+        order = np.lexsort((ids, open_names))
+        begins = np.flatnonzero(np.r_[True, open_names[order][1:] != open_names[order][:-1]])
+        least = np.empty(len(ids), ids.dtype)
+        least[order] = np.repeat(ids[order][begins], np.diff(np.r_[begins, len(ids)]))
+        later = ids > least
+        mine = np.flatnonzero(later)
+        mine = mine[np.argsort(rows[mine], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, rows[mine][1:] != rows[mine][:-1]]) if len(mine) else np.zeros(0, np.int64)
+        for own in np.split(mine, edges[1:]) if len(mine) else ():
+            at = np.sort(starts_at[own])
+            gap = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + LENGTH])
+            out["doc_id"].append(int(ids[own[0]]))
+            out["row"].append(int(rows[own[0]]))
+            out["spans"].append(np.stack([at[gap], at[np.r_[gap[1:], len(at)] - 1] + LENGTH], 1).astype("<i4").tobytes())
+        ids, rows, open_names, starts_at = (x[~later] for x in (ids, rows, open_names, starts_at))
     n = len(out["doc_id"])
     settled = pa.table([pa.array([block] * n, pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["row"], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(out["spans"], pa.binary())], schema=MARKS)
-    if not parts["name"]:
+    if not len(ids):
         return settled
-    ids = np.concatenate(parts["doc_id"])
-    left_open = pa.table([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(np.concatenate(parts["row"])), pa.array(np.concatenate(parts["name"])), pa.array(np.concatenate(parts["at"])), pa.nulls(len(ids), pa.binary())], schema=MARKS)
+    left_open = pa.table([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(rows), pa.array(open_names), pa.array(starts_at), pa.nulls(len(ids), pa.binary())], schema=MARKS)
     return pa.concat_tables([settled, left_open])
 
 

@@ -233,3 +233,40 @@ def test_leaks_are_found_and_others_left(spark):
     assert decontaminate.decontaminate(odd(spark), bench).count() == odd(spark).count()
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     assert decontaminate.keep_clean(odd(spark), bench).count() == odd(spark).count()
+
+
+def test_runs_of_a_name_are_put_together():
+    """Whatever the batches, each name's rows come together, in order."""
+    import pyarrow as pa
+
+    def batches(names, size):
+        table = pa.table({"name": np.array(names), "doc": np.arange(len(names))})
+        return table.to_batches(max_chunksize=size)
+
+    names = [1] * 7 + [2] + [3] * 12 + [4, 5, 5]
+    for size in (1, 2, 3, 5, 100):
+        told = []
+        list(suffixes._by_name(iter(batches(names, size)), 2, lambda c: told.append([c[0].tolist(), c[1].tolist()])))
+        assert sum((t[0] for t in told), []) == names and sum((t[1] for t in told), []) == list(range(len(names)))
+        assert all(a[0][-1] != b[0][0] for a, b in zip(told, told[1:], strict=False))
+
+
+def test_a_line_that_is_everywhere_leaves_a_block_one_document():
+    """Of a string in many documents of a block the first document's rows are left open, and the others' are settled."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    line = "this licence line stands in every document of the whole corpus"
+    texts = [f"{rng.random()} before {line} after {rng.random()}" for _ in range(60)]
+    digests = list(range(60))
+    block = pa.table({"block": pa.array([0] * 60, pa.int64()), "doc_id": pa.array(range(60), pa.int64()), "digest": pa.array(digests, pa.int64()), "text": texts})
+    ranks = suffixes._block_ranks(block, pa.table({"block": pa.array([0] * 60, pa.int64()), "doc_id": pa.array(range(60), pa.int64()), "digest": pa.array(digests, pa.int64())}))
+    order = ranks.sort_by([("short", "ascending"), ("long", "ascending")])
+    found = pa.Table.from_batches(list(suffixes._neighbours(iter(order.combine_chunks().to_batches()))))
+    told = pa.concat_tables([found], promote_options="default")
+    marks = suffixes._block_marks(block, told)
+    open_ = marks.filter(pa.compute.is_valid(marks.column("name"))).to_pylist()
+    names = {}
+    for r in open_:
+        names.setdefault(r["name"], set()).add(r["doc_id"])
+    assert names and all(len(d) == 1 for d in names.values())
