@@ -24,8 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays.
 
-    The least id of a group stays, and one row of an id that repeats; texts without words are copies of each other; rows
-    with a null id all stay; extra columns pass through; an empty table gives none.
+    The least id of a group stays, and one row of an id that repeats; a text without words is a copy of equal ones
+    alone; rows with a null id all stay; extra columns pass through; an empty table gives none.
     """
     return neardup.keep_first(docs)
 
