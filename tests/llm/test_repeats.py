@@ -263,7 +263,8 @@ def test_a_line_that_is_everywhere_leaves_a_block_one_document():
     ranks = suffixes._block_ranks(block, pa.table({"block": pa.array([0] * 60, pa.int64()), "doc_id": pa.array(range(60), pa.int64()), "digest": pa.array(digests, pa.int64())}))
     order = ranks.sort_by([("short", "ascending"), ("long", "ascending")])
     found = pa.Table.from_batches(list(suffixes._neighbours(iter(order.combine_chunks().to_batches()))))
-    told = pa.concat_tables([found], promote_options="default")
+    halves = suffixes._block_halves(block, found).sort_by("short").combine_chunks()
+    told = pa.concat_tables([found, *map(lambda b: pa.Table.from_batches([b]), suffixes._several(iter(halves.to_batches())))], promote_options="default")
     marks = suffixes._block_marks(block, told)
     open_ = marks.filter(pa.compute.is_valid(marks.column("name"))).to_pylist()
     names = {}
