@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -49,10 +50,13 @@ found[name] = int(value) if value.isdigit() else value; return found. SELECT id,
 ORDER BY 2 DESC LIMIT 100; private static final int MAX_SIZE = 65536; if (x == null || y.isEmpty()) { throw new IllegalStateException("value of " + key); }
 """
 #: Characters of surroundings that are compressed along, how near before a candidate a sensitive word must be, its least length, and the
-#: least marginal bytes for each of its characters. Under PLAIN random letters of both cases, digits or base64 cost 0.81 or more
-#: in 99 of 100 cases, long words 0.8 at most.
-AROUND, NEAR, SHORTEST, NOVEL = 400, 48, 16, 0.8
+#: least marginal bytes for each of its characters. Where letters and digits are mixed, as in no word of a language, a share of what
+#: CONTROLS random strings of lower-case letters and digits cost at the same place is enough: of all such strings these cost least.
+AROUND, NEAR, SHORTEST, NOVEL, NOVEL_MIXED, CONTROLS = 400, 48, 16, 0.8, 0.86, 6
+#: What may follow a candidate: compressed sizes are whole bytes, and several endings round differently.
+ENDINGS = (b"", b"e", b"the of", b"0 = x;", b" and")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+MIXED = re.compile(r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]")
 
 
 @cache
@@ -63,12 +67,25 @@ def _compressor():
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that the candidate adds to its compressed surroundings, for each of its own."""
+@cache
+def _controls(n: int) -> list[bytes]:
+    """Random strings of n characters, the same in every process."""
+    rng = random.Random(n)
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)).encode() for _ in range(CONTROLS)]
+
+
+def novelties(text: str, start: int, end: int, others: list[bytes]) -> list[float]:
+    """Bytes that the candidate, and then each of the others in its place, adds to its compressed surroundings, for each of its own; the means over several endings."""
     around = "".join([PLAIN, text[end : end + AROUND // 4], text[max(0, start - AROUND) : start]]).encode()
-    own = text[start:end].encode()
-    c = _compressor()
-    return (len(c.compress(around + own)) - len(c.compress(around))) / len(own)
+    size = lambda own: sum(len(_compressor().compress(around + own + e)) for e in ENDINGS)
+    bare = size(b"")
+    return [(size(own) - bare) / len(ENDINGS) / len(own) for own in (text[start:end].encode(), *others)]
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    mixed = MIXED.search(text, start, end)
+    own, *others = novelties(text, start, end, _controls(min(end - start, 4 * SHORTEST)) if mixed else [])
+    return own >= (min(NOVEL, NOVEL_MIXED * sum(others) / CONTROLS) if mixed else NOVEL)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -106,7 +123,7 @@ def novel_spans(text: str, sure: list[tuple[int, int, int]]) -> list[tuple[int,
                 ends.insert(k, CANDIDATE.match(text, a).end())
             b = ends[k]
             k = bisect_left(taken, (b,)) - 1
-            if (k < 0 or upto[k] <= a) and novelty(text, a, b) >= NOVEL:
+            if (k < 0 or upto[k] <= a) and is_novel(text, a, b):
                 found.append((a, 3, b))
     out, end = [], 0
     for a, k, b in sorted(found):  # of those that begin within one run the first
