@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -60,6 +61,8 @@ class StagedWriter(DataSourceWriter):
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, f"_staging-{uuid.uuid4()}"
+        system, place = filesystem(path)
+        system.create_dir(f"{place}/{self.job}", recursive=True)  # a task that outlives a failed job finds it gone, and ends
 
     def contents(self, rows: Iterator) -> Iterable[tuple[str, bytes]]:
         raise NotImplementedError
@@ -68,7 +71,7 @@ class StagedWriter(DataSourceWriter):
         system, place = filesystem(self.path)
         task = TaskContext.get()
         own = f"{place}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
-        system.create_dir(own, recursive=True)
+        system.create_dir(own, recursive=False)
         names = []
         for name, data in self.contents(iterator):
             if not name or "/" in name or name.startswith((".", "_")):
@@ -95,8 +98,15 @@ class StagedWriter(DataSourceWriter):
     def abort(self, messages: list[Staged | None]) -> None:
         """What is staged goes, whatever has become of it."""
         system, place = filesystem(self.path)
-        if system.get_file_info(f"{place}/{self.job}").type == fs.FileType.Directory:
-            system.delete_dir(f"{place}/{self.job}")
+        for last in (False, False, True):
+            try:
+                if system.get_file_info(f"{place}/{self.job}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{place}/{self.job}")
+                return
+            except OSError:  # a task that is being ended still writes there
+                if last:
+                    raise
+                time.sleep(1)
 
 
 # --- graphs ---
