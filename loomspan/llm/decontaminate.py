@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-A randomised singular value decomposition of the TF-IDF matrix of all passages is computed on the executors. The passages'
-hashed features are written once; their frequencies are counted; then a random test matrix goes through the weighted matrix
-and its transpose; what comes back, made orthogonal, may go through them again (POWER times). The sums (features times PROBES,
-whatever the input) come back each time. All windows of the documents, as wide as the items, are compared with all items: by the words that they share, which limit the
-longest common subsequence, then by that itself and the item's answer. What is found has its cosine in that space beside it.
+A randomised singular value decomposition of the TF-IDF matrix of all passages is computed on the executors, in one scan: each
+passage is added, with a random sign, to one of PROBES columns of a sketch, whose sums (features times PROBES, whatever the input)
+come back; inverse document frequencies weigh its rows, and its RANK strongest left singular vectors are the space. All windows of
+the documents, as wide as the items, are placed in that space; those of a cosine of NEAR or more with an item are its candidates.
+Candidates are checked by the words that they share with the item, which limit the longest common subsequence, then by that
+itself and the item's answer.
 """
 
 from __future__ import annotations
@@ -12,29 +13,33 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mark, remove_since, stored, table, whole
-
-#: Hashed features, probes of the decomposition, words of a passage that it is computed on; each feature is in SIGNS probes.
-FEATURES, PROBES, PASSAGE, SLICE, SIGNS = 1 << 14, 34, 32, 1 << 10, 3
-#: The LEAD first dimensions, in which all passages of a language are alike, are left out; the RANK next ones are kept.
-LEAD, RANK, POWER = 4, 28, 0
-#: Items of fewer words are searched for by exact match. So many items are compared at a time, and so many times as many in one scan
-#: of the documents: what executors hold of them is bounded, about 60 MB for ITEMS of 60 words.
-SHORTEST, ITEMS, AT_ONCE = 5, 1000, 4
+from .common import table, whole
+
+#: Hashed features, columns of the sketch, dimensions of the space, words of a passage that it is computed on.
+FEATURES, PROBES, RANK, PASSAGE = 1 << 14, 192, 96, 32
+#: Features of a row of partial sums, tasks whose sums meet first (as a power of two), and words counted at a time.
+SLICE, TASKS, COUNTED = 1 << 8, 6, 1 << 21
+#: The least cosine of a window and an item whose common subsequence is looked at.
+NEAR = 0.3
+#: Items of fewer words are searched for by exact match. So many items are compared in one scan of the documents: what executors
+#: hold of them is bounded, about 3 KB for an item of 60 words.
+SHORTEST, ITEMS = 5, 4000
 #: The share of an item's words in the common subsequence that decides alone, and with the answer.
 SAME, SAME_WITH_ANSWER = 0.75, 0.6
-#: Each width of window is so many times the last; windows start at every (width / STRIDE)th word.
-WIDER, STRIDE = 1.2, 5
-#: Bytes of text, and items, that are compared at a time.
-CHUNK, BLOCK = 1 << 17, 512
+#: Each width of window is so many times the last; windows start at every (width / STRIDE)th word, in whole cells of CELL words.
+WIDER, STRIDE, CELL = 1.2, 3, 4
+#: Bytes of text, items, and cells of a text that are compared at a time; cells summed up at a time; numbers of a bit set.
+CHUNK, BLOCK, STRETCH, TILE, SET = 1 << 18, 512, 1 << 12, 128, 8
 _P = 0x9E3779B97F4A7C15 | 1
 
 #: Bytes to bytes of lower case, and which bytes are part of words: ASCII letters and digits, and all beyond ASCII but what GAPS says.
@@ -113,117 +118,78 @@ def parts(column: pa.Array) -> Iterator[list[bytes]]:
 
 # --- decomposition ---
 
+PARTIAL = "slice long, part long, n long, sums binary"
 
-@cache
-def _probes() -> tuple[np.ndarray, np.ndarray]:
-    """The probes that each feature is in, and its signs there."""
-    rng = np.random.default_rng(17)
-    return rng.integers(0, PROBES, (FEATURES, SIGNS)), rng.choice(np.array([-1.0, 1.0]), (FEATURES, SIGNS))
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The features of texts, some texts a row, and how many each text has."""
-    for batch in batches:
-        for texts in parts(batch.column(0)):
-            codes, sizes = words(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([sizes.astype("<u4").tobytes()]), pa.array([feature(codes).astype("<u2").tobytes()])], names=["sizes", "features"])
 
+def _partial(slices: np.ndarray, part: int, n: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+    counts = pa.array([n if k == 0 else 0 for k in slices.tolist()])
+    return pa.RecordBatch.from_arrays([pa.array(slices), pa.array([part] * len(slices)), counts, pa.array([x.astype("<f4").tobytes() for x in sums], pa.binary())], names=["slice", "part", "n", "sums"])
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features, first place of each passage) of each row."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            sizes, f = np.frombuffer(batch.column(0)[k].as_py(), "<u4").astype(np.int64), np.frombuffer(batch.column(1)[k].as_py(), "<u2")
-            if len(f):
-                ends = np.cumsum(sizes)
-                yield f, np.concatenate([np.arange(e - s, e, PASSAGE) for e, s in zip(ends, sizes, strict=True)])
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: how often each feature is in each probe's passages, by their signs; in a last column, how many passages have it.
 
-def _by_feature(f: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features sorted, the passage of each, and where each feature begins."""
-    passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
-    order = np.argsort(f, kind="stable")
-    f, passage = f[order], passage[order]
-    return f, passage, np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+    Draws depend on the partition and the passage's place in it, so that a task that is run again draws the same.
+    """
+    task = TaskContext.get().partitionId()
+    rng = np.random.default_rng([17, task])
+    total, n = np.zeros((FEATURES, PROBES + 1), np.float32), 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def count() -> None:
+        where, signs = (np.concatenate(x) for x in zip(*held, strict=True))
+        total[:, :PROBES] += np.bincount(where, weights=signs, minlength=FEATURES * PROBES).reshape(FEATURES, PROBES)
+        held.clear()
 
-def _slices(total: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    for k in range(0, FEATURES if n else 0, SLICE):
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n if k == 0 else 0]), pa.array([total[k : k + SLICE].astype("<f4").tobytes()])], names=["slice", "n", "sums"])
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how many passages have a feature."""
-    df, n = np.zeros(FEATURES), 0
-    for f, starts in _passages(batches):
-        f, passage, _ = _by_feature(f, starts)
-        df += np.bincount(f[np.r_[True, (f[1:] != f[:-1]) | (passage[1:] != passage[:-1])]], minlength=FEATURES)
-        n += len(starts)
-    yield from _slices(df, n)
-
-
-def _sketch(shared):
-    """Per task: the TF-IDF matrix's transpose times itself times the sparse signs, or times the basis that is given."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = shared.value
-        where, signs = _probes()
-        signs = signs * idf[:, None]
-        weighted = None if basis is None else (idf[:, None] * basis).astype(np.float32)
-        total, n = np.zeros((FEATURES, PROBES)), 0
-        for f, starts in _passages(batches):
-            if weighted is None:
-                passage, y = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)])), np.zeros(len(starts) * PROBES)
-                for k in range(SIGNS):
-                    y += np.bincount(passage * PROBES + where[f, k], weights=signs[f, k], minlength=len(y))
-                y = y.reshape(-1, PROBES).astype(np.float32)
-            else:
-                y = np.add.reduceat(weighted[f], starts, axis=0)
-            f, passage, first = _by_feature(f, starts)
-            total[f[first]] += np.add.reduceat(y[passage], first, axis=0)
+    for batch in batches:
+        for texts in parts(batch.column(0)):
+            codes, sizes = words(texts)
+            if not len(codes):
+                continue
+            f, ends = feature(codes), np.cumsum(sizes)
+            starts = np.concatenate([np.arange(e - s, e, PASSAGE) for e, s in zip(ends, sizes, strict=True)])
+            drawn = rng.integers(0, 2 * PROBES, len(starts))
+            passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
+            held.append((f.astype(np.int32) * PROBES + (drawn >> 1)[passage], (1.0 - 2.0 * (drawn & 1))[passage]))
+            order = np.argsort(f, kind="stable")
+            f, passage = f[order], passage[order]
+            total[:, PROBES] += np.bincount(f[np.r_[True, (f[1:] != f[:-1]) | (passage[1:] != passage[:-1])]], minlength=FEATURES)
             n += len(starts)
-        yield from _slices(idf[:, None] * total, n)
-
-    return sketch
+            if sum(len(x) for x, _ in held) >= COUNTED:
+                count()
+    if held:
+        count()
+    for k in range(0, FEATURES if n else 0, SLICE):
+        yield _partial(np.array([k]), task >> TASKS, n, [total[k : k + SLICE].ravel()])
 
 
-def _sum(width: int):
-    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, at = np.zeros(SLICE * width), 0, 0
-        for batch in groups:
-            for k in range(batch.num_rows):
-                at, n = batch.column(0)[k].as_py(), n + batch.column(1)[k].as_py()
-                total += np.frombuffer(batch.column(2)[k].as_py(), "<f4")
-        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n]), pa.array([total.astype("<f8").tobytes()])], names=["slice", "n", "sums"])
+def _sum(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n, at, part = np.zeros(SLICE * (PROBES + 1)), 0, 0, 0
+    for batch in groups:
+        for k in range(batch.num_rows):
+            at, part, n = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), n + batch.column(2)[k].as_py()
+            total += np.frombuffer(batch.column(3)[k].as_py(), "<f4")
+    yield _partial(np.array([at]), part, n, [total])
 
-    return add
 
+def decompose(docs: DataFrame) -> np.ndarray:
+    """For each feature, its inverse document frequency times its place in the space of singular vectors, each divided by its singular value.
 
-def _summed(rows: DataFrame, of, width: int) -> tuple[np.ndarray, int]:
-    """What tasks sum per feature, summed over all tasks; FEATURES / SLICE rows come to the driver."""
-    schema = "slice long, n long, sums binary"
-    sums, n = np.zeros((FEATURES, width)), 0
-    for r in rows.mapInArrow(of, schema).groupBy("slice").applyInArrow(_sum(width), schema).collect():
-        sums[r["slice"] : r["slice"] + SLICE] = np.frombuffer(r["sums"], "<f8").reshape(SLICE, -1)
+    FEATURES / SLICE rows come to the driver. Directions that the passages don't have are zero.
+    """
+    partial = docs.select(whole().alias("text")).mapInArrow(_sketch, PARTIAL)
+    sums, n = np.zeros((FEATURES, PROBES + 1)), 0
+    for r in partial.groupBy("slice", "part").applyInArrow(_sum, PARTIAL).groupBy("slice").applyInArrow(_sum, PARTIAL).collect():
+        sums[r["slice"] : r["slice"] + SLICE] = np.frombuffer(r["sums"], "<f4").reshape(SLICE, -1)
         n += r["n"]
-    return sums, n
-
-
-def decompose(docs: DataFrame, power: int = POWER) -> np.ndarray:
-    """For each feature, its inverse document frequency times its place in the space of singular vectors, each weighted down by its share of the variance."""
-    spark, at = docs.sparkSession, mark()
-    rows = stored(docs.select(whole().alias("text")).mapInArrow(_features, "sizes binary, features binary"))
-    df, n = _summed(rows, _frequencies, 1)
-    idf, basis = np.log((n + 1) / (df[:, 0] + 1)) + 1, None
-    for _ in range(power + 1):
-        shared = spark.sparkContext.broadcast((idf, basis))
-        sums, _ = _summed(rows, _sketch(shared), PROBES)
-        shared.destroy()
-        basis, values, _ = np.linalg.svd(sums, full_matrices=False)
-    remove_since(spark, at)
-    kept = slice(LEAD, LEAD + RANK)
-    scale = np.maximum(values[kept], 1e-6 * max(values[0], 1e-12)) / max(values[0], 1e-12)
-    return np.ascontiguousarray((idf[:, None] * basis[:, kept] / scale).astype(np.float32))
+    idf = np.log((n + 1) / (sums[:, PROBES] + 1)) + 1
+    weighted = idf[:, None] * sums[:, :PROBES]
+    squares, right = np.linalg.eigh(weighted.T @ weighted)
+    squares, right = squares[::-1][:RANK], right[:, ::-1][:, :RANK]
+    there = squares > 1e-9 * max(squares[0], 1e-12)
+    # left vectors are weighted @ right / value; divided by the value once more, their coordinates have equal spread
+    space = idf[:, None] * (weighted @ right) * np.where(there, squares[0] / np.where(there, squares, 1), 0)
+    return np.ascontiguousarray((space / max(np.abs(space).max(), 1e-30)).astype(np.float32))
 
 
 # --- search ---
@@ -237,22 +203,27 @@ def keys(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def bits(codes: np.ndarray) -> np.ndarray:
+    """For each word the set of it alone: one bit of SET numbers, a row for each of these."""
+    out = np.zeros((SET, len(codes)), np.uint64)
+    at = (codes >> np.uint64(20)).astype(np.int64) % (64 * SET)
+    out[at >> 6, np.arange(len(codes))] = np.uint64(1) << (at & 63).astype(np.uint64)
+    return out
+
+
 @dataclass
 class Width:
-    """The items that a width of window is for: ids, word numbers, unit vectors, number of words.
+    """The items that a width of window is for: ids, word numbers, unit vectors, number of words, bit sets.
 
-    held has a row for each known word, in which each item that holds it adds 1 to its lane: eight lanes of bytes to a number, or
-    fewer wider ones if windows are long; sums of rows are exact, as no lane of a window's sum flows over. places has, sorted,
-    item times (known words + 1) plus known word for all words of all items; numbers, the word's number among its item's; times
-    and answers, how often the item and its answer hold each of these.
+    places has, sorted, item times (known words + 1) plus known word for all words of all items; numbers, the word's number among
+    its item's; times and answers, how often the item and its answer hold each of these.
     """
 
     ids: list[int]
     codes: list[np.ndarray]
     vectors: np.ndarray
     sizes: np.ndarray
-    held: np.ndarray
-    lane: np.dtype
+    sets: np.ndarray
     places: np.ndarray
     numbers: np.ndarray
     times: np.ndarray
@@ -269,6 +240,12 @@ class Items:
     widths: dict[int, Width]
     short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """The space in whole numbers, of which as many as a window has words can be summed; a last row is for no word."""
+        scale = min(1 << 20, (1 << 30) // max(self.widths, default=1))
+        return np.vstack([np.rint(self.space * scale), np.zeros((1, self.space.shape[1]))]).astype(np.int32)
+
     @classmethod
     def of(cls, rows: list[tuple[int, str]], space: np.ndarray) -> Items:
         by: dict[int, list] = {}
@@ -287,19 +264,17 @@ class Items:
         out = {}
         for width, found in sorted(by.items()):
             v = np.stack([space[feature(c)].sum(0) for _, c in found])
-            lane = np.dtype(np.uint8 if 2 * width < 256 else np.uint16 if 2 * width < 65536 else np.uint32)
-            held = np.zeros((len(known) + 1, -(-len(found) // 8) * 8), lane)  # the last row is for all other words
+            sets = np.stack([np.bitwise_or.reduce(bits(c), axis=1) for _, c in found], axis=1)
             places, numbers = [], []
             times, answers = np.zeros((2, len(found), width + 1), np.int32)
             for k, (_, c) in enumerate(found):
                 own, place = np.unique(c, return_inverse=True)
                 rows_of = np.searchsorted(known, own)
-                held[rows_of, k] = 1
                 places.append(k * (len(known) + 1) + rows_of)
                 numbers.append(np.arange(1, len(own) + 1))
                 times[k] = np.bincount(place + 1, minlength=width + 1)
                 answers[k] = np.bincount(place[-answer_size(len(c)) :] + 1, minlength=width + 1)
-            out[width] = Width([i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array([len(c) for _, c in found]), held.view(np.uint64), lane, np.concatenate(places), np.concatenate(numbers), times, answers)
+            out[width] = Width([i for i, _ in found], [c for _, c in found], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.array([len(c) for _, c in found]), sets, np.concatenate(places), np.concatenate(numbers), times, answers)
         short = {}
         for n, found in brief.items():
             found.sort(key=lambda x: x[:2])
@@ -339,8 +314,9 @@ def leaked(item: np.ndarray, region: np.ndarray) -> float:
 def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, float]]]:
     """For each text the items in it: (item, share of the common subsequence, cosine).
 
-    The common subsequence is computed for every window that can pass: first the window's words that the item holds at all are
-    counted, then each as often as the item holds it, and those of the answer. These counts limit the common subsequence.
+    Windows of a cosine of NEAR or more with an item are candidates. The common subsequence is computed for every one of them that
+    can pass: first the item's words that have no bit in the set of the window's words are counted, then each word as often as
+    the item holds it, and those of the answer. These counts limit the common subsequence.
     """
     codes, sizes = words(texts)
     found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
@@ -364,59 +340,125 @@ def search(items: Items, texts: list[bytes]) -> list[list[tuple[int, float, floa
     known = np.where(items.known[at] == codes, at, len(items.known))
     known = np.r_[known, len(items.known)]
     first = np.cumsum(sizes) - sizes
-    filled = np.flatnonzero(sizes)
-    for width, own in items.widths.items():
-        step, wider = max(1, width // STRIDE), width + 2 * (width // 4)
-        over = np.maximum(0, sizes[filled] - width)  # words beyond the first window; the last one ends with its text
-        several = -(-over // step) + 1
-        of = np.repeat(filled, several)
-        number = np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
-        starts = first[of] + np.minimum(number * step, np.repeat(over, several))
-        last = first[of] + sizes[of]
-        ends = np.minimum(starts + width, last)
-        a, e = np.maximum(first[of], starts - width // 4), np.minimum(last, ends + width // 4)
-        lanes = 8 // own.lane.itemsize
-        for block in range(0, len(own.ids), BLOCK):
-            held = own.held[:, block // lanes : (block + BLOCK) // lanes]
-            counts = np.zeros((len(known), held.shape[1]), np.uint64)
-            np.cumsum(held[known[:-1]], axis=0, out=counts[1:])
-            least = np.ceil(SAME_WITH_ANSWER * own.sizes[block : block + BLOCK] - 1e-9).astype(own.lane)
-            rows, columns = np.nonzero((counts[e] - counts[a]).view(own.lane)[:, : len(least)] >= least)
-            for k in range(0, len(rows), 20_000):
-                r, c = rows[k : k + 20_000], columns[k : k + 20_000] + block
-                spots = a[r, None] + np.arange(wider)
-                key = c[:, None] * len(items.known) + c[:, None] + known[np.where(spots < e[r, None], spots, len(codes))]
-                near = np.minimum(np.searchsorted(own.places, key), len(own.places) - 1)
-                place = np.where(own.places[near] == key, own.numbers[near], 0)
-                there = np.bincount((np.arange(len(r))[:, None] * (width + 1) + place).ravel(), minlength=len(r) * (width + 1)).reshape(len(r), -1)
-                shared = np.minimum(there, own.times[c]).sum(1)
-                answered = (there >= own.answers[c])[:, 1:].all(1)
-                for x in np.flatnonzero((shared >= SAME * own.sizes[c] - 1e-9) | (shared >= SAME_WITH_ANSWER * own.sizes[c] - 1e-9) & answered).tolist():
-                    hits, i = found[of[r[x]]], own.ids[c[x]]
-                    if hits.get(i, (0.0,))[0] < 1.0:
-                        share = leaked(own.codes[c[x]], codes[a[r[x]] : e[r[x]]])
-                        if share > hits.get(i, (0.0,))[0]:
-                            v = items.space[feature(codes[starts[r[x]] : ends[r[x]]])].sum(0)
-                            hits[i] = share, float(v @ own.vectors[c[x]] / max(np.linalg.norm(v), 1e-9))
+    # texts in cells: each begins one, and its last is filled up with words that are nowhere
+    cells = -(-sizes // CELL)
+    begin = np.cumsum(cells) - cells
+    place = np.arange(len(codes)) + np.repeat(begin * CELL - first, sizes)
+    of_cell = np.full(cells.sum() * CELL, FEATURES, np.int32)
+    of_cell[place] = feature(codes)
+    alone = np.zeros((SET, len(of_cell)), np.uint64)
+    alone[:, place] = bits(codes)
+    of_cell = of_cell.reshape(-1, CELL)
+    held = np.bitwise_or.reduce(alone.reshape(SET, -1, CELL), axis=2)
+    widest = max(items.widths)
+    around = 2 * -(-widest // CELL)
+    grid = {width: _grid(width, begin, cells) for width in items.widths}
+    for low in range(0, len(of_cell), STRETCH):
+        from_, to = max(0, low - around), min(len(of_cell), low + STRETCH + around)
+        sums = _sums(items.steps, of_cell[from_:to])
+        sets = [held[:, from_:to]]
+        for width, own in items.widths.items():
+            of, starts, ends, a, e = grid[width]
+            here = slice(*np.searchsorted(starts, [low, low + STRETCH]))
+            of, starts, ends, a, e = of[here], starts[here], ends[here], a[here], e[here]
+            if not len(of):
+                continue
+            windows = (sums[ends - from_] - sums[starts - from_]).astype(np.float32)
+            least = NEAR * np.sqrt(np.einsum("ij,ij->i", windows, windows))
+            lacked = ~_united(sets, a - from_, e - from_)
+            for block in range(0, len(own.ids), BLOCK):
+                vectors = own.vectors[block : block + BLOCK]
+                r, c = np.divmod(np.flatnonzero(windows @ vectors.T >= least[:, None]), len(vectors))
+                c += block
+                lacking = np.zeros(len(r), np.int32)
+                for k in range(SET):
+                    lacking += np.bitwise_count(own.sets[k][c] & lacked[k][r])
+                able = np.flatnonzero(lacking <= ((1 - SAME_WITH_ANSWER) * own.sizes + 1e-9)[c])
+                for k in range(0, len(able), 20_000):
+                    w = r[able[k : k + 20_000]]
+                    t = of[w]
+                    start, end = (np.minimum(first[t] + (x[w] - begin[t]) * CELL, first[t] + sizes[t]) for x in (starts, ends))
+                    a_, e_ = np.maximum(first[t], start - width // 4), np.minimum(first[t] + sizes[t], end + width // 4)
+                    _check(items, width, codes, known, t, start, end, a_, e_, c[able[k : k + 20_000]], found)
     return [sorted((i, s, c) for i, (s, c) in f.items()) for f in found]
 
 
+def _sums(steps: np.ndarray, of_cell: np.ndarray) -> np.ndarray:
+    """The places of all cells up to each one, in whole numbers, whose differences are exact even where they overflow."""
+    n = -(-len(of_cell) // TILE) * TILE
+    out = np.zeros((n + 1, steps.shape[1]), np.int32)
+    own = out[1 : len(of_cell) + 1]
+    np.take(steps, of_cell[:, 0], axis=0, out=own)
+    for k in range(1, CELL):
+        own += steps[of_cell[:, k]]
+    tiles = out[1:].reshape(-1, TILE, steps.shape[1])
+    for tile in tiles:
+        np.cumsum(tile, axis=0, out=tile)
+    before = np.zeros(steps.shape[1], np.int32)
+    for tile in tiles:
+        tile += before
+        before = tile[-1]
+    return out
+
+
+def _grid(width: int, begin: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All windows of a width, in cells: their texts, starts and ends, and where what is around them starts and ends."""
+    n, step, beside = -(-width // CELL), max(1, width // (STRIDE * CELL)), -(-(width // 4) // CELL)
+    filled = np.flatnonzero(cells)
+    over = np.maximum(0, cells[filled] - n)  # cells beyond the first window; the last one ends with its text
+    several = -(-over // step) + 1
+    of = np.repeat(filled, several)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
+    starts = begin[of] + np.minimum(number * step, np.repeat(over, several))
+    last = begin[of] + cells[of]
+    ends = np.minimum(starts + n, last)
+    return of, starts, ends, np.maximum(begin[of], starts - beside), np.minimum(last, ends + beside)
+
+
+def _united(sets: list[np.ndarray], a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The union of the sets from a to e; sets[k] has those of 2^k cells from each place on, and grows as needed."""
+    level = np.frexp(e - a)[1] - 1
+    out = np.zeros((SET, len(a)), np.uint64)
+    for k in np.unique(level).tolist():
+        while len(sets) <= k:
+            half = 1 << len(sets) - 1
+            sets.append(sets[-1][:, :-half] | sets[-1][:, half:])
+        own = np.flatnonzero(level == k)
+        out[:, own] = sets[k][:, a[own]] | sets[k][:, e[own] - (1 << k)]
+    return out
+
+
+def _check(items: Items, width: int, codes: np.ndarray, known: np.ndarray, of, starts, ends, a, e, c, found: list[dict]) -> None:
+    """Puts candidates (windows and items c of a width) that pass into found, each with its best share."""
+    own = items.widths[width]
+    spots = a[:, None] + np.arange(width + CELL + 2 * (width // 4))
+    key = c[:, None] * len(items.known) + c[:, None] + known[np.where(spots < e[:, None], spots, len(codes))]
+    near = np.minimum(np.searchsorted(own.places, key), len(own.places) - 1)
+    place = np.where(own.places[near] == key, own.numbers[near], 0)
+    there = np.bincount((np.arange(len(c))[:, None] * (width + 1) + place).ravel(), minlength=len(c) * (width + 1)).reshape(len(c), -1)
+    shared = np.minimum(there, own.times[c]).sum(1)
+    answered = (there >= own.answers[c])[:, 1:].all(1)
+    for x in np.flatnonzero((shared >= SAME * own.sizes[c] - 1e-9) | (shared >= SAME_WITH_ANSWER * own.sizes[c] - 1e-9) & answered).tolist():
+        hits, i = found[of[x]], own.ids[c[x]]
+        if hits.get(i, (0.0,))[0] < 1.0:
+            share = leaked(own.codes[c[x]], codes[a[x] : e[x]])
+            if share > hits.get(i, (0.0,))[0]:
+                v = items.space[feature(codes[starts[x] : ends[x]])].sum(0)
+                hits[i] = share, float(v @ own.vectors[c[x]] / max(np.linalg.norm(v), 1e-9))
+
+
 RESULT = "doc_id long, contaminated boolean, n_items long, items array<long>, share double, cosine double"
 
 
-def searches(docs: DataFrame, benchmark: DataFrame) -> list[list]:
-    """The items that are searched for, in broadcasts of ITEMS about, in the space of docs; AT_ONCE of them go through the documents together."""
+def searches(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The items that are searched for, ITEMS about in each broadcast, in the space of docs. The driver holds the items of one at a time."""
     space = decompose(docs)
     wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     blocks = max(1, -(-wanted.count() // ITEMS))
-    own = lambda k: wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-    shared = [docs.sparkSession.sparkContext.broadcast(Items.of([tuple(r) for r in own(k)], space)) for k in range(blocks)]
-    return [shared[k : k + AT_ONCE] for k in range(0, blocks, AT_ONCE)]
-
-
-def _hits(searched: list, texts: list[bytes]) -> list[list[tuple[int, float, float]]]:
-    found = [search(shared.value, texts) for shared in searched]
-    return found[0] if len(found) == 1 else [sorted(h for own in of_text for h in own) for of_text in zip(*found, strict=True)]
+    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartitionByRange(blocks, "block").sortWithinPartitions("block", "item_id", "text")
+    of_block = groupby(dealt.toLocalIterator(), key=lambda r: r["block"])
+    share = docs.sparkSession.sparkContext.broadcast
+    return [share(Items.of([(r["item_id"], r["text"]) for r in rows], space)) for _, rows in of_block] or [share(Items.of([], space))]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -426,18 +468,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     SAME_WITH_ANSWER of them and all of its last fifth; one of fewer than SHORTEST words, if all of them stand there in a row.
     Characters of scripts without blanks are words. Items without words or with a null id aren't searched for. Null
     texts count as empty: not contaminated. Ties of the best share go to the greater cosine. Repeated rows are judged each, but
-    put together by id where there are more than AT_ONCE * ITEMS items; empty tables give no rows or no contamination. Long texts
+    put together by id where there are more than ITEMS items; empty tables give no rows or no contamination. Long texts
     are read whole; other columns are ignored. All items go against all rows.
     """
     rows, found = docs.select(F.col("doc_id").cast("long"), whole().alias("text")), None
     searched = searches(docs, benchmark)
-    for together in searched:
+    for shared in searched:
 
-        def look(batches: Iterator[pa.RecordBatch], together=together) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[list] = [[] for _ in range(5)]
                 for texts in parts(batch.column(1)):
-                    for hits in _hits(together, texts):
+                    for hits in search(shared.value, texts):
                         best = max(hits, key=lambda x: x[1:], default=(0, None, None))
                         for column, x in zip(out, (bool(hits), len(hits), [h[0] for h in hits], best[1], best[2]), strict=True):
                             column.append(x)
@@ -455,12 +497,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; in one scan, whatever the number of items."""
-    for together in searches(docs, benchmark):
+    for shared in searches(docs, benchmark):
 
-        def look(batches: Iterator[pa.RecordBatch], together=together) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
-                yield batch.filter(pa.array([not hits for part in parts(texts) for hits in _hits(together, part)], pa.bool_()))
+                yield batch.filter(pa.array([not hits for part in parts(texts) for hits in search(shared.value, part)], pa.bool_()))
 
         docs = docs.mapInArrow(look, docs.schema)
     return docs
