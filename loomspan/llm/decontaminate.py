@@ -30,7 +30,7 @@ FEATURES, PROBES, RANK, PASSAGE = 1 << 14, 192, 96, 32
 #: Features of a row of partial sums, tasks whose sums meet first (as a power of two), and words counted at a time.
 SLICE, TASKS, COUNTED = 1 << 8, 6, 1 << 21
 #: The least cosine of a window and an item whose common subsequence is looked at.
-NEAR = 0.3
+NEAR = 0.25
 #: Items of fewer words are searched for by exact match. So many items are compared in one scan of the documents: what executors
 #: hold of them is bounded, about 3 KB for an item of 60 words.
 SHORTEST, ITEMS = 5, 4000
