@@ -469,7 +469,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Characters of scripts without blanks are words. Items without words or with a null id aren't searched for. Null
     texts count as empty: not contaminated. Ties of the best share go to the greater cosine. Repeated rows are judged each, but
     put together by id where there are more than ITEMS items; empty tables give no rows or no contamination. Long texts
-    are read whole; other columns are ignored. All items go against all rows.
+    are read whole; other columns are ignored. All items go against all rows; passages whose cosine with the item is below NEAR
+    aren't candidates.
     """
     rows, found = docs.select(F.col("doc_id").cast("long"), whole().alias("text")), None
     searched = searches(docs, benchmark)
