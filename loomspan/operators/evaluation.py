@@ -29,10 +29,10 @@ def compared(gold: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
     return g.unionByName(p).groupBy(*on).agg(F.max("in_gold").alias("in_gold"), F.max("in_pred").alias("in_pred"))
 
 
-def counted(both: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """tp, fp, fn, and their shares, per group or in all."""
-    n = lambda c: F.count_if(c).cast("long")
-    out = both.groupBy(*(by or [])).agg(n(F.expr("in_gold = 1 and in_pred = 1")).alias("tp"), n(F.expr("in_gold = 0")).alias("fp"), n(F.expr("in_pred = 0")).alias("fn"))
+def counted(both: DataFrame, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """tp, fp, fn, and their shares, per group or in all. A row stands for as many as its weight says; one of neither side counts for nothing."""
+    n = lambda c: (F.count_if(c) if weight is None else F.coalesce(F.sum(F.when(c, weight)), F.lit(0))).cast("long")
+    out = both.groupBy(*(by or [])).agg(n(F.expr("in_gold = 1 and in_pred = 1")).alias("tp"), n(F.expr("in_gold = 0 and in_pred = 1")).alias("fp"), n(F.expr("in_pred = 0 and in_gold = 1")).alias("fn"))
     return out.select("*", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
