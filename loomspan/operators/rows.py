@@ -55,3 +55,12 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspan-"))
     return df.checkpoint()
+
+
+#: Rows of a table that may be broadcast.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table that was written down, with a hint to broadcast it if it has few rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
