@@ -13,15 +13,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows whose values and results Python holds as objects at once.
+ROWS = 128
+
+
 def flat_map(df: DataFrame, keys: list[str], inputs: list[str], make: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """Each row's keys beside every tuple that make(*inputs) gives for it. Only keys and inputs are read; no shuffle."""
+    """Each row's keys beside every tuple that make(*inputs) gives for it. Only keys and inputs are read; no shuffle. Python holds ROWS rows and what is made of them at once, however many a batch has."""
     fields = T._parse_datatype_string(schema).fields
     out = T.StructType([df.schema[k] for k in keys] + fields)
     arrow = to_arrow_schema(out)
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             given = [batch.column(n + k).to_pylist() for k in range(len(inputs))]
             columns: list[list] = [[] for _ in fields]
             at: list[int] = []
