@@ -48,7 +48,8 @@ def shown_name(surfaces: Column) -> Column:
     described = lambda s: F.lower(s).rlike("^(" + "|".join(DESCRIPTIVE) + ")")
     named = F.filter(surfaces, lambda s: ~described(s) & s.rlike(r"[\p{Lu}\p{Lt}]"))
     longest = lambda of: F.array_max(F.transform(of, lambda s, k: F.struct(F.char_length(s).alias("n"), (-k).alias("k"), s.alias("s"))))["s"]
-    return F.when(F.size(named) > 0, longest(named)).otherwise(F.coalesce(longest(surfaces), F.lit("")))
+    best = let(named, lambda of: F.when(F.size(of) > 0, longest(of)).otherwise(F.coalesce(longest(surfaces), F.lit(""))))
+    return F.when(F.size(surfaces) == 1, F.coalesce(F.get(surfaces, F.lit(0)), F.lit(""))).otherwise(best)
 
 
 def attributes_of(listed: Column) -> Column:

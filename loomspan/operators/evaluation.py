@@ -152,14 +152,10 @@ def summary(chunks: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(items: Column) -> Column:
-    return F.array_distinct(F.coalesce(items, F.array()))
-
-
 def _entities(of: str) -> Column:
     """Entities of a column (entities, spans by id) with what they are compared by: their best surface in lower case without full stops, their type, their spans."""
-    label = lambda e: F.trim(F.regexp_replace(F.regexp_replace(F.lower(shown_name(e["mentions"])), r"\.", ""), r"(?U)\s+", " "))
-    at = lambda e: F.array_distinct(F.coalesce(F.try_element_at(F.col(f"{of}.spans"), e["id"]), F.array().cast("array<struct<start: int, end: int>>")))
+    label = lambda e: F.trim(F.regexp_replace(F.translate(F.lower(shown_name(e["mentions"])), ".", ""), r"(?U)\s+", " "))
+    at = lambda e: F.sort_array(F.array_distinct(F.coalesce(F.try_element_at(F.col(f"{of}.spans"), e["id"]), F.array().cast("array<struct<start: int, end: int>>"))))
     known = lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.concat_ws("\x01", label(e), e["type"]).alias("label"), at(e).alias("spans"))
     return F.transform(F.coalesce(F.col(f"{of}.entities"), F.array()), known)
 
@@ -168,86 +164,120 @@ def _alignment(pred: Column, gold: Column) -> Column:
     """id of each predicted entity -> the gold entity of its type that its spans overlap most; the first of equals, none without overlap."""
 
     def shared(p: Column, g: Column) -> Column:
-        one = lambda s: F.array_max(F.transform(g["spans"], lambda t: F.least(s["end"], t["end"]) - F.greatest(s["start"], t["start"])))
-        return F.aggregate(p["spans"], F.lit(0), lambda n, s: n + F.greatest(F.lit(0), F.coalesce(one(s), F.lit(0))))
+        one = lambda s: F.aggregate(g["spans"], F.lit(0), lambda most, t: F.greatest(most, F.least(s["end"], t["end"]) - F.greatest(s["start"], t["start"])))
+        return F.aggregate(p["spans"], F.lit(0), lambda n, s: n + one(s))
 
     def best(p: Column) -> Column:
-        met = F.transform(gold, lambda g, i: F.struct(F.when(g["type"] == p["type"], shared(p, g)).otherwise(0).alias("n"), (-i).alias("i"), g["id"].alias("id")))
-        top = F.array_max(met)
-        return F.struct(p["id"].alias("id"), F.when(top["n"] > 0, top["id"]).alias("to"))
+        met = F.transform(F.filter(gold, lambda g: g["type"] == p["type"]), lambda g, i: F.struct(shared(p, g).alias("n"), (-i).alias("i"), g["id"].alias("id")))
+        return let(F.array_max(met), lambda top: F.struct(p["id"].alias("id"), F.when(top["n"] > 0, top["id"]).alias("to")))
 
     return F.map_from_entries(F.transform(pred, best))
 
 
+def _names(entities: Column) -> Column:
+    """id -> label of the first entity that has it."""
+    first = lambda e, i: ~F.exists(F.slice(entities, 1, i), lambda x: x["id"] == e["id"])
+    return F.map_from_entries(F.transform(F.filter(entities, first), lambda e: F.struct(e["id"], e["label"])))
+
+
 def _triples(of: str, end: Callable[[Column], Column], symmetric: Column) -> Column:
     """The distinct relations of a column by what `end` makes of their ends; those of a symmetric type in one order."""
 
     def triple(r: Column) -> Column:
-        a, b = end(r["source"]), end(r["target"])
-        swap = F.coalesce(F.array_contains(symmetric, r["type"]) & (b < a), F.lit(False))
-        return F.struct(r["type"].alias("type"), F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"))
+        swap = F.coalesce(F.array_contains(symmetric, r["type"]) & (r["b"] < r["a"]), F.lit(False))
+        return F.struct(r["type"].alias("type"), F.when(swap, r["b"]).otherwise(r["a"]).alias("a"), F.when(swap, r["a"]).otherwise(r["b"]).alias("b"))
 
-    return _distinct(F.transform(F.coalesce(F.col(f"{of}.relations"), F.array()), triple))
+    ended = F.transform(F.coalesce(F.col(f"{of}.relations"), F.array()), lambda r: F.struct(r["type"].alias("type"), end(r["source"]).alias("a"), end(r["target"]).alias("b")))
+    return F.array_distinct(F.transform(ended, triple))
 
 
-def chunk_counts(gold: DataFrame, results: DataFrame, symmetric: dict[str, list[str]]) -> DataFrame:
+def _strict(entities: Column) -> Column:
+    """The distinct spans with their types."""
+    return F.array_distinct(F.flatten(F.transform(entities, lambda e: F.transform(e["spans"], lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), e["type"].alias("t"))))))
+
+
+def _tied(entities: Column) -> Column:
+    """The distinct pairs of spans of one entity, which are in order."""
+    pairs = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return F.array_distinct(F.flatten(F.transform(entities, lambda e: pairs(e["spans"]))))
+
+
+def _pairs(triples: Column) -> Column:
+    """The distinct pairs of ends that are known, whatever the type."""
+    tied = F.filter(triples, lambda t: t["a"].isNotNull() & t["b"].isNotNull())
+    return F.array_distinct(F.transform(tied, lambda t: F.struct(F.least(t["a"], t["b"]).alias("a"), F.greatest(t["a"], t["b"]).alias("b"))))
+
+
+def chunk_counts(gold: DataFrame, results: DataFrame, symmetric: dict[str, list[str]], sources: list[str] | None = None) -> DataFrame:
     """source, schema, chunk_id, metric, type, tp, fp, fn: what each chunk of gold adds to each metric, for each source of results.
 
     gold: chunk_id, schema, entities, relations, spans; results the same with source instead of schema. A chunk that a source doesn't answer, or
     answers with an error, counts as empty. rel_strict has a row for each type, others one of null type; rel_type counts the pairs
-    that both sides relate as right (tp) or not (fp, fn). All is worked out within a chunk's two rows, joined once.
+    that both sides relate as right (tp) or not (fp, fn). A chunk meets the results of all sources in one join by chunk_id, and what
+    is compared of gold is made once a chunk. Where sources aren't named, results are read once more for them.
     """
-    bundle = lambda df, more, name: df.select("chunk_id", more, F.struct("entities", "relations", "spans").alias(name))
-    sources = results.select("source").distinct()
-    every = bundle(gold, "schema", "g").crossJoin(F.broadcast(sources))  # a row for each system
-    both = every.join(bundle(results, "source", "p"), ["chunk_id", "source"], "left")
+    named = results.select("source").distinct() if sources is None else results.sparkSession.createDataFrame([(s,) for s in sources], "source string")
     table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for kv in symmetric.items() for x in kv))
-    both = both.withColumn("sym", F.coalesce(table[F.col("schema")], F.array().cast("array<string>"))).withColumn("ge", _entities("g")).withColumn("pe", _entities("p"))
-    both = both.withColumn("to", _alignment(F.col("pe"), F.col("ge")))
-    name = lambda es: F.map_from_entries(F.transform(F.array_distinct(F.transform(es, lambda e: e["id"])), lambda i: F.struct(i, F.filter(es, lambda e: e["id"] == i)[0]["label"])))
-    both = both.withColumn("g_name", name(F.col("ge"))).withColumn("p_name", name(F.col("pe")))
     sym = F.col("sym")
-    both = both.withColumn("gt", _triples("g", lambda x: x, sym)).withColumn("pt", _triples("p", lambda x: F.try_element_at("to", x), sym))
-    both = both.withColumn("gn", _triples("g", lambda x: F.try_element_at("g_name", x), sym)).withColumn("pn", _triples("p", lambda x: F.try_element_at("p_name", x), sym))
-    strict = lambda es: F.array_distinct(F.flatten(F.transform(es, lambda e: F.transform(e["spans"], lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), e["type"].alias("t"))))))
-    labels = lambda es: F.array_distinct(F.transform(es, lambda e: e["label"]))
-    pairs = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    tied = lambda es: F.array_distinct(F.flatten(F.transform(es, lambda e: let(F.array_sort(e["spans"]), pairs))))
-    ends = lambda ts: F.array_distinct(F.transform(F.filter(ts, lambda t: t["a"].isNotNull() & t["b"].isNotNull()), lambda t: F.struct(F.least(t["a"], t["b"]).alias("a"), F.greatest(t["a"], t["b"]).alias("b"))))
+
+    def compared_by(df: DataFrame, of: str, end: Callable[[Column], Column]) -> DataFrame:
+        """Adds what is compared of a side, each set made once: relations by what `end` makes of their ends, and by names."""
+        e = F.col(f"{of}e")
+        df = df.withColumn(f"{of}_name", _names(e)).withColumn(f"{of}_triples", _triples(of, end, sym))
+        by_name = _triples(of, lambda x: F.try_element_at(f"{of}_name", x), sym)
+        labels = F.array_distinct(F.transform(e, lambda x: x["label"]))
+        return df.withColumns({f"{of}_ent_strict": _strict(e), f"{of}_ent_relaxed": labels, f"{of}_coref": _tied(e), f"{of}_rel_relaxed": by_name, f"{of}_rel_pair": _pairs(F.col(f"{of}_triples"))})
+
+    sets = ["ent_strict", "ent_relaxed", "coref", "rel_relaxed", "rel_pair", "triples"]
+    bundle = F.struct("entities", "relations", "spans")
+    own = gold.select("chunk_id", "schema", bundle.alias("g")).withColumn("sym", F.coalesce(table[F.col("schema")], F.array().cast("array<string>"))).withColumn("ge", _entities("g"))
+    own = compared_by(own, "g", lambda x: x).select("chunk_id", "schema", "sym", "ge", *(f"g_{k}" for k in sets))
+    w = W.partitionBy("chunk_id").orderBy("source")  # collected by one sort, where an aggregation would sort twice
+    said = results.withColumn("said", F.collect_list(F.struct("source", bundle.alias("p"))).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    said = said.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("chunk_id", "said")
+    every = own.join(said, "chunk_id", "left").crossJoin(F.broadcast(named))  # a row for each system
+    both = every.withColumn("p", F.explode_outer(F.filter("said", lambda x: x["source"] == F.col("source"))["p"])).drop("said").withColumn("pe", _entities("p"))
+    both = compared_by(both.withColumn("to", _alignment(F.col("pe"), F.col("ge"))), "p", lambda x: F.try_element_at("to", x))
+    both = both.select("source", "schema", "chunk_id", *(f"{of}_{k}" for of in "gp" for k in sets), *(F.array_intersect(f"g_{k}", f"p_{k}").alias(f"both_{k}") for k in sets))
     n = lambda x: F.size(x).cast("long")
+    both = both.withColumn("right", n(_pairs(F.col("both_triples")))).withColumn("loose", n(F.filter("p_triples", lambda t: t["a"].isNull() | t["b"].isNull())))
+
+    def row(metric: str, tp: Column, fp: Column, fn: Column, kind: Column | None = None) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), (F.lit(None).cast("string") if kind is None else kind).alias("type"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
 
-    def counts(metric: str, g: Column, p: Column, more: Column | None = None) -> Column:
-        tp = n(F.array_intersect(g, p))
-        return F.struct(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("type"), tp.alias("tp"), (n(F.array_except(p, g)) + (F.lit(0) if more is None else more)).cast("long").alias("fp"), n(F.array_except(g, p)).alias("fn"))
+    def counts(metric: str, more: Column | None = None) -> Column:
+        """Sets have each member once, so what one side has alone is its size less what both have."""
+        tp = n(f"both_{metric}")
+        fp = n(f"p_{metric}") - tp
+        return row(metric, tp, fp if more is None else fp + more, n(f"g_{metric}") - tp)
 
-    one = lambda tp, fp, fn: lambda t: F.struct(F.lit("rel_strict").alias("metric"), t["type"].alias("type"), *(F.lit(x).cast("long").alias(k) for k, x in (("tp", tp), ("fp", fp), ("fn", fn))))
-    gt, pt = F.col("gt"), F.col("pt")
-    loose = n(F.filter(pt, lambda t: t["a"].isNull() | t["b"].isNull()))
-    right, met = n(ends(F.array_intersect(gt, pt))), n(F.array_intersect(ends(gt), ends(pt)))
-    typing = F.struct(F.lit("rel_type").alias("metric"), F.lit(None).cast("string").alias("type"), right.alias("tp"), (met - right).alias("fp"), (met - right).alias("fn"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    by_type = lambda ts, *k: F.transform(ts, lambda t: row("rel_strict", *k, t["type"]))
+    wrong = n("both_rel_pair") - F.col("right")
     fixed = F.array(
-        counts("ent_strict", strict(F.col("ge")), strict(F.col("pe"))),
-        counts("ent_relaxed", labels(F.col("ge")), labels(F.col("pe"))),
-        counts("coref", tied(F.col("ge")), tied(F.col("pe"))),
-        counts("rel_relaxed", F.col("gn"), F.col("pn")),
-        counts("rel_pair", ends(gt), ends(pt), loose),
-        typing,
-        F.struct(F.lit("rel_strict").alias("metric"), F.lit(None).cast("string").alias("type"), *(F.lit(0).cast("long").alias(k) for k in ("tp", "fp", "fn"))),
+        *(counts(k) for k in ("ent_strict", "ent_relaxed", "coref", "rel_relaxed")),
+        counts("rel_pair", F.col("loose")),
+        row("rel_type", F.col("right"), wrong, wrong),
+        row("rel_strict", zero, zero, zero),
+    )
+    strict = F.concat(
+        by_type(F.col("both_triples"), one, zero, zero),
+        by_type(F.array_except("p_triples", "g_triples"), zero, one, zero),
+        by_type(F.array_except("g_triples", "p_triples"), zero, zero, one),
     )
-    by_type = F.concat(F.transform(F.array_intersect(gt, pt), one(1, 0, 0)), F.transform(F.array_except(pt, gt), one(0, 1, 0)), F.transform(F.array_except(gt, pt), one(0, 0, 1)))
-    return both.select("source", "schema", "chunk_id", F.explode(F.concat(fixed, by_type)).alias("m")).select("source", "schema", "chunk_id", "m.*")
+    return both.select("source", "schema", "chunk_id", F.explode(F.concat(fixed, strict)).alias("m")).select("source", "schema", "chunk_id", "m.*")
 
 
-def figures(gold: DataFrame, results: DataFrame, symmetric: dict[str, list[str]], by_type: bool = False) -> DataFrame:
-    """source, schema, metric, type, tp, fp, fn, precision, recall, f1, as chunk_counts has them: one join and one aggregation over grouping sets.
+def figures(gold: DataFrame, results: DataFrame, symmetric: dict[str, list[str]], by_type: bool = False, sources: list[str] | None = None) -> DataFrame:
+    """source, schema, metric, type, tp, fp, fn, precision, recall, f1, as chunk_counts has them: one join and one aggregation, and grouping sets over its few sums.
 
     type is null for a metric as a whole; with by_type rel_strict has a row for each type as well.
     """
-    c = chunk_counts(gold, results, symmetric)
+    on, sums = ["source", "schema", "metric", "type"], lambda: [F.sum(k).alias(k) for k in ("tp", "fp", "fn")]
+    c = chunk_counts(gold, results, symmetric, sources).groupBy(*on).agg(*sums())
     sets = [["source", "schema", "metric"], *([["source", "schema", "metric", "type"]] if by_type else [])]
-    on = ["source", "schema", "metric", "type"]
-    sums = c.groupingSets([[F.col(x) for x in s] for s in sets], *on).agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")), F.grouping("type").alias("_whole"))
-    return sums.where("_whole = 1 or type is not null").select(*on, "tp", "fp", "fn", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))
+    whole = c.groupingSets([[F.col(x) for x in s] for s in sets], *on).agg(*sums(), F.grouping("type").alias("_whole"))
+    return whole.where("_whole = 1 or type is not null").select(*on, "tp", "fp", "fn", *f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def summarized(gold: DataFrame, results: DataFrame, symmetric: set[str]) -> DataFrame:
