@@ -18,6 +18,8 @@ from .islands import let
 #: Where lines end, and what is white space around one, as Java patterns.
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 BLANKS = r"[\s\x1C-\x1F\u0085\p{Z}]+"
+#: A list of names that has one.
+NAMED = r"[^\s\x1C-\x1F\u0085\p{Z}|]"
 # The lines of an answer.
 ENTITY = r"(?U)^E(\d+) (\w+): (.+)$"
 HEADER = r"(?U)^S(\d+)$"
@@ -35,7 +37,9 @@ class Decoded:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANKS}|{BLANKS}\z", "")
+    """Without the white space around it; the pattern runs only over texts whose ends are blank."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(BLANKS), F.regexp_replace(text, rf"^{BLANKS}|{BLANKS}\z", "")).otherwise(text)
 
 
 def surfaces_of(listed: Column) -> Column:
@@ -63,12 +67,11 @@ def attributes_of(listed: Column) -> Column:
 
 def answer_lines(answers: DataFrame, key: str, fmt: str) -> DataFrame:
     """key, ord, line, kind (e, h, r, x; null for an answer without lines), and what the line's pattern holds, for answers (key, raw)."""
-    raw = F.regexp_replace("raw", rf"^{BLANKS}|{BLANKS}\z", "")
-    line = answers.select(key, (F.col("raw").isNull()).alias("absent"), F.posexplode_outer(F.split(raw, LINE_ENDS)).alias("ord", "line"))
+    line = answers.select(key, (F.col("raw").isNull()).alias("absent"), F.posexplode_outer(F.split(stripped(F.col("raw")), LINE_ENDS)).alias("ord", "line"))
     line = line.withColumn("line", stripped(F.col("line"))).withColumn("line", F.when(F.col("line") != "", F.col("line")))
-    relation = RELATION if fmt == "lines" else UNDER_HEADER
-    header = F.lit(False) if fmt == "lines" else F.col("line").rlike(HEADER)
-    kind = F.when(F.col("line").rlike(ENTITY), "e").when(header, "h").when(F.col("line").rlike(relation), "r").when(F.col("line").isNotNull(), "x")
+    is_one = lambda letter, pattern: F.col("line").startswith(letter) & F.col("line").rlike(pattern)  # noqa: E731  a pattern tries each place of a line that it doesn't fit
+    header = F.lit(False) if fmt == "lines" else is_one("S", HEADER)
+    kind = F.when(is_one("E", ENTITY), "e").when(header, "h").when(is_one("R ", RELATION if fmt == "lines" else UNDER_HEADER), "r").when(F.col("line").isNotNull(), "x")
     return line.withColumn("kind", kind)
 
 
@@ -84,8 +87,7 @@ def decoded(answers: DataFrame, sentences: DataFrame, fmt: str = "sentences", ke
     own = answer_lines(answers.select(key, "raw").repartition(F.col(key)), key, fmt)
     relation, attrs_at = (RELATION, 6) if fmt == "lines" else (UNDER_HEADER, 5)
     part = lambda pattern, k: F.regexp_extract("line", pattern, k)
-    own = own.withColumn("surfaces", F.when(F.col("kind") == "e", surfaces_of(part(ENTITY, 3))))
-    own = own.withColumn("kind", F.when((F.col("kind") == "e") & (F.size("surfaces") == 0), "x").otherwise(F.col("kind")))
+    own = own.withColumn("kind", F.when((F.col("kind") == "e") & ~part(ENTITY, 3).rlike(NAMED), "x").otherwise(F.col("kind")))
     w = W.partitionBy(key).orderBy("ord")
     number = lambda text: text.try_cast("int")
     carried = F.last(F.when(F.col("kind") == "h", F.struct(number(part(HEADER, 1)).alias("n"))), ignorenulls=True).over(w)["n"]
@@ -93,9 +95,9 @@ def decoded(answers: DataFrame, sentences: DataFrame, fmt: str = "sentences", ke
     nth = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(w)
     own = own.withColumn("nth", F.when(F.col("kind") == "e", nth("e")).when(F.col("kind") == "r", nth("r")))
     entity = own.where((F.col("kind") == "e") & (F.col("nth") <= MAX_ENTITIES)).withColumn("ent_id", F.concat(F.lit("e"), part(ENTITY, 1)))
-    first = F.min_by(F.struct("ord", part(ENTITY, 2).alias("type"), shown_name(F.col("surfaces")).alias("name"), F.slice("surfaces", 1, MAX_MENTIONS).alias("mentions")), "ord")
-    entities = entity.groupBy(key, "ent_id").agg(first.alias("e")).select(key, "e.ord", "ent_id", "e.type", "e.name", "e.mentions")
-    texts = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("texts"))
+    first = entity.groupBy(key, "ent_id").agg(F.min_by(F.struct("ord", "line"), "ord").alias("e")).select(key, "ent_id", "e.*").withColumn("surfaces", surfaces_of(part(ENTITY, 3)))
+    entities = first.select(key, "ord", "ent_id", part(ENTITY, 2).alias("type"), shown_name(F.col("surfaces")).alias("name"), F.slice("surfaces", 1, MAX_MENTIONS).alias("mentions"))
+    texts = sentences.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("texts"))
     there = own.where((F.col("kind") == "r") & (F.col("nth") <= MAX_RELATIONS)).join(texts, key, "left")
     within = (F.col("sentence") >= 1) & (F.col("sentence") <= F.size("texts"))
     evidence = F.when(within, F.try_element_at("texts", F.when(within, F.col("sentence")))["text"]).otherwise(NO_SENTENCE)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checking, decoding, judging, segmentation
+from ..operators.islands import let
+from ..operators.rows import written
 from ..operators.schemas import BUSINESS
 from .catalog import LEGAL_SQL, MENTION, NUMBERED_SQL, H, query, table
 
@@ -22,7 +24,9 @@ def answers_of(docs: DataFrame) -> DataFrame:
     """doc_id and raw, an answer with a line for each capitalised word; a null text has a null answer."""
 
     def line(word, k):
-        h = judging.hashed(F.lit("a"), F.col("doc_id"), k)
+        return let(judging.hashed(F.lit("a"), F.col("doc_id"), k), lambda h: said(word, k, h))
+
+    def said(word, k, h):
         number = lambda by, of: F.pmod(F.floor(h / by), F.lit(of)).cast("string")
         pick = lambda by, of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.floor(h / by), F.lit(len(of))) + 1).cast("int"))
         entity = F.concat(F.lit("E"), number(7, 12), F.lit(" "), pick(84, KINDS), F.lit(": "), word, F.lit(" | the "), F.lower(word), F.lit(" |"), word)
@@ -108,9 +112,11 @@ KNOWN_SQL = "known(type, keys) AS (VALUES " + ", ".join(f"('{r.name}', {list(r.a
 
 
 def _graph(spark, sf_dir):
+    """Entities and relations, written down: rules read them several times, and answers are decoded once for each."""
     got = _decoded(spark, sf_dir)
+    entities, relations = written(got.entities.select("doc_id", "ord", "ent_id", "type")), written(got.relations.drop("evidence"))
     schema_of = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit("business").alias("schema"))
-    return got.entities, got.relations, schema_of, checking.Rules.of(spark, [BUSINESS])
+    return entities, relations, schema_of, checking.Rules.of(spark, [BUSINESS])
 
 
 @query(

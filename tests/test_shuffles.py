@@ -1,7 +1,10 @@
 """How often what queries are made of is dealt out or worked out."""
 
-from loomspan.operators import evaluation
-from loomspan.plans import score_queries
+import pytest
+from pyspark.sql import functions as F
+
+from loomspan.operators import decoding, evaluation
+from loomspan.plans import answer_queries, score_queries
 
 
 def plan_of(df):
@@ -27,3 +30,28 @@ def test_a_source_that_answers_nothing_counts_as_empty(spark):
     assert got["two", "ent_strict", None] == (0, 0, 3) and got["two", "rel_strict", "O"] == (0, 0, 1) and got["two", "coref", None] == (0, 0, 1)
     alone = {r.source for r in evaluation.figures(gold, said, {"s": ["O"]}).collect()}
     assert alone == {"one"}
+
+
+@pytest.mark.parametrize("name", ["lenient_counts", "lenient_relations", "schema_violations"])
+def test_rules_read_answers_that_were_decoded_once(spark, name):
+    plan = plan_of(getattr(answer_queries, name)(spark, "/root/testdata/sf0.001"))
+    assert "posexplode" not in plan.lower() and "regexp" not in plan.lower() and "rlike" not in plan.lower()
+
+
+def test_a_line_is_hashed_once(spark):
+    plan = answer_queries.answers_of(spark.createDataFrame([(1, "Some Text")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
+def test_white_space_of_all_kinds_goes_and_stays_within(spark):
+    given = ["", " ", "a", " a", "a\n", "\u00a0a b\u2003", "\x1ca\u0085", "a \t b", "\u3000", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, t string").select("k", decoding.stripped(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == ["", "", "a", "a", "a", "a b", "a", "a \t b", "", None]
+
+
+def test_lines_without_names_are_malformed(spark):
+    raws = ["E1 Person: |\nE1 Person: Tove | Tove |\nE2 Org:  | \u00a0|", "E3 Org: x"]
+    none = spark.createDataFrame([], "chunk_id long, k int, text string")
+    got = decoding.decoded(spark.createDataFrame(list(enumerate(raws)), "chunk_id long, raw string"), none)
+    assert sorted((r.chunk_id, r.ord, r.ent_id, r.name, r.mentions) for r in got.entities.collect()) == [(0, 1, "e1", "Tove", ["Tove"]), (1, 0, "e3", "x", ["x"])]
+    assert {r.chunk_id: (r.n_entities, r.malformed) for r in got.outcomes.collect()} == {0: (1, 2), 1: (1, 0)}
