@@ -94,9 +94,9 @@ def numbered_sentences(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
     def prose(parts: Column) -> Column:
         def piece(p: Column, j: Column) -> Column:
             last = F.array_join(F.slice(parts, F.greatest(F.lit(1), j - 3), F.least(j, F.lit(4))), "")  # eight characters at least
-            begins = (j == 0) | ~F.coalesce(F.right(last, F.lit(8)), F.lit("")).rlike(NO_BREAK)
-            gap = F.when((j > 0) & begins, lead_of(p)).otherwise(0)
-            return F.struct(p.alias("text"), begins.alias("begins"), gap.alias("gap"), (trimmed(p) != "").alias("filled"))
+            begins = (j == 0) | ~F.coalesce(F.substring(last, -8, 8), F.lit("")).rlike(NO_BREAK)
+            gap = lambda b: F.when((j > 0) & b, lead_of(p)).otherwise(0)
+            return let(begins, lambda b: F.struct(p.alias("text"), b.alias("begins"), gap(b).alias("gap"), (trimmed(p) != "").alias("filled")))
 
         return F.transform(parts, piece)
 
@@ -112,7 +112,7 @@ def numbered_sentences(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
     w = W.partitionBy(key).orderBy("_i")
     at = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = piece.withColumn("_at", at).withColumn("_run", F.sum(F.col("begins").cast("int")).over(w))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.expr("substring(text, gap + 1)").alias("t")))), lambda x: x["t"]), "")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.expr("substring(text, gap + 1)").alias("t")))), lambda x: x["t"]), "")
     whole = placed.groupBy(key, "_run").agg(F.min(F.col("_at") + F.col("gap")).cast("int").alias("start"), F.max(F.col("_at") + F.col("_n")).cast("int").alias("end"), F.bool_or("filled").alias("filled"), said.alias("text"))
     return _numbered(whole.where("filled"), key, "_run").select(key, "k", "start", "end", "text")
 
