@@ -103,14 +103,17 @@ def world_decoys(pool: DataFrame, names: DataFrame, world: DataFrame) -> DataFra
     return met.where(half).withColumn("kind", F.lit("world"))
 
 
-def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: DataFrame, per_doc: int = 2, swap: dict[str, str] | None = None, world: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: DataFrame, per_doc: int = 2, swap: dict[str, str] | None = None, world: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = written, claimed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Claims made false on purpose (doc_id, src, type, tgt, kind): ends swapped, another target of its type, or another type.
 
     Of each document the per_doc claims that come first by hash are taken, each with the kind that its hash names; a decoy that is a
     pooled claim, or has nothing to change to, is left out. The other type is that of the swap table, else a neighbouring one. names:
     doc_id, name, type. With facts of the world (src, type, tgt) those are planted too, as world_decoys has it. The pool, a row
-    for each claim, is read twice and not shuffled where the decoys are few.
+    for each claim, is read twice and not shuffled where the decoys are few. With claimed, which gives of some claims those that are pooled,
+    the pool is read once and may leave out claims that are not among a document's first.
     """
+    if claimed is not None and world is not None:
+        raise ValueError("facts of the world meet the whole pool")
     h = hashed(F.lit("decoy"), *(F.col(c) for c in CLAIM))
     base = pool.withColumn("_h", h).withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("_h", "src", "type", "tgt"))).where(F.col("_n") <= per_doc)
     directed = ~F.col("type").isin(*symmetric) if symmetric else F.lit(True)
@@ -119,14 +122,14 @@ def decoys(pool: DataFrame, symmetric: set[str], neighbours: DataFrame, names: D
     turned = base.where("kind = 'direction'").select("doc_id", F.col("tgt").alias("src"), "type", F.col("src").alias("tgt"), "kind")
     own = names.select("doc_id", F.col("name").alias("tgt"), F.col("type").alias("_t"))
     other = names.select("doc_id", F.col("name").alias("_new"), F.col("type").alias("_t"))
-    swapped = base.where("kind = 'entity'").join(own, ["doc_id", "tgt"]).join(other, ["doc_id", "_t"]).where("_new != tgt and _new != src")
+    swapped = small(cut(small(base).where("kind = 'entity'").join(own, ["doc_id", "tgt"]))).join(other, ["doc_id", "_t"]).where("_new != tgt and _new != src")
     swapped = swapped.groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min_by("_new", hashed(F.col("doc_id"), F.col("_new"))).alias("_new")).select("doc_id", "src", "type", F.col("_new").alias("tgt"), "kind")
     given = F.create_map(*(F.lit(x) for kv in swap.items() for x in kv))[F.col("type")] if swap else F.lit(None).cast("string")
     near = base.where("kind = 'type'").join(F.broadcast(neighbours), "type", "left").groupBy("doc_id", "src", "type", "tgt", "kind").agg(F.min("other").alias("other"))  # a schema's size
     typed = near.withColumn("type", F.coalesce(given, "other")).where("type is not null").select(*CLAIM, "kind")
     made = cut(turned.unionByName(swapped).unionByName(typed).groupBy(*CLAIM).agg(F.min("kind").alias("kind")))
-    claimed = pool.select(*CLAIM).join(small(made.select(*CLAIM)), CLAIM, "left_semi").distinct()
-    found = made.join(small(cut(claimed)), CLAIM, "left_anti")
+    there = pool.select(*CLAIM).join(small(made.select(*CLAIM)), CLAIM, "left_semi") if claimed is None else claimed(made.select(*CLAIM))
+    found = made.join(small(cut(there.distinct())), CLAIM, "left_anti")
     return found if world is None else found.unionByName(world_decoys(pool, names, world).join(found, CLAIM, "left_anti"))
 
 
